@@ -94,6 +94,10 @@ def path_fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(F.array_distinct(paths), known)), "\n"))
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+
+
 def json_paths(record: Column) -> Column:
     """Field paths of a JSON record, two levels deep, through native JSON functions.
 
@@ -104,7 +108,7 @@ def json_paths(record: Column) -> Column:
     for name in sorted({p.split(".")[0] for p in KNOWN_PATHS if "." in p}):
         items = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
         keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
-        nested.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, n=name: F.concat(F.lit(n + "."), k)))
+        nested.append(_prefixed(F.coalesce(keys, F.array().cast("array<string>")), f"{name}."))
     return F.concat(top, *nested)
 
 
@@ -115,6 +119,11 @@ def _pick(item: Column, role: str, text: str) -> Column:
     return F.struct(name.alias("role"), F.coalesce(F.get_json_object(item, f"$.{text}"), F.lit("")).alias("text"))
 
 
+def _messages(raw: Column, name: str, role: str, text: str) -> Column:
+    items = F.from_json(F.get_json_object(raw, f"$.{name}"), "array<string>")
+    return F.transform(items, lambda x: _pick(x, role, text))
+
+
 def json_turns(df: DataFrame, record: str = "record", out: str = "turns") -> DataFrame:
     """Add canonical turns for a column of JSON records in any mix of layouts."""
     raw = F.col(record)
@@ -123,8 +132,7 @@ def json_turns(df: DataFrame, record: str = "record", out: str = "turns") -> Dat
     for layout in LAYOUTS:
         wanted = path_fingerprint(F.array(*[F.lit(p) for p in layout.paths]))
         if layout.list_of:
-            name, role, text = layout.list_of
-            made = F.transform(F.from_json(F.get_json_object(raw, f"$.{name}"), "array<string>"), lambda x, r=role, t=text: _pick(x, r, t))
+            made = _messages(raw, *layout.list_of)
         elif layout.pairs:
             made = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.get_json_object(raw, f"$.{path}"), F.lit("")).alias("text")) for role, path in layout.pairs])
         else:

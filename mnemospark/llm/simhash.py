@@ -87,7 +87,7 @@ def finer_masks(mask: int) -> list[int]:
 
 def tree_edges(bucket: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints."""
-    rest, edges = bucket, []
+    rest, edges = bucket.view(np.uint64), []  # bitwise_count drops the sign of signed numbers
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
@@ -95,7 +95,7 @@ def tree_edges(bucket: np.ndarray) -> list[tuple[int, int]]:
             near = np.bitwise_count(rest ^ x) <= NEAR
             if near.any():
                 got = rest[near]
-                edges += [(int(x), int(y)) for y in got]
+                edges += [(int(x.view(np.int64)), y) for y in got.view(np.int64).tolist()]
                 queue.extend(got)
                 rest = rest[~near]
     return edges
