@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemospark.functions.strings import let
 
@@ -52,19 +53,19 @@ def resample(a: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.slice(a, 1, size), lambda x: x.cast("double"))).otherwise(unit)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array; no built-in reads floats from bytes."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """An array to little-endian float32 bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def toy_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in embedding of 384 numbers; needs 32-bit wrapping, which SQL lacks."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.strings import index_text, index_tokens, jaccard, ngrams, similarity, chars
+from mnemospark.functions.strings import chars, index_text, index_tokens, jaccard, let, ngrams, similarity
 from mnemospark.functions.vectors import cosine
 
 
@@ -26,18 +26,18 @@ def fuzzy_search(nodes: DataFrame, query: str, threshold: float = 0.3) -> DataFr
     text = F.lit(query)
     q_tokens, q2, q3 = index_tokens(text), ngrams(text, 2), ngrams(text, 3)
     source = index_source(nodes)
-    grams = {"_own": F.array_distinct(index_tokens(source)), "_two": F.array_distinct(ngrams(source, 2)), "_three": F.array_distinct(ngrams(source, 3)), "_name": index_text("name")}
-    nodes = nodes.select("id", *[c.alias(k) for k, c in grams.items()])  # once a row, not once an element
-    own, two, three = F.col("_own"), F.col("_two"), F.col("_three")
 
-    def token_score(t: Column) -> Column:
+    def token_score(own: Column, t: Column) -> Column:
         near = F.filter(own, lambda o: (o.contains(t) | t.contains(o)) & (similarity(o, t) > 0.5))
         return F.when(F.array_contains(own, t), 1.0).otherwise(0.0) + F.aggregate(near, F.lit(0.0), lambda s, o: s + 0.8 * similarity(o, t))
 
-    count = lambda grams, have: F.size(F.filter(grams, lambda g: F.array_contains(have, g)))
-    raw = F.aggregate(q_tokens, F.lit(0.0), lambda s, t: s + token_score(t)) + 0.3 * count(q2, two) + 0.4 * count(q3, three)
+    def shared(grams: Column, have: Column) -> Column:
+        return let(F.array_distinct(have), lambda h: F.size(F.filter(grams, lambda g: F.array_contains(h, g))))
+
+    words = let(F.array_distinct(index_tokens(source)), lambda own: F.aggregate(q_tokens, F.lit(0.0), lambda s, t: s + token_score(own, t)))
+    raw = words + 0.3 * shared(q2, ngrams(source, 2)) + 0.4 * shared(q3, ngrams(source, 3))
     most = F.size(q_tokens) + 0.3 * F.size(q2) + 0.4 * F.size(q3)
-    score = 0.7 * raw / most + 0.3 * similarity(index_text(text), F.col("_name"))
+    score = 0.7 * raw / most + 0.3 * let(index_text("name"), lambda name: similarity(index_text(text), name))
     return nodes.select("id", score.alias("score")).where(F.col("score") >= threshold)
 
 

@@ -127,8 +127,9 @@ COMPARE = r"(?i)(?:compare|difference between)\s+(.+?)\s+(?:and|vs|versus)\s+(\S
 def plan(spark: SparkSession, question: str, rows: DataFrame) -> DataFrame:
     """Run one question on rows with name, entity_type, and where asked ts, size or the sort column."""
     q = spark.range(1).select(structured(F.lit(question)).alias("q")).select("q.*").first()
-    if q["entities"]:
-        rows = rows.where(F.col("name").isin(q["entities"]))
+    names = [e for e in q["entities"] if e not in rows.columns]  # columns to sort or group by are no names
+    if names:
+        rows = rows.where(F.col("name").isin(names))
     if q["entity_type"] and "entity_type" in rows.columns:
         rows = rows.where(F.col("entity_type") == q["entity_type"])
     if q["is_test"] is not None:
