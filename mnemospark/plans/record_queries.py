@@ -231,15 +231,15 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(sinks.csv_line(*map(F.col, ("conv_id", "turn", "role", "text"))).alias("line"))
 
 
-HASHES = """a AS (SELECT DISTINCT source || '/' || (doc_id // 2) AS path, min(md5(text)) OVER (PARTITION BY source || '/' || (doc_id // 2)) AS h FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT DISTINCT source || '/' || (doc_id // 2) AS path, min(md5(text)) OVER (PARTITION BY source || '/' || (doc_id // 2)) AS h FROM documents WHERE doc_id % 5 <> 0)"""
+HASHES = """a AS (SELECT o_custkey AS path, md5(max(o_orderpriority)) AS h FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT o_custkey AS path, md5(max(o_orderpriority)) AS h FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"""
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two scans of the same files; each lacks other chunks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.expr("doc_id div 2").cast("string")).alias("path"), F.md5("text").alias("h"))
-    scan = lambda n: docs.where(F.col("doc_id") % n != 0).groupBy("path").agg(F.min("h").alias("h"))
-    return scan(7), scan(5)
+    """Two scans of the same files: customers as their finished and their open orders show them."""
+    orders = table(spark, sf_dir, "orders")
+    scan = lambda s: orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("path")).agg(F.md5(F.max("o_orderpriority")).alias("h"))
+    return scan("F"), scan("O")
 
 
 @query(
@@ -258,13 +258,13 @@ def stale_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ingest_report",
-    f"""WITH {HASHES} SELECT split_part(coalesce(a.path, b.path), '/', 1) AS source, count(*) FILTER (WHERE a.h IS NULL) AS n_new,
-  count(*) FILTER (WHERE a.h = b.h) AS n_reused, count(*) FILTER (WHERE b.h IS NULL) AS n_deleted FROM a FULL JOIN b ON a.path = b.path GROUP BY 1""",
+    f"""WITH {HASHES} SELECT c_mktsegment AS source, count(*) FILTER (WHERE a.h IS NULL) AS n_new,
+  count(*) FILTER (WHERE a.h = b.h) AS n_reused, count(*) FILTER (WHERE b.h IS NULL) AS n_deleted FROM a FULL JOIN b ON a.path = b.path JOIN customer ON c_custkey = coalesce(a.path, b.path) GROUP BY 1""",
 )
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks.ingest_diff(*_scans(spark, sf_dir), "path", "h")
+    found = chunks.ingest_diff(*_scans(spark, sf_dir), "path", "h").join(table(spark, sf_dir, "customer"), F.col("path") == F.col("c_custkey"))
     count = lambda s: F.count_if(F.col("state") == s)
-    return found.groupBy(F.substring_index("path", "/", 1).alias("source")).agg(count("new").alias("n_new"), count("unchanged").alias("n_reused"), count("deleted").alias("n_deleted"))
+    return found.groupBy(F.col("c_mktsegment").alias("source")).agg(count("new").alias("n_new"), count("unchanged").alias("n_reused"), count("deleted").alias("n_deleted"))
 
 
 @query(

@@ -156,9 +156,10 @@ def long_context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("embed_batches")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of each source's documents; a source is one ordered queue."""
-    rows = _docs(spark, sf_dir).select("source", "doc_id", values.token_estimate(F.col("text")).alias("tokens"))
-    return chunks.greedy_batches(rows, "source", "doc_id", "tokens")
+    """Greedy batches of documents in queues: a thousand ids of a source, so that no queue grows with the table."""
+    queue = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"))
+    rows = _docs(spark, sf_dir).select(queue.alias("queue"), "doc_id", values.token_estimate(F.col("text")).alias("tokens"))
+    return chunks.greedy_batches(rows, "queue", "doc_id", "tokens")
 
 
 @query("token_estimates", "SELECT lang, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM documents GROUP BY lang")
@@ -245,7 +246,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH q AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'),
 s AS (SELECT conv_id, turn, ((t LIKE '%no%')::INT + (t LIKE '%not%')::INT + (t LIKE '%without%')::INT) * 0.5 AS neg,
   (t LIKE '%compare%')::INT * 1.7 + (t LIKE '%versus%')::INT * 1.6 AS cmp FROM q)
-SELECT conv_id, turn, round(neg + cmp, 6) AS signal FROM s""",
+SELECT conv_id, turn, round((neg + cmp)::DOUBLE, 6) AS signal FROM s""",
 )
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -260,10 +261,17 @@ def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", questions.structured(F.col("text")).alias("q")).select("conv_id", "turn", "q.intent", "q.confidence", "q.limit", "q.sort_by", "q.entity_type")
 
 
-@query("citation_metrics", "SELECT doc_id % 50 AS k, 1.0 AS accuracy, 1.0 AS coverage, 1.0 AS quality FROM documents GROUP BY 1")
+@query(
+    "citation_metrics",
+    """WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), u AS (SELECT l_orderkey AS k, l_suppkey % 9 AS n FROM lineitem),
+c AS (SELECT k, count(*) AS used FROM u GROUP BY k), v AS (SELECT k, count(*) AS valid FROM (SELECT DISTINCT k, n FROM u) JOIN l USING (k, n) GROUP BY k), t AS (SELECT k, count(*) AS n FROM l GROUP BY k)
+SELECT k, round(coalesce(valid, 0) / used, 6) AS accuracy, round(coalesce(valid, 0) / n, 6) AS coverage, round(0.6 * (coalesce(valid, 0) / used) + 0.4 * (coalesce(valid, 0) / n), 6) AS quality
+FROM c JOIN t USING (k) LEFT JOIN v USING (k)""",
+)
 def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that cite each of their sources once."""
-    sources = _docs(spark, sf_dir).select((F.col("doc_id") % 50).alias("k"), F.col("doc_id").cast("int").alias("n"))
-    answers = sources.groupBy("k").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit("[cite_"), F.col("n").cast("string"), F.lit("]")))).alias("answer"))
-    made = retrieval.citation_metrics(answers, sources, "k", "answer")
-    return made.select("k", *[F.col(c).cast("double").alias(c) for c in ("accuracy", "coverage", "quality")])
+    """Orders as answers: they cite numbers made of their suppliers and have as many sources as lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_suppkey") % 9).alias("cited"))
+    mark = F.concat(F.lit("[cite_"), F.col("cited").cast("string"), F.lit("]"))
+    answers = lines.groupBy("k").agg(F.concat_ws(" ", F.collect_list(mark)).alias("answer"))
+    made = retrieval.citation_metrics(answers, lines.select("k", "n"), "k", "answer")
+    return made.select("k", *[F.round(c, 6).alias(c) for c in ("accuracy", "coverage", "quality")])

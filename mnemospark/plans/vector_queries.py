@@ -42,11 +42,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "knn_post_filter",
-    f"WITH {KNN}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM p) SELECT query_id, vec_id FROM t WHERE rn <= 50 AND label % 2 = 0",
+    f"WITH {KNN}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM p) SELECT query_id, vec_id FROM t WHERE rn <= 50 AND label < 5",
 )
 def knn_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label is looked at after the nearest rows are chosen, as a filter never passes a limit."""
-    return retrieval.knn(_pairs(spark, sf_dir), 50, drop_far=False).where("label % 2 = 0").select("query_id", "vec_id")
+    return retrieval.knn(_pairs(spark, sf_dir), 50, drop_far=False).where("label < 5").select("query_id", "vec_id")
 
 
 LISTS = """lists AS (
@@ -109,15 +109,15 @@ def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parent_documents",
-    """WITH h AS (SELECT doc_id AS id, n_chars / 100000.0 AS s, CASE WHEN doc_id % 3 = 0 THEN doc_id // 2 END AS par FROM documents WHERE doc_id % 2 = 1 OR doc_id % 9 = 0),
+    """WITH h AS (SELECT doc_id AS id, n_chars / 100000.0 AS s, CASE WHEN lang = 'en' THEN doc_id // 2 END AS par FROM documents WHERE lang IN ('en', 'fr')),
 x AS (SELECT id, s, 0 AS o FROM h UNION ALL SELECT doc_id, 0.9, 1 FROM documents WHERE doc_id IN (SELECT par FROM h))
 SELECT id, round(arg_max(s, o), 6) AS similarity FROM x GROUP BY id""",
 )
 def parent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("n_chars") / 100000.0).alias("similarity"), F.when(F.col("doc_id") % 3 == 0, F.expr("doc_id div 2")).alias("parent_id")
+        F.col("doc_id").alias("id"), (F.col("n_chars") / 100000.0).alias("similarity"), F.when(F.col("lang") == "en", F.expr("doc_id div 2")).alias("parent_id"), "lang"
     )
-    hits = chunks.where("id % 2 = 1 OR id % 9 = 0")
+    hits, chunks = chunks.where("lang IN ('en', 'fr')").drop("lang"), chunks.drop("lang")
     return retrieval.with_parents(hits, chunks.withColumn("similarity", F.lit(0.0))).select("id", F.round("similarity", 6).alias("similarity"))
 
 
