@@ -2,14 +2,16 @@
 
 1. Voters. Lexicon voters are words and word beginnings that Spark counts in a
    bounded sample of labelled rows and that stand out in the toxic ones; pattern
-   voters look at shouting, exclamations and symbols.
-2. Label model. Expectation maximisation estimates how often each voter fires
-   on toxic and on clean texts. Correlations between voters, given the class,
-   divide the weight of voters that repeat each other.
+   voters look at shouting, exclamations and symbols; one votes where no lexicon
+   voter does. A voter that doesn't fire abstains.
+2. Label model. Of voters that repeat a better one (correlation given the class
+   over ``REPEATED``) only the better stays. Expectation maximisation estimates how
+   often each voter fires on toxic and on clean texts, and the correlations left
+   between voters divide their weights.
 3. A logistic regression is trained on the posterior labels and scores texts.
 
 The sample (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` rows, those with the smallest
-hashed ids) and the number of voters (``VOTERS``) are bounded; the rate of
+hashed ids, equal texts once) and the number of voters (``VOTERS``) are bounded; the rate of
 toxic rows is counted over all labels that may be learnt from, and scoring
 reads whole texts of all rows.
 
@@ -27,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.session import materialize
+
 from .textops import BLANKS, alnum_words, map_batches, utf8
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, VOTERS = 4_000, 8_000, 400
 STARTS = (4, 5, 6)
+REPEATED = 0.5
+#: Log likelihood ratio of a voter's counts against chance; there are many candidates.
+EVIDENCE = 10.0
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
-PATTERNS = ("shouting", "exclamations", "symbols", "you_are")
+PATTERNS = ("shouting", "exclamations", "symbols", "you_are", "no_lexicon")
 
 
 def lexicon_keys(text: bytes) -> set[bytes]:
@@ -46,6 +53,7 @@ def lexicon_keys(text: bytes) -> set[bytes]:
 
 
 def pattern_votes(text: bytes) -> list[bool]:
+    """The votes of all patterns but the last."""
     solid = max(len(text.translate(None, BLANKS)), 1)
     letters = max(len(text) - len(text.translate(None, LETTERS)), 1)
     upper = len(text) - len(text.translate(None, UPPER))
@@ -72,7 +80,8 @@ def votes(texts: list[bytes], index: dict[bytes, int]) -> list[list[int]]:
         fired = {index[w] for w in words if w in index}
         for n in STARTS:
             fired.update(index[k] for k in {w[:n] + b"*" for w in words if len(w) > n} if k in index)
-        fired.update(len(index) + i for i, v in enumerate(pattern_votes(text)) if v)
+        silent = not fired
+        fired.update(len(index) + i for i, v in enumerate([*pattern_votes(text), silent]) if v)
         found.append(sorted(fired))
     return found
 
@@ -89,8 +98,7 @@ def label_model(v: np.ndarray, seen_toxic: np.ndarray, seen_clean: np.ndarray, p
     post = np.full(len(v), prior)
     for _ in range(rounds):
         clean, toxic = np.clip(rates, 1e-5, 1 - 1e-5)
-        on, off = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
-        raw = np.log(prior / (1 - prior)) + v @ (weight * (on - off)) + (weight * off).sum()
+        raw = np.log(prior / (1 - prior)) + v @ (weight * np.log(toxic / clean))
         post = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
         anchors = np.stack([seen_clean, seen_toxic])
         mass = np.stack([1 - post, post])
@@ -103,6 +111,18 @@ def label_model(v: np.ndarray, seen_toxic: np.ndarray, seen_clean: np.ndarray, p
     return post, rates, corr
 
 
+def distinct_voters(v: np.ndarray, y: np.ndarray, most: float = REPEATED) -> list[int]:
+    """Voters, the best first, that no better one repeats; columns are in falling order of merit."""
+    residual = v - np.where(y[:, None] > 0, v[y > 0].mean(0), v[y <= 0].mean(0))
+    residual /= np.sqrt((residual**2).mean(0)) + 1e-9
+    corr = residual.T @ residual / len(v)
+    kept: list[int] = []
+    for j in range(v.shape[1]):
+        if not kept or corr[j, kept].max() < most:
+            kept.append(j)
+    return kept
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Newton's method on soft labels ``y``."""
     x1 = np.column_stack([x, np.ones(len(x))])
@@ -131,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
     pick = lambda y, n: usable.where((F.col("y") > 0) if y else (F.col("y") <= 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample's bound
+    sample = materialize(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).drop("same"), "toxicity-sample")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[bytes, list[int]] = {}
@@ -140,10 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["key", "n1", "n0"])
 
     counts = map_batches(sample, ["text", "y"], count, "key binary, n1 bigint, n0 bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    sizes = {y: min(total[y], SAMPLE_TOXIC if y else SAMPLE_CLEAN) for y in (0, 1)}
+    found = {r["y"]: r["n"] for r in sample.groupBy(F.expr("int(y > 0)").alias("y")).agg(F.count("*").alias("n")).collect()}
+    sizes = {y: found.get(y, 0) for y in (0, 1)}
     rate1, rate0 = (F.col("n1") + 0.5) / (sizes[1] + 1), (F.col("n0") + 0.5) / (sizes[0] + 1)
-    useful = counts.where((F.col("n1") >= max(3, sizes[1] // 1000)) & (rate1 > 8 * rate0))
-    lexicon = useful.orderBy((F.col("n1") * F.log(rate1 / rate0)).desc(), "key").limit(VOTERS).toPandas()
+    prior = max(sizes[1], 1) / max(sum(sizes.values()), 1)
+    part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("n1") + F.col("n0")) * p))).otherwise(0.0)
+    evidence = part("n1", prior) + part("n0", max(1 - prior, 1e-9))  # how unlikely the counts are by chance
+    useful = counts.where((F.col("n1") >= max(3, sizes[1] // 100)) & (rate1 > 8 * rate0) & (evidence >= EVIDENCE))
+    lexicon = useful.orderBy(evidence.desc(), "key").limit(VOTERS).toPandas()
     voters = tuple(bytes(k) for k in lexicon["key"])
     index = spark.sparkContext.broadcast({k: i for i, k in enumerate(voters)})
 
@@ -159,6 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
     v = np.zeros((len(rows), len(voters) + len(PATTERNS)))
     for i, fired in enumerate(rows["fired"]):
         v[i, list(fired)] = 1
+    kept = distinct_voters(v[:, : len(voters)], y) if voters else []
+    voters = tuple(voters[j] for j in kept)
+    patterns = v[:, -len(PATTERNS) :].copy()
+    patterns[:, -1] = ~v[:, kept].any(axis=1)
+    v = np.hstack([v[:, kept], patterns])
     smooth = lambda m: (m.sum(0) + 0.5) / (len(m) + 1)
     post, rates, corr = label_model(v, smooth(v[y == 1]), smooth(v[y == 0]), float(np.clip(y.mean(), 0.01, 0.99)))
     share = total[1] / (total[0] + total[1])
