@@ -38,7 +38,9 @@ def fuzzy_search(nodes: DataFrame, query: str, threshold: float = 0.3) -> DataFr
     raw = words + 0.3 * shared(q2, ngrams(source, 2)) + 0.4 * shared(q3, ngrams(source, 3))
     most = F.size(q_tokens) + 0.3 * F.size(q2) + 0.4 * F.size(q3)
     score = 0.7 * raw / most + 0.3 * let(index_text("name"), lambda name: similarity(index_text(text), name))
-    return nodes.select("id", score.alias("score")).where(F.col("score") >= threshold)
+    # a generator, as a filter would be pushed below the projection and compute the score again
+    kept = let(score, lambda s: F.when(s >= threshold, F.array(s)).otherwise(F.array().cast("array<double>")))
+    return nodes.select("id", F.explode(kept).alias("score"))
 
 
 def corrections(nodes: DataFrame, word: str, low: float = 0.6, top: int = 3) -> DataFrame:

@@ -405,3 +405,32 @@ def test_question_runs(spark):
     assert [r["name"] for r in questions.plan(spark, "functions larger than 2 kb", rows).collect()] == ["b"]
     assert [r["name"] for r in questions.plan(spark, "top 1 sort by size desc", rows).collect()] == ["c"]
     assert {r["n"] for r in questions.plan(spark, "group by entity_type", rows).collect()} == {1, 2}
+
+
+def test_greedy_dedup_by_brute_force(spark):
+    from mnemospark.operators import context
+
+    texts = [" ".join(f"word{(i * 3 + j) % 60}" for j in range(20)) for i in range(60)] + ["", "a b", "word1 word1 word2", "word2 word1"]
+    rows = [(i, t, (i * 37) % 50) for i, t in enumerate(texts)]
+    got = ids(context.greedy_dedup(spark.createDataFrame(rows, "id int, t string, s int"), "id", "t", "s", 0.6))
+    kept = []
+    for i, t, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        words = {w for w in t.split() if len(w) > 2}
+        if not words or all(len(words & k) / len(words | k) < 0.6 for _, k in kept if k):
+            kept.append((i, words))
+    assert got == sorted(i for i, _ in kept)
+
+
+def test_context_rules(spark, nodes):
+    from mnemospark.operators import context
+
+    assert ids(context.index_search(nodes, "name", "src/app.ts")) == ["n3"] and ids(context.index_search(nodes, "name", "app")) == ["n3", "n4"]
+    assert one(spark, context.content_words(F.lit("How does the Parser read files")), context.snippet(F.array(F.lit(1)), 3)) == [["parser", "read", "files"], None]
+    assert one(spark, context.term_rank(F.lit("Parser"), "the Parser"), context.term_rank(F.lit("zz"), "x")) == [176, 2]
+    assert one(spark, context.importance(F.lit("class"), F.lit(True), F.lit(True), F.lit(False), F.lit(None).cast("boolean"))) == [0.75]
+    assert one(spark, *[context.change_category(F.lit(p)) for p in ("src/a.test.ts", "docs/x", "a/.env", "package.json", "src/t.d.ts", "lib/x.ts", "x.ts")]) == ["tests", "docs", "dotfiles", "config", "types", "lib", "root"]
+    assert one(spark, context.change_kind(F.lit("fix the bug")), context.change_kind(F.lit("")), context.plan_complexity(F.lit(1), F.lit(1), F.lit(1), F.lit(1))) == ["fix", "feature", "simple"]
+    rows = spark.createDataFrame([("p", "e", 0.9, 1, i) for i in range(3)] + [("q", None, 0.95, 2, 9), ("old", "e", 0.1, 1, -1)], "path string, entity string, score double, kind_rank int, pos int")
+    assert [r["path"] for r in context.context_flow(rows, 3).collect()] == ["p", "q"]
+    found = context.iterative_search(lambda q: nodes.where(F.col("name").contains(q)), ["app", "util"], "id", more=lambda hits, q: ["test"])
+    assert ids(found) == ["n1", "n2", "n3", "n4"]
