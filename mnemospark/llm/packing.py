@@ -35,19 +35,24 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import materialize
 
-from .textops import map_batches
+from .textops import map_batches, utf8
 
 CAPACITY, GROUPS = 4096, 256
-TOKEN_CACHE = 250_000
+TOKEN_CACHE = 300_000
 #: Pieces of one length that are numbered in one task.
 NUMBERED = 100_000
 
 
-class TokenCache(dict):
-    """Ids of the space-free parts of texts, as little-endian bytes.
+class TokenCache:
+    """Ids of the blank-free parts of texts, as little-endian bytes.
 
-    The tokenizer splits at white space and at the border of a letter or digit
-    and a full stop or comma, so parts can be encoded alone and joined.
+    The tokenizer drops white space, lower-cases, and splits at the border of a
+    letter or digit and a full stop or comma, so parts can be encoded alone and
+    joined. New parts of letters only are encoded together as one text: each is
+    one word to the tokenizer, and its last token ends a word.
+
+    Two generations of at most ``TOKEN_CACHE`` parts are kept; a part that is in
+    use moves to the younger one.
     """
 
     def __init__(self, path: str):
@@ -55,31 +60,63 @@ class TokenCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self[""] = b""
-
-    def learn(self, parts: set[str]) -> None:
-        """Encode the parts that are not known yet."""
-        if len(self) > TOKEN_CACHE:
-            self.clear()
-            self[""] = b""
-        missing = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        """Encode words of letters, 500 to a text."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+            codes = np.array(ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[codes]) + 1) * 4
+            if len(cuts) != len(group):  # this tokenizer doesn't mark ends
+                out.update(zip(group, (np.array(x, "<u4").tobytes() for x in self._encode([w.decode() for w in group])), strict=True))
+                continue
+            flat, at = codes.tobytes(), 0
+            for word, cut in zip(group, cuts.tolist(), strict=True):
+                out[word] = flat[at:cut]
+                at = cut
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Make all parts known to the younger generation."""
+        if len(self.young) > TOKEN_CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
         for part in parts:
-            if part not in self:
-                stem = part.rstrip(".,")
-                missing[part] = stem if stem != part and stem and stem[-1].isalnum() else part
-        need = {x for part, stem in missing.items() for x in (stem, part[len(stem) :])} - self.keys()
-        words = sorted(need)
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(code.ids, "<u4").tobytes()
-        for part, stem in missing.items():
+            if part in young:
+                continue
+            code = old.get(part)
+            if code is None:
+                missing.append(part)
+            else:
+                young[part] = code
+        stems: dict[bytes, bytes] = {}
+        for part in missing:
+            stem = part.rstrip(b".,")
+            cut = stem != part and (stem[-1:].isalnum() or not stem.isascii() and stem.decode()[-1].isalnum())
+            stems[part] = stem if cut else part
+        need = {x for part, stem in stems.items() for x in (stem, part[len(stem) :]) if x and x not in young}
+        letters = [w for w in need if w.decode().isalpha()]
+        self._words(letters, young)
+        rest = list(need.difference(letters))
+        young.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._encode([w.decode() for w in rest])), strict=True))
+        for part, stem in stems.items():
             if part != stem:
-                self[part] = self[stem] + self[part[len(stem) :]]
+                young[part] = young[stem] + young[part[len(stem) :]]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text. A-Z are lowered here, unless a text may hold a special token."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
         for parts in split:
-            yield b"".join(map(self.__getitem__, parts))
+            yield b"".join(map(self.young.__getitem__, parts))
 
 
 @functools.lru_cache(maxsize=2)
@@ -96,9 +133,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         cache = token_cache(tokenizer)
         rows = []
         ids = batch.column("doc_id").to_pylist()
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for low in range(0, len(ids), 64):
-            for doc_id, code in zip(ids[low : low + 64], cache.encode(texts[low : low + 64]), strict=True):
+        texts = utf8(batch.column("text"))
+        for low in range(0, len(ids), 128):
+            for doc_id, code in zip(ids[low : low + 128], cache.encode(texts[low : low + 128]), strict=True):
                 code += end
                 for piece, at in enumerate(range(0, len(code), 4 * capacity)):
                     part = code[at : at + 4 * capacity]
