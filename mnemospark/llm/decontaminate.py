@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.session import materialize
+
 from .textops import alnum_words, map_batches, utf8
 
 WIDTH, LEAST = 5, 0.8
@@ -120,7 +122,7 @@ def through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, sketch: int = 64, miss: float = 1e-6) -> DataFrame:
     """Pairs (doc_id, doc_key, item_id) of containment ``least`` or more; doc_key is xxhash64 of the text."""
-    grams = item_grams(items, width, sketch, least, miss).persist()  # small next to the documents; lost blocks are computed anew
+    grams = materialize(item_grams(items, width, sketch, least, miss), "item-grams")
     spark = docs.sparkSession
     widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # `width` rows at most
     maps = spark.sparkContext.broadcast((bit_map(grams.where("in_sketch").select("h")), bit_map(grams.select("h"))))  # 2 * BIT_MAP / 8 bytes

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.session import scratch_path
+from mnemospark.session import materialize, scratch_path
 
 from .textops import utf8
 
@@ -292,8 +292,6 @@ def train(docs: DataFrame, allowed: Column | None = None, chars_per_shard: int =
         head = pd.DataFrame({"shard": [s], "keys": [np.array(hot_rows, "<i8").tobytes()], "counts": [np.array([*count_of_counts(counts), len(keys)], "<i8").tobytes()], "kind": [0]})
         return pd.concat([head, out], ignore_index=True)
 
-    from mnemospark.session import materialize
-
     stored = materialize(_grouped(texts.mapInArrow(count_pairs, BLOCKS), store_pairs, "shard int, keys binary, counts binary, kind int"), "kneser-ney-shards")
     of_counts = np.zeros(5, np.int64)
     hot_stats: dict[int, np.ndarray] = {}
