@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.strings import basename
+from mnemospark.functions.strings import basename, similarity
 from mnemospark.operators.retrieval import similar_sets, word_set
 from mnemospark.session import materialize
 
@@ -24,6 +24,59 @@ def path_is_relevant(path: Column, prompt: str) -> Column:
     return F.exists(F.split(F.lower(path), r"[/\\.]"), lambda p: (F.length(p) > 2) & low.contains(p))
 
 
+# Patterns of definitions, and of texts that only mention something.
+DEFINITIONS = (
+    r"class\s+\w+", r"function\s+\w+", r"export\s+(class|function|const|interface)", r"constructor\s*\(", r"async\s+\w+\s*\(", r"private|public|protected\s+\w+",
+)
+MENTIONS = (
+    r"will\s+(use|implement|work\s+on|need)", r"todo|fixme|note:", r"import.*from", r"see\s+also|refer\s+to|check\s+out", r"in\s+our\s+plan|we\s+will|should\s+use", r"\brelevant\s+files?\b",
+)
+# Shares of the sources (vectors, graph, documents, logs) by intent.
+SOURCE_SHARES = {
+    "debug_error": (1.0, 0.6, 0.4, 1.0),
+    "refactor_code": (0.9, 1.0, 0.5, 0.2),
+    "add_feature": (0.8, 0.9, 0.7, 0.3),
+    "understand_code": (0.7, 1.0, 0.8, 0.1),
+    "find_example": (1.0, 0.5, 0.6, 0.1),
+    "general_query": (1.0, 0.7, 0.9, 0.2),
+}
+
+
+def source_content(path: Column, text: Column, terms: list[str]) -> Column:
+    """Whether a row is a file that was asked for and defines something."""
+    wanted = [F.lower(path).contains("_".join(t.lower().split())) for t in terms]
+    defines = [text.rlike(p) for p in DEFINITIONS]
+    return (F.greatest(*wanted) if len(wanted) > 1 else wanted[0]) & F.greatest(*defines) if wanted else F.lit(False)
+
+
+def mere_mention(text: Column, terms: list[str]) -> Column:
+    """Whether a text plans, refers or is a short mention of a term."""
+    low = F.lower(text)
+    short = [low.contains(t.lower()) & (F.length(text) < 200) for t in terms]
+    return F.greatest(*[low.rlike(p) for p in MENTIONS], *short)
+
+
+def source_limits(intent: str, vectors: int = 15, graph: int = 10) -> tuple[int, int]:
+    """How many rows the vector and the graph source give for an intent."""
+    share = SOURCE_SHARES.get(intent, SOURCE_SHARES["general_query"])
+    half_up = lambda x: int(x + 0.5)
+    return half_up(vectors * share[0]), half_up(graph * share[1])
+
+
+def expand_terms(names: DataFrame, prompt: str, name: str = "name", most: int = 20) -> DataFrame:
+    """Names that a prompt may mean: equal to a word, holding one, or similar to one or to all of it.
+
+    The similar ones are at most ``most``, the first by name.
+    """
+    words = [w for w in prompt.lower().split() if len(w) > 2]
+    bare = ["".join(c for c in w if c.isalnum() or c == "_") for w in words if len(w) > 3]
+    low = F.lower(F.col(name))
+    exact = names.where(F.col(name).isin(*bare)).select(name) if bare else names.select(name).limit(0)
+    held = names.where(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))).select(name) if words else names.select(name).limit(0)
+    near = (similarity(low, F.lit(prompt.lower())) > 0.6) | F.exists(F.array(*[F.lit(w) for w in words or [""]]), lambda w: similarity(w, low) > 0.7)
+    return exact.union(held).union(names.where(near).select(name).distinct().orderBy(name).limit(most)).distinct()
+
+
 def snippet(items: Column, index: int) -> Column:
     """One element of an array, null out of range."""
     return F.get(items, F.lit(index))

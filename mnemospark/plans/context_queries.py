@@ -193,3 +193,19 @@ def graph_prompt_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that stay if longer ones go first and near copies of kept ones are dropped; the order makes it sequential for SQL."""
     return context.greedy_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", "n_chars")
+
+
+@query(
+    "mere_mentions",
+    r"""SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), 'will\s+(use|implement|work\s+on|need)|todo|fixme|note:|import.*from|see\s+also|refer\s+to|check\s+out|in\s+our\s+plan|we\s+will|should\s+use|\brelevant\s+files?\b')
+OR (length(text) < 200 AND contains(lower(text), 'onor'))""",
+)
+def mere_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(context.mere_mention(F.col("text"), ["Onor"])).select("conv_id", "turn")
+
+
+@query("expanded_terms")
+def expanded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the graph that a prompt may mean."""
+    names = graph_nodes(spark, sf_dir).select("name").distinct()
+    return context.expand_terms(names, "show every red boltt of europe")

@@ -175,3 +175,17 @@ def op_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_total_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.count("*").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return table(spark, sf_dir, "events").select("event_id", nth.alias("nth"))
+
+
+@query(
+    "stream_late_events",
+    """SELECT event_id, date_diff('microsecond', ts, previous) AS behind_us FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS previous FROM events) WHERE ts < previous""",
+)
+def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_stream.run_once(event_stream.late_events(event_stream.read_events(spark, sf_dir), "event_type"), "late", "append")
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate limit as a stateful stream; a test compares it with the batch form."""
+    return event_stream.run_once(event_stream.limited_requests(event_stream.read_events(spark, sf_dir), "user_id", 2, 3600), "limit", "append")

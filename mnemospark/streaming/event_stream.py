@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemospark.operators.events import Handlers
 from mnemospark.session import scratch_path
@@ -30,6 +34,47 @@ def without_duplicates(events: DataFrame, key: str = "event_id", delay: str = "1
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
+def late_events(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """(event_id, behind_us) of events earlier than the one before them in their key's log.
+
+    The state of a key is the time of its last event.
+    """
+    rows = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+
+    def walk(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(batches)).sort_values("event_id")  # a micro-batch's rows of one key
+        before = new["t"].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((int(new["t"].iloc[-1]),))
+        late = new[new["t"] < before]
+        yield pd.DataFrame({"event_id": late["event_id"], "behind_us": (before - new["t"])[late.index].astype("int64")})
+
+    return rows.groupBy(key).applyInPandasWithState(walk, "event_id bigint, behind_us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def limited_requests(events: DataFrame, key: str = "user_id", limit: int = 60, seconds: int = 60) -> DataFrame:
+    """(event_id, allowed) under a limit per window that opens at a key's first request.
+
+    The state of a key is when its window opened and how many requests it had.
+    """
+    rows = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+
+    def walk(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        opened, used = state.get if state.exists else (None, 0)
+        allowed = []
+        for t in new["t"].tolist():
+            if opened is None or t - opened > seconds * 1_000_000:
+                opened, used = t, 0
+            used += 1
+            allowed.append(used <= limit)
+        state.update((int(opened), int(used)))
+        yield pd.DataFrame({"event_id": new["event_id"], "allowed": allowed})
+
+    return rows.groupBy(key).applyInPandasWithState(walk, "event_id bigint, allowed boolean", "opened bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and return the last state, from the shared folder."""
     spark = stream.sparkSession

@@ -434,3 +434,28 @@ def test_context_rules(spark, nodes):
     assert [r["path"] for r in context.context_flow(rows, 3).collect()] == ["p", "q"]
     found = context.iterative_search(lambda q: nodes.where(F.col("name").contains(q)), ["app", "util"], "id", more=lambda hits, q: ["test"])
     assert ids(found) == ["n1", "n2", "n3", "n4"]
+
+
+def test_stateful_streams_equal_batch(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    streamed = event_stream.run_once(event_stream.limited_requests(event_stream.read_events(spark, sf), "user_id", 2, 3600), "t", "append")
+    batch = ev.rate_limit(rows, "user_id", "ts", "event_id", 2, 3600)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    late = event_stream.run_once(event_stream.late_events(event_stream.read_events(spark, sf), "event_type"), "l", "append")
+    assert {r["event_id"] for r in late.collect()} == {r["event_id"] for r in ev.out_of_order(rows, "event_type", "event_id", "ts").collect()}
+
+
+def test_source_rules(spark):
+    from mnemospark.operators import context
+
+    path, text = F.lit("src/query_engine.ts"), F.lit("export class QueryEngine {}")
+    assert one(spark, context.source_content(path, text, ["query engine"]), context.source_content(path, F.lit("x"), ["query engine"]), context.source_content(path, text, ["other", "thing"])) == [True, False, False]
+    assert one(spark, context.mere_mention(F.lit("TODO later"), ["x"]), context.mere_mention(F.lit("y" * 300 + " parse"), ["parse"])) == [True, False]
+    assert context.source_limits("debug_error") == (15, 6) and context.source_limits("?") == (15, 7)
+    names = spark.createDataFrame([("parser",), ("Lexer",), ("zzz",), ("my_parser",)], "name string")
+    assert sorted(r["name"] for r in context.expand_terms(names, "the parser lexr").collect()) == ["Lexer", "my_parser", "parser"]
