@@ -57,7 +57,7 @@ def complexity(text: Column) -> Column:
 
 def file_complexity(lines: Column, entities: Column, deps: Column) -> Column:
     score = lines / 100 + 2 * entities + 1.5 * deps
-    return F.when(score < 10, "simple").when(score < 30, "moderate").otherwise("complex")
+    return F.when(score < 5, "simple").when(score < 15, "moderate").otherwise("complex")
 
 
 def effort_hours(days: Column, tasks: Column, factor: Column) -> Column:

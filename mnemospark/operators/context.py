@@ -84,8 +84,8 @@ def snippet(items: Column, index: int) -> Column:
 
 # Stop words of a question.
 STOP_WORDS = (
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were",
-    "how", "what", "where", "when", "why", "this", "that", "does",
+    "how", "what", "when", "where", "why", "who", "which", "does", "do", "is", "are", "the", "a", "an", "and", "or", "but", "in", "on", "at", "to",
+    "for", "of", "with", "by", "from",
 )
 
 
@@ -102,18 +102,21 @@ def term_rank(term: Column, text: str) -> Column:
         F.when(low.contains(F.lower(term)), 100).otherwise(0)
         + F.when(F.lit(text).contains(term), 50).otherwise(0)
         + F.length(term)
-        + F.when(term.rlike(r"^[A-Z][a-z]+(?:[A-Z]\w*)?$"), 20).otherwise(0)
+        + F.when(term.rlike(r"^[A-Z][a-zA-Z0-9]*$"), 20).otherwise(0)
     )
 
 
 # Weights of entity kinds and keywords of change kinds.
-IMPORTANCE = {"class": 10, "interface": 8, "function": 7, "method": 6, "type_alias": 5, "enum": 5, "variable": 3, "property": 2}
+IMPORTANCE = {
+    "class": 10, "interface": 9, "function": 8, "method": 7, "enum": 6, "type_alias": 5, "variable": 4, "property": 3, "parameter_property": 2,
+}
 CHANGES = {
-    "feature": ("add", "create", "implement", "new"),
-    "fix": ("fix", "bug", "error", "issue"),
-    "refactor": ("refactor", "restructure", "clean", "improve"),
-    "test": ("test", "spec", "coverage"),
-    "docs": ("document", "readme", "comment"),
+    "simple_refactor": ("refactor", "clean", "improve", "optimize", "simplify"),
+    "code_standardization": ("standardize", "format", "consistent", "convention", "style"),
+    "modularization": ("modularize", "extract", "separate", "split", "organize"),
+    "feature_addition": ("add", "implement", "create", "build", "new feature"),
+    "bug_fix": ("fix", "bug", "error", "issue", "problem"),
+    "major_restructure": ("restructure", "redesign", "architecture", "overhaul"),
 }
 
 
@@ -127,8 +130,8 @@ def importance(kind: Column, exported: Column, public: Column, is_async: Column,
 
 
 def change_kind(text: Column) -> Column:
-    """The kind with most keywords; the first of equals, feature if none."""
-    low, best, name = F.lower(text), F.lit(0), F.lit("feature")
+    """The kind with most keywords; the first of equals, simple_refactor if none."""
+    low, best, name = F.lower(text), F.lit(0), F.lit("simple_refactor")
     for kind, words in CHANGES.items():
         score = sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
         name = F.when(score > best, kind).otherwise(name)
@@ -137,27 +140,35 @@ def change_kind(text: Column) -> Column:
 
 
 def plan_complexity(tasks: Column, entities: Column, constraints: Column, files: Column) -> Column:
+    """Of counts, and of the files' complexities (1, 2 or 3 each) added up."""
     score = tasks + 0.5 * entities + constraints + 0.3 * files
-    return F.when(score < 5, "simple").when(score < 15, "moderate").when(score < 30, "complex").otherwise("very_complex")
+    return F.when(score <= 4, "simple_plan").when(score <= 8, "moderate_plan").otherwise("complex_plan")
+
+
+def total_complexity(mean_file: Column, change: Column) -> Column:
+    """Of the files' mean complexity (1 to 3) and the kind of change."""
+    goal = F.when(change == "major_restructure", 3.0).when(change == "modularization", 2.5).when(change == "feature_addition", 2.0).otherwise(1.0)
+    total = (mean_file + goal) / 2
+    return F.when(total < 1.5, "simple").when(total < 2.5, "moderate").otherwise("complex")
 
 
 def change_category(path: Column) -> Column:
-    """tests, docs, config, types, dotfiles, else the first folder."""
-    low, name = F.lower(path), F.lower(basename(path))
+    """tests, docs, config, types, dotfiles, else the first two folders."""
+    parts, name = F.split(path, "/"), F.lower(basename(path))
     return (
-        F.when(low.rlike(r"(^|/)(tests?|__tests__|specs?)/|\.(test|spec)\."), "tests")
-        .when(low.rlike(r"(^|/)docs?/|\.(md|rst|txt)$"), "docs")
+        F.when(F.lower(path).rlike(r"test|spec"), "tests")
+        .when(name.rlike(r"\.(md|markdown|txt|rst|doc|docx)$"), "docs")
+        .when(name.rlike(r"\.(json|yml|yaml|toml|ini|env|rc)$") | F.exists(parts, lambda p: p.startswith(".github") | p.isin(".vscode", "config")), "config")
+        .when(name.endswith(".d.ts"), "types")
         .when(name.startswith("."), "dotfiles")
-        .when(name.rlike(r"\.(json|ya?ml|toml|ini|config\.\w+)$"), "config")
-        .when(name.rlike(r"\.d\.ts$|^types?\."), "types")
-        .otherwise(F.when(path.contains("/"), F.substring_index(path, "/", 1)).otherwise("root"))
+        .otherwise(F.array_join(F.slice(parts, 1, 2), "/"))
     )
 
 
 def severity_mentions(text: Column) -> tuple[Column, Column, Column]:
     """How often a text names high, medium and low issues, at most 10, 20 and 30."""
-    count = lambda word, most: F.least(F.regexp_count(text, F.lit(rf"(?i)\b{word}\b")), F.lit(most))
-    return count("high", 10), count("medium", 20), count("low", 30)
+    count = lambda words, most: F.least(F.regexp_count(text, F.lit(f"(?i){words}")), F.lit(most))
+    return count("high|critical|blocker", 10), count("medium|major", 20), count("low|minor|info", 30)
 
 
 def first_of_titles(rows: DataFrame, title: str, order: str) -> DataFrame:
@@ -190,16 +201,20 @@ def folder_edges(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def context_flow(rows: DataFrame, recent: int = 10, keep: float = 0.8, old: int = 5) -> DataFrame:
-    """The newest rows by score and kind, and the best of older ones, each path and entity once.
+    """The newest rows by score and kind, then older ones, each path and entity once.
 
-    ``rows`` has path, entity, score, kind_rank and pos. Scores are compared by
-    tenths, so that the order is total.
+    ``rows`` has path, entity, score, kind_rank and pos. Of more than ten older rows
+    those of a high score stay, the first ``old``. Scores are compared by tenths, so
+    that the order is total; a key stands at its first place with its last values.
     """
-    newest = rows.orderBy(F.col("pos").desc()).limit(recent)
-    older = rows.join(newest.select("pos"), "pos", "left_anti").where(F.col("score") >= keep).orderBy("pos").limit(old)
-    both = newest.unionByName(older)
-    once = both.groupBy("path", "entity").agg(F.max_by(F.struct("score", "kind_rank", "pos"), "pos").alias("r")).select("path", "entity", "r.*")
-    return once.orderBy(F.floor(F.col("score") * 10).desc(), "kind_rank", "pos")
+    newest = rows.orderBy(F.col("pos").desc()).limit(recent).withColumn("part", F.lit(0))
+    older = rows.join(newest.select("pos"), "pos", "left_anti")
+    if older.count() > 10:
+        older = older.where(F.col("score") >= keep).orderBy("pos").limit(old)
+    both = newest.unionByName(older.withColumn("part", F.lit(1)))
+    place = F.struct("part", (-F.floor(F.col("score") * 10)).alias("tenths"), (-F.col("kind_rank")).alias("kind"), "pos")
+    first, last = F.min(F.when(F.col("part") == 0, place).otherwise(F.struct("part", F.lit(0).cast("bigint").alias("tenths"), F.lit(0).alias("kind"), "pos"))), F.max_by(F.struct("score", "kind_rank", "pos"), place)
+    return both.groupBy("path", "entity").agg(first.alias("place"), last.alias("r")).orderBy("place").select("path", "entity", "r.*")
 
 
 def greedy_dedup(rows: DataFrame, key: str, text: str, score: str, least: float = 0.85) -> DataFrame:

@@ -174,12 +174,29 @@ def refill(kept: DataFrame, all_rows: DataFrame, key: str, share: float = 0.5) -
     return kept.unionByName(rest)
 
 
-def quality_score(items: DataFrame, group: str, score: str = "score", kind: str = "kind") -> DataFrame:
-    """Mean score and a bonus for different kinds, between 0.1 and 1."""
-    raw = F.avg(score) + 0.05 * (F.countDistinct(kind) - 1)
+def context_score(text: Column, path: Column, kind: Column, entity: Column, score: Column, terms: list[str]) -> Column:
+    """0.4 of the score, 0.3 of the share of terms, 0.2 of four signs of quality, 0.1 for rows of a known kind; at most 1."""
+    low, where = F.lower(text), F.lower(path)
+    share = sum((_flag(low.contains(t) | where.contains(t), 1.0) for t in terms), F.lit(0.0)) / max(len(terms), 1)
+    signs = _flag(F.length(text) > 200, 0.3) + _flag(text.contains("function") | text.contains("class"), 0.3) + _flag(text.contains("export") | text.contains("import"), 0.2) + _flag(F.length(entity) > 0, 0.2)
+    known = _flag(kind != "generic_code_chunk", 0.1)
+    return F.least(F.lit(1.0), 0.4 * F.coalesce(score, F.lit(0.5)) + 0.3 * F.least(share, F.lit(1.0)) + 0.2 * F.least(signs, F.lit(1.0)) + known)
+
+
+def quality_score(items: DataFrame, group: str, score: str = "score") -> DataFrame:
+    """Mean of the context scores and up to 0.2 for their number, between 0.1 and 1."""
+    raw = F.avg(score) + F.least(F.count("*") / 10, F.lit(0.2))
     return items.groupBy(group).agg(F.least(F.greatest(raw, F.lit(0.1)), F.lit(1.0)).alias("quality"))
 
 
+def verdict(items: DataFrame, group: str, score: str = "score") -> DataFrame:
+    """0.7 of the mean of scores of 0.5 or more and 0.3 of their share; relevant from 0.4 on."""
+    valid = F.col(score) >= 0.5
+    sums = items.groupBy(group).agg(F.coalesce(F.avg(F.when(valid, F.col(score))), F.lit(0.0)).alias("mean"), (F.count_if(valid) / F.count("*")).alias("coverage"))
+    total = 0.7 * F.col("mean") + 0.3 * F.col("coverage")
+    return sums.select(group, total.alias("score"), ((total >= 0.4) & (F.col("coverage") > 0)).alias("relevant"))
+
+
 def citation_metrics(answers: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """Accuracy, coverage and quality of ``[cite_n]`` marks; ``sources`` has key and n."""
     used = answers.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\[cite_(\d+)\]"), 1)).alias("n")).withColumn("n", F.col("n").cast("int"))

@@ -73,27 +73,33 @@ def top_per_query(pairs: DataFrame, query: str, order: list[Column], k: int) ->
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def resolution_score(name: Column, wanted: Column, kind: Column, wanted_kind: Column, popular: Column, deprecated: Column) -> Column:
+def resolution_score(name: Column, wanted: Column, kind: Column, wanted_kind: Column, popular: Column, deprecated: Column, notes: Column | None = None, clues: Column | None = None) -> Column:
     """How well a node answers a mention.
 
-    100 for the same name, else at most 45 from string similarity; 30 for the same
-    type; 20 for popular nodes, less 30 for deprecated ones, 10 for partial matches.
+    100 for the same name, else at most 45 from string similarity, less for short
+    names; 30 for the same type; 5 for each clue in the notes, at most 25; 20 for
+    popular nodes, less 30 for deprecated ones; 10 for partial matches of a low score.
     """
     a, b = F.lower(name), F.lower(wanted)
-    prefix = F.when(a.startswith(b) | b.startswith(a), 0.2).otherwise(0.0)
-    penalty = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    fuzzy = F.least(F.lit(45.0), 45 * (0.7 * similarity(a, b) + 0.3 * jaccard(chars(a), chars(b)) + prefix) * penalty)
+    shorter = F.least(F.length(a), F.length(b))
+    penalty = F.when(shorter < 3, 0.4).when(shorter < 5, 0.7).otherwise(1.0)
+    alike = 0.7 * similarity(a, b) + 0.3 * jaccard(chars(a), chars(b)) + F.when(a.startswith(b), 0.2).otherwise(0.0)
     flag = lambda test, points: F.when(F.coalesce(test, F.lit(False)), F.lit(float(points))).otherwise(0.0)
-    partial = (a != b) & (a.contains(b) | b.contains(a))
-    return F.when(a == b, F.lit(100.0)).otherwise(fuzzy) + flag(kind == wanted_kind, 30) + flag(popular, 20) - flag(deprecated, 30) + flag(partial, 10)
+    score = F.when(a == b, F.lit(100.0)).otherwise(45 * F.least(F.lit(1.0), alike * penalty)) + flag(F.lower(kind) == F.lower(wanted_kind), 30)
+    if clues is not None:
+        text = F.lower(F.array_join(F.coalesce(notes, F.array().cast("array<string>")), " "))
+        score = score + F.least(F.lit(25), 5 * F.size(F.filter(F.array_distinct(clues), lambda c: text.contains(c))))
+    score = score + flag(popular, 20) - flag(deprecated, 30)
+    return let(score, lambda s: s + F.when((a != b) & (a.contains(b) | b.contains(a)) & (s < 40), 10.0).otherwise(0.0))
 
 
 def hybrid_similarity(va: Column, vb: Column, name_a: Column, name_b: Column, kind_a: Column, kind_b: Column, obs_a: Column, obs_b: Column) -> Column:
     """Mean of cosine (.4), name (.25), observations (.2) and, only where equal, type (.15), over the weights in use."""
     both = va.isNotNull() & vb.isNotNull()
-    has_obs = (F.size(obs_a) > 0) & (F.size(obs_b) > 0)
+    low_a, low_b = F.transform(obs_a, lambda o: F.lower(o)), F.transform(obs_b, lambda o: F.lower(o))
+    has_obs = (F.size(obs_a) > 0) | (F.size(obs_b) > 0)
     same = kind_a == kind_b
-    total = F.when(both, 0.4 * cosine(va, vb)).otherwise(0.0) + 0.25 * similarity(F.lower(name_a), F.lower(name_b)) + F.when(same, 0.15).otherwise(0.0) + F.when(has_obs, 0.2 * jaccard(obs_a, obs_b)).otherwise(0.0)
+    total = F.when(both, 0.4 * cosine(va, vb)).otherwise(0.0) + 0.25 * similarity(name_a, name_b) + F.when(same, 0.15).otherwise(0.0) + F.when(has_obs, 0.2 * jaccard(low_a, low_b)).otherwise(0.0)
     weight = F.when(both, 0.4).otherwise(0.0) + 0.25 + F.when(same, 0.15).otherwise(0.0) + F.when(has_obs, 0.2).otherwise(0.0)
     return total / weight
 

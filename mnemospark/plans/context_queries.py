@@ -123,22 +123,22 @@ def observation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "severity_mentions",
-    r"""SELECT conv_id, CAST(sum(least(len(regexp_extract_all(text, '(?i)\bhigh\b')), 10)) AS BIGINT) AS high, CAST(sum(least(len(regexp_extract_all(text, '(?i)\bthe\b')), 30)) AS BIGINT) AS words FROM conversations GROUP BY conv_id""",
+    r"""SELECT conv_id, CAST(sum(least(len(regexp_extract_all(text, '(?i)high|critical|blocker')), 10)) AS BIGINT) AS high, CAST(sum(least(len(regexp_extract_all(text, '(?i)low|minor|info')), 30)) AS BIGINT) AS low FROM conversations GROUP BY conv_id""",
 )
 def severity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    high, _, _ = context.severity_mentions(F.col("text"))
-    words = F.least(F.regexp_count("text", F.lit(r"(?i)\bthe\b")), F.lit(30))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(high).alias("high"), F.sum(words).alias("words"))
+    high, _, low = context.severity_mentions(F.col("text"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(high).alias("high"), F.sum(low).alias("low"))
 
 
 @query(
     "plan_complexities",
-    """WITH p AS (SELECT l_orderkey, count(*) + 0.5 * count(DISTINCT l_partkey) + count(DISTINCT l_returnflag) + 0.3 * sum(l_quantity) AS s FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, CASE WHEN s < 5 THEN 'simple' WHEN s < 15 THEN 'moderate' WHEN s < 30 THEN 'complex' ELSE 'very_complex' END AS class FROM p""",
+    """WITH p AS (SELECT l_orderkey, count(*) + 0.5 * count(DISTINCT l_partkey) + count(DISTINCT l_returnflag) + 0.3 * sum(CASE WHEN l_quantity < 17 THEN 1 WHEN l_quantity < 34 THEN 2 ELSE 3 END) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN s <= 4 THEN 'simple_plan' WHEN s <= 8 THEN 'moderate_plan' ELSE 'complex_plan' END AS class FROM p""",
 )
 def plan_complexities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("l_quantity") < 17, 1).when(F.col("l_quantity") < 34, 2).otherwise(3)
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("tasks"), F.countDistinct("l_partkey").alias("entities"), F.countDistinct("l_returnflag").alias("limits"), F.sum("l_quantity").alias("files")
+        F.count("*").alias("tasks"), F.countDistinct("l_partkey").alias("entities"), F.countDistinct("l_returnflag").alias("limits"), F.sum(size).alias("files")
     )
     return counts.select("l_orderkey", context.plan_complexity(*map(F.col, ("tasks", "entities", "limits", "files"))).alias("class"))
 
@@ -154,25 +154,25 @@ def folder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "change_categories",
-    r"""SELECT CASE WHEN regexp_matches(lower(url), '(^|/)(tests?|__tests__|specs?)/|\.(test|spec)\.') THEN 'tests' WHEN regexp_matches(lower(url), '(^|/)docs?/|\.(md|rst|txt)$') THEN 'docs'
-  WHEN starts_with(lower(string_split(url, '/')[-1]), '.') THEN 'dotfiles' WHEN regexp_matches(lower(string_split(url, '/')[-1]), '\.(json|ya?ml|toml|ini|config\.\w+)$') THEN 'config'
-  WHEN regexp_matches(lower(string_split(url, '/')[-1]), '\.d\.ts$|^types?\.') THEN 'types' WHEN contains(url, '/') THEN split_part(url, '/', 1) ELSE 'root' END AS category, count(*) AS n FROM pages GROUP BY 1""",
+    r"""WITH p AS (SELECT url, string_split(url, '/') AS parts, lower(string_split(url, '/')[-1]) AS name FROM pages)
+SELECT CASE WHEN regexp_matches(lower(url), 'test|spec') THEN 'tests' WHEN regexp_matches(name, '\.(md|markdown|txt|rst|doc|docx)$') THEN 'docs'
+  WHEN regexp_matches(name, '\.(json|yml|yaml|toml|ini|env|rc)$') OR len(list_filter(parts, lambda x: starts_with(x, '.github') OR x IN ('.vscode', 'config'))) > 0 THEN 'config'
+  WHEN ends_with(name, '.d.ts') THEN 'types' WHEN starts_with(name, '.') THEN 'dotfiles' ELSE array_to_string(parts[1:2], '/') END AS category, count(*) AS n FROM p GROUP BY 1""",
 )
 def change_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(context.change_category(F.col("url")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "change_kinds",
-    """WITH w AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
-s AS (SELECT conv_id, turn, contains(t, 'add')::INT + contains(t, 'create')::INT + contains(t, 'implement')::INT + contains(t, 'new')::INT AS a,
-  contains(t, 'fix')::INT + contains(t, 'bug')::INT + contains(t, 'error')::INT + contains(t, 'issue')::INT AS b,
-  contains(t, 'refactor')::INT + contains(t, 'restructure')::INT + contains(t, 'clean')::INT + contains(t, 'improve')::INT AS c,
-  contains(t, 'test')::INT + contains(t, 'spec')::INT + contains(t, 'coverage')::INT AS d,
-  contains(t, 'document')::INT + contains(t, 'readme')::INT + contains(t, 'comment')::INT AS e FROM w)
-SELECT conv_id, turn, CASE WHEN greatest(a, b, c, d, e) = 0 OR a = greatest(a, b, c, d, e) THEN 'feature' WHEN b = greatest(a, b, c, d, e) THEN 'fix' WHEN c = greatest(a, b, c, d, e) THEN 'refactor'
-  WHEN d = greatest(a, b, c, d, e) THEN 'test' ELSE 'docs' END AS kind FROM s""",
-)
+def _keyword_sql(words: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(t, '{w}')::INT" for w in words)
+
+
+SCORES = ", ".join(f"{_keyword_sql(words)} AS {kind}" for kind, words in context.CHANGES.items())
+BEST = f"greatest({', '.join(context.CHANGES)})"
+KINDS = " ".join(f"WHEN {kind} = {BEST} THEN '{kind}'" for kind in context.CHANGES)
+
+
+@query("change_kinds", f"WITH s AS (SELECT conv_id, turn, {SCORES} FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)) SELECT conv_id, turn, CASE {KINDS} END AS kind FROM s")
 def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", context.change_kind(F.col("text")).alias("kind"))
 

@@ -118,6 +118,7 @@ def structured(text: Column) -> Column:
     )
 
 
+# Patterns of dates, sizes, orders and comparisons.
 DATE = r"(?i)\b(before|after|since|until)\s+([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
 SIZE = r"(?i)\b(larger|smaller|bigger|greater|less)\s+than\s+(\d+)\s*(lines|bytes|kb|mb)\b"
 SORT = r"(?i)\bsort by (\w+)(?:\s+(asc|ascending|desc|descending))?\b"

@@ -91,11 +91,26 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "context_quality",
-    "SELECT user_id, round(least(greatest(avg(value / 100) + 0.05 * (count(DISTINCT event_type) - 1), 0.1), 1.0), 2) AS quality FROM events GROUP BY user_id",
+    """WITH s AS (SELECT source, least(1.0, 0.4 * (n_chars / 100000.0) + 0.3 * ((contains(lower(text), 'onor') OR contains(lower(source || '/' || lang), 'onor'))::INT
+  + (contains(lower(text), 'fr') OR contains(lower(source || '/' || lang), 'fr'))::INT) / 2.0 + 0.2 * (0.3 * (length(text) > 200)::INT + 0.3 * (contains(text, 'function') OR contains(text, 'class'))::INT
+  + 0.2 * (contains(text, 'export') OR contains(text, 'import'))::INT + 0.2) + 0.1) AS c FROM documents)
+SELECT source, round(least(greatest(avg(c) + least(count(*) / 10.0, 0.2), 0.1), 1.0), 4) AS quality FROM s GROUP BY source""",
 )
 def context_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("value") / 100).alias("score"), F.col("event_type").alias("kind"))
-    return retrieval.quality_score(rows, "user_id").select("user_id", F.round("quality", 2).alias("quality"))
+    path = F.concat_ws("/", "source", "lang")
+    score = retrieval.context_score(F.col("text"), path, F.lit("file"), F.col("lang"), F.col("n_chars") / 100000.0, ["onor", "fr"])
+    rows = table(spark, sf_dir, "documents").select("source", score.alias("score"))
+    return retrieval.quality_score(rows, "source").select("source", F.round("quality", 4).alias("quality"))
+
+
+@query(
+    "context_verdict",
+    """WITH s AS (SELECT user_id, avg(value / 100) FILTER (WHERE value / 100 >= 0.5) AS m, count(*) FILTER (WHERE value / 100 >= 0.5) / count(*) AS c FROM events GROUP BY user_id)
+SELECT user_id, round(0.7 * coalesce(m, 0) + 0.3 * c, 4) AS score, 0.7 * coalesce(m, 0) + 0.3 * c >= 0.4 AND c > 0 AS relevant FROM s""",
+)
+def context_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.verdict(table(spark, sf_dir, "events").select("user_id", (F.col("value") / 100).alias("score")), "user_id")
+    return made.select("user_id", F.round("score", 4).alias("score"), "relevant")
 
 
 @query(

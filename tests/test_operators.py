@@ -428,10 +428,15 @@ def test_context_rules(spark, nodes):
     assert one(spark, context.content_words(F.lit("How does the Parser read files")), context.snippet(F.array(F.lit(1)), 3)) == [["parser", "read", "files"], None]
     assert one(spark, context.term_rank(F.lit("Parser"), "the Parser"), context.term_rank(F.lit("zz"), "x")) == [176, 2]
     assert one(spark, context.importance(F.lit("class"), F.lit(True), F.lit(True), F.lit(False), F.lit(None).cast("boolean"))) == [0.75]
-    assert one(spark, *[context.change_category(F.lit(p)) for p in ("src/a.test.ts", "docs/x", "a/.env", "package.json", "src/t.d.ts", "lib/x.ts", "x.ts")]) == ["tests", "docs", "dotfiles", "config", "types", "lib", "root"]
-    assert one(spark, context.change_kind(F.lit("fix the bug")), context.change_kind(F.lit("")), context.plan_complexity(F.lit(1), F.lit(1), F.lit(1), F.lit(1))) == ["fix", "feature", "simple"]
+    assert one(spark, *[context.change_category(F.lit(p)) for p in ("src/a.test.ts", "docs/x", "a/.env", "package.json", "src/t.d.ts", "lib/x.ts", "x.ts")]) == ["tests", "docs/x", "config", "config", "types", "lib/x.ts", "x.ts"]
+    assert one(spark, context.change_kind(F.lit("fix the bug")), context.change_kind(F.lit("")), context.plan_complexity(F.lit(1), F.lit(1), F.lit(1), F.lit(1))) == ["bug_fix", "simple_refactor", "simple_plan"]
     rows = spark.createDataFrame([("p", "e", 0.9, 1, i) for i in range(3)] + [("q", None, 0.95, 2, 9), ("old", "e", 0.1, 1, -1)], "path string, entity string, score double, kind_rank int, pos int")
-    assert [r["path"] for r in context.context_flow(rows, 3).collect()] == ["p", "q"]
+    assert [r["path"] for r in context.context_flow(rows, 3).collect()] == ["q", "p", "old"]
+    assert one(spark, context.total_complexity(F.lit(1.0), F.lit("bug_fix")), context.total_complexity(F.lit(3.0), F.lit("major_restructure"))) == ["simple", "complex"]
+    scored = retrieval.context_score(F.lit("export class A " + "x" * 200), F.lit("src/a"), F.lit("file"), F.lit("A"), F.lit(1.0), ["class", "zzz"])
+    assert one(spark, scored)[0] == pytest.approx(0.4 + 0.15 + 0.2 + 0.1)
+    told = retrieval.verdict(spark.createDataFrame([(1, 0.9), (1, 0.1), (2, 0.2)], "g int, score double"), "g")
+    assert {r["g"]: (round(r["score"], 6), r["relevant"]) for r in told.collect()} == {1: (0.78, True), 2: (0.0, False)}
     found = context.iterative_search(lambda q: nodes.where(F.col("name").contains(q)), ["app", "util"], "id", more=lambda hits, q: ["test"])
     assert ids(found) == ["n1", "n2", "n3", "n4"]
 
