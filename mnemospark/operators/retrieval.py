@@ -90,14 +90,35 @@ def reranked(query: str, similarity: Column, text: Column, entity: Column, is_ch
     return F.least(F.lit(1.0), similarity + name + F.coalesce(shared, F.lit(0.0)) + F.when(is_chunk, F.lit(code)).otherwise(F.lit(overview)))
 
 
-def diversified(rows: DataFrame, k: int, text: str = "text", score: str = "score", is_entity: str = "is_entity") -> DataFrame:
-    """Raise chunks with a signature if fewer than 40 % of k have one, or entity chunks if none has."""
-    has = F.greatest(*[F.lower(F.col(text)).rlike(p).cast("int") for p in SIGNATURE_PATTERNS])
-    marked = rows.withColumn("_has", has)
-    total = F.sum("_has").over(Window.partitionBy())  # of the top rows alone, k times a small factor
-    counted = marked.withColumn("_n", total)
-    boost = F.when((F.col("_n") < int(0.4 * k)) & (F.col("_has") > 0), 0.4 + _flag(F.length(text) > 800, 0.2)).when((F.col("_n") == 0) & F.col(is_entity), F.lit(0.25)).otherwise(0.0)
-    return counted.withColumn(score, F.least(F.lit(1.0), F.col(score) + boost)).drop("_has", "_n")
+# Patterns of definitions, and of code that acts.
+DEFINING = (
+    r"\b(?:class|struct|interface|enum|trait|type)\s+\w+", r"\b(?:function|def|func|fn|method|proc)\s+\w+", r"\b(?:public|private|protected|static|async|export)\s+\w+\s*\(",
+)
+ACTING = (
+    r"\b(?:async|public|private|protected|static)\s+\w+\s*\(", r"\b(?:this|self|@)\.\w+", r"\b(?:return|yield|throw)\s+", r"\b(?:function|def|func|fn|method|proc)\s+\w+",
+)
+
+
+def diversified(rows: DataFrame, query: str, k: int, text: str = "text", entity: str = "entity", score: str = "score") -> DataFrame:
+    """Raise implementations of what a query names if fewer than 40 % of ``k`` rows are some.
+
+    If no row at all has a signature, rows about it that act get 0.25. Rows of
+    constants and prompts are left out. Both counts are over the few top rows.
+    """
+    target = next((w for w in query.lower().split() if len(w) > 3), query.lower())
+    low, name = F.lower(text), F.coalesce(F.col(entity), F.lit(""))
+    any_of = lambda patterns: F.greatest(*[low.rlike(p) for p in patterns])
+    constant = ((F.trim(name) == F.upper(F.trim(name))) & name.contains("_")) | F.lower(name).contains("prompt")
+    about = ~constant & (F.lower(name).contains(target) | low.contains(target))
+    marked = rows.withColumns({"_signed": any_of(SIGNATURE_PATTERNS), "_about": about})
+    marked = marked.withColumn("_made", F.col("_about") & (F.col("_signed") | any_of(DEFINING)))
+    whole = Window.partitionBy()  # of the top rows alone, k times a small factor
+    counted = marked.withColumns({"_n": F.count_if("_made").over(whole), "_any": F.max("_signed").over(whole)})
+    capped = lambda x: F.least(F.lit(1.0), x)
+    raised = capped(capped(F.col(score) + _flag(F.col("_signed"), 0.4)) + _flag(F.length(text) > 800, 0.2))
+    first = F.when((F.col("_n") < int(0.4 * k)) & F.col("_made"), raised).otherwise(F.col(score))
+    second = F.when(~F.col("_any") & F.col("_about") & any_of(ACTING), capped(first + 0.25)).otherwise(first)
+    return counted.withColumn(score, second).drop("_signed", "_about", "_made", "_n", "_any")
 
 
 def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -224,8 +224,10 @@ def test_boosts(spark):
     assert one(spark, args("function parse(x) { return x }", "parse", "src/parse.ts"), args("nothing", "zzz", "a/b.ts"))[0] == pytest.approx(0.6)
     assert one(spark, args("nothing", "zzz", "a/b.ts"))[0] == 0.0
     assert one(spark, retrieval.reranked("explain the parse function", F.lit(0.5), F.lit("the parse x"), F.lit("parse"), F.lit(True)))[0] == pytest.approx(0.5 + 0.15 + 0.05 + 0.28)
-    rows = spark.createDataFrame([(i, "x", 0.1, True) for i in range(3)], "id int, text string, score double, is_entity boolean")
-    assert {round(r["score"], 6) for r in retrieval.diversified(rows, 5).collect()} == {0.35}
+    rows = spark.createDataFrame([(1, "return parse x", "parse", 0.1), (2, "other", "zzz", 0.1), (3, "return parse", "PARSE_ALL", 0.1)], "id int, text string, entity string, score double")
+    assert {r["id"]: round(r["score"], 6) for r in retrieval.diversified(rows, "the parse step", 5).collect()} == {1: 0.35, 2: 0.1, 3: 0.1}
+    signed = rows.withColumn("text", F.when(F.col("id") == 1, "def parse(x): get(x)").otherwise(F.col("text")))
+    assert {r["id"]: round(r["score"], 6) for r in retrieval.diversified(signed, "the parse step", 5).collect()} == {1: 0.5, 2: 0.1, 3: 0.1}
 
 
 def test_parents(spark):
