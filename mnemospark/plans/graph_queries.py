@@ -9,12 +9,18 @@ from mnemospark.functions.strings import mermaid_label, similarity
 from mnemospark.operators import graph, search
 from mnemospark.plans import dsl
 from mnemospark.plans.registry import query
+from mnemospark.session import materialize
 from mnemospark.sources.tables import GRAPH_SQL, graph_edges, graph_nodes
 
 G = f"WITH {GRAPH_SQL}"
 R = f"WITH RECURSIVE {GRAPH_SQL}"
 
 
+def _stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived edges as a table: a walk reads them once a hop."""
+    return materialize(graph_edges(spark, sf_dir), "edges")
+
+
 def _ask(name: str, text: str, where: str) -> None:
     """Register a filter query of the graph's language."""
 
@@ -84,12 +90,12 @@ BFS = R + """, walk AS (SELECT id, 0 AS depth FROM nodes WHERE name = 'EUROPE' U
 @query("bfs_out_depth2", BFS.format(d=2) + "SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY id")
 def bfs_out_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = dsl.parse("traverse:EUROPE:outgoing:2")
-    return dsl.execute(ask, graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)).select("id", "depth")
+    return dsl.execute(ask, graph_nodes(spark, sf_dir), _stored_edges(spark, sf_dir)).select("id", "depth")
 
 
 @query("bfs_out_depth3", BFS.format(d=3) + "SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY id")
 def bfs_out_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dsl.execute("traverse:EUROPE:outgoing:3", graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)).select("id", "depth")
+    return dsl.execute("traverse:EUROPE:outgoing:3", graph_nodes(spark, sf_dir), _stored_edges(spark, sf_dir)).select("id", "depth")
 
 
 @query(
@@ -99,12 +105,12 @@ SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY id""",
 )
 def bfs_incoming_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = graph_nodes(spark, sf_dir).where("id = 'p:1'")
-    return graph.bfs(graph_edges(spark, sf_dir), start, 3, "incoming", ["supplies"])
+    return graph.bfs(_stored_edges(spark, sf_dir), start, 3, "incoming", ["supplies"])
 
 
 @query("traverse_relations", BFS.format(d=1) + "SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM walk)")
 def traverse_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbourhood_edges(graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir), "EUROPE", 2).select("src", "dst", "kind")
+    return graph.neighbourhood_edges(graph_nodes(spark, sf_dir), _stored_edges(spark, sf_dir), "EUROPE", 2).select("src", "dst", "kind")
 
 
 @query("inbound_sources", f"{G} SELECT id, name FROM nodes WHERE id IN (SELECT src FROM edges JOIN nodes t ON t.id = dst WHERE kind = 'supplies' AND list_contains(t.obs, 'size: 7'))")

@@ -147,11 +147,3 @@ def plan(spark: SparkSession, question: str, rows: DataFrame) -> DataFrame:
         key = F.col(q["sort_by"])
         rows = rows.orderBy(key.desc() if q["sort_order"] == "desc" else key.asc(), "name")
     return rows if q["limit"] is None else rows.limit(q["limit"])
-
-
-def unicode_pairs(docs: DataFrame) -> DataFrame:
-    """Similar pairs of documents whose texts are already reduced to words and blanks."""
-    from mnemospark.operators import retrieval
-
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2)))
-    return retrieval.similar_sets(docs.select("doc_id", words.alias("words")), "doc_id")

@@ -47,8 +47,10 @@ SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_dist
 AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) >= 0.85 * len(list_distinct(a.w || b.w))""",
 )
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", " "))
-    return questions.unicode_pairs(docs).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    plain = F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", " ")  # letters of all languages make words here
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(plain), r"\s+"), lambda w: F.length(w) > 2)))
+    pairs = retrieval.similar_sets(_docs(spark, sf_dir).select("doc_id", words.alias("words")), "doc_id")
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
