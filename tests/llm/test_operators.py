@@ -413,3 +413,31 @@ def test_correlated_voters_share_their_weight():
     assert corr[0, 1] > 0.9 > 0.3 > corr[0, 3]
     alone = post[(one == 1) & (other == 0)].mean()
     assert 0.3 < alone < 0.9  # three copies don't count as three voices
+
+
+def test_arrays_through_another_file_system(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    monkeypatch.setattr(kneser_ney, "_open", lambda path: (fs.LocalFileSystem(), path))
+    kneser_ney.load.cache_clear()
+    kneser_ney.save(f"{tmp_path}/a/b.keys", np.arange(5, dtype="<u8"))
+    assert kneser_ney.load(f"{tmp_path}/a/b.keys", "<u8").tolist() == [0, 1, 2, 3, 4]
+    assert len(kneser_ney.load(f"{tmp_path}/a/none", "<u8")) == 0
+    kneser_ney.load.cache_clear()
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_buckets_do_not_depend_on_batches(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 1 << 40))
+    prints = np.array(sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 40, (60, 2))} | {1 << 50, (1 << 50) + 1}), np.int64)
+    rows = sorted((m, int(p) & m, int(p)) for m in simhash.block_masks() for p in prints)
+    table = pa.table({"mask": [r[0] for r in rows], "a": [r[1] for r in rows], "b": [r[2] for r in rows]}, schema=pa.schema([("mask", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
+    edges = [(a, b) for batch in simhash.link_buckets(iter(table.to_batches(size))) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+    linked = {frozenset(e) for e in edges}
+    joined = clusters(prints.tolist(), lambda a, b: frozenset((a, b)) in linked)
+    true = clusters(prints.tolist(), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    same = lambda g: {frozenset(x for x in g if g[x] == r) for r in set(g.values())}
+    assert same(joined) == same(true)
