@@ -39,8 +39,8 @@ from .textops import map_batches, utf8
 
 CAPACITY, GROUPS = 4096, 256
 TOKEN_CACHE = 300_000
-#: Pieces of one length that are numbered in one task.
-NUMBERED = 100_000
+#: Pieces of one length that are numbered together, or the root of their number if that is more.
+NUMBERED = 1_000
 
 
 class TokenCache:
@@ -292,9 +292,10 @@ def numbered(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """Add ``number``, which counts the pieces of each length from 0.
 
     A length with many pieces is split into salts, numbered apart, and the salts'
-    counts are added up.
+    counts are added up. Neither a salt nor the list of salts passes the root of a
+    length's pieces by much.
     """
-    salts = histogram.select(F.col("length").alias("_length"), F.ceil(F.col("n") / NUMBERED).alias("salts"))
+    salts = histogram.select(F.col("length").alias("_length"), F.ceil(F.col("n") / F.greatest(F.lit(float(NUMBERED)), F.sqrt("n"))).alias("salts"))
     salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_length")).drop("_length")  # a row per length: the capacity bounds it
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
