@@ -52,10 +52,20 @@ def index_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY severity DESC, l_orderkey, l_linenumber, l_partkey LIMIT 300""",
 )
 def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of ``all_findings_by_severity``."""
+    return all_findings_by_severity(spark, sf_dir).limit(300)
+
+
+@query(
+    "all_findings_by_severity",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'low' ELSE 'medium' END AS severity FROM lineitem
+ORDER BY severity DESC, l_orderkey, l_linenumber, l_partkey""",
+)
+def all_findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the names of severities, as stored reports are listed: medium, low, high."""
     severity = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "low").otherwise("medium")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", severity.alias("severity"))
-    return rows.orderBy(F.col("severity").desc(), "l_orderkey", "l_linenumber", "l_partkey").limit(300)
+    return rows.orderBy(F.col("severity").desc(), "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query(
@@ -63,9 +73,18 @@ def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 2 END AS weight FROM lineitem ORDER BY weight DESC, l_orderkey, l_linenumber, l_partkey LIMIT 300""",
 )
 def findings_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of ``all_findings_by_weight``."""
+    return all_findings_by_weight(spark, sf_dir).limit(300)
+
+
+@query(
+    "all_findings_by_weight",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 2 END AS weight FROM lineitem ORDER BY weight DESC, l_orderkey, l_linenumber, l_partkey""",
+)
+def all_findings_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("l_returnflag") == "R", "BLOCKER").when(F.col("l_returnflag") == "A", "MAJOR").otherwise("MINOR")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", looked_up(severity, SEVERITY_RANK).cast("int").alias("weight"))
-    return rows.orderBy(F.col("weight").desc(), "l_orderkey", "l_linenumber", "l_partkey").limit(300)
+    return rows.orderBy(F.col("weight").desc(), "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query(
