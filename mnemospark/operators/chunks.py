@@ -80,10 +80,11 @@ def entity_chunks(files: DataFrame, text: str, entities: str, least: int = 100)
 
 def content_type(text: Column, is_summary: Column) -> Column:
     """summary, comment, code or documentation."""
-    # Words of code and of prose.
-    code = F.regexp_count(text, F.lit(r"(?i)\b(function|class|const|let|var|if|for|while|return|import|export)\b"))
-    prose = F.regexp_count(text, F.lit(r"(?i)\b(the|and|or|but|in|on|at|to|for|of|with|by)\b"))
-    head = F.regexp_replace(text, r"^\s+", "")
+    # Words of code and of prose. Words end at letters beyond ASCII, which Java's \b takes for their own.
+    count = lambda words: F.regexp_count(text, F.lit(rf"(?i)(?<![a-z0-9_])({words})(?![a-z0-9_])"))
+    code = count("function|class|const|let|var|if|for|while|return|import|export")
+    prose = count("the|and|or|but|in|on|at|to|for|of|with|by")
+    head = F.regexp_replace(text, r"^[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", "")
     comment = head.startswith("//") | head.startswith("/*") | head.startswith("*")
     return F.when(is_summary, "summary").when(comment, "comment").when((code > 2) & ~(prose > 3), "code").otherwise("documentation")
 

@@ -21,7 +21,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents WHERE lang = 'en'""",
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.size(strings.tokens("text")).cast("bigint").alias("n"))
+    return _token_counts(_docs(spark, sf_dir).where("lang = 'en'"))
+
+
+def _token_counts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.size(strings.tokens("text")).cast("bigint").alias("n"))
+
+
+@query("token_counts_all_languages")
+def token_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in whatever language or none; SQL's lower case and blanks differ beyond ASCII."""
+    return _token_counts(_docs(spark, sf_dir))
 
 
 @query("char_overlap", "SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(p_name, '')), list_distinct(string_split(p_type, '')))) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS overlap FROM part")
@@ -83,7 +93,17 @@ def dup_shingles_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN code > 2 AND NOT prose > 3 THEN 'code' ELSE 'documentation' END AS kind FROM c""",
 )
 def content_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", chunks.content_type(F.col("text"), F.lit(False)).alias("kind"))
+    return _content_routing(_docs(spark, sf_dir).where("lang = 'en'"))
+
+
+def _content_routing(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", chunks.content_type(F.col("text"), F.lit(False)).alias("kind"))
+
+
+@query("content_routing_all_languages")
+def content_routing_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in whatever language or none; a comment's leading blanks are Unicode's, which SQL's patterns don't know."""
+    return _content_routing(_docs(spark, sf_dir))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Queries that return every row of their job, against brute force."""
 
 import os
+import re
 
 import pytest
 
@@ -19,3 +20,37 @@ def test_all_findings_in_order(spark, name, column, rank):
     want.sort(key=lambda r: r[3], reverse=True)
     made = entry.queries()[name](spark, SF)
     assert made.columns[3] == column and [tuple(r) for r in made.collect()] == want
+
+
+WORD = r"(?<![a-zA-Z0-9_])({})(?![a-zA-Z0-9_])"
+CODE, PROSE = (re.compile(WORD.format(w), re.I | re.A) for w in ("function|class|const|let|var|if|for|while|return|import|export", "the|and|or|but|in|on|at|to|for|of|with|by"))
+ODD = ["éfor école for naïve_for FOR ñ", "größe let über var Straße const", "\u00a0\u3000// für", "\ufeff* x", "ÉTÉ\u00a0été İx K", "", None, "the or and\u2003but \u0130f for", "if éif ifé for"]
+
+
+def kind(text):
+    head = (text or "").lstrip(" \t\n\r\v\f\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
+    if head.startswith(("//", "/*", "*")):
+        return "comment"
+    return "code" if len(CODE.findall(text or "")) > 2 and len(PROSE.findall(text or "")) <= 3 else "documentation"
+
+
+def n_tokens(text):
+    return None if text is None else len(re.sub(r"[^a-z0-9_\s]", " ", text.lower()).split())
+
+
+@pytest.fixture(scope="module")
+def all_docs(spark, tmp_path_factory):
+    """The table's documents in all languages, and odd texts with other languages or none."""
+    place = str(tmp_path_factory.mktemp("languages"))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(1_000_000 + i, text, ("fr", "ja", None)[i % 3]) for i, text in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{place}/documents.parquet")
+    return place, rows
+
+
+@pytest.mark.parametrize("name, want", [("token_counts_all_languages", n_tokens), ("content_routing_all_languages", kind)])
+def test_all_languages(spark, all_docs, name, want):
+    place, rows = all_docs
+    assert len({lang for *_, lang in rows}) > 4
+    made = {r[0]: r[1] for r in entry.queries()[name](spark, place).collect()}
+    assert made == {doc_id: want(text) for doc_id, text, _ in rows}
