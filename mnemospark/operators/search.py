@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,66 @@ def top_per_query(pairs: DataFrame, query: str, order: list[Column], k: int) ->
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def most_edits(length: int, least: float) -> int:
+    """The largest distance at which the longer text, of ``length``, is still ``least`` alike."""
+    edits = int((1 - least) * length) + 1
+    while 1 - edits / length < least:
+        edits -= 1
+    return edits
+
+
+def pieces(length: int, edits: int) -> list[tuple[int, int]]:
+    """Start and width of ``edits`` + 1 even pieces of a text."""
+    n = edits + 1
+    starts = [i * length // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def similar_names(rows: DataFrame, key: str, name: str, least: float = 0.7) -> DataFrame:
+    """(kind, a, b, score): rows of equal names as members of a class, and pairs of classes whose names are alike.
+
+    Rows of one name are a class, named by its smallest key: ``member`` rows link it
+    to its other keys, ``similar`` rows link two classes, a < b. Two rows are alike if
+    they are of one class or their classes are linked; no link is left out. Where
+    ``e`` edits are allowed, one of ``e`` + 1 pieces of the shorter name is whole in
+    the longer one, moved by ``e`` places at most; classes join on such pieces and
+    then on the exact score. Empty and null names resemble nothing.
+    """
+    named = rows.select(F.col(key).alias("id"), F.col(name).alias("name")).where(F.length("name") > 0)
+    classes = named.groupBy("name").agg(F.min("id").alias("a"))
+    members = named.join(classes, "name").where("id <> a").select(F.lit("member").alias("kind"), "a", F.col("id").alias("b"), F.lit(1.0).alias("score")).distinct()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, text in zip(batch["a"], batch["name"], strict=True):
+                longest, allowed = len(text), set()
+                while longest - most_edits(longest, least) <= len(text):
+                    allowed.add(most_edits(longest, least))
+                    longest += 1
+                for e in allowed:
+                    out += [(a, len(text), e, i, text[p : p + w]) for i, (p, w) in enumerate(pieces(len(text), e))]
+            yield pd.DataFrame(out, columns=["a", "n", "e", "i", "piece"])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for b, text in zip(batch["a"], batch["name"], strict=True):
+                e = most_edits(len(text), least)
+                for n in range(max(1, len(text) - e), len(text) + 1):
+                    for i, (p, w) in enumerate(pieces(n, e)):
+                        out.update((b, n, e, i, text[at : at + w]) for at in range(max(0, p - e), min(len(text) - w, p + e) + 1))
+            yield pd.DataFrame(list(out), columns=["b", "n", "e", "i", "piece"])
+
+    place = "n int, e int, i int, piece string"
+    have = classes.select("a", "name").mapInPandas(cut, f"a bigint, {place}")
+    seek = classes.select("a", "name").mapInPandas(look, f"b bigint, {place}")
+    met = have.join(seek, ["n", "e", "i", "piece"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.join(classes, "a").join(classes.select(F.col("a").alias("b"), F.col("name").alias("name2")), "b")
+    scored = pairs.select(F.lit("similar").alias("kind"), "a", "b", similarity("name", "name2").alias("score"))
+    return members.unionByName(scored.where(F.col("score") >= least))
+
+
 def resolution_score(name: Column, wanted: Column, kind: Column, wanted_kind: Column, popular: Column, deprecated: Column, notes: Column | None = None, clues: Column | None = None) -> Column:
     """How well a node answers a mention.
 

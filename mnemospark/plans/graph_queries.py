@@ -223,6 +223,20 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", "row_id", F.round(score, 6).alias("score"))
 
 
+@query(
+    "similar_names",
+    """WITH c AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE length(p_name) > 0 GROUP BY p_name)
+SELECT 'member' AS kind, id AS a, p_partkey AS b, 1.0::DOUBLE AS score FROM part JOIN c USING (p_name) WHERE p_partkey <> id
+UNION ALL SELECT 'similar', x.id, y.id, round(1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name))::DOUBLE, 6) FROM c x JOIN c y
+ON x.id < y.id AND 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name))::DOUBLE >= 0.7""",
+)
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts with all: members of equal names, and similar pairs between those classes."""
+    from mnemospark.sources.tables import table
+
+    return search.similar_names(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("score", F.round("score", 6))
+
+
 @query("entity_resolution")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each hundredth part, the other part that answers its name best; ties go by id."""

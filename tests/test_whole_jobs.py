@@ -1,11 +1,13 @@
 """Queries that return every row of their job, against brute force."""
 
 import os
+import random
 import re
 
 import pytest
 
 import __spark_entry__ as entry
+from mnemospark.operators import search
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +56,48 @@ def test_all_languages(spark, all_docs, name, want):
     assert len({lang for *_, lang in rows}) > 4
     made = {r[0]: r[1] for r in entry.queries()[name](spark, place).collect()}
     assert made == {doc_id: want(text) for doc_id, text, _ in rows}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def expanded(found):
+    """Every pair of alike keys that classes and their links stand for."""
+    group, links = {}, []
+    for kind, a, b, _ in found:
+        if kind == "member":
+            group.setdefault(a, {a}).add(b)
+        else:
+            links.append((a, b))
+    pairs = {(x, y) for g in group.values() for x in g for y in g if x < y}
+    return pairs | {(min(x, y), max(x, y)) for a, b in links for x in group.get(a, {a}) for y in group.get(b, {b})}
+
+
+def alike(names, least):
+    return {(x, y) for x in names for y in names if x < y and names[x] and names[y] and 1 - distance(names[x], names[y]) / max(len(names[x]), len(names[y])) >= least}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
+def test_similar_names_lose_no_link(spark, least):
+    dice = random.Random(7)
+    words = ["".join(dice.choice("abé") for _ in range(n % 14)) for n in range(60)]
+    for word in words[20:]:  # near copies
+        at = dice.randrange(len(word) + 1)
+        words.append(word[:at] + dice.choice(["", "b", "xy"]) + word[at + dice.randrange(3) :])
+    names = dict(enumerate([*words, *words[:9], None, "", "a"]))
+    rows = spark.createDataFrame(list(names.items()), "id bigint, name string")
+    made = [tuple(r) for r in search.similar_names(rows, "id", "name", least).collect()]
+    assert len(set(made)) == len(made) and expanded(made) == alike(names, least)
+
+
+def test_similar_names_of_all_parts(spark):
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    want = alike(names, 0.7)
+    assert any(x % 100 and y % 100 for x, y in want)
+    assert expanded([tuple(r) for r in entry.queries()["similar_names"](spark, SF).collect()]) == want
