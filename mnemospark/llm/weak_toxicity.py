@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Voters. Lexicon voters are words and word beginnings that Spark counts in a
-   bounded sample of labelled rows and that stand out in the toxic ones; pattern
-   voters look at shouting, exclamations and symbols; one votes where no lexicon
+1. Voters. Lexicon voters are words and word beginnings that Spark counts in all
+   labelled rows that may be learnt from and that stand out in the toxic ones; of
+   a word and its beginnings in the same rows only the word is one. Pattern voters look at shouting, exclamations and symbols; one votes where no lexicon
    voter does. A voter that doesn't fire abstains.
 2. Label model. Of voters that repeat a better one (correlation given the class
    over ``REPEATED``) only the better stays. Expectation maximisation estimates how
@@ -10,10 +10,10 @@
    between voters divide their weights.
 3. A logistic regression is trained on the posterior labels and scores texts.
 
-The sample (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` rows, those with the smallest
-hashed ids, equal texts once) and the number of voters (``VOTERS``) are bounded; the rate of
-toxic rows is counted over all labels that may be learnt from, and scoring
-reads whole texts of all rows.
+The sample of the label model (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` rows, those with
+the smallest hashed ids) and the number of voters (``VOTERS``) are bounded; the
+lexicon and the rate of toxic rows are counted over all labels that may be learnt
+from, and scoring reads whole texts of all rows. Equal texts count once.
 
 Edge cases: null or empty texts fire no voter and get a score; with no
 labelled rows every score is 0; several labels of one id count as the largest;
@@ -140,6 +140,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w[:-1], float(w[-1])
 
 
+def labelled_texts(docs: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every labelled row (doc_id, text, y), equal texts once, and the same rows without texts."""
+    same = F.xxhash64("text").alias("same")
+    keys = docs.select("doc_id", same).join(usable, "doc_id").groupBy("same").agg(F.min(F.struct("doc_id", "y")).alias("r")).select("same", "r.doc_id", "r.y")
+    keys = materialize(keys, "toxicity-labelled")
+    return docs.select("doc_id", "text", same).join(keys, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]), keys
+
+
+def without_repeats(lexicon: DataFrame) -> DataFrame:
+    """Without beginnings that a word, or a longer beginning, has in as many rows of each kind, which then are the same rows."""
+    size = F.octet_length("key") - F.when(F.endswith(F.col("key"), F.lit(b"*")), 1).otherwise(0)
+    starts = F.array(*[F.when(size > n, F.concat(F.substring("key", 1, n), F.lit(b"*"))) for n in STARTS])
+    repeated = lexicon.select(F.explode(F.array_compact(starts)).alias("key"), "n1", "n0").distinct()
+    return lexicon.join(repeated, ["key", "n1", "n0"], "left_anti")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Column | None = None) -> Toxicity:
     spark = docs.sparkSession
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if allowed is None else allowed))
@@ -160,15 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
                 seen.setdefault(key, [0, 0])[y > 0] += 1
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["key", "n1", "n0"])
 
-    counts = map_batches(sample, ["text", "y"], count, "key binary, n1 bigint, n0 bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    found = {r["y"]: r["n"] for r in sample.groupBy(F.expr("int(y > 0)").alias("y")).agg(F.count("*").alias("n")).collect()}
+    texts, keys = labelled_texts(docs, usable)
+    counts = map_batches(texts, ["text", "y"], count, "key binary, n1 bigint, n0 bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    found = {r["y"]: r["n"] for r in keys.groupBy(F.expr("int(y > 0)").alias("y")).agg(F.count("*").alias("n")).collect()}
     sizes = {y: found.get(y, 0) for y in (0, 1)}
     rate1, rate0 = (F.col("n1") + 0.5) / (sizes[1] + 1), (F.col("n0") + 0.5) / (sizes[0] + 1)
     prior = max(sizes[1], 1) / max(sum(sizes.values()), 1)
     part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("n1") + F.col("n0")) * p))).otherwise(0.0)
     evidence = part("n1", prior) + part("n0", max(1 - prior, 1e-9))  # how unlikely the counts are by chance
-    useful = counts.where((F.col("n1") >= max(3, sizes[1] // 100)) & (rate1 > 8 * rate0) & (evidence >= EVIDENCE))
-    lexicon = useful.orderBy(evidence.desc(), "key").limit(VOTERS).toPandas()
+    useful = materialize(counts.where((F.col("n1") >= 3) & (rate1 > 8 * rate0) & (evidence >= EVIDENCE)), "toxicity-lexicon")
+    lexicon = without_repeats(useful).orderBy(evidence.desc(), "key").limit(VOTERS).toPandas()
     voters = tuple(bytes(k) for k in lexicon["key"])
     index = spark.sparkContext.broadcast({k: i for i, k in enumerate(voters)})
 

@@ -391,6 +391,19 @@ def test_quality_and_toxicity_on_held_out_rows(spark, none):
     assert boosted_quality.score(none, forest).count() == weak_toxicity.score(none, model).count() == 0
 
 
+def test_rare_toxic_words_are_voters(spark):
+    """A word in under 1 % of many toxic rows is a voter, though the sample has few of them; of a word and its beginnings the word is one."""
+    n = 6_000
+    text = [f"plain{i % 50} words{i % 31} zzqqvvkk" if i < 30 else f"plain{i % 50} words{i % 31} evil{i}" if i < n else f"plain{i % 50} words{i % 31} calm{i}" for i in range(2 * n)]
+    docs = spark.createDataFrame([(i, f"{t} row{i}") for i, t in enumerate(text)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(2 * n)], "doc_id bigint, toxic int")
+    found = weak_toxicity.train(docs, labels).voters
+    assert b"zzqqvvkk" in found and not any(k.endswith(b"*") and b"zzqqvvkk".startswith(k[:-1]) for k in found)
+    rows = [(b"abcdefgh", 5, 0), (b"abcd*", 7, 0), (b"abcde*", 5, 0), (b"abcdef*", 5, 0), (b"wxyz1*", 4, 1), (b"wxyz*", 4, 1), (b"wxyz", 4, 1)]
+    kept = weak_toxicity.without_repeats(spark.createDataFrame(rows, "key binary, n1 bigint, n0 bigint"))
+    assert {bytes(r["key"]) for r in kept.collect()} == {b"abcdefgh", b"abcd*", b"wxyz1*", b"wxyz"}
+
+
 def test_classifiers_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in boosted_quality.score(docs, boosted_quality.train(docs, empty)).collect()} == {0.5}
