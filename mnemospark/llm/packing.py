@@ -46,10 +46,12 @@ NUMBERED = 1_000
 class TokenCache:
     """Ids of the blank-free parts of texts, as little-endian bytes.
 
-    The tokenizer drops white space, lower-cases, and splits at the border of a
+    The tokenizer drops white space, normalises, and splits at the border of a
     letter or digit and a full stop or comma, so parts can be encoded alone and
-    joined. New parts of letters only are encoded together as one text: each is
-    one word to the tokenizer, and its last token ends a word.
+    joined. What counts is the normalised letter: one that becomes a letter and a
+    mark doesn't end at that border. New parts that are letters only when
+    normalised are encoded together as one text: each is one word to the
+    tokenizer, and its last token ends a word.
 
     Two generations of at most ``TOKEN_CACHE`` parts are kept; a part that is in
     use moves to the younger one.
@@ -65,6 +67,16 @@ class TokenCache:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.normal = functools.lru_cache(1 << 16)(self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str)
+
+    def _cuts(self, stem: bytes) -> bool:
+        """Whether the tokenizer splits between this stem and a full stop or comma."""
+        if not stem or stem[-1] < 128:
+            return stem[-1:].isalnum()
+        return self.normal(stem.decode()[-1])[-1:].isalnum()
+
+    def _letters(self, word: bytes) -> bool:
+        return word.isalpha() if word.isascii() else all(self.normal(c).isalpha() for c in word.decode())
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,10 +112,9 @@ class TokenCache:
         stems: dict[bytes, bytes] = {}
         for part in missing:
             stem = part.rstrip(b".,")
-            cut = stem != part and (stem[-1:].isalnum() or not stem.isascii() and stem.decode()[-1].isalnum())
-            stems[part] = stem if cut else part
+            stems[part] = stem if stem != part and self._cuts(stem) else part
         need = {x for part, stem in stems.items() for x in (stem, part[len(stem) :]) if x and x not in young}
-        letters = [w for w in need if w.decode().isalpha()]
+        letters = [w for w in need if self._letters(w)]
         self._words(letters, young)
         rest = list(need.difference(letters))
         young.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._encode([w.decode() for w in rest])), strict=True))
