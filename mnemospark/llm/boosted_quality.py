@@ -11,7 +11,8 @@ included, covers all documents.
 
 Edge cases: null or empty texts get the statistics of a text without words
 and so a score; rows without labels, or with null labels, train nothing; if a
-doc_id has several labels the largest counts; with no labelled row at all every
+doc_id has several labels the largest counts, if several texts the least statistics;
+with no labelled row at all every
 score is 0.5; repeated rows are scored alike; other columns are ignored or,
 in ``keep_good``, passed on.
 """
@@ -173,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
         x = matrix(utf8(batch.column("text")))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), pa.array(list(x))], ["doc_id", "y", "x"])
 
-    rows = map_batches(sample, ["doc_id", "text", "y"], features, "doc_id bigint, y int, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    found = map_batches(sample, ["doc_id", "text", "y"], features, "doc_id bigint, y int, x array<double>")
+    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")  # a row an id
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, (rows["y"].to_numpy() > 0).astype(float))
 
