@@ -11,13 +11,18 @@ Spark counts the model and the workers memory-map it:
 3. For each second word the number of distinct words before it is stored as a
    plain array by id.
 
-The discounts come from the counts of counts of all shards. Interpolation goes
+The discounts come from the counts of counts of all shards; where these give no
+positive one, as with repeated rows, ``FALLBACK`` does, so that every context
+keeps some mass for unseen words. Counts are 64-bit; they are stored in 32 bits
+in shards where all fit. Word ids have 32 bits: more words raise an error.
+Interpolation goes
 from pairs over continuation counts to the uniform distribution over the V
 training words and one unknown. Partial counts are merged within each task
 before the shuffle, so a common word is a few rows. The number of shards grows
 with the input, so a shard's size doesn't. The arrays are written to the shared
 folder, each under its final name in one step, so a retried task is harmless;
-where that folder isn't a POSIX path they are read through its file system.
+where that folder isn't a POSIX path they are read through its file system into
+a cache of ``CACHE_BYTES`` a worker.
 
 Edge cases: a null or empty text is its end token alone; the end token follows
 every text, the start context comes before; without training rows every token
@@ -30,7 +35,7 @@ from __future__ import annotations
 import functools
 import os
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +54,9 @@ CHARS_PER_SHARD = 16_000_000
 FLUSH_WORDS, FLUSH_TOKENS, SCORE_TOKENS = 150_000, 2_000_000, 500_000
 BLOCKS = "shard int, keys binary, counts binary"
 START = (1 << 32) - 1  # the id of the start context
+#: Discounts of counts 1, 2 and 3 or more where counts of counts give none.
+FALLBACK = (0.5, 1.0, 1.5)
+CACHE_BYTES = 256 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -84,18 +92,53 @@ def save(path: str, array: np.ndarray) -> None:
         files.move(part, local)
 
 
+class Fetched:
+    """Arrays read whole from a store that can't be mapped, the latest used up to ``CACHE_BYTES``."""
+
+    def __init__(self) -> None:
+        self.held: OrderedDict[str, bytes] = OrderedDict()
+        self.size = 0
+
+    def get(self, path: str) -> bytes:
+        if path in self.held:
+            self.held.move_to_end(path)
+            return self.held[path]
+        files, local = _open(path)
+        data = b""
+        if files.get_file_info(local).size:
+            with files.open_input_file(local) as source:
+                data = source.read()
+        self.held[path] = data
+        self.size += len(data)
+        while self.size > CACHE_BYTES and len(self.held) > 1:
+            self.size -= len(self.held.popitem(last=False)[1])
+        return data
+
+
+FETCHED = Fetched()
+
+
 @functools.lru_cache(maxsize=4096)
+def mapped(local: str) -> np.ndarray:
+    """The bytes of a file, mapped into memory; pages are shared by all workers of a machine."""
+    return np.memmap(local, np.uint8, "r") if os.path.exists(local) and os.path.getsize(local) else np.zeros(0, np.uint8)
+
+
 def load(path: str, kind: str) -> np.ndarray:
-    """Map an array into memory; pages are shared by all workers of a machine."""
+    """A stored array."""
     files, local = _open(path)
-    if files is None:
-        if not os.path.exists(local) or not os.path.getsize(local):
-            return np.zeros(0, kind)
-        return np.memmap(local, kind, "r")
-    if files.get_file_info(local).size in (None, 0):
-        return np.zeros(0, kind)
-    with files.open_input_file(local) as source:
-        return np.frombuffer(source.read(), kind)
+    return mapped(local).view(kind) if files is None else np.frombuffer(FETCHED.get(path), kind)
+
+
+def save_counts(path: str, counts: np.ndarray) -> None:
+    """Store counts in 32 bits if all fit, else in 64."""
+    save(path, counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8"))
+
+
+def load_counts(path: str, n: int) -> np.ndarray:
+    """``n`` stored counts of either width."""
+    data = load(path, "u1")
+    return data.view(f"<u{len(data) // n}") if n else np.zeros(0, "<u4")
 
 
 # counting
@@ -147,8 +190,8 @@ def discounts(n: list[int]) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; index 0 is 0."""
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [0.0, *((i - (i + 1) * y * b / a if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-    return np.clip(d, 0, [0, 1, 2, 3])
+    d = [(i - (i + 1) * y * b / a if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return np.array([0.0, *(min(x, i) if x > 0 else rest for i, x, rest in zip((1, 2, 3), d, FALLBACK, strict=True))])
 
 
 class Vocabulary:
@@ -239,7 +282,7 @@ def train(docs: DataFrame, allowed: Column | None = None, chars_per_shard: int =
         s = int(group["shard"].iloc[0])
         keys, counts = merged(group, "<u8")
         save(f"{base}/words-{s}.keys", keys)
-        save(f"{base}/words-{s}.counts", counts.astype("<u4"))
+        save_counts(f"{base}/words-{s}.counts", counts)
         common = counts > counts.sum() / 64  # the total is not known yet; a word left out costs balance alone
         return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "at": [np.flatnonzero(common).tolist()], "counts": [counts[common].tolist()]})
 
@@ -276,14 +319,14 @@ def train(docs: DataFrame, allowed: Column | None = None, chars_per_shard: int =
         s = int(group["shard"].iloc[0])
         keys, counts = merged(group, "<u8")
         save(f"{base}/pairs-{s}.keys", keys)
-        save(f"{base}/pairs-{s}.counts", counts.astype("<u4"))
+        save_counts(f"{base}/pairs-{s}.counts", counts)
         first = keys >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
         contexts = first[at]
         stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
         own = ~np.isin(contexts, hot_ids)
         save(f"{base}/contexts-{s}.keys", contexts[own].astype("<u4"))
-        save(f"{base}/contexts-{s}.stats", stats[own].astype("<u4"))
+        save_counts(f"{base}/contexts-{s}.stats", stats[own].ravel())
         second, before = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         cont = blocks(second.astype("<u4"), before.astype(np.uint32), np.searchsorted(bounds, second, side="right") - 1)
         hot_rows = [(int(c), *map(int, x)) for c, x in zip(contexts[~own], stats[~own], strict=True)]
@@ -345,11 +388,10 @@ class Reader:
         shard = np.searchsorted(self.bounds, ids, side="right") - 1
         for s in np.unique(shard).tolist():
             i, j = np.searchsorted(shard, [s, s + 1])
-            out[i:j] = load(f"{self.m.base}/words-{s}.{what}", "<u4")[ids[i:j] - self.bounds[s]]
+            out[i:j] = load_counts(f"{self.m.base}/words-{s}.{what}", int(self.bounds[s + 1] - self.bounds[s]))[ids[i:j] - self.bounds[s]]
         return out
 
-    def _find(self, name: str, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        stored = load(name, kind)
+    def _find(self, stored: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(stored, keys.astype(stored.dtype))
         ok = at < len(stored)
         ok[ok] = stored[at[ok]] == keys[ok].astype(stored.dtype)
@@ -369,12 +411,13 @@ class Reader:
             own = order[edges[s] : edges[s + 1]]
             if not len(own):
                 continue
-            at, ok = self._find(f"{self.m.base}/pairs-{s}.keys", "<u8", keys[own])
-            count[own[ok]] = load(f"{self.m.base}/pairs-{s}.counts", "<u4")[at[ok]]
-            rest = own[~common[own]]
-            at, ok = self._find(f"{self.m.base}/contexts-{s}.keys", "<u4", first[rest])
+            stored = load(f"{self.m.base}/pairs-{s}.keys", "<u8")
+            at, ok = self._find(stored, keys[own])
+            count[own[ok]] = load_counts(f"{self.m.base}/pairs-{s}.counts", len(stored))[at[ok]]
+            rest, stored = own[~common[own]], load(f"{self.m.base}/contexts-{s}.keys", "<u4")
+            at, ok = self._find(stored, first[rest])
             if ok.any():
-                stats[rest[ok]] = load(f"{self.m.base}/contexts-{s}.stats", "<u4").reshape(-1, 4)[at[ok]]
+                stats[rest[ok]] = load_counts(f"{self.m.base}/contexts-{s}.stats", 4 * len(stored)).reshape(-1, 4)[at[ok]]
         return count, stats
 
     def score(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
