@@ -2,8 +2,9 @@
 
 1. Voters. Lexicon voters are words and word beginnings that Spark counts in all
    labelled rows that may be learnt from and that stand out in the toxic ones; of
-   a word and its beginnings in the same rows only the word is one. Pattern voters look at shouting, exclamations and symbols; one votes where no lexicon
-   voter does. A voter that doesn't fire abstains.
+   a word and its beginnings in the same rows only the word is one. Pattern voters
+   look at shouting, exclamations and symbols; one votes where no lexicon voter
+   does. A voter that doesn't fire abstains.
 2. Label model. Of voters that repeat a better one (correlation given the class
    over ``REPEATED``) only the better stays. Expectation maximisation estimates how
    often each voter fires on toxic and on clean texts, and the correlations left
@@ -13,7 +14,8 @@
 The sample of the label model (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` rows, those with
 the smallest hashed ids) and the number of voters (``VOTERS``) are bounded; the
 lexicon and the rate of toxic rows are counted over all labels that may be learnt
-from, and scoring reads whole texts of all rows. Equal texts count once.
+from, and scoring reads whole texts of all rows. Equal texts count once, with
+the largest of their labels.
 
 Edge cases: null or empty texts fire no voter and get a score; with no
 labelled rows every score is 0; several labels of one id count as the largest;
@@ -140,12 +142,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w[:-1], float(w[-1])
 
 
-def labelled_texts(docs: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every labelled row (doc_id, text, y), equal texts once, and the same rows without texts."""
-    same = F.xxhash64("text").alias("same")
-    keys = docs.select("doc_id", same).join(usable, "doc_id").groupBy("same").agg(F.min(F.struct("doc_id", "y")).alias("r")).select("same", "r.doc_id", "r.y")
-    keys = materialize(keys, "toxicity-labelled")
-    return docs.select("doc_id", "text", same).join(keys, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]), keys
+def labelled_keys(docs: DataFrame, usable: DataFrame) -> DataFrame:
+    """(same, doc_id, n, y) of every distinct labelled text: its hash, its least id with the number of such rows, its largest label."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same")).join(usable, "doc_id").groupBy("same", "doc_id").agg(F.count("*").alias("n"), F.max("y").alias("y"))
+    return rows.groupBy("same").agg(F.min(F.struct("doc_id", "n")).alias("r"), F.max("y").alias("y")).select("same", "r.doc_id", "r.n", "y")
 
 
 def without_repeats(lexicon: DataFrame) -> DataFrame:
@@ -164,20 +164,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
     empty = Toxicity((), np.zeros(len(PATTERNS)), -40.0, np.zeros((2, len(PATTERNS))), np.eye(len(PATTERNS)))
     if not total.get(1) or not total.get(0):
         return empty
-    pick = lambda y, n: usable.where((F.col("y") > 0) if y else (F.col("y") <= 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample's bound
-    sample = materialize(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).drop("same"), "toxicity-sample")
+    keys = materialize(labelled_keys(docs, usable), "toxicity-labelled")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    pick = lambda y, n: keys.where((F.col("y") > 0) if y else (F.col("y") <= 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN)).select("doc_id", "same", "y")
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "same"])  # the sample's bound
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[bytes, list[int]] = {}
-        for text, y in zip(utf8(batch.column("text")), batch.column("y").to_pylist(), strict=True):
+        seen: dict[bytes, list[float]] = {}
+        for text, y, n in zip(utf8(batch.column("text")), batch.column("y").to_pylist(), batch.column("n").to_pylist(), strict=True):
             for key in lexicon_keys(text):
-                seen.setdefault(key, [0, 0])[y > 0] += 1
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["key", "n1", "n0"])
+                seen.setdefault(key, [0, 0])[y > 0] += 1 / n  # n equal rows count once
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[1] for c in seen.values()], pa.float64()), pa.array([c[0] for c in seen.values()], pa.float64())], ["key", "n1", "n0"])
 
-    texts, keys = labelled_texts(docs, usable)
-    counts = map_batches(texts, ["text", "y"], count, "key binary, n1 bigint, n0 bigint").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    # labels grow with the texts, so this join shuffles the texts once, at any size alike; large keys may be split
+    labelled = texts.hint("merge").join(keys.select("doc_id", "same", "n", "y"), ["doc_id", "same"])
+    whole = lambda n: F.round(F.sum(n)).cast("bigint").alias(n)
+    counts = map_batches(labelled, ["text", "y", "n"], count, "key binary, n1 double, n0 double").groupBy("key").agg(whole("n1"), whole("n0"))
     found = {r["y"]: r["n"] for r in keys.groupBy(F.expr("int(y > 0)").alias("y")).agg(F.count("*").alias("n")).collect()}
     sizes = {y: found.get(y, 0) for y in (0, 1)}
     rate1, rate0 = (F.col("n1") + 0.5) / (sizes[1] + 1), (F.col("n0") + 0.5) / (sizes[0] + 1)
@@ -191,10 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Col
 
     def fire(batch: pa.RecordBatch) -> pa.RecordBatch:
         fired = pa.array(votes(utf8(batch.column("text")), index.value), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), fired], ["doc_id", "y", "fired"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), batch.column("y").cast(pa.int32()), fired], ["doc_id", "same", "y", "fired"])
 
-    rows = map_batches(sample, ["doc_id", "text", "y"], fire, "doc_id bigint, y int, fired array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    fired = map_batches(sample, ["doc_id", "same", "text", "y"], fire, "doc_id bigint, same bigint, y int, fired array<int>")
+    rows = fired.groupBy("doc_id", "same", "y").agg(F.min("fired").alias("fired")).toPandas().sort_values(["doc_id", "same"], kind="stable")
     y = (rows["y"].to_numpy() > 0).astype(float)
     if y.min(initial=1) == y.max(initial=0):
         return empty
