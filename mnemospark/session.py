@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -37,11 +39,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is chosen and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and all runs
+    on one machine, as in tests, a temporary folder is chosen and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,9 +53,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_scopes: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """All fresh paths of the block lie in one folder, which goes at its end."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove_path(spark, "/".join((shared_dir(spark).rstrip("/"), *_scopes)))
+        _scopes.pop()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return "/".join((shared_dir(spark).rstrip("/"), *_scopes, f"{name}-{uuid.uuid4().hex}"))
 
 
 def materialize(df, name: str, **options: str):
