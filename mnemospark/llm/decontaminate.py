@@ -2,17 +2,23 @@
 
 Test items are short and documents long, so the question is containment: which
 share of an item's distinct shingles (five alphanumeric words, A-Z lower-cased)
-stands in a document. Items are partitioned by the power of two of their number
-of shingles. The ``sketch`` smallest hashes of an item are its MinHash sketch,
-and the partition's sizes set how many of them a document must hold to be a
-candidate: all that an item of containment ``least`` holds but for a chance of
-``miss``. Items no larger than the sketch are held whole. Candidates are
-verified by counting shared shingles exactly, as strings.
-
-One pass over the documents computes their shingle hashes and keeps what two
-bit maps of the items' hashes let through: sketch hashes choose documents, and
-of those the shingles that any item has go on. The bit maps have a fixed size
-for any number of items; joins and counts are ordinary Spark.
+stands in a document.
+
+1. Items of the same shingles are one. They are partitioned by the power of two
+   of their number of shingles. The ``sketch`` smallest hashes of an item are its
+   MinHash sketch; a partition's sizes set how many of them a document must hold
+   (``needed``): all that an item of containment ``least`` holds but for a chance
+   of ``miss``. Items no larger than the sketch are held whole, at no risk.
+2. A document that holds ``needed`` of k hashes holds one of any k - needed + 1.
+   Those that the fewest items share are an item's probes, so a shingle of many
+   items joins few of them. Each partition has a bit map of its probes; a document
+   that passes none is done with.
+3. Of the others, texts (equal ones once) join the probes and give candidates,
+   candidates the sketches, which leaves those with ``needed`` hashes, and only
+   these are verified by counting shared shingles exactly, as strings.
+
+Bit maps get ``MAP_BITS`` bits for a hash, up to a fixed size; fuller ones let
+more through to the joins and lose nothing.
 
 Edge cases: an item with fewer than five words is one shingle of all its words;
 an item without words, or a null text, never matches; documents with a null id
@@ -27,16 +33,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.session import materialize
 
-from .textops import alnum_words, map_batches, utf8
+from .textops import alnum_words, map_batches, utf8, without_keys
 
 WIDTH, LEAST = 5, 0.8
-BIT_MAP = 1 << 25
 PAGE = 1 << 15
+#: Bits of a map for a hash in it, and the most bits of a map of probes and of the one of all shingles.
+MAP_BITS, PROBE_MAP, GRAM_MAP = 16, 1 << 25, 1 << 27
 WORD_CACHE = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,11 +85,16 @@ def needed(size: int, sketch: int, least: float, miss: float) -> int:
     return k
 
 
+def partition_needed(size_class: int, sketch: int, least: float, miss: float) -> int:
+    """``needed`` for any size of a partition: it rises up to the sketch's size and falls beyond, so the ends decide."""
+    return min(needed(n, sketch, least, miss) for n in (1 << size_class, (2 << size_class) - 1))
+
+
 def item_grams(items: DataFrame, width: int, sketch: int, least: float, miss: float) -> DataFrame:
-    """A row for each distinct shingle of each item, with the item's size partition and sketch."""
+    """A row for each distinct shingle of each item: its item's key (of all its shingles), size partition and sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache, rows = WordHashes(), []
+        cache, rows, wanted = WordHashes(), [], {}
         for item_id, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text")), strict=True):
             words = alnum_words(text)
             if not words:
@@ -92,9 +104,10 @@ def item_grams(items: DataFrame, width: int, sketch: int, least: float, miss: fl
             for i, h in enumerate(gram_hashes(words, w, cache).tolist()):
                 grams.setdefault(b" ".join(words[i : i + w]), h)
             smallest = set(sorted(grams.values())[:sketch])
-            key = xxhash.xxh64_intdigest(text, seed=42) - (1 << 63)
-            want = needed(len(grams), sketch, least, miss)
-            rows += [(item_id, key, g, h, w, h in smallest, len(grams), int(math.log2(len(grams))), want) for g, h in grams.items()]
+            key = xxhash.xxh64_intdigest(b"\n".join(sorted(grams)), seed=42) - (1 << 63)
+            size_class = len(grams).bit_length() - 1
+            want = wanted.setdefault(size_class, partition_needed(size_class, sketch, least, miss))
+            rows += [(item_id, key, g, h, w, h in smallest, len(grams), size_class, want) for g, h in grams.items()]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64()]
         names = ["item_id", "item_key", "gram", "h", "width", "in_sketch", "n_item", "size_class", "needed"]
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
@@ -104,61 +117,95 @@ def item_grams(items: DataFrame, width: int, sketch: int, least: float, miss: fl
     return map_batches(items, ["item_id", "text"], run, schema).distinct()
 
 
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """Which of ``BIT_MAP`` places some hash falls on; its size doesn't depend on the number of hashes."""
-    at = F.pmod(F.col("h"), F.lit(BIT_MAP))
-    pages = hashes.groupBy(F.expr(f"pmod(h, {BIT_MAP}) div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(PAGE))).alias("bits"))
-    out = np.zeros((BIT_MAP // PAGE, PAGE // 8), np.uint8)
-    for row in pages.toLocalIterator():  # BIT_MAP / 8 bytes in all at most
+def item_probes(grams: DataFrame) -> DataFrame:
+    """(size_class, h, item_key, needed): of each item's sketch the hashes that the fewest items share, one of which a match holds."""
+    shared = grams.groupBy("h").agg(F.count("*").alias("items"))
+    sketches = grams.where("in_sketch").select("size_class", "h", "item_key", "needed").distinct()
+    one = Window.partitionBy("item_key")  # a sketch at most
+    ranked = sketches.join(shared, "h").withColumns({"k": F.count("*").over(one), "rank": F.row_number().over(one.orderBy("items", "h"))})
+    return ranked.where(F.col("rank") <= F.col("k") - F.col("needed") + 1).select("size_class", "h", "item_key", "needed")
+
+
+def bit_map(hashes: DataFrame, most: int) -> np.ndarray:
+    """Which places some hash falls on; a power of two of places, ``most`` at most."""
+    bits = min(most, max(PAGE, 1 << (MAP_BITS * hashes.count()).bit_length()))
+    at = F.pmod(F.col("h"), F.lit(bits))
+    pages = hashes.groupBy(F.expr(f"pmod(h, {bits}) div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(PAGE))).alias("bits"))
+    out = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
+    for row in pages.toLocalIterator():  # most / 8 bytes in all at most
         out[row["page"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out.ravel()
 
 
 def through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes the bit map lets through."""
-    at = h & (BIT_MAP - 1)
+    at = h & (8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, sketch: int = 64, miss: float = 1e-6) -> DataFrame:
-    """Pairs (doc_id, doc_key, item_id) of containment ``least`` or more; doc_key is xxhash64 of the text."""
-    grams = materialize(item_grams(items, width, sketch, least, miss), "item-grams")
-    spark = docs.sparkSession
-    widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # `width` rows at most
-    maps = spark.sparkContext.broadcast((bit_map(grams.where("in_sketch").select("h")), bit_map(grams.select("h"))))  # 2 * BIT_MAP / 8 bytes
+def probed_texts(docs: DataFrame, widths: list[int], probe_maps: dict[int, np.ndarray], gram_map: np.ndarray) -> DataFrame:
+    """(doc_id, doc_key, grams) of the rows that pass a partition's probe map; grams: all shingles that an item may have."""
+    maps = docs.sparkSession.sparkContext.broadcast((probe_maps, gram_map))  # PROBE_MAP / 8 bytes a partition, GRAM_MAP / 8
     cache = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        in_sketch, in_any = maps.value
-        ids, keys, hashes, found = [], [], [], []
+        probes, in_any = maps.value
+        ids, keys, sizes, hashes, found, classes = [], [], [0], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             words = alnum_words(text)
-            by_width = [(w, gram_hashes(words, w, cache)) for w in widths]
-            if not any(through(in_sketch, h).any() for _, h in by_width):
-                continue
-            key = np.uint64(xxhash.xxh64_intdigest(text, seed=42)).astype(np.int64)
-            for w, h in by_width:
-                hits = {b" ".join(words[i : i + w]): h[i] for i in np.flatnonzero(through(in_any, h)).tolist()}
-                ids += [doc_id] * len(hits)
-                keys += [key] * len(hits)
-                found += hits
-                hashes += hits.values()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "doc_key", "h", "gram"]
-        )
-
-    hits = map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, doc_key bigint, h bigint, gram binary")
-    pairs = hits.distinct().join(grams, ["h", "gram"])
-    counted = pairs.groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item", "size_class", "needed").agg(
-        F.count("*").alias("n_shared"), F.sum(F.col("in_sketch").cast("long")).alias("n_sketch")
+            grams: dict[bytes, tuple[int, int]] = {}
+            hit = False
+            for w in widths:
+                h = gram_hashes(words, w, cache)
+                own = np.zeros(len(h), np.int64)
+                for c, bits in probes.items():
+                    own |= through(bits, h).astype(np.int64) << c
+                hit |= bool(own.any())
+                for i in np.flatnonzero(through(in_any, h)).tolist():
+                    grams[b" ".join(words[i : i + w])] = (int(h[i]), int(own[i]))
+            if hit:
+                ids.append(doc_id)
+                keys.append(xxhash.xxh64_intdigest(text, seed=42))
+                found += grams
+                hashes += [h for h, _ in grams.values()]
+                classes += [c for _, c in grams.values()]
+                sizes.append(len(found))
+        inner = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary()), pa.array(classes, pa.int64())], ["h", "gram", "classes"])
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).astype(np.int64)), lists], ["doc_id", "doc_key", "grams"])
+
+    return map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, doc_key bigint, grams array<struct<h:bigint,gram:binary,classes:bigint>>")
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, sketch: int = 64, miss: float = 1e-6) -> DataFrame:
+    """Pairs (doc_id, doc_key, item_id) of containment ``least`` or more; doc_key is xxhash64 of the text."""
+    rows = materialize(item_grams(items, width, sketch, least, miss), "item-grams")
+    members = rows.select("item_id", "item_key").distinct()
+    grams = materialize(rows.drop("item_id").distinct(), "item-classes")
+    probes = materialize(item_probes(grams), "item-probes")
+    widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # `width` rows at most
+    classes = sorted(r["size_class"] for r in grams.select("size_class").distinct().collect())  # powers of two
+    probe_maps = {c: bit_map(probes.where(F.col("size_class") == c).select("h"), PROBE_MAP) for c in classes}
+    passed = materialize(probed_texts(docs, widths, probe_maps, bit_map(grams.select("h"), GRAM_MAP)), "probed-texts")
+
+    held = passed.groupBy("doc_key").agg(F.first("grams").alias("grams"))  # equal texts have equal shingles
+    held = materialize(held.select("doc_key", F.explode("grams").alias("g")).select("doc_key", "g.*"), "held-shingles")
+    in_class = F.bit_get("classes", "size_class") == 1
+    found = held.where("classes != 0").join(probes, "h").where(in_class).select("doc_key", "item_key", "needed").distinct()
+    sketches = grams.where("in_sketch").select("item_key", "h")
+    candidates = found.join(sketches, "item_key").join(held.select("doc_key", "h").distinct(), ["doc_key", "h"])
+    candidates = candidates.groupBy("doc_key", "item_key", "needed").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("needed"))
+    candidates = materialize(candidates.select("doc_key", "item_key"), "leak-candidates")
+    shared = candidates.join(grams.select("item_key", "gram", "n_item", "size_class"), "item_key").join(held.select("doc_key", "gram"), ["doc_key", "gram"])
+    counted = shared.groupBy("doc_key", "item_key", "n_item", "size_class").agg(F.count("*").alias("n_shared"))
+    verified = counted.where(F.col("n_shared") >= least * F.col("n_item") - 1e-9).join(members, "item_key")
+    named = passed.select("doc_id", "doc_key").distinct().join(verified, "doc_key")
+    best = F.max_by(F.struct("n_item", "n_shared", "size_class"), F.struct(F.col("n_shared") / F.col("n_item"), "item_key")).alias("best")
+    return named.groupBy("doc_id", "doc_key", "item_id").agg(best).select(
+        "doc_id", "doc_key", "item_id", "best.n_item", "best.n_shared", "best.size_class", (F.col("best.n_shared") / F.col("best.n_item")).alias("containment")
     )
-    verified = counted.where((F.col("n_sketch") >= F.col("needed")) & (F.col("n_shared") >= least * F.col("n_item") - 1e-9))
-    return verified.groupBy("doc_id", "doc_key", "item_id").agg(
-        F.max_by(F.struct("n_item", "n_shared", "size_class"), F.col("n_shared") / F.col("n_item")).alias("best")
-    ).select("doc_id", "doc_key", "item_id", "best.n_item", "best.n_shared", "best.size_class", (F.col("best.n_shared") / F.col("best.n_item")).alias("containment"))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that leak no item."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
+    """The rows of ``docs``, all columns unchanged, whose text leaks no item."""
+    return without_keys(docs, [F.xxhash64(docs["text"])], leaks(docs, items, **options).select("doc_key"))

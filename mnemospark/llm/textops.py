@@ -11,8 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from mnemospark.session import materialize
+
+#: Keys up to which a small side of a join is broadcast.
+BROADCAST_KEYS = 500_000
 BLANKS = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 #: A-Z to lower case, other ASCII that is no letter or digit to a blank.
@@ -54,3 +59,23 @@ def map_batches(
                     yield out
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def small_side(df: DataFrame, name: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A stored table of keys, marked for broadcast if it has ``most`` rows at most, else joined in a shuffle."""
+    kept = materialize(df, name)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def matched(docs: DataFrame, keys: list[Column], others: DataFrame, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose keys are (``left_semi``) or aren't (``left_anti``) among ``others``.
+
+    Texts stay where they are as long as ``others`` is small; nulls match nulls.
+    """
+    side = small_side(others.toDF(*[f"k{i}" for i in range(len(keys))]).distinct(), "keys", most)
+    on = [key.eqNullSafe(side[f"k{i}"]) for i, key in enumerate(keys)]
+    return docs.join(side, on, how)
+
+
+def without_keys(docs: DataFrame, keys: list[Column], others: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    return matched(docs, keys, others, "left_anti", most)
