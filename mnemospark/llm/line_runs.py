@@ -1,16 +1,18 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-The store keeps, per level, sorted runs of (line hash, number of documents) for
-keys that are not yet frequent, and beside them the keys that are. A new batch
-of lines is counted, merge-anti-joined with the frequent keys, and the rest is
-added as a sorted run. When a level holds ``fanout`` runs they are compacted
-into one run of the next level; keys that reach ``min_docs`` become frequent.
-Runs are Parquet tables in the shared folder, so a lost executor loses none.
+A run is a table (line hash, number of documents), bucketed by hash and sorted
+within each bucket, one file a bucket. Documents come in batches of a bounded
+number of rows. A new batch of counts merge-anti-joins the runs' frequent keys,
+and the rest is added as a run of level 0. When a level holds ``fanout`` runs
+they are compacted into one of the next: full outer merge joins along the
+buckets' order, counts added up. As all runs share their buckets and order,
+neither join shuffles or sorts. Tables lie in the shared folder, so a lost
+executor loses none; merged runs are removed.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z
 lower-cased; it is known by 128 bits of XXH3. A row is a document.
 
-To rewrite texts, up to ``BROADCAST_KEYS`` frequent keys go to the workers as a
+To rewrite texts, up to ``FREQUENT_KEYS`` frequent keys go to the workers as a
 set; beyond that each document's keys are joined with them in a shuffle.
 
 Edge cases: a null or empty text is one empty line, whose empty key is shorter
@@ -20,7 +22,9 @@ empty text; a repeated row counts again; other columns are ignored or passed on.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,10 @@ from mnemospark.session import materialize, remove_path, scratch_path
 from .textops import code_points, map_batches, utf8
 
 MIN_DOCS, MIN_CHARS = 10, 1
-BROADCAST_KEYS = 500_000
-RUN_SCHEMA = "h1 bigint, h2 bigint, n bigint, hot boolean"
+FREQUENT_KEYS = 500_000
+#: Rows of a batch, and line keys that a task counts before it sends them on.
+BATCH_ROWS, FLUSH_KEYS = 20_000_000, 200_000
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_digest(line: bytes, min_chars: int) -> bytes | None:
@@ -52,83 +58,108 @@ def halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
+def buckets_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class LineRuns:
     """The levelled store."""
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.base = scratch_path(spark, "line-runs")
+        self.base, self.buckets = scratch_path(spark, "line-runs"), buckets_of(spark)
         self.levels: list[list[str]] = []
-        self.paths: list[str] = []  # all that may hold frequent keys
-
-    def _read(self, paths: list[str], hot: bool) -> DataFrame:
-        empty = self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint")
-        parts = [self.spark.read.schema(RUN_SCHEMA).parquet(p).where(F.col("hot") == hot).select("h1", "h2", "n") for p in paths]
-        for part in parts:
-            empty = empty.unionByName(part)
-        return empty
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.base}/level-{level}-{len(self.paths)}"
-        flagged = counts.withColumn("hot", F.col("n") >= self.min_docs)
-        flagged.sortWithinPartitions("hot", "h1", "h2").write.partitionBy("hot").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        self.paths.append(path)
 
-    def hot(self) -> DataFrame:
-        """(h1, h2) of the frequent keys."""
-        return self._read(self.paths, True).select("h1", "h2")
+    def store(self, rows: DataFrame, *partitions: str) -> str:
+        """Write rows, already dealt by (h1, h2), as a bucketed and sorted table."""
+        name = f"line_runs_{uuid.uuid4().hex}"
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.base}/{name}")
+        before = self.spark.conf.get(ORDERED, "false")
+        self.spark.conf.set(ORDERED, "true")  # each bucket is one sorted file
+        try:
+            (writer.partitionBy(*partitions) if partitions else writer).saveAsTable(name)
+        finally:
+            self.spark.conf.set(ORDERED, before)
+        return name
+
+    def remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove_path(self.spark, f"{self.base}/{name}")
+
+    def hot(self, name: str) -> DataFrame:
+        """(h1, h2) of a run's frequent keys."""
+        return self.spark.table(name).where(F.col("n") >= self.min_docs).select("h1", "h2")
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch of (h1, h2, n), one row a key."""
-        if self.paths:
-            counts = counts.join(self.hot(), ["h1", "h2"], "left_anti")
-        self._write(counts, 0)
+        for name in (x for level in self.levels for x in level):
+            counts = counts.join(self.hot(name).hint("merge"), ["h1", "h2"], "left_anti")
+        if not self.levels:
+            self.levels.append([])
+        self.levels[0].append(self.store(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            self.compact(level)
+            if len(self.levels) == level + 1:
+                self.levels.append([])
+            runs, self.levels[level] = self.levels[level], []
+            self.levels[level + 1].append(self.merge(runs))
             level += 1
 
-    def compact(self, level: int) -> None:
-        """Merge the runs of a level into one of the next."""
-        runs, self.levels[level] = self.levels[level], []
-        merged = self._read(runs, False).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self._write(merged, level + 1)
-        for path in runs:
-            remove_path(self.spark, f"{path}/hot=false")
+    def merge(self, runs: list[str]) -> str:
+        """One run of several, merged in their order."""
+        merged = self.spark.table(runs[0])
+        for name in runs[1:]:
+            more = self.spark.table(name).withColumnRenamed("n", "m").hint("merge")
+            both = merged.join(more, ["h1", "h2"], "full")
+            merged = both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        made = self.store(merged)
+        for name in runs:
+            self.remove(name)
+        return made
 
     def close(self) -> DataFrame:
-        """Compact what is left and return the frequent keys."""
-        rest = [p for level in self.levels for p in level]
-        if len(rest) > 1:
-            self.levels = [rest]
-            self.compact(0)
-        return self.hot()
+        """Merge what is left and return the frequent keys; all runs are removed."""
+        rest = [x for level in self.levels for x in level]
+        last = self.merge(rest) if len(rest) > 1 else rest[0]
+        self.levels = []
+        found = materialize(self.hot(last), "frequent-lines")
+        self.remove(last)
+        return found
 
 
 def line_counts(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
-    """(batch, h1, h2, n): in how many documents of a batch each key stands."""
+    """(batch, h1, h2, n), dealt by (h1, h2): in how many documents of a batch each key stands."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[int, bytes]] = Counter()
-        for part, text in zip(batch.column("batch").to_pylist(), utf8(batch.column("text")), strict=True):
-            seen.update((part, d) for d in text_digests(text, min_chars))
-        h1, h2 = halves([d for _, d in seen])
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int32()), h1, h2, pa.array(list(seen.values()), pa.int64())], ["batch", "h1", "h2", "n"])
+
+        def flush() -> pa.RecordBatch:
+            h1, h2 = halves([d for _, d in seen])
+            out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int32()), h1, h2, pa.array(list(seen.values()), pa.int64())], ["batch", "h1", "h2", "n"])
+            seen.clear()
+            return out
+
+        for batch in found:
+            for part, text in zip(batch.column("batch").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                seen.update([(part, d) for d in text_digests(text.as_py() or b"", min_chars)])
+                if len(seen) > FLUSH_KEYS:
+                    yield flush()
+        yield flush()
 
     parts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "text")
-    counts = map_batches(parts, ["batch", "text"], run, "batch int, h1 bigint, h2 bigint, n bigint")
+    counts = parts.mapInArrow(run, "batch int, h1 bigint, h2 bigint, n bigint").repartition(buckets_of(docs.sparkSession), "h1", "h2")
     return counts.groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = 4) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int | None = None) -> DataFrame:
     """(h1, h2) of the line keys found in at least ``min_docs`` rows, batch by batch through the runs."""
-    counts = materialize(line_counts(docs, batches, min_chars), "line-batches")
+    if batches is None:
+        batches = max(4, -(-docs.count() // BATCH_ROWS))
     runs = LineRuns(docs.sparkSession, min_docs)
+    stored = runs.store(line_counts(docs, batches, min_chars), "batch")
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n"))
+        runs.add(docs.sparkSession.table(stored).where(F.col("batch") == b).select("h1", "h2", "n"))
+    runs.remove(stored)
     return runs.close()
 
 
@@ -138,7 +169,7 @@ def _rewrite(text: bytes, hot, min_chars: int) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_lines(docs: DataFrame, hot: DataFrame, min_chars: int = MIN_CHARS, broadcast_keys: int = FREQUENT_KEYS) -> DataFrame:
     """``doc_id``, ``kept_text``, ``n_lines``, ``n_dropped`` and ``row``, a struct of all columns but text, per row."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     packed = docs.select(rest.alias("row"), "text")
