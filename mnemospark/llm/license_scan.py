@@ -8,10 +8,12 @@ and a chain that covers enough of the template is a span. Base phrases are
 templates too: one occurs wherever it is a suffix of the current match.
 
 A match of two words needs a word pair that some template has, so only runs of
-such pairs walk through the automaton; this leaves out no match.
+such pairs, and phrases of one word, walk through the automaton; this leaves out
+no match. Anchors have two words at least.
 
-Edge cases: a null or empty text has no words and scores 0; repeated rows are
-scanned alike; other columns are ignored; texts of any length are read whole.
+Edge cases: a null or empty text has no words and scores 0; phrases and templates
+without words never match; repeated rows are scanned alike; other columns are
+ignored; texts of any length are read whole, in time that follows their words.
 """
 
 from __future__ import annotations
@@ -66,6 +68,66 @@ TEMPLATES = {
         "the above copyright notice and this permission notice appear in all copies."
     ),
     "all-rights-reserved": "All rights reserved",
+    "lgpl-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "gpl-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+        "at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "isc-warranty": (
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "cc0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+        "public domain worldwide. This software is distributed without any warranty."
+    ),
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software"
+    ),
+    "cc-by-sa-4.0": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
 }
 
 
@@ -124,6 +186,8 @@ class Scanner:
     """Automaton, word ids and what ends in each state, for a set of templates."""
 
     def __init__(self, phrases: Mapping[str, str], templates: Mapping[str, str], min_match: int, max_gap: int, coverage: float):
+        if min_match < 2:
+            raise ValueError("anchors have two words at least")
         self.min_match, self.max_gap, self.coverage = min_match, max_gap, coverage
         self.ids: dict[bytes, int] = {}
         self.phrases = [(self._known(p), label) for p, label in phrases.items()]
@@ -133,16 +197,16 @@ class Scanner:
         for words in strings:
             self.machine.add(words)
         k = len(self.ids) + 1
-        self.pair = np.zeros(k * k, bool)
-        for words in strings:
-            for a, b in zip(words, words[1:]):
-                self.pair[a * k + b] = True
+        self.pairs = np.array(sorted({a * k + b for words in strings for a, b in zip(words, words[1:])}), np.int64)
+        self.alone = np.zeros(k, bool)  # phrases of one word
+        self.alone[[words[0] for words, _ in self.phrases if len(words) == 1]] = True
         n = len(self.machine.length)
         by_length = sorted(range(1, n), key=self.machine.length.__getitem__)
         #: Per state: (phrase, its words) that are a suffix of the state's strings.
         self.ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for i, (words, _) in enumerate(self.phrases):
-            self.ends[self._walk(words)].append((i, len(words)))
+            if words:
+                self.ends[self._walk(words)].append((i, len(words)))
         for s in by_length:
             self.ends[s] = self.ends[s] + self.ends[self.machine.link[s]]
         #: Per state: (template, index after its last word) of all its occurrences.
@@ -166,14 +230,15 @@ class Scanner:
         return at
 
     def runs(self, words: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Word ids and the maximal runs of word pairs that templates have."""
+        """Word ids and the maximal runs of word pairs that templates have, or of one word that is a phrase."""
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        hit = np.flatnonzero(self.pair[ids[:-1] * (len(self.ids) + 1) + ids[1:]]) if len(ids) > 1 else np.zeros(0, np.int64)
-        if not len(hit):
-            return ids, []
-        cut = np.flatnonzero(np.diff(hit) > 1)
-        starts, stops = hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]] + 2
+        link = np.zeros(len(ids) + 1, bool)  # word i - 1 to word i
+        if len(ids) > 1 and len(self.pairs):
+            key = ids[:-1] * (len(self.ids) + 1) + ids[1:]
+            link[1:-1] = self.pairs[np.searchsorted(self.pairs, key).clip(max=len(self.pairs) - 1)] == key
+        active = link[:-1] | link[1:] | self.alone[ids]
+        starts, stops = np.flatnonzero(active & ~link[:-1]), np.flatnonzero(active & ~link[1:]) + 1
         return ids, list(zip(starts.tolist(), stops.tolist(), strict=True))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
@@ -203,7 +268,7 @@ class Scanner:
             own = sorted((d, p, n) for u, d, p, n in anchors if u == t)
             whole = len(self.templates[t][0])
             best: list[tuple[int, int]] = []  # covered words, start of the chain
-            reach: list[tuple[int, int, int, int]] = []  # covered, start, end, template end
+            reach: dict[int, tuple[int, int]] = {}  # by start of the chain: most covered, its end
             first = 0
             longest = max(n for _, _, n in own)
             for i, (d, p, n) in enumerate(own):
@@ -217,10 +282,8 @@ class Scanner:
                         covered, start = best[j][0] + n - lap, best[j][1]
                 best.append((covered, start))
                 if covered >= self.coverage * whole:
-                    reach.append((covered, start, d + n, p + n))
-            for start in sorted({r[1] for r in reach}):
-                covered, _, end, _ = max(r for r in reach if r[1] == start)
-                found.append((self.templates[t][1], start, end, min(1.0, covered / whole)))
+                    reach[start] = max(reach.get(start, (0, 0)), (covered, d + n))
+            found += [(self.templates[t][1], start, end, min(1.0, covered / whole)) for start, (covered, end) in sorted(reach.items())]
         return found
 
 
