@@ -70,7 +70,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     )
-    made = chat_format.format_turns(chat_format.turn_rows(rows.unionByName(extra)))
+    made = chat_format.format_turns(chat_format.table_turns(rows.unionByName(extra)))
     made = made.withColumn("back", chat_format.parse_formatted(F.col("formatted")))
     line = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = chat_format.masked_text(F.col("formatted"), F.col("loss_spans"))
