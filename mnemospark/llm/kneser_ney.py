@@ -11,9 +11,9 @@ Spark counts the model and the workers memory-map it:
 3. For each second word the number of distinct words before it is stored as a
    plain array by id.
 
-The discounts come from the counts of counts of all shards; where these give no
-positive one, as with repeated rows, ``FALLBACK`` does, so that every context
-keeps some mass for unseen words. Counts are 64-bit; they are stored in 32 bits
+The discounts come from the counts of counts of all shards. A context whose
+counts these leave undiscounted, as with repeated rows, is discounted by
+``FALLBACK``, so that each keeps some mass for unseen words. Counts are 64-bit; they are stored in 32 bits
 in shards where all fit. Word ids have 32 bits: more words raise an error.
 Interpolation goes
 from pairs over continuation counts to the uniform distribution over the V
@@ -54,8 +54,8 @@ CHARS_PER_SHARD = 16_000_000
 FLUSH_WORDS, FLUSH_TOKENS, SCORE_TOKENS = 150_000, 2_000_000, 500_000
 BLOCKS = "shard int, keys binary, counts binary"
 START = (1 << 32) - 1  # the id of the start context
-#: Discounts of counts 1, 2 and 3 or more where counts of counts give none.
-FALLBACK = (0.5, 1.0, 1.5)
+#: Discounts of counts 1, 2 and 3 or more in contexts where counts of counts give none; index 0 is 0.
+FALLBACK = np.array([0.0, 0.5, 1.0, 1.5])
 CACHE_BYTES = 256 << 20
 
 
@@ -130,6 +130,15 @@ def load(path: str, kind: str) -> np.ndarray:
     return mapped(local).view(kind) if files is None else np.frombuffer(FETCHED.get(path), kind)
 
 
+def forget() -> None:
+    """Let go of all arrays."""
+    mapped.cache_clear()
+    FETCHED.__init__()
+
+
+load.cache_clear = forget
+
+
 def save_counts(path: str, counts: np.ndarray) -> None:
     """Store counts in 32 bits if all fit, else in 64."""
     save(path, counts.astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8"))
@@ -191,7 +200,7 @@ def discounts(n: list[int]) -> np.ndarray:
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
     d = [(i - (i + 1) * y * b / a if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([0.0, *(min(x, i) if x > 0 else rest for i, x, rest in zip((1, 2, 3), d, FALLBACK, strict=True))])
+    return np.clip([0.0, *d], 0, [0, 1, 2, 3])
 
 
 class Vocabulary:
@@ -357,7 +366,9 @@ def train(docs: DataFrame, allowed: Column | None = None, chars_per_shard: int =
     rows = _grouped(stored.where("kind = 1").select("shard", "keys", "counts"), store_continuations, "shard int, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint").collect()
     n1, n2, n3, n4, more = (sum(r[k] for r in rows) for k in ("n1", "n2", "n3", "n4", "more"))
     model.word_d = discounts([n1, n2, n3, n4])
-    model.word_gamma = float(model.word_d[1] * n1 + model.word_d[2] * n2 + model.word_d[3] * more) / model.pairs if model.pairs else 1.0
+    if model.word_d[1:] @ [n1, n2, more] <= 0:
+        model.word_d = FALLBACK
+    model.word_gamma = float(model.word_d[1:] @ [n1, n2, more]) / model.pairs if model.pairs else 1.0
     return model
 
 
@@ -444,8 +455,11 @@ class Reader:
         count[fine], stats[fine] = self.pair_stats(keys[fine])
         total = stats[:, 0]
         seen = total > 0
-        gamma = np.where(seen, stats[:, 1:] @ m.pair_d[1:] / np.maximum(total, 1), 1.0)
-        d = m.pair_d[np.minimum(count, 3).astype(np.int64)]
+        freed = stats[:, 1:] @ m.pair_d[1:]
+        bare = freed <= 0  # nothing left for unseen words
+        gamma = np.where(seen, np.where(bare, stats[:, 1:] @ FALLBACK[1:], freed) / np.maximum(total, 1), 1.0)
+        least = np.minimum(count, 3).astype(np.int64)
+        d = np.where(bare, FALLBACK[least], m.pair_d[least])
         p_pair = gamma * p + np.where(seen, (count - d).clip(0) / np.maximum(total, 1), 0)
         after_unknown = np.concatenate([[False], ~known[:-1]])
         after_unknown[starts] = False
