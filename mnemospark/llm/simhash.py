@@ -26,12 +26,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.session import materialize
 
-from .textops import map_batches, utf8
+from .textops import BROADCAST_KEYS, map_batches, matched, utf8, without_keys
 
 NEAR, WIDTH, SEED = 3, 3, 42
 BUCKET = 1 << 14
@@ -183,22 +183,49 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def labelled_classes(prints: DataFrame, first: Column, bucket: int = BUCKET) -> DataFrame:
+    """(fp, first) for each distinct fingerprint: the least ``first`` of its component."""
+    classes = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    roots = components(links(classes, bucket))
+    rooted = classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return materialize(rooted.drop("first").join(named, "root").select("fp", "first"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(classes, bucket))
-    rooted = classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = labelled_classes(prints, F.col("doc_id"), bucket)
+    return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest id, all columns unchanged.
+def drop_near_duplicates(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One row of each component, all columns unchanged: that of the smallest id and, of rows that share it, of the smallest text hash.
 
-    Rows with a null id can't be named and stay; of rows that repeat an id one stays.
+    Rows that repeat both id and text are the same document, and the least of them
+    in all columns stays; rows that share an id alone are judged one by one. Rows
+    with a null id can't be named and stay. Decisions are made on ids and hashes;
+    texts move only where the rows to drop are too many to broadcast.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    text_key = F.xxhash64("text").alias("text_key")
+    prints = map_batches(docs.select("doc_id", "text", text_key), ["doc_id", "text", "text_key"], _keyed_prints, "doc_id bigint, text_key bigint, fp bigint")
+    prints = materialize(prints.where(F.col("doc_id").isNotNull()), "fingerprints")
+    label = labelled_classes(prints, F.struct("doc_id", "text_key"))
+    rows = prints.groupBy("doc_id", "text_key", "fp").agg(F.count("*").alias("n")).join(label, "fp")
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    rows = materialize(rows.select("doc_id", "text_key", "n", first.alias("first")), "near-duplicates")
+    keys = lambda df: [df["doc_id"], F.xxhash64(df["text"])]
+    kept = without_keys(docs, keys(docs), rows.where(~F.col("first")).select("doc_id", "text_key"), broadcast_keys)
+    again = materialize(rows.where("first AND n > 1").select("doc_id", "text_key"), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    once = without_keys(kept, keys(kept), again, broadcast_keys)
+    more = matched(kept, keys(kept), again, "left_semi", broadcast_keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = more.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return once.unionByName(least)
+
+
+def _keyed_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+    prints = pa.array([fingerprint(t) for t in utf8(batch.column("text"))], pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), prints], ["doc_id", "text_key", "fp"])
