@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import boosted_quality, decontaminate, line_runs, packing, simhash
-from mnemospark.session import materialize
+from mnemospark.session import remove_path, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; a stage's own tables go when it is written, its result when the next is."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        path = scratch_path(spark, f"stage-{k}")
+        with scratch_scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if written:
+            remove_path(spark, written)
+        docs, written = spark.read.schema(made.schema).parquet(path), path
     return docs
