@@ -80,7 +80,7 @@ def _list(path: str, role: str, text: str) -> Layout:
 
 def _rows(conversation: str, order: str, role: str, text: str) -> Layout:
     paths = (conversation, order, role, text)
-    return Layout("turn_rows" if text == "text" else f"turn_rows_{text}", paths, rows=paths)
+    return Layout("turn_rows" if text == "text" else f"{conversation}_rows_{text}", paths, rows=paths)
 
 
 LAYOUTS = (
