@@ -67,16 +67,28 @@ class TokenCache:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.normal = functools.lru_cache(1 << 16)(self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str)
+        self.odd = self._odd()
+
+    def _odd(self) -> frozenset[str]:
+        """Letters and digits that the normaliser turns into anything but letters and digits."""
+        if not self.tokenizer.normalizer:
+            return frozenset()
+        every = [c for c in map(chr, range(0x110000)) if c.isalnum()]
+        made = self.tokenizer.normalizer.normalize_str("\n".join(every)).split()
+        if len(made) != len(every):
+            made = map(self.tokenizer.normalizer.normalize_str, every)
+        return frozenset(c for c, m in zip(every, made, strict=True) if not m.isalnum() or c.isalpha() and not m.isalpha())
 
     def _cuts(self, stem: bytes) -> bool:
         """Whether the tokenizer splits between this stem and a full stop or comma."""
         if not stem or stem[-1] < 128:
             return stem[-1:].isalnum()
-        return self.normal(stem.decode()[-1])[-1:].isalnum()
+        last = stem.decode()[-1]
+        return last.isalnum() and last not in self.odd
 
     def _letters(self, word: bytes) -> bool:
-        return word.isalpha() if word.isascii() else all(self.normal(c).isalpha() for c in word.decode())
+        text = word.decode()
+        return text.isalpha() and (word.isascii() or self.odd.isdisjoint(text))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
