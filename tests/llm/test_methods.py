@@ -78,10 +78,9 @@ def test_posteriors_by_all_paths():
 def test_mixed_documents_get_both_states(spark):
     good, bad = "the calm river runs past the old mill and the trees.", "BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!! BUY!!"
     rows, rng = [], np.random.default_rng(0)
-    for i in range(120):
-        n = int(rng.integers(25, 40))
-        y = i % 2
-        lines = [f"{good[:-1]} w{i} v{k}." if (k == 0) != bool(y) or y and k < n - 1 else f"{bad} {i} {k}" for k in range(n)]
+    for i in range(120):  # one line of every document is of the other sort
+        n, y = int(rng.integers(25, 40)), i % 2
+        lines = [f"{good[:-1]} w{i} v{k}." if (k == 7) != bool(y) else f"{bad} {i} {k}" for k in range(n)]
         rows.append((i, "\n".join(lines), y))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
     chain = line_crf.train(docs.drop("quality"), docs.drop("text"))
