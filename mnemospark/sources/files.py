@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ def scan_folder(spark: SparkSession, root: str, glob: str | None = None, with_co
     return out
 
 
-def search_files(spark: SparkSession, root: str, glob: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """Files by name pattern and size, the newest and then the smallest first."""
-    return scan_folder(spark, root, glob).where(F.col("size") <= max_bytes).orderBy(F.col("mtime").desc(), "size", "path")
+def ignored(below, patterns: list[str]):
+    """Whether a path below the root matches patterns of an ignore file; the last that matches decides.
+
+    ``*`` and ``?`` stay within a name, ``**`` doesn't; a pattern with a slash begins at the
+    root, others match any name; one that ends in a slash means folders; ``!`` takes back.
+    """
+    out = F.lit(False)
+    for line in (p.strip() for p in patterns):
+        if not line or line.startswith("#"):
+            continue
+        takes, body = not line.startswith("!"), line.removeprefix("!")
+        anchored, folder = "/" in body.rstrip("/"), body.endswith("/")
+        made = re.sub(r"\*\*/?|[*?]|[^*?]+", lambda m: {"*": "[^/]*", "?": "[^/]", "**": ".*", "**/": "(?:.*/)?"}.get(m[0], re.escape(m[0])), body.strip("/"))
+        out = F.when(below.rlike(("^" if anchored else "(?:^|/)") + made + ("/" if folder else "(?:/|$)")), takes).otherwise(out)
+    return out
+
+
+def search_files(spark: SparkSession, root: str, glob: str, max_bytes: int = 1 << 20, depth: int = 15, ignore: list[str] | None = None) -> DataFrame:
+    """Files by name pattern, size and depth below the root, the newest and then the smallest first; ``ignore`` has lines of an ignore file."""
+    found = scan_folder(spark, root, glob).where(F.col("size") <= max_bytes)
+    below = F.regexp_replace("path", "^.*?" + re.escape(root.removeprefix("file:").rstrip("/")) + "/", "")
+    found = found.where((F.size(F.split(below, "/")) <= depth) & ~ignored(below, ignore or []))
+    return found.orderBy(F.col("mtime").desc(), "size", "path")

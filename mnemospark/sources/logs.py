@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -11,8 +11,24 @@ RELATION = "id string, agentId string, fromNodeId string, toNodeId string, relat
 EVENT = "id string, timestamp bigint, agentId string, eventType string, payload string, metadata struct<version:int,source:string,userId:string,correlationId:string,causationId:string>"
 
 
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """(value, _pos) of a text source: files by time of change, then by path, and lines in their order.
+
+    Blocks of files, a row each, are ranked; a line's place is its block's rank and its own number in the task that read it.
+    """
+    block = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
+    named = lines.select("value", *[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)], F.monotonically_increasing_id().alias("_id"))
+    ranked = lines.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)]).distinct()
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.orderBy("_b0", "_b1", "_b2")))  # a row a block of a file
+    place = F.col("_rank").cast("bigint") * F.lit(1 << 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return named.join(ranked, ["_b0", "_b1", "_b2"]).select("value", place.alias("_pos"))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines in file order (``_pos``); blank and broken lines are left out, a missing path is empty."""
+    """JSON lines with their place (``_pos``): older files first, then by path, then by line.
+
+    Blank and broken lines are left out, a missing path is empty.
+    """
     try:
         lines = spark.read.text(path)
     except AnalysisException as gone:
@@ -20,10 +36,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
             raise
         return spark.createDataFrame([], schema).withColumn("_pos", F.lit(0).cast("bigint"))
     value = F.from_json("value", schema)
-    rows = lines.select(F.monotonically_increasing_id().alias("_pos"), F.try_parse_json("value").alias("raw"), value.alias("v"))
+    rows = placed_lines(lines).select("_pos", F.try_parse_json("value").alias("raw"), value.alias("v"))
     return rows.where(F.col("raw").isNotNull() & F.col("v").isNotNull()).select("v.*", "_pos")
 
 
+def stream_json_lines(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
+    """JSON lines of a folder's files as a stream; blank and broken lines are left out."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    rows = lines.select(F.try_parse_json("value").alias("raw"), F.from_json("value", schema).alias("v"))
+    return rows.where(F.col("raw").isNotNull() & F.col("v").isNotNull()).select("v.*")
+
+
 def read_export(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """One array of a JSON export document, a row an element."""
     whole = spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path)

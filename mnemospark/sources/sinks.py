@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,6 +68,51 @@ def snapshot(tables: Mapping[str, DataFrame], root: str, name: str) -> str:
     return f"{root}/{name}"
 
 
+def _files(spark: SparkSession, path: str):
+    """(Hadoop file system, path)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_together(tables: Mapping[str, DataFrame], path: str) -> None:
+    """All tables under a new folder, or none: they are written beside it and moved in one step."""
+    from mnemospark.session import remove_path
+
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        snapshot(tables, staged, "all")
+        files, target = _files(spark, path)
+        if files.exists(target) or not files.rename(_files(spark, f"{staged}/all")[1], target):
+            raise FileExistsError(path)
+    finally:
+        remove_path(spark, staged)
+
+
+def export_json(tables: Mapping[str, DataFrame], path: str) -> dict[str, int]:
+    """Each table as JSON lines, and ``statistics`` with their rows; returns the counts."""
+    counts = {}
+    for key, df in tables.items():
+        df.write.json(f"{path}/{key}")
+        counts[key] = df.count()
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(list(counts.items()), "table string, n_rows bigint").coalesce(1).write.json(f"{path}/statistics")
+    return counts
+
+
+def migrate(old: DataFrame, names: Mapping[str, str], path: str) -> int:
+    """Write a table as JSON lines under new column names; if the written rows differ in number, remove them and raise."""
+    from mnemospark.session import remove_path
+
+    new = old.select(*[F.col(a).alias(b) for a, b in names.items()])
+    new.write.json(path)
+    wanted, there = old.count(), old.sparkSession.read.schema(new.schema).json(path).count()
+    if wanted != there:
+        remove_path(old.sparkSession, path)
+        raise ValueError(f"{there} of {wanted} rows were written")
+    return there
+
+
 def list_snapshots(spark: SparkSession, root: str) -> list[str]:
     """Snapshot names, the newest first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
