@@ -36,17 +36,18 @@ class LineWindows:
             yield n, start, len(lines), "\n".join(held)
 
 
-@udtf(returnType="part int, text string")
+@udtf(returnType="part int, text string", useArrow=True)
 class SentenceSplits:
     """Cuts at a limit, better after a full stop or line break of the second half."""
 
     def eval(self, text: str, most: int) -> Iterator[tuple[int, str]]:
-        rest, n = text or "", 0
-        while len(rest) > most:
-            cut = max(rest.rfind(".", most // 2, most), rest.rfind("\n", most // 2, most)) + 1 or most
-            yield n, rest[:cut]
-            rest, n = rest[cut:], n + 1
-        yield n, rest
+        text, at, n = text or "", 0, 0
+        while len(text) - at > most:
+            low, high = at + most // 2, at + most
+            cut = max(text.rfind(".", low, high), text.rfind("\n", low, high)) + 1 or high
+            yield n, text[at:cut]
+            at, n = cut, n + 1
+        yield n, text[at:]
 
 
 def line_windows(docs: DataFrame, key: str, text: str, most: int = 8000, overlap: int = 200) -> DataFrame:
@@ -89,6 +90,18 @@ def content_type(text: Column, is_summary: Column) -> Column:
     return F.when(is_summary, "summary").when(comment, "comment").when((code > 2) & ~(prose > 3), "code").otherwise("documentation")
 
 
+def routed(text: Column, is_summary: Column) -> Column:
+    """struct<kind, model>: code, and comments that are code, go to the code model, all else to the prose model."""
+    kind = content_type(text, is_summary)
+    is_code = (kind == "code") | ((kind == "comment") & (content_type(F.concat(F.lit("."), text), F.lit(False)) == "code"))
+    return F.struct(kind.alias("kind"), F.when(is_code, "code_model").otherwise("prose_model").alias("model"))
+
+
+def routing_distribution(rows: DataFrame, kind: str = "kind", model: str = "model") -> DataFrame:
+    """How many rows of each kind went to each model."""
+    return rows.groupBy(kind).pivot(model, ["code_model", "prose_model"]).count().na.fill(0)
+
+
 def balanced(rows: DataFrame, model: str, order: str, most: float = 0.8, to: float = 0.7) -> DataFrame:
     """Rows by model; if one has over ``most`` of all, those past its first ``to`` go to the other."""
     share = rows.groupBy(model).agg(F.count("*").alias("n")).toPandas()  # a row a model

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.strings import basename, similarity
+from mnemospark.functions.strings import basename, shorten, similarity
 from mnemospark.operators.retrieval import similar_sets, word_set
 from mnemospark.session import materialize
 
@@ -77,6 +77,23 @@ def expand_terms(names: DataFrame, prompt: str, name: str = "name", most: int =
     return exact.union(held).union(names.where(near).select(name).distinct().orderBy(name).limit(most)).distinct()
 
 
+def graph_prompt(nodes: DataFrame, edges: DataFrame, most: int = 200, longest: int = 150_000) -> DataFrame:
+    """One row ``text``: the first ``most`` nodes (three notes of 70 characters each) and edges as JSON, by id.
+
+    If that is longer than ``longest`` characters, the text gives the fields and the counts instead.
+    """
+    notes = F.transform(F.slice(F.coalesce("observations", F.array().cast("array<string>")), 1, 3), lambda o: shorten(o, 70))
+    some = nodes.select("id", "name", "entity_type", notes.alias("observations")).orderBy("id").limit(most)
+    ends = edges.select("src", "dst", "kind").orderBy("src", "dst", "kind").limit(most)
+    row = lambda df: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("x")).select(F.lit(1).alias("one"), "x")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(1).alias("one"), "n") for df in (nodes, edges)]
+    both = row(some).withColumnRenamed("x", "nodes").join(row(ends).withColumnRenamed("x", "relations"), "one")
+    both = both.join(counts[0].withColumnRenamed("n", "n_nodes"), "one").join(counts[1].withColumnRenamed("n", "n_edges"), "one")
+    whole = F.to_json(F.struct("nodes", "relations"))
+    short = F.concat(F.lit("nodes: id, name, entity_type, observations; relations: src, dst, kind; total nodes: "), F.col("n_nodes").cast("string"), F.lit(", total relations: "), F.col("n_edges").cast("string"))
+    return both.select(F.when(F.length(whole) > longest, short).otherwise(whole).alias("text"))
+
+
 def snippet(items: Column, index: int) -> Column:
     """One element of an array, null out of range."""
     return F.get(items, F.lit(index))
@@ -246,8 +263,21 @@ def greedy_dedup(rows: DataFrame, key: str, text: str, score: str, least: float
     return best.select(key).join(dropped.withColumnRenamed("id", key), key, "left_anti").unionByName(plain)
 
 
-def iterative_search(search: Callable[[str], DataFrame], queries: list[str], key: str, turns: int = 5, more: Callable[[DataFrame, str], list[str]] | None = None) -> DataFrame:
-    """Run queued queries until they add nothing new or the turns are over; ``more`` proposes follow-ups."""
+def iterative_search(
+    search: Callable[[str], DataFrame],
+    queries: list[str],
+    key: str,
+    turns: int = 5,
+    more: Callable[[DataFrame, str], list[str]] | None = None,
+    source: str | None = None,
+    diversify: Callable[[DataFrame, str], list[str]] | None = None,
+    least: float = 0.4,
+) -> DataFrame:
+    """Run queued queries until they add nothing new or the turns are over; ``more`` proposes follow-ups.
+
+    If the found rows have few sources for their number (``source``, coverage under
+    ``least``), the queries of ``diversify`` come next.
+    """
     found, queue, asked = None, list(queries), set()
     for _ in range(turns):
         text = next((q for q in queue if q not in asked), None)
@@ -261,5 +291,9 @@ def iterative_search(search: Callable[[str], DataFrame], queries: list[str], key
             break
         found = fresh if found is None else found.unionByName(fresh)
         queue += more(fresh, text) if more else []
+        if source and diversify:
+            seen = found.agg(F.countDistinct(source).alias("sources"), F.count("*").alias("n")).first()
+            if seen["n"] and seen["sources"] / min(seen["n"], 24) < least:
+                queue = [*diversify(found, text), *queue]
     return found
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,15 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "outgo
     return seen
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start_name: str, depth: int, direction: str = "outgoing", kinds: list[str] | None = None) -> DataFrame:
-    """Nodes reached from those of a name, walking through ids that have no node."""
-    reached = bfs(edges, nodes.where(F.col("name") == start_name), depth, direction, kinds)
-    return nodes.join(reached, "id")
+def traverse(nodes: DataFrame, edges: DataFrame, start_name: str, depth: int, direction: str = "outgoing", kinds: list[str] | None = None, otherwise: Column | None = None) -> DataFrame:
+    """Nodes reached from those of a name, walking through ids that have no node.
+
+    If none has the name, the walk starts from the first node by id that ``otherwise`` finds.
+    """
+    starts = nodes.where(F.col("name") == start_name)
+    if otherwise is not None and starts.isEmpty():
+        starts = nodes.where(otherwise).orderBy("id").limit(1)
+    return nodes.join(bfs(edges, starts, depth, direction, kinds), "id")
 
 
 def neighbourhood_edges(nodes: DataFrame, edges: DataFrame, start_name: str, depth: int, kinds: list[str] | None = None) -> DataFrame:
@@ -91,6 +98,94 @@ def resolve_names(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("wanted").agg(F.min_by(F.struct("id", "strategy"), "rank").alias("r")).select("wanted", "r.*")
 
 
+def _stripped(name: Column) -> Column:
+    """``path::Name`` without a prefix that holds a slash of either kind."""
+    before = F.substring_index(name, "::", 1)
+    is_path = name.contains("::") & (before.contains("/") | before.contains("\\"))
+    return F.when(is_path, F.substring(name, F.length(before) + 3, F.length(name))).otherwise(name)
+
+
+def _namespace(name: Column) -> Column:
+    """Trimmed, without a leading backslash, double ones as one."""
+    trimmed = F.trim(name)
+    bare = F.when(trimmed.startswith("\\"), F.substring(trimmed, F.lit(2), F.length(trimmed))).otherwise(trimmed)
+    return F.replace(bare, F.lit("\\\\"), F.lit("\\"))
+
+
+def _tails(name: Column, mark: str) -> Column:
+    """What follows each occurrence of a mark."""
+    parts = F.split(name, re.escape(mark))
+    after = F.sequence(F.lit(1), F.size(parts) - 1)
+    return F.when(F.size(parts) > 1, F.transform(after, lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), mark))).otherwise(F.array().cast("array<string>"))
+
+
+def resolve_endpoints(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(wanted, id, strategy): what a relation's end means, the first of seven strategies that finds it.
+
+    exact; file_prefix, without a path before ``::``; namespace, without a leading
+    backslash; and by one node name alone: class_member, ``Class::member`` at the end
+    of a namespace; member, ``::member`` at the end; suffix, the end of a namespace;
+    class_and_member, the only class of that ending joined with the member. A name of
+    several nodes means the one of the greatest id. Each strategy is an equi-join on
+    the names or their endings.
+    """
+    ids = nodes.groupBy("name").agg(F.max("id").alias("id"))
+    bare = _stripped(F.col("wanted"))
+    one = materialize(wanted.select("wanted").where(F.length("wanted") > 0).distinct(), "wanted")
+    one = materialize(one.select("wanted", bare.alias("bare")), "wanted")  # each step's text is read, not computed again, by the next
+    bare = F.col("bare")
+    pair = bare.rlike(r"^[^:]+::.+")
+    short, member = _namespace(F.substring_index(bare, "::", 1)), F.substring(bare, F.length(F.substring_index(bare, "::", 1)) + 3, F.length(bare))
+    asked = one.select("wanted", bare.alias("bare"), _namespace(F.col("wanted")).alias("spaced"), F.when(pair, short).alias("class"), F.when(pair, member).alias("member"), _namespace(bare).alias("short"))
+    asked = materialize(asked, "wanted")
+
+    def endings(mark: str, own: bool, classes: bool = False) -> DataFrame:
+        """(key, name) of endings that only one name has."""
+        rows = ids.where(~F.col("name").contains("::")) if classes else ids
+        keys = _tails(F.col("name"), mark)
+        keys = F.concat(keys, F.array("name")) if own else keys
+        return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "name").groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1")
+
+    def named(key: Column, ends: DataFrame) -> DataFrame:
+        return asked.withColumn("key", key).join(ends, "key").select("wanted", "member", "name")
+
+    spaces, members, classes = endings("\\", True), endings("::", False), endings("\\", True, True)
+    together = named(F.col("class"), classes).select("wanted", F.concat("name", F.lit("::"), "member").alias("name"))
+    found = [
+        ("exact", asked.select("wanted", F.col("wanted").alias("name"))),
+        ("file_prefix", asked.where("bare <> wanted").select("wanted", F.col("bare").alias("name"))),
+        ("namespace", asked.where("spaced <> wanted").select("wanted", F.col("spaced").alias("name"))),
+        ("class_member", named(F.concat("class", F.lit("::"), "member"), spaces).select("wanted", "name")),
+        ("member", named(F.col("member"), members).select("wanted", "name")),
+        ("suffix", named(F.col("short"), spaces).select("wanted", "name")),
+        ("class_and_member", together),
+    ]
+    every = None
+    for rank, (label, rows) in enumerate(found):
+        part = rows.withColumns({"strategy": F.lit(label), "rank": F.lit(rank)})
+        every = part if every is None else every.unionByName(part)
+    return every.join(ids, "name").groupBy("wanted").agg(F.min_by(F.struct("id", "strategy"), "rank").alias("r")).select("wanted", "r.*")
+
+
+def entity_edges(entities: DataFrame) -> DataFrame:
+    """(src, dst, kind) of code entities, each once.
+
+    ``entities`` has full_name, type, file, parent_class, calls (array of struct
+    name, type) and interfaces (array of names). An entity is defined in its file, a
+    method belongs to its class; calls and interfaces are looked for in the same file.
+    """
+    here = lambda name: F.concat("file", F.lit("::"), name)
+    usable = entities.where((F.length("full_name") > 0) & (F.length("file") > 0))
+    src, lit = F.col("full_name").alias("src"), lambda k: F.lit(k).alias("kind")
+    defined = usable.select(src, F.col("file").alias("dst"), lit("defined_in_file"))
+    methods = usable.where((F.col("type") == "method") & (F.length("parent_class") > 0)).select(here(F.col("parent_class")).alias("src"), F.col("full_name").alias("dst"), lit("has_method"))
+    calls = usable.select("full_name", "file", F.explode("calls").alias("c"))
+    called = calls.select(src, here(F.col("c.name")).alias("dst"), F.concat(F.lit("calls_"), F.col("c.type")).alias("kind"))
+    faces = usable.where(F.col("type") == "class").select("full_name", "file", F.explode("interfaces").alias("i"))
+    kept = faces.select(src, here(F.col("i")).alias("dst"), lit("implements_interface"))
+    return defined.unionByName(methods).unionByName(called).unionByName(kept).distinct()
+
+
 def new_relations(proposed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Proposed edges between existing nodes that the graph lacks, each once."""
     ends = proposed

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.strings import basename, char_overlap, jaccard, query_terms, stem_of_file, tokens
 from mnemospark.functions.vectors import l2
 from mnemospark.operators.search import top_per_query
+from mnemospark.session import materialize
 
 
 def knn(pairs: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", wanted: str = "query_vector", drop_far: bool = True) -> DataFrame:
@@ -112,8 +115,8 @@ def diversified(rows: DataFrame, query: str, k: int, text: str = "text", entity:
     about = ~constant & (F.lower(name).contains(target) | low.contains(target))
     marked = rows.withColumns({"_signed": any_of(SIGNATURE_PATTERNS), "_about": about})
     marked = marked.withColumn("_made", F.col("_about") & (F.col("_signed") | any_of(DEFINING)))
-    whole = Window.partitionBy()  # of the top rows alone, k times a small factor
-    counted = marked.withColumns({"_n": F.count_if("_made").over(whole), "_any": F.max("_signed").over(whole)})
+    sums = marked.agg(F.count_if("_made").alias("n"), F.coalesce(F.max("_signed"), F.lit(False)).alias("any")).first()
+    counted = marked.withColumns({"_n": F.lit(sums["n"]), "_any": F.lit(sums["any"])})
     capped = lambda x: F.least(F.lit(1.0), x)
     raised = capped(capped(F.col(score) + _flag(F.col("_signed"), 0.4)) + _flag(F.length(text) > 800, 0.2))
     first = F.when((F.col("_n") < int(0.4 * k)) & F.col("_made"), raised).otherwise(F.col(score))
@@ -134,9 +137,23 @@ def reciprocal_rank_fusion(lists: DataFrame, key: str, k: int = 60, weight: Colu
     """Sum of weight / (k + rank) over lists (``list``, ``pos``), each key once a list at its first place."""
     group = group or []
     first = lists.groupBy(*group, "list", key).agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy(*group, "list").orderBy("pos", key))
-    part = (F.lit(1.0) if weight is None else weight) / (k + rank)
-    return first.withColumn("part", part).groupBy(*group, key).agg(F.sum("part").alias("score"))
+    part = (F.lit(1.0) if weight is None else weight) / (k + F.col("rank"))
+    return ranked_within(first, [*group, "list"], ["pos", key]).withColumn("part", part).groupBy(*group, key).agg(F.sum("part").alias("score"))
+
+
+def ranked_within(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Add ``rank``, from 1 by a total order within each group, however long a group is.
+
+    Rows are dealt by ranges of group and order; a range's rows are ranked alone and
+    get the numbers of the ranges before it.
+    """
+    dealt = rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    sizes = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")  # a row a range
+    bases = sizes.select(*group, "_range", before.alias("_base"))
+    own = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    return dealt.withColumn("rank", own).join(bases, [*group, "_range"]).withColumn("rank", F.col("rank") + F.col("_base")).drop("_range", "_base")
 
 
 def first_place_last_value(rows: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
@@ -184,8 +201,8 @@ def similar_sets(rows: DataFrame, key: str, least: float = 0.85) -> DataFrame:
 
 
 def budgets(k: int, weights: dict[str, float]) -> dict[str, int]:
-    """How many rows each source may give."""
-    return {source: round(k * w) for source, w in weights.items()}
+    """How many rows each source may give; halves round up."""
+    return {source: math.floor(k * w + 0.5) for source, w in weights.items()}
 
 
 def refill(kept: DataFrame, all_rows: DataFrame, key: str, share: float = 0.5) -> DataFrame:
@@ -218,6 +235,42 @@ def verdict(items: DataFrame, group: str, score: str = "score") -> DataFrame:
     return sums.select(group, total.alias("score"), ((total >= 0.4) & (F.col("coverage") > 0)).alias("relevant"))
 
 
+def source_coverage(items: DataFrame, group: str, source: str, most: int = 24) -> DataFrame:
+    """(group, coverage): distinct sources over the items, of which at most ``most`` count."""
+    share = F.countDistinct(source) / F.least(F.count("*"), F.lit(most))
+    return items.groupBy(group).agg(share.alias("coverage"))
+
+
+def pattern_score(path: Column, terms: list[str]) -> Column:
+    """10 for each term in the file's name, 5 in the path, 3 for a folder of that name."""
+    name, whole = F.lower(basename(path)), F.lower(path)
+    flag = lambda test, points: F.when(test, points).otherwise(0)
+    parts = [flag(name.contains(t), 10) + flag(whole.contains(t), 5) + flag(whole.contains(f"/{t}/"), 3) for t in map(str.lower, terms)]
+    return sum(parts, F.lit(0))
+
+
+def ranked_patterns(files: DataFrame, path: str, terms: list[str], most: int = 50, sample: int = 30) -> DataFrame:
+    """(path, score) of the ``most`` files of the highest scores over 0; without any, the first ``sample`` files by path."""
+    scored = files.select(F.col(path), pattern_score(F.col(path), terms).alias("score"))
+    hits = scored.where("score > 0").orderBy(F.col("score").desc(), path).limit(most)
+    return scored.orderBy(path).limit(sample) if not terms or hits.isEmpty() else hits
+
+
+def retrieve_chunks(by_model: dict[str, DataFrame], chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks of a query over one nearest-neighbour list a model.
+
+    A list has id, similarity and parent_id. The lists are united, a chunk keeps its
+    best similarity, parents join at 0.9, and ties go by id.
+    """
+    every = None
+    for model, hits in by_model.items():
+        part = hits.select("id", "similarity", "parent_id", F.lit(model).alias("model"))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy("id").agg(F.max_by(F.struct("similarity", "parent_id", "model"), F.struct("similarity", "model")).alias("r")).select("id", "r.*")
+    with_models = chunks.withColumn("model", F.lit("parent")).select("id", "similarity", "parent_id", "model")
+    return with_parents(best, with_models).orderBy(F.col("similarity").desc(), "id").limit(k)
+
+
 def citation_metrics(answers: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
     """Accuracy, coverage and quality of ``[cite_n]`` marks; ``sources`` has key and n."""
     used = answers.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\[cite_(\d+)\]"), 1)).alias("n")).withColumn("n", F.col("n").cast("int"))

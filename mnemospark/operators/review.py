@@ -97,6 +97,20 @@ def duplicated_share(files: DataFrame, key: str, text: str) -> DataFrame:
     return extra.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select(F.col("extra").cast("long"), "total", F.when(F.col("total") > 0, share).otherwise(0.0).alias("share"))
 
 
+SEVERITIES = ("BLOCKER", "CRITICAL", "MAJOR", "MINOR", "INFO")
+
+
+def engine_summary(found: DataFrame, top: int = 3) -> DataFrame:
+    """(engine, total, a count for each severity, high, top): ``top`` has the worst findings, then by path, line and rule."""
+    severity = F.col("severity")
+    order = [looked_up(severity, SEVERITY_DEBT).desc(), F.col("path"), F.col("line"), F.col("rule")]
+    rank = F.row_number().over(Window.partitionBy("engine").orderBy(*order))
+    worst = found.withColumn("rank", rank).where(F.col("rank") <= top)  # each task keeps `top` rows of an engine before the shuffle
+    first = worst.groupBy("engine").agg(F.array_sort(F.collect_list(F.struct("rank", "severity", "rule", "path", "line"))).alias("top"))
+    counts = found.groupBy("engine").agg(F.count("*").alias("total"), *[F.count_if(severity == s).alias(s.lower()) for s in SEVERITIES])
+    return counts.withColumn("high", F.col("blocker") + F.col("critical")).join(first, "engine")
+
+
 def metrics(found: DataFrame, group: list[str]) -> DataFrame:
     """Ratings, debt and gate of the findings of each group."""
     n = lambda test: F.count_if(test)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.strings import chars, index_text, index_tokens, jaccard, let, ngrams, similarity
 from mnemospark.functions.vectors import cosine
+from mnemospark.session import materialize
 
 
 def index_source(nodes: DataFrame) -> Column:
@@ -53,6 +54,17 @@ def corrections(nodes: DataFrame, word: str, low: float = 0.6, top: int = 3) ->
     return vocabulary.select("token", score.alias("score")).where((F.col("score") > low) & (F.col("score") < 1)).orderBy(F.col("score").desc(), "token").limit(top)
 
 
+def index_statistics(nodes: DataFrame) -> DataFrame:
+    """One row: nodes, and the distinct tokens, bigrams and trigrams of their texts."""
+    source = index_source(nodes)
+    every = lambda kind, items: nodes.select(F.lit(kind).alias("kind"), F.explode(items).alias("item"))
+    parts = every("tokens", index_tokens(source)).unionByName(every("bigrams", ngrams(source, 2))).unionByName(every("trigrams", ngrams(source, 3)))
+    counts = parts.distinct().groupBy("kind").count()
+    total = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("kind"), F.col("n").alias("count"))
+    pick = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("count"))), F.lit(0)).alias(kind)
+    return counts.unionByName(total).agg(*[pick(k) for k in ("nodes", "tokens", "bigrams", "trigrams")])
+
+
 def in_blocks(queries: DataFrame, rows: int = 2000) -> list[DataFrame]:
     """A query set in blocks small enough to broadcast, by the hash of its whole row."""
     count = queries.count()
@@ -61,12 +73,24 @@ def in_blocks(queries: DataFrame, rows: int = 2000) -> list[DataFrame]:
     return [queries] if blocks == 1 else [queries.where(block == b) for b in range(blocks)]
 
 
-def against_all(queries: DataFrame, rows: DataFrame, match: Column) -> DataFrame:
-    """A query set against all rows under a condition; each block of queries is broadcast."""
+#: Blocks of queries that one plan holds.
+MOST_BLOCKS = 16
+
+
+def against_all(queries: DataFrame, rows: DataFrame, match: Column, block_rows: int = 2000) -> DataFrame:
+    """A query set against all rows under a condition; each block of queries is broadcast.
+
+    A plan holds ``MOST_BLOCKS`` blocks; with more, each plan's matches are stored first.
+    """
+    blocks = in_blocks(queries, block_rows)
     out = None
-    for block in in_blocks(queries):
-        part = rows.join(F.broadcast(block), match)
-        out = part if out is None else out.unionByName(part)
+    for low in range(0, len(blocks), MOST_BLOCKS):
+        matches = None
+        for block in blocks[low : low + MOST_BLOCKS]:
+            part = rows.join(F.broadcast(block), match)
+            matches = part if matches is None else matches.unionByName(part)
+        matches = matches if len(blocks) <= MOST_BLOCKS else materialize(matches, "matches")
+        out = matches if out is None else out.unionByName(matches)
     return out
 
 
@@ -156,6 +180,53 @@ def resolution_score(name: Column, wanted: Column, kind: Column, wanted_kind: Co
     return let(score, lambda s: s + F.when((a != b) & (a.contains(b) | b.contains(a)) & (s < 40), 10.0).otherwise(0.0))
 
 
+# Kinds below a kind.
+KINDS_BELOW = {
+    "class": ("interface", "struct", "enum", "type"),
+    "function": ("method", "procedure", "lambda", "callback"),
+    "module": ("package", "namespace", "library", "component"),
+    "file": ("document", "asset", "resource"),
+}
+
+
+def resolution_points(
+    names: Column, wanted: Column, kind: Column, wanted_kind: Column, notes: Column, clues: Column, alike: Column, popular: Column, deprecated: Column
+) -> Column:
+    """How well a node of several names answers a mention, by all its parts.
+
+    100 if a name is the mention, else at most 45 from the best string similarities,
+    less for short names; 30 for the kind, 15 if the wanted kind is below it, 10 if
+    above; 5 for each distinct clue in the notes, at most 25; 50 times ``alike``, a
+    cosine; 20 for popular nodes, less 30 for deprecated ones; 10 if the first name
+    shares a trigram with the mention and there are under 40 points. ``names`` begins
+    with the name, aliases follow.
+    """
+    low, own = F.lower(wanted), F.transform(names, lambda n: F.lower(n))
+    best = lambda fn: F.array_max(F.transform(own, fn))
+    shorter = F.least(F.length(low), F.array_min(F.transform(own, lambda n: F.length(n))))
+    penalty = F.when(shorter < 3, 0.4).when(shorter < 5, 0.7).otherwise(1.0)
+    start = F.when(F.exists(own, lambda n: n.startswith(low)), 0.2).otherwise(0.0)
+    fuzzy = (0.7 * best(lambda n: similarity(n, low)) + 0.3 * best(lambda n: jaccard(chars(n), chars(low))) + start) * penalty
+    flag = lambda test, points: F.when(F.coalesce(test, F.lit(False)), F.lit(float(points))).otherwise(0.0)
+    have, want = F.lower(kind), F.lower(wanted_kind)
+    below = lambda upper, lower: F.coalesce(F.array_contains(looked_up_kinds(upper), lower), F.lit(False))
+    kinds = F.when(have == want, 30.0).when(below(have, want), 15.0).when(below(want, have), 10.0).otherwise(0.0)
+    text = F.lower(F.array_join(F.coalesce(notes, F.array().cast("array<string>")), " "))
+    met = F.least(F.lit(25), 5 * F.size(F.filter(F.array_distinct(clues), lambda c: text.contains(c))))
+    score = F.when(F.array_contains(own, low), 100.0).otherwise(45 * F.least(F.lit(1.0), fuzzy)) + kinds + met + 50 * F.coalesce(alike, F.lit(0.0)) + flag(popular, 20) - flag(deprecated, 30)
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    shared = (F.length(low) >= 3) & F.exists(grams, lambda g: F.get(own, F.lit(0)).contains(g))
+    return let(score, lambda s: s + F.when(shared & (s < 40), 10.0).otherwise(0.0))
+
+
+def looked_up_kinds(kind: Column) -> Column:
+    """The kinds below a kind, null if it has none."""
+    out = F.lit(None).cast("array<string>")
+    for upper, lower in KINDS_BELOW.items():
+        out = F.when(kind == upper, F.array(*[F.lit(k) for k in lower])).otherwise(out)
+    return out
+
+
 def hybrid_similarity(va: Column, vb: Column, name_a: Column, name_b: Column, kind_a: Column, kind_b: Column, obs_a: Column, obs_b: Column) -> Column:
     """Mean of cosine (.4), name (.25), observations (.2) and, only where equal, type (.15), over the weights in use."""
     both = va.isNotNull() & vb.isNotNull()

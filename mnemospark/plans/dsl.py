@@ -135,7 +135,7 @@ def execute(ask: Ask | str, nodes: DataFrame, edges: DataFrame | None = None, no
     """Run a query; ties of ranked results go by id."""
     ask = parse(ask) if isinstance(ask, str) else ask
     if ask.form == "traverse":
-        return graph.traverse(nodes, edges, ask.text, ask.depth, ask.direction, list(ask.kinds) if ask.kinds else None)
+        return graph.traverse(nodes, edges, ask.text, ask.depth, ask.direction, list(ask.kinds) if ask.kinds else None, simple(ask.text))
     if ask.form == "rank":
         if ask.by == "relevance":
             score = relevance(ask.text).cast("double")

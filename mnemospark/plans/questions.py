@@ -7,8 +7,12 @@ an executable filter.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemospark.functions.strings import IDENTIFIER_PATTERNS
 
@@ -125,6 +129,135 @@ SORT = r"(?i)\bsort by (\w+)(?:\s+(asc|ascending|desc|descending))?\b"
 COMPARE = r"(?i)(?:compare|difference between)\s+(.+?)\s+(?:and|vs|versus)\s+(\S+)"
 
 
+# Phrases that mean a search for a design pattern; questions with one or two blanks, their intent and what the second blank is.
+PATTERN_PHRASES = (
+    "singleton pattern", "factory pattern", "observer pattern", "strategy pattern", "adapter pattern", "decorator pattern", "facade pattern", "proxy pattern",
+    "command pattern", "chain of responsibility", "iterator pattern", "mediator pattern", "memento pattern", "state pattern", "template method pattern",
+    "visitor pattern", "composite pattern", "builder pattern", "dependency injection", "inversion of control",
+)
+BLANK_PHRASES = (
+    ("explain (.*)", "semantic", ""),
+    ("what is (.*)", "semantic", ""),
+    ("how does (.*) work", "semantic", ""),
+    ("when to use (.*)", "semantic", ""),
+    ("why use (.*)", "semantic", ""),
+    ("compare (.*) and (.*)", "compare", "entity"),
+    ("difference between (.*) and (.*)", "compare", "entity"),
+    ("analyze (.*)", "analyze", ""),
+    ("convert (.*) to (.*)", "transform", "to"),
+    ("transform (.*) into (.*)", "transform", "to"),
+    ("refactor (.*) to (.*)", "transform", "to"),
+)
+
+
+def fallback(text: Column) -> Column:
+    """struct<type, pattern, entities, target>: the first phrase that a question holds.
+
+    Without one it is a search for the question's names, or for all its text.
+    """
+    none = F.lit(None).cast("string")
+
+    def made(kind: str | Column, pattern: Column, names: Column, target: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), pattern.cast("string").alias("pattern"), names.cast("array<string>").alias("entities"), target.cast("string").alias("target"))
+
+    names = entities(text)
+    out = made("search", none, F.when(F.size(names) > 0, names).otherwise(F.array(F.trim(text))), none)
+    cases = [(f"(?i){phrase}", made("search", F.lit(phrase.removesuffix(" pattern").replace(" ", "_")), F.lit(None), none)) for phrase in PATTERN_PHRASES]
+    for phrase, kind, second in BLANK_PHRASES:
+        pattern = f"(?i){phrase}"
+        blank = lambda i, pattern=pattern: F.regexp_extract(text, pattern, i)
+        found = F.array(blank(1), blank(2)) if second == "entity" else F.array(blank(1))
+        cases.append((pattern, made(kind, none, found, blank(2) if second == "to" else none)))
+    for pattern, value in reversed(cases):
+        out = F.when(text.rlike(pattern), value).otherwise(out)
+    return out
+
+
+# Families of names in a question with their patterns, words that qualify a name, and kinds that words around it suggest.
+FILE_ENDINGS = "ts|js|tsx|jsx|py|java|cpp|c|h|hpp|cs|go|rs|rb|php|swift|kt|scala|r|m|mm|sql|json|xml|yaml|yml|md|txt|css|scss|sass|less|html|htm"
+NAME_FAMILIES = {
+    "file": (rf"\b([\w\-]+\.({FILE_ENDINGS}))\b", True),
+    "genericType": (r"\b(?:class|interface|struct|enum|trait|type|protocol)\s+(\w+)|(\w+)(?:Class|Interface|Struct|Enum|Trait|Type|Protocol)\b", True),
+    "function": (r"\b(?:function|method|func|def|lambda|procedure)\s+(\w+)|(\w+)(?:Function|Method|Handler|Callback|Lambda|Procedure)\b", True),
+    "module": (r"\b(?:module|package|namespace|library|crate)\s+([\w/\-@]+)|(@?[\w\-]+/[\w\-]+)\b", True),
+    "variable": (r"\b(?:const|let|var|val|property)\s+(\w+)|(\$\w+|_\w+)\b", True),
+    "constant": (r"\b[A-Z_][A-Z0-9_]+\b", False),
+    "pattern": (
+        r"\b(singleton|factory|observer|strategy|adapter|decorator|facade|proxy|command|chain of responsibility|iterator|mediator|memento|observer|state|"
+        r"template method|visitor|composite|builder|dependency injection|injection|ioc)\b",
+        True,
+    ),
+}
+QUALIFIERS = (
+    "abstract", "async", "deprecated", "private", "public", "internal", "static", "final", "override", "test", "spec", "protected", "readonly", "const", "virtual",
+)
+SUGGESTED = {
+    "class": ("class", "interface", "struct"),
+    "function": ("function", "method"),
+    "file": ("file",),
+    "variable": ("variable", "constant"),
+    "pattern": ("pattern",),
+    "code": ("class", "function", "method", "interface", "struct"),
+    "import": ("module", "package"),
+    "design": ("pattern",),
+    "api": ("interface", "class", "method"),
+    "data": ("variable", "constant", "struct"),
+}
+NAMED = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("text", T.StringType()), T.StructField("type", T.StringType()), T.StructField("confidence", T.DoubleType()),
+            T.StructField("qualifiers", T.ArrayType(T.StringType())), T.StructField("start", T.IntegerType()),
+        ]
+    )
+)
+
+
+def names_of(question: str) -> list[dict]:
+    """The names that one question mentions, each text and kind once, with how sure that is.
+
+    Quoted 0.95, of a family 0.9, camel case 0.5, snake and kebab case 0.4; these take
+    the question's qualifiers, worth 0.1. Words within 20 characters that suggest the
+    kind add 0.15, or give an unknown kind their first and 0.1; the first and last
+    fifth of the question add 0.05; at most 1. Patterns see ASCII words.
+    """
+    found: dict[tuple[str, str], dict] = {}
+
+    def add(text: str, kind: str, sure: float, start: int, length: int, qualifiers: tuple = ()) -> None:
+        around = question[max(0, start - 20) : start + length + 20].lower().split()
+        found.setdefault((text.lower(), kind.lower()), {"text": text, "type": kind, "confidence": sure, "qualifiers": list(qualifiers), "start": start, "around": around})
+
+    scan = lambda pattern, flags=0: re.finditer(pattern, question, flags | re.ASCII)
+    for m in scan(r'"([^"]+)"'):
+        add(m[1], "unknown", 0.95, m.start(), len(m[0]))
+    for kind, (pattern, fold) in NAME_FAMILIES.items():
+        for m in scan(pattern, re.IGNORECASE if fold else 0):
+            text = next((g for g in m.groups()[:2] if g), m[0])
+            add(text, kind, 0.9, m.start(), len(text))
+    qualifiers = tuple(t for t in question.lower().split() if t in QUALIFIERS)
+    for family, sure in (("pascal", 0.5), ("snake", 0.4), ("kebab", 0.4)):
+        for m in scan(IDENTIFIER_PATTERNS[family]):
+            add(m[0], "unknown", sure, m.start(), len(m[0]), qualifiers)
+    out = []
+    for name in found.values():
+        sure = name["confidence"] + 0.1 * bool(name["qualifiers"])
+        for word in name.pop("around"):
+            kinds = SUGGESTED.get(word)
+            if kinds and name["type"] in kinds:
+                sure += 0.15
+            elif kinds and name["type"] == "unknown":
+                name["type"], sure = kinds[0], sure + 0.1
+        share = name["start"] / len(question)
+        out.append(name | {"confidence": min(1.0, sure + 0.05 * (share < 0.2 or share > 0.8))})
+    return out
+
+
+@F.pandas_udf(NAMED)
+def named_entities(questions: pd.Series) -> pd.Series:
+    """``names_of`` many questions; kinds and confidences depend on places, which expressions can't follow."""
+    return questions.map(lambda q: names_of(q) if q else [])
+
+
 def plan(spark: SparkSession, question: str, rows: DataFrame) -> DataFrame:
     """Run one question on rows with name, entity_type, and where asked ts, size or the sort column."""
     q = spark.range(1).select(structured(F.lit(question)).alias("q")).select("q.*").first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -75,6 +75,32 @@ def limited_requests(events: DataFrame, key: str = "user_id", limit: int = 60, s
     return rows.groupBy(key).applyInPandasWithState(walk, "event_id bigint, allowed boolean", "opened bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_late(events: DataFrame, name: str, key: str = "user_id") -> DataFrame:
+    """(event_id, behind_us) as ``late_events``, for keys of any size: each micro-batch is put in order by Spark.
+
+    Beside the results of a micro-batch lies the time of each key's last event, a row
+    a key, which the next one begins with. A repeated micro-batch writes the same.
+    """
+    spark = events.sparkSession
+    out = scratch_path(spark, f"late-{name}")
+    last = "key string, last bigint"
+
+    def save(batch: DataFrame, number: int) -> None:
+        seen = spark.read.schema(last).parquet(f"{out}/state/{number - 1}") if number else spark.createDataFrame([], last)
+        rows = batch.select(F.col(key).cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+        rows = rows.withColumn("before", F.lag("t").over(Window.partitionBy("key").orderBy("event_id"))).join(seen, "key", "left")
+        before = F.coalesce("before", "last")
+        late = rows.where(F.col("t") < before).select("event_id", (before - F.col("t")).alias("behind_us"))
+        late.write.mode("overwrite").parquet(f"{out}/late/batch={number:09d}")
+        newest = batch.groupBy(F.col(key).cast("string").alias("key")).agg(F.max_by(F.unix_micros(F.col("ts").cast("timestamp")), "event_id").alias("last"))
+        kept = seen.join(newest.select("key"), "key", "left_anti").unionByName(newest)
+        kept.write.mode("overwrite").parquet(f"{out}/state/{number}")
+
+    query = events.writeStream.option("checkpointLocation", scratch_path(spark, f"checkpoint-{name}")).trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id bigint, behind_us bigint, batch int").parquet(f"{out}/late").drop("batch")
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and return the last state, from the shared folder."""
     spark = stream.sparkSession
