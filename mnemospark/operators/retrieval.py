@@ -184,18 +184,26 @@ def similar_sets(rows: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     Rows of equal word sets are one class, named by the smallest key. A pair of
     sets can only be similar if they share one of their rarest words: so many that
     fewer than the rest can't reach ``least`` (prefix filter). Words are ordered
-    by how many classes hold them. Classes then join on those words and on the
-    exact condition; none of it leaves out a pair.
+    by how many classes hold them. Of a pair that shares such a word at two places,
+    the words from there on must suffice (positional filter), and sizes fall into
+    bands of which only neighbours can be similar, so that a word of many classes is
+    several keys. Classes then join on the exact condition; none of it leaves out a pair.
     """
     classes = rows.select(key, "words").where(F.size("words") > 0).groupBy("words").agg(F.min(key).alias("id"))
     words = classes.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     ranked = words.join(frequency, "word").withColumn("rank", order)
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "word")
-    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "word")
+    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "word", "rank")
+    # two similar sizes differ by a factor of 1 / least at most, so their bands by one
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least) + 1e-9) if least < 1 else F.col("n")
+    prefix = prefix.withColumn("band", band)
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    other = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "word", F.col("rank").alias("rank2"), F.explode(near).alias("band"))
     sizes = (F.col("n2") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("n2") - 1e-9)
-    candidates = prefix.join(other, "word").where((F.col("id") < F.col("id2")) & sizes).select("id", "id2").distinct()
+    overlap = F.lit(least / (1 + least)) * (F.col("n") + F.col("n2"))  # words that a similar pair shares
+    enough = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) + F.least("rank", "rank2") >= overlap - 1e-6
+    candidates = prefix.join(other, ["word", "band"]).where((F.col("id") < F.col("id2")) & sizes & enough).select("id", "id2").distinct()
     sets = candidates.join(classes, "id").join(classes.select(F.col("id").alias("id2"), F.col("words").alias("words2")), "id2")
     return sets.select(F.col("id").alias("a"), F.col("id2").alias("b"), jaccard(F.col("words"), F.col("words2")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
