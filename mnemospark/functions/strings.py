@@ -162,3 +162,16 @@ IDENTIFIER_PATTERNS = {
 def identifiers(c: Column | str, family: str) -> Column:
     pattern = IDENTIFIER_PATTERNS[family]
     return F.regexp_extract_all(_col(c), F.lit(pattern), 1 if family == "quoted" else 0)
+
+
+# Technical terms of a prompt.
+TERM_PATTERNS = (r"\b[A-Z][a-zA-Z0-9]*\b", r"\b[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b")
+QUOTED_TERM = r"""(?:"[^"]+"|'[^']+'|`[^`]+`)"""
+
+
+def technical_terms(c: Column | str) -> Column:
+    """Distinct Pascal-case, then camel-case, then quoted terms, each in order."""
+    c = _col(c)
+    plain = [F.regexp_extract_all(c, F.lit(p), 0) for p in TERM_PATTERNS]
+    quoted = F.transform(F.regexp_extract_all(c, F.lit(QUOTED_TERM), 0), lambda q: F.regexp_replace(q, "[\"`']", ""))
+    return F.array_distinct(F.concat(*plain, quoted))

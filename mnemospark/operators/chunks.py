@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from mnemospark.operators.context import importance
+
 
 @udtf(returnType="chunk int, start_line int, end_line int, text string")
 class LineWindows:
@@ -79,6 +81,14 @@ def entity_chunks(files: DataFrame, text: str, entities: str, least: int = 100)
     return one.select(*rest, F.col("e.name").alias("name"), body.alias("text"), F.sha2(body, 256).alias("hash")).where(F.length("text") >= least)
 
 
+def scored_entity_chunks(files: DataFrame, text: str, entities: str, least: int = 100) -> DataFrame:
+    """``entity_chunks`` by start line with ``importance``; entities also have type, exported, public, is_async and documented."""
+    one = files.withColumn("_e", F.explode(entities))
+    kinds = importance(F.col("_e.type"), F.col("_e.exported"), F.col("_e.public"), F.col("_e.is_async"), F.col("_e.documented"))
+    marked = one.select("*", F.col("_e.start").alias("start"), kinds.alias("importance"), F.array(F.struct("_e.name", "_e.start", "_e.end")).alias("_one"))
+    return entity_chunks(marked.drop("_e", entities), text, "_one", least)
+
+
 def content_type(text: Column, is_summary: Column) -> Column:
     """summary, comment, code or documentation."""
     # Words of code and of prose. Words end at letters beyond ASCII, which Java's \b takes for their own.

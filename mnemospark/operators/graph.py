@@ -186,6 +186,12 @@ def entity_edges(entities: DataFrame) -> DataFrame:
     return defined.unionByName(methods).unionByName(called).unionByName(kept).distinct()
 
 
+def creation_events(created: DataFrame, kind: str) -> DataFrame:
+    """(event_type, payload) for created nodes (id, name, entity_type) or relations (src, dst, kind)."""
+    fields = {"node": ("id AS nodeId", "name", "entity_type AS entityType"), "relation": ("src AS fromNodeId", "dst AS toNodeId", "kind AS relationType")}[kind]
+    return created.select(F.lit(f"{kind.upper()}_CREATED").alias("event_type"), F.to_json(F.struct(*[F.expr(f) for f in fields])).alias("payload"))
+
+
 def new_relations(proposed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Proposed edges between existing nodes that the graph lacks, each once."""
     ends = proposed

@@ -125,3 +125,19 @@ def script_entities(text: Column) -> Column:
 
 def _named(text: Column, kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+
+# Words that begin a constraint, not a column.
+CONSTRAINTS = ("primary", "foreign", "unique", "check", "constraint", "key", "index")
+
+
+def sql_columns(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, table, pos, column, type) of the columns in CREATE TABLE statements."""
+    name = r'[`"\[]?([\w.]+)[`"\]]?'
+    whole = rf"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?{name}\s*\(((?:[^()]|\([^()]*\))*)\)"
+    made = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(whole), 0)).alias("statement"))
+    parts = F.split(F.regexp_extract("statement", whole, 2), r",(?![^(]*\))")
+    rows = made.select(key, F.regexp_extract("statement", whole, 1).alias("table"), F.posexplode(parts).alias("pos", "part"))
+    head = rf"^\s*{name}\s*(\w+(?:\s*\([^)]*\))?)?"
+    column = F.regexp_extract("part", head, 1)
+    return rows.where((column != "") & ~F.lower(column).isin(*CONSTRAINTS)).select(key, "table", "pos", column.alias("column"), F.regexp_extract("part", head, 2).alias("type"))

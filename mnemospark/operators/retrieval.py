@@ -168,6 +168,15 @@ def dedup_contexts(rows: DataFrame, score: str = "score", pos: str = "pos") -> D
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def dedup_contexts_in_batches(rows: DataFrame, size: int = 1000, score: str = "score", pos: str = "pos") -> DataFrame:
+    """``dedup_contexts`` in batches of places; of what is left, the first of each path and entity over all batches."""
+    batch = F.floor(F.col(pos) / size)
+    key = [batch, F.col("path"), F.col("entity"), F.substring(F.md5("content"), 1, 8)]
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(score).desc(), pos))
+    first = F.row_number().over(Window.partitionBy("path", F.coalesce("entity", F.lit("N/A"))).orderBy(batch, pos))
+    return rows.withColumn("_rank", best).where("_rank = 1").withColumn("_rank", first).where("_rank = 1").drop("_rank")
+
+
 def word_set(text: Column) -> Column:
     """Sorted distinct words of more than two characters."""
     return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) > 2)))

@@ -176,6 +176,33 @@ def line_range(text: Column) -> tuple[Column, Column]:
     return start, F.when(last != "", last.cast("int")).otherwise(start)
 
 
+def review_patches(reviews: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, path, diff) of a review's diff blocks; one that names no file is ``file-`` and its place."""
+    blocks = reviews.select(F.col(key), F.posexplode(F.regexp_extract_all(text, F.lit(r"```diff\n([\s\S]*?)\n```"), 1)).alias("pos", "diff"))
+    path = F.regexp_extract("diff", r"(?:---|\+\+\+)\s+[ab]/(.+)", 1)
+    return blocks.select(key, "pos", F.when(path != "", path).otherwise(F.concat(F.lit("file-"), F.col("pos").cast("string"))).alias("path"), "diff")
+
+
+# Marks of severities and categories in a review.
+SEVERITY_MARKS = {"\U0001f534": "high", "\U0001f7e1": "medium", "\U0001f535": "low"}
+CATEGORY_MARKS = {
+    "\U0001f510": "security", "\u26a1": "performance", "\U0001f527": "maintainability", "\U0001f9ea": "testing", "\u2699\ufe0f": "config", "\U0001f441\ufe0f": "observability", "\u2696\ufe0f": "legal",
+}
+
+
+def marked_findings(reviews: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, severity, category, title) of a review's lines that begin with a coloured mark."""
+    marks, other = "|".join(SEVERITY_MARKS), "|".join([*CATEGORY_MARKS, "\U0001f3af", "\U0001f4cb"])
+    whole = rf"(?:{marks})\s*(?:{other})?\s*([^\n]+)"
+    rows = reviews.select(F.col(key), F.posexplode(F.regexp_extract_all(text, F.lit(whole), 0)).alias("pos", "found"))
+    severity, category = F.lit(None).cast("string"), F.lit("correctness")
+    for mark, name in reversed(SEVERITY_MARKS.items()):
+        severity = F.when(F.col("found").contains(mark), name).otherwise(severity)
+    for mark, name in reversed(CATEGORY_MARKS.items()):
+        category = F.when(F.col("found").contains(mark), name).otherwise(category)
+    return rows.select(key, "pos", severity.alias("severity"), category.alias("category"), F.trim(F.regexp_extract("found", whole, 1)).alias("title"))
+
+
 def review_findings(reviews: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, severity, title, file, start, end) from a review's "### [SEVERITY] title" blocks."""
     blocks = reviews.select(F.col(key), F.posexplode(F.split(text, r"(?m)^(?=### )")).alias("pos", "block"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import strings, values
 from mnemospark.functions.vectors import resample
-from mnemospark.operators import chunks, context, graph, retrieval, review, search
+from mnemospark.operators import chunks, context, graph, parsers, retrieval, review, search
 from mnemospark.plans import dsl, questions
 from mnemospark.plans.registry import query
 from mnemospark.sources.tables import GRAPH_SQL, graph_edges, graph_nodes, table
@@ -477,3 +477,97 @@ def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream.read_events(spark, sf_dir, 8)
     slow = events.withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("event_id") % 7) * 3_600_000_000))
     return event_stream.run_late(slow, "slow", "event_type")
+
+
+@query(
+    "path_ranking",
+    """WITH s AS (SELECT page_id, lower(regexp_extract(url, '[^/]*$')) AS n, lower(url) AS u FROM pages)
+SELECT page_id, CAST(CASE WHEN regexp_replace(n, '\\.[^.]*$', '') IN ('page', '82') THEN 200 ELSE 0 END + CASE WHEN contains(n, 'page') THEN 50 WHEN contains(u, 'page') THEN 25 ELSE 0 END
+  + CASE WHEN contains(n, '82') THEN 50 WHEN contains(u, '82') THEN 25 ELSE 0 END + CASE WHEN regexp_matches(n, '\\.(ts|js|py|java|go|rs)$') THEN 5 ELSE 0 END AS INT) AS score FROM s""",
+)
+def path_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each path answers two terms."""
+    return table(spark, sf_dir, "pages").select("page_id", retrieval.path_score(F.col("url"), ["page", "82"]).alias("score"))
+
+
+@query(
+    "batched_dedup",
+    """WITH r AS (SELECT event_id AS pos, event_id // 100 AS b, user_id AS path, event_type AS entity, event_id % 3 AS c, value AS score FROM events),
+u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY b, path, entity, c ORDER BY score DESC, pos) = 1)
+SELECT path, entity, pos FROM u QUALIFY row_number() OVER (PARTITION BY path, entity ORDER BY b, pos) = 1""",
+)
+def batched_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as contexts in batches of a hundred places: one a path and entity in the end."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pos"), F.col("user_id").alias("path"), F.col("event_type").alias("entity"), (F.col("event_id") % 3).cast("string").alias("content"), F.col("value").alias("score")
+    )
+    return retrieval.dedup_contexts_in_batches(rows, 100).select("path", "entity", "pos")
+
+
+@query(
+    "creation_events",
+    f"""{G} SELECT 'NODE_CREATED' AS event_type, to_json({{'nodeId': id, 'name': name, 'entityType': entity_type}})::VARCHAR AS payload FROM nodes
+UNION ALL SELECT 'RELATION_CREATED', to_json({{'fromNodeId': src, 'toNodeId': dst, 'relationType': kind}})::VARCHAR FROM edges""",
+)
+def creation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log gets for all nodes and relations of the graph."""
+    return graph.creation_events(graph_nodes(spark, sf_dir), "node").unionByName(graph.creation_events(graph_edges(spark, sf_dir), "relation"))
+
+
+@query(
+    "table_columns",
+    """SELECT p_partkey, 't' || p_partkey AS "table", pos, "column", type FROM part, (VALUES (0, 'id', 'INT'), (1, 'price', 'DECIMAL(10, 2)'), (2, 'name', 'VARCHAR(20)'), (4, 'plain', '')) v(pos, "column", type)
+UNION ALL SELECT p_partkey, 'x.u' || p_partkey, 0, 'a', 'TEXT' FROM part""",
+)
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of two tables that each part's script makes."""
+    script = _text(
+        "-- tables\nCREATE TABLE IF NOT EXISTS t", "$p_partkey", " (id INT PRIMARY KEY, `price` DECIMAL(10, 2) NOT NULL,\n  name VARCHAR(20), FOREIGN KEY (id) REFERENCES u(id, b), plain);\ncreate table x.u", "$p_partkey", " (a TEXT);\nSELECT 1",
+    )
+    return parsers.sql_columns(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script")
+
+
+@query(
+    "review_patches",
+    """SELECT o_orderkey, 0 AS pos, 'src/o' || o_orderkey || '.ts' AS path, '--- a/src/o' || o_orderkey || '.ts' || chr(10) || '+x' AS diff FROM orders UNION ALL SELECT o_orderkey, 1, 'file-1', '+' || o_custkey FROM orders""",
+)
+def review_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches in reviews of orders: one with a file, one without."""
+    text = _text("Do this\n```diff\n--- a/src/o", "$o_orderkey", ".ts\n+x\n```\nand\n```diff\n+", "$o_custkey", "\n```\n```js\nno\n```")
+    return review.review_patches(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+
+
+@query(
+    "marked_findings",
+    """SELECT o_orderkey, 0 AS pos, 'high' AS severity, 'security' AS category, 'Order ' || o_orderkey AS title FROM orders UNION ALL SELECT o_orderkey, 1, 'medium', 'performance', 'slow' FROM orders
+UNION ALL SELECT o_orderkey, 2, 'low', 'correctness', 'note ' || o_custkey FROM orders""",
+)
+def marked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that a review marks with colours."""
+    text = _text("# Review\n\U0001f534 \U0001f510 Order ", "$o_orderkey", "\n#### \U0001f7e1 \u26a1 slow \n\U0001f535 note ", "$o_custkey", "\nend")
+    return review.marked_findings(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+
+
+@query(
+    "technical_terms",
+    """SELECT p_partkey, array_to_string(list_distinct_in_order, '|') AS terms FROM (SELECT p_partkey, ['Why', 'OrderBook' || p_partkey, 'Loader', 'readAll', p_name, 'one two'] AS list_distinct_in_order FROM part)""",
+)
+def technical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pascal-case, camel-case and quoted terms of prompts about parts."""
+    prompt = F.concat(F.lit("Why does OrderBook"), F.col("p_partkey").cast("string"), F.lit(" use Loader and readAll for "), F.lit('"'), "p_name", F.lit('"'), F.lit(" and `one two` or Loader"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(strings.technical_terms(prompt), "|").alias("terms"))
+
+
+@query(
+    "entity_chunk_scores",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, 'head' AS name, 1 AS start, 0.8 AS importance, array_to_string(l[1:3], chr(10)) AS t FROM l
+UNION ALL SELECT doc_id, 'rest', 4, 0.4, array_to_string(l[4:1000000], chr(10)) FROM l)
+SELECT doc_id, name, start, importance::DOUBLE AS importance, sha256(t) AS hash FROM c WHERE length(t) >= 100""",
+)
+def entity_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of a text as an exported, public, async class and the others as a function, with their importance."""
+    entity = lambda name, kind, a, b, own: F.struct(
+        F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(a).alias("start"), F.lit(b).alias("end"), *[F.lit(own).alias(c) for c in ("exported", "public", "is_async")], F.lit(False).alias("documented")
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", "class", 1, 3, True), entity("rest", "function", 4, 1_000_000, False)).alias("entities"))
+    return chunks.scored_entity_chunks(files, "text", "entities").select("doc_id", "name", "start", "importance", "hash")
