@@ -11,14 +11,14 @@ stands in a document.
    of ``miss``. Items no larger than the sketch are held whole, at no risk.
 2. A document that holds ``needed`` of k hashes holds one of any k - needed + 1.
    Those that the fewest items share are an item's probes, so a shingle of many
-   items joins few of them. Each partition has a bit map of its probes; a document
-   that passes none is done with.
+   items joins few of them. Workers hold the probes as a bit map and, up to
+   ``EXACT_KEYS`` of them, as sorted keys; a document without a probe is done with.
 3. Of the others, texts (equal ones once) join the probes and give candidates,
    candidates the sketches, which leaves those with ``needed`` hashes, and only
    these are verified by counting shared shingles exactly, as strings.
 
-Bit maps get ``MAP_BITS`` bits for a hash, up to a fixed size; fuller ones let
-more through to the joins and lose nothing.
+Bit maps get ``MAP_BITS`` bits for a hash, up to a fixed size. Fuller ones, and
+probes beyond ``EXACT_KEYS``, let more through to the joins and lose nothing.
 
 Edge cases: an item with fewer than five words is one shingle of all its words;
 an item without words, or a null text, never matches; documents with a null id
@@ -42,8 +42,8 @@ from .textops import alnum_words, map_batches, utf8, without_keys
 
 WIDTH, LEAST = 5, 0.8
 PAGE = 1 << 15
-#: Bits of a map for a hash in it, and the most bits of a map of probes and of the one of all shingles.
-MAP_BITS, PROBE_MAP, GRAM_MAP = 16, 1 << 25, 1 << 27
+#: Bits of a map for a hash in it, the most bits of a map, and hashes up to which workers hold them all.
+MAP_BITS, MOST_BITS, EXACT_KEYS = 64, 1 << 27, 2_000_000
 WORD_CACHE = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +126,7 @@ def item_probes(grams: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("k") - F.col("needed") + 1).select("size_class", "h", "item_key", "needed")
 
 
-def bit_map(hashes: DataFrame, most: int) -> np.ndarray:
+def bit_map(hashes: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     """Which places some hash falls on; a power of two of places, ``most`` at most."""
     bits = min(most, max(PAGE, 1 << (MAP_BITS * hashes.count()).bit_length()))
     at = F.pmod(F.col("h"), F.lit(bits))
@@ -137,44 +137,47 @@ def bit_map(hashes: DataFrame, most: int) -> np.ndarray:
     return out.ravel()
 
 
-def through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes the bit map lets through."""
+def exact_keys(hashes: DataFrame, most: int = EXACT_KEYS) -> np.ndarray | None:
+    """The sorted distinct hashes, None if there are more than ``most``."""
+    found = hashes.select("h").distinct().limit(most + 1).toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found) if len(found) <= most else None
+
+
+def through(bits: np.ndarray, keys: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the bit map, and the keys if there are any, let through."""
     at = h & (8 * len(bits) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    found = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+    if keys is None or not len(found):
+        return found
+    own = h[found]
+    return found[keys[np.searchsorted(keys, own).clip(max=len(keys) - 1)] == own] if len(keys) else found[:0]
 
 
-def probed_texts(docs: DataFrame, widths: list[int], probe_maps: dict[int, np.ndarray], gram_map: np.ndarray) -> DataFrame:
-    """(doc_id, doc_key, grams) of the rows that pass a partition's probe map; grams: all shingles that an item may have."""
-    maps = docs.sparkSession.sparkContext.broadcast((probe_maps, gram_map))  # PROBE_MAP / 8 bytes a partition, GRAM_MAP / 8
+def probed_texts(docs: DataFrame, widths: list[int], probes: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, grams) of the rows that hold a probe; grams: all shingles that an item may have."""
+    sides = [(bit_map(side), exact_keys(side)) for side in (probes, grams)]
+    maps = docs.sparkSession.sparkContext.broadcast(sides)  # MOST_BITS / 8 and 8 * EXACT_KEYS bytes a side
     cache = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        probes, in_any = maps.value
-        ids, keys, sizes, hashes, found, classes = [], [], [0], [], [], []
+        in_probes, in_any = maps.value
+        ids, keys, sizes, hashes, found = [], [], [0], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             words = alnum_words(text)
-            grams: dict[bytes, tuple[int, int]] = {}
-            hit = False
-            for w in widths:
-                h = gram_hashes(words, w, cache)
-                own = np.zeros(len(h), np.int64)
-                for c, bits in probes.items():
-                    own |= through(bits, h).astype(np.int64) << c
-                hit |= bool(own.any())
-                for i in np.flatnonzero(through(in_any, h)).tolist():
-                    grams[b" ".join(words[i : i + w])] = (int(h[i]), int(own[i]))
-            if hit:
-                ids.append(doc_id)
-                keys.append(xxhash.xxh64_intdigest(text, seed=42))
-                found += grams
-                hashes += [h for h, _ in grams.values()]
-                classes += [c for _, c in grams.values()]
-                sizes.append(len(found))
-        inner = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary()), pa.array(classes, pa.int64())], ["h", "gram", "classes"])
+            by_width = [(w, gram_hashes(words, w, cache)) for w in widths]
+            if not any(len(through(*in_probes, h)) for _, h in by_width):
+                continue
+            grams = {b" ".join(words[i : i + w]): int(h[i]) for w, h in by_width for i in through(*in_any, h).tolist()}
+            ids.append(doc_id)
+            keys.append(xxhash.xxh64_intdigest(text, seed=42))
+            found += grams
+            hashes += grams.values()
+            sizes.append(len(found))
+        inner = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["h", "gram"])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).astype(np.int64)), lists], ["doc_id", "doc_key", "grams"])
 
-    return map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, doc_key bigint, grams array<struct<h:bigint,gram:binary,classes:bigint>>")
+    return map_batches(docs, ["doc_id", "text"], run, "doc_id bigint, doc_key bigint, grams array<struct<h:bigint,gram:binary>>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float = LEAST, sketch: int = 64, miss: float = 1e-6) -> DataFrame:
@@ -184,14 +187,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: float =
     grams = materialize(rows.drop("item_id").distinct(), "item-classes")
     probes = materialize(item_probes(grams), "item-probes")
     widths = sorted(r["width"] for r in grams.select("width").distinct().collect())  # `width` rows at most
-    classes = sorted(r["size_class"] for r in grams.select("size_class").distinct().collect())  # powers of two
-    probe_maps = {c: bit_map(probes.where(F.col("size_class") == c).select("h"), PROBE_MAP) for c in classes}
-    passed = materialize(probed_texts(docs, widths, probe_maps, bit_map(grams.select("h"), GRAM_MAP)), "probed-texts")
+    passed = materialize(probed_texts(docs, widths, probes.select("h"), grams.select("h")), "probed-texts")
 
     held = passed.groupBy("doc_key").agg(F.first("grams").alias("grams"))  # equal texts have equal shingles
     held = materialize(held.select("doc_key", F.explode("grams").alias("g")).select("doc_key", "g.*"), "held-shingles")
-    in_class = F.bit_get("classes", "size_class") == 1
-    found = held.where("classes != 0").join(probes, "h").where(in_class).select("doc_key", "item_key", "needed").distinct()
+    found = held.join(probes, "h").select("doc_key", "item_key", "needed").distinct()
     sketches = grams.where("in_sketch").select("item_key", "h")
     candidates = found.join(sketches, "item_key").join(held.select("doc_key", "h").distinct(), ["doc_key", "h"])
     candidates = candidates.groupBy("doc_key", "item_key", "needed").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("needed"))
