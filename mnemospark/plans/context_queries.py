@@ -223,7 +223,12 @@ def mere_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(context.mere_mention(F.col("text"), ["Onor"])).select("conv_id", "turn")
 
 
-@query("expanded_terms")
+@query(
+    "expanded_terms",
+    f"""WITH {GRAPH_SQL}, n AS (SELECT DISTINCT name, lower(name) AS l FROM nodes), w AS (SELECT unnest(['show', 'every', 'red', 'boltt', 'europe']) AS w),
+near AS (SELECT DISTINCT name FROM n, w WHERE length(l) > 0 AND (1 - levenshtein(w, l) / greatest(length(w), length(l))::DOUBLE > 0.7 OR 1 - levenshtein('show every red boltt of europe', l) / greatest(30, length(l))::DOUBLE > 0.6) ORDER BY name LIMIT 20)
+SELECT name FROM n WHERE name IN ('show', 'every', 'boltt', 'europe') UNION SELECT name FROM n, w WHERE contains(l, w) UNION SELECT name FROM near""",
+)
 def expanded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the graph that a prompt may mean."""
     names = graph_nodes(spark, sf_dir).select("name").distinct()

@@ -237,7 +237,16 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_names(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("score", F.round("score", 6))
 
 
-@query("entity_resolution")
+@query(
+    "entity_resolution",
+    """WITH q AS (SELECT p_partkey AS query_id, lower(p_name) AS w, lower(p_type) AS wt FROM part WHERE p_partkey % 100 = 0), d AS (SELECT p_partkey AS id, lower(p_name) AS n, lower(p_type) AS t, p_size, p_retailprice FROM part),
+s AS (SELECT query_id, id, n, w, CASE WHEN n = w THEN 100.0 ELSE 45 * least(1.0, (0.7 * (1 - levenshtein(n, w) / greatest(length(n), length(w))::DOUBLE)
+    + 0.3 * len(list_intersect(list_distinct(string_split(n, '')), list_distinct(string_split(w, '')))) / len(list_distinct(string_split(n, '') || string_split(w, '')))::DOUBLE + CASE WHEN starts_with(n, w) THEN 0.2 ELSE 0.0 END)
+    * CASE WHEN least(length(n), length(w)) < 3 THEN 0.4 WHEN least(length(n), length(w)) < 5 THEN 0.7 ELSE 1.0 END) END
+  + 30 * (t = wt)::INT + 20 * (p_retailprice > 1500)::INT - 30 * (p_size < 5)::INT AS score FROM q, d WHERE query_id <> id),
+x AS (SELECT query_id, id, round(score + CASE WHEN n <> w AND (contains(n, w) OR contains(w, n)) AND score < 40 THEN 10 ELSE 0 END, 6) AS score FROM s)
+SELECT query_id, id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""",
+)
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each hundredth part, the other part that answers its name best; ties go by id."""
     from mnemospark.sources.tables import table

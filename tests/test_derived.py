@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import re
 import time
 
 import pytest
@@ -209,3 +210,100 @@ def test_scratch_scopes_go(spark):
         assert spark.read.parquet(path).count() == 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path).count()
+
+
+# whole tables against plain loops, where SQL can't say it
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@with_tables
+def test_chunk_windows_by_loops(spark, docs):
+    want = set()
+    for d, r in docs.items():
+        lines, start, n = (r["text"] or "").split("\n"), 0, 0
+        while start < len(lines):
+            stop, size = start, 0
+            if n:  # the lines carried back count first
+                while stop < fresh:
+                    size += len(lines[stop]) + 1
+                    stop += 1
+            while stop < len(lines) and (stop == (fresh if n else start) or size + len(lines[stop]) + 1 <= 1200):  # a new line always fits
+                size += len(lines[stop]) + 1
+                stop += 1
+            want.add((d, n, start + 1, stop, hashlib.sha256("\n".join(lines[start:stop]).encode()).hexdigest()))
+            if stop == len(lines):
+                break
+            back, carried = stop, 0
+            while carried < 200 and stop - back < stop - start - 1:
+                back -= 1
+                carried += len(lines[back]) + 1
+            start, fresh, n = back, stop, n + 1
+    assert {tuple(r) for r in entry.queries()["chunk_windows"](spark, SF).collect()} == want
+
+
+@with_tables
+def test_embed_batches_by_loops(spark, docs):
+    queues = {}
+    for d, r in sorted(docs.items()):
+        queues.setdefault(f"{r['source']}/{d // 1000}", []).append((d, -(-len(r["text"]) // 4)))
+    want = set()
+    for queue, rows in queues.items():
+        batch = n = total = 0
+        for d, t in rows:
+            if n and (n >= 100 or total + t > 20_000):
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + t
+            want.add((queue, d, batch))
+    assert {tuple(r) for r in entry.queries()["embed_batches"](spark, SF).collect()} == want
+
+
+@with_tables
+def test_boosts_by_loops(spark, docs):
+    from mnemospark.plans.vector_queries import BOOST_QUERY
+
+    terms = [re.sub(r"\W", "", t.lower()) for t in BOOST_QUERY.split() if len(t) > 2]
+    got = {r["doc_id"]: (r["boost"], r["score"]) for r in entry.queries()["boosted_rerank"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for d, r in docs.items():
+        text, name, path = r["text"], r["lang"].lower(), f"{r['source']}/{r['lang']}".lower()
+        low = text.lower()
+        hits = lambda patterns: sum(bool(re.search(p, low, re.ASCII)) for p in patterns)  # noqa: B023, E731
+        names = 0.4 * any(t == name for t in terms) + 0.25 * any(t in name or name in t for t in terms)
+        near = max(len(set(t) & set(name)) / max(len(t), len(name)) for t in terms)
+        names += 0.2 * near if near > 0.7 else 0
+        methods = min(0.3, 0.15 * hits(retrieval.METHOD_PATTERNS) * (1.5 if any(t in name for t in terms) else 1))
+        content = min(0.2, 0.05 * hits(retrieval.CONTENT_PATTERNS))
+        stem = path.split("/")[-1].rsplit(".", 1)[0]
+        place = 0.15 * any(t in stem for t in terms) + 0.08 * any(t in p for t in terms for p in path.split("/"))
+        size = 0.1 * (len(text) > 500) + 0.1 * (len(text) > 1000) + 0.1 * (name in low)
+        assert got[d][0] == pytest.approx(min(0.6, names + methods + content + place + size), abs=2e-6), d
+
+
+@with_tables
+def test_markdown_parts_by_loops(spark, docs):
+    want = []
+    for d, r in docs.items():
+        lines = [f"# {r['source']}", f"[s](../{r['lang']}.md)", "```txt", *r["text"].split("\n"), "```", "## end"]
+        assert not any(x.startswith(("#", "```")) or re.search(r"\[[^\]]*\]\([^)]*\)", x) for x in r["text"].split("\n"))
+        want += [(d, "h1", r["source"]), (d, "link", f"../{r['lang']}.md"), (d, "code", "txt"), (d, "h2", "end")]
+        assert len(lines) > 5
+    got = entry.queries()["markdown_parts"](spark, SF).collect()
+    assert sorted((r["doc_id"], r["kind"], r["value"]) for r in got) == sorted(want)
+
+
+@with_tables
+def test_question_limits_and_sorts_by_patterns(spark):
+    asked = {(r["conv_id"], r["turn"]): r["text"] or "" for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
+    rows = entry.queries()["question_plans"](spark, SF).collect()
+    assert {(r["conv_id"], r["turn"]) for r in rows} == asked.keys()
+    for r in rows:
+        text = asked[r["conv_id"], r["turn"]]
+        limit, sort = re.search(r"(?i)\b(?:top|first|limit)\s*(\d+)\b", text), re.search(r"(?i)\bsort by (\w+)", text)
+        assert r["limit"] == (int(limit[1]) if limit else None) and r["sort_by"] == (sort[1] if sort else None)
+        low = text.lower()
+        kind = "function" if "function" in low or "method" in low else "class" if "class" in low else "interface" if "interface" in low else None
+        assert r["entity_type"] == kind and 0 <= r["confidence"] <= 1
