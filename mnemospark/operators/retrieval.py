@@ -58,10 +58,13 @@ def _flag(test: Column, points: float) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.lit(points)).otherwise(F.lit(0.0))
 
 
-def relevance_boost(query: str, text: Column, entity: Column, path: Column, is_chunk: Column) -> Column:
-    """At most 0.6 for names, code patterns, path and size; patterns see lower-cased text."""
+def relevance_boost(query: str, text: Column, entity: Column, path: Column, is_chunk: Column, low: Column | None = None) -> Column:
+    """At most 0.6 for names, code patterns, path and size; patterns see lower-cased text.
+
+    ``low`` is the text in lower case where a column of it is at hand.
+    """
     terms = query_terms(F.lit(query))
-    low, name = F.lower(text), F.lower(entity)
+    low, name = F.lower(text) if low is None else low, F.lower(entity)
     some = lambda test: F.exists(terms, test)
     nearest = F.array_max(F.transform(terms, lambda t: char_overlap(t, name)))
     names = _flag(some(lambda t: t == name), 0.4) + _flag(some(lambda t: name.contains(t) | t.contains(name)), 0.25)
@@ -82,6 +85,11 @@ CODE_WORDS = ("function", "class", "method", "variable", "interface", "type", "c
 OVERVIEW_WORDS = ("overview", "summary", "architecture", "structure", "design")
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose value is computed a single time, however often later columns use it: a generator stands between."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def reranked(query: str, similarity: Column, text: Column, entity: Column, is_chunk: Column) -> Column:
     """Similarity with boosts for name, shared words and kind, at most 1."""
     low = query.lower()
