@@ -571,3 +571,30 @@ def entity_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", "class", 1, 3, True), entity("rest", "function", 4, 1_000_000, False)).alias("entities"))
     return chunks.scored_entity_chunks(files, "text", "entities").select("doc_id", "name", "start", "importance", "hash")
+
+
+@query(
+    "script_declarations",
+    """SELECT p_partkey, kind, name, holder, start_line, end_line FROM part, (VALUES ('import', './base', NULL, 1, 1), ('class', 'Part' , NULL, 2, 9), ('method', 'constructor', 'Part', 3, 5), ('method', 'load', 'Part', 6, 8), ('function', 'pick', NULL, 10, 12),
+  ('function', 'one', NULL, 13, 13), ('variable', 'size', NULL, 14, 14), ('interface', 'Shape', NULL, 15, 17), ('type_alias', 'Id', NULL, 18, 18)) v(kind, name, holder, start_line, end_line)
+UNION ALL SELECT p_partkey, 'enum', 'E' || p_partkey, NULL, 19, 19 FROM part""",
+)
+def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of a script for each part, with holders and lines."""
+    head = (
+        "import { a } from './base';\nexport class Part extends Base {\n  constructor(x) {\n    if (x) { y(); }\n  }\n  async load(id: number): Promise<void> {\n    for (;;) {}\n  }\n}\n"
+        "export function pick(a) {\n  return a;\n}\nconst one = (a) => a;\nlet size = "
+    )
+    script = _text(head, "$p_size", ";\nexport interface Shape {\n  id: number;\n}\ntype Id = string | number;\nenum E", "$p_partkey", " { A, B }")
+    return parsers.script_declarations(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script")
+
+
+@query(
+    "php_declarations",
+    r"""SELECT p_partkey, kind, name, holder, start_line, end_line FROM part, (VALUES ('namespace', 'App\Parts', NULL, 2, 2), ('import', 'Lib\Base', NULL, 3, 3), ('class', 'Part', NULL, 4, 10), ('method', 'run', 'Part', 5, 9)) v(kind, name, holder, start_line, end_line)
+UNION ALL SELECT p_partkey, 'function', 'f' || p_partkey, NULL, 11, 11 FROM part""".replace("\\\\", "\\"),
+)
+def php_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a PHP file."""
+    script = _text("<?php\nnamespace App\\Parts;\nuse Lib\\Base;\nfinal class Part extends Base {\n  public static function run($a) {\n    if ($a) {\n      return 1;\n    }\n  }\n}\nfunction f", "$p_partkey", "() { return 2; }")
+    return parsers.script_declarations(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script", "php")
