@@ -6,9 +6,14 @@ whose size doesn't depend on the data:
 
 1. Large lengths, in falling order, are dealt into ``groups`` groups of equal
    cardinality, and each length is rounded up to its group's largest.
-2. For the few sizes left, configurations are chosen one after another: the
-   largest size that remains, completed to the fullest sequence that the
-   remaining counts allow (bounded subset sums), as often as they allow.
+2. For the few sizes left, configurations (how many of which sizes share a
+   sequence) are optimised: column generation solves the linear program of least
+   sequences, each new configuration being the best for the current prices (a
+   knapsack), until no plan can be ``GAP`` better or ``ROUNDS`` are tried. Whole
+   multiples of its configurations are used. What remains is filled one after
+   another: the largest size left, completed to the fullest sequence that the
+   remaining counts allow (bounded subset sums), as often as they allow. The same
+   filling alone, over ``groups`` sizes, makes a second plan; the shorter is taken.
 3. The actual lengths take the places of the rounded ones.
 4. Small lengths, in falling order, go best-fit into the room that is left.
 
@@ -38,6 +43,8 @@ from mnemospark.session import materialize
 from .textops import map_batches, utf8
 
 CAPACITY, GROUPS = 4096, 256
+#: Sizes of the linear program, its unit of length, the gap to the bound that is good enough, and the most configurations it tries.
+PROGRAM_GROUPS, UNIT, GAP, ROUNDS = 64, 4, 5e-4, 400
 TOKEN_CACHE = 300_000
 #: Pieces of one length that are numbered together, or the root of their number if that is more.
 NUMBERED = 1_000
@@ -67,28 +74,31 @@ class TokenCache:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.odd = self._odd()
-
-    def _odd(self) -> frozenset[str]:
-        """Letters and digits that the normaliser turns into anything but letters and digits."""
-        if not self.tokenizer.normalizer:
-            return frozenset()
-        every = [c for c in map(chr, range(0x110000)) if c.isalnum()]
-        made = self.tokenizer.normalizer.normalize_str("\n".join(every)).split()
-        if len(made) != len(every):
-            made = map(self.tokenizer.normalizer.normalize_str, every)
-        return frozenset(c for c, m in zip(every, made, strict=True) if not m.isalnum() or c.isalpha() and not m.isalpha())
+        self.plain: set[str] = set()
+
+    def _plain(self, text: str) -> bool:
+        """Whether the normaliser keeps all letters and digits of a text letters and digits."""
+        if self.plain.issuperset(text):
+            return True
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        for c in set(text) - self.plain:
+            made = normal(c)
+            if not (c.isalnum() and made.isalnum()) or c.isalpha() != made.isalpha():
+                return False
+            self.plain.add(c)
+        return True
 
     def _cuts(self, stem: bytes) -> bool:
         """Whether the tokenizer splits between this stem and a full stop or comma."""
         if not stem or stem[-1] < 128:
             return stem[-1:].isalnum()
-        last = stem.decode()[-1]
-        return last.isalnum() and last not in self.odd
+        return self._plain(stem.decode()[-1])
 
     def _letters(self, word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha()
         text = word.decode()
-        return text.isalpha() and (word.isascii() or self.odd.isdisjoint(text))
+        return text.isalpha() and self._plain(text)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -209,8 +219,63 @@ def take(queue: list[list[int]], n: int) -> list[tuple[int, int]]:
     return got
 
 
-def pack_large(lengths: list[tuple[int, int]], capacity: int, groups: int) -> list[Run]:
-    """Steps 1 to 3 for (length, count) in falling order of length."""
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the highest total price that fits (unbounded knapsack), and that price."""
+    value = np.zeros(capacity + 1)
+    pick = np.full(capacity + 1, -1)
+    smallest = int(sizes.min())
+    for room in range(smallest, capacity + 1):
+        fits = len(sizes) - int(np.searchsorted(sizes[::-1], room, side="right"))  # sizes fall
+        offers = prices[fits:] + value[room - sizes[fits:]]
+        best = int(offers.argmax())
+        value[room], pick[room] = value[room - 1], -1
+        if offers[best] > value[room] + 1e-12:
+            value[room], pick[room] = offers[best], fits + best
+    made, room = np.zeros(len(sizes)), capacity
+    while room >= smallest:
+        if pick[room] < 0:
+            room -= 1
+        else:
+            made[pick[room]] += 1
+            room -= int(sizes[pick[room]])
+    return float(value[capacity]), made
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """Whole multiples of configurations {size's place: number} of a near-optimal plan, and a lower bound on the sequences of any plan.
+
+    ``sizes`` are distinct and fall. No size is used more often than it is there.
+    """
+    size, need = -(-np.array(sizes) // UNIT), np.array(counts, float)
+    capacity //= UNIT
+    basis = np.diag(np.maximum(1, capacity // size)).astype(float)
+    bound = 0.0
+    for _ in range(rounds):
+        amounts, prices = np.linalg.solve(basis, need), np.linalg.solve(basis.T, np.ones(len(size)))
+        price, column = best_configuration(np.maximum(prices, 0), size, capacity)
+        bound = max(bound, float(np.maximum(prices, 0) @ need) / max(price, 1.0))
+        if price <= 1 + 1e-9 or amounts.sum() <= bound * (1 + gap):
+            break
+        change = np.linalg.solve(basis, column)
+        share = np.where(change > 1e-9, np.maximum(amounts, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        leaves = int(share.argmin())
+        if not np.isfinite(share[leaves]):
+            break
+        basis[:, leaves] = column
+    amounts = np.linalg.solve(basis, need)
+    left, out = list(counts), []
+    for j in np.argsort(-amounts, kind="stable").tolist():
+        use = {int(i): int(basis[i, j]) for i in np.flatnonzero(basis[:, j])}
+        times = min(int(amounts[j] + 1e-6), *(left[i] // n for i, n in use.items()))
+        if times > 0:
+            out.append((times, use))
+            for i, n in use.items():
+                left[i] -= times * n
+    return out, bound
+
+
+def pack_large(lengths: list[tuple[int, int]], capacity: int, groups: int, optimise: bool = False) -> list[Run]:
+    """Steps 1 to 3 for (length, count) in falling order of length; ``optimise``: by the linear program first."""
     total = sum(c for _, c in lengths)
     if not total:
         return []
@@ -219,9 +284,26 @@ def pack_large(lengths: list[tuple[int, int]], capacity: int, groups: int) -> li
     dealt: list[list[list[int]]] = []
     for done in range(0, total, each):
         dealt.append([list(x) for x in take(queue, min(each, total - done))])
-    sizes = [g[0][0] for g in dealt]
-    left = [sum(c for _, c in g) for g in dealt]
+    merged: list[list[list[int]]] = []
+    for group in dealt:  # groups that are rounded to the same size are one
+        if merged and merged[-1][0][0] == group[0][0]:
+            merged[-1] += group
+        else:
+            merged.append(group)
+    sizes = [g[0][0] for g in merged]
+    left = [sum(c for _, c in g) for g in merged]
     runs: list[Run] = []
+
+    def use_up(times: int, use: dict[int, int]) -> None:
+        slots = [take(merged[i], times) for i, n in use.items() for _ in range(n)]
+        for i, n in use.items():
+            left[i] -= times * n
+        cuts = sorted({0, times} | {c for slot in slots for c in np.cumsum([k for _, k in slot]).tolist()})
+        for low, high in pairwise(cuts):
+            runs.append((high - low, tuple(_at(slot, low) for slot in slots)))
+
+    for times, use in configurations(sizes, left, capacity)[0] if optimise else []:
+        use_up(times, use)
     for first in range(len(sizes)):
         while left[first]:
             room = capacity - sizes[first]
@@ -230,13 +312,7 @@ def pack_large(lengths: list[tuple[int, int]], capacity: int, groups: int) -> li
             use = {first: 1}
             for i, n in more.items():
                 use[usable[i]] = use.get(usable[i], 0) + n
-            times = min(left[i] // n for i, n in use.items())
-            slots = [take(dealt[i], times) for i, n in use.items() for _ in range(n)]
-            for i, n in use.items():
-                left[i] -= times * n
-            cuts = sorted({0, times} | {c for slot in slots for c in np.cumsum([k for _, k in slot]).tolist()})
-            for a, b in pairwise(cuts):
-                runs.append((b - a, tuple(_at(slot, a) for slot in slots)))
+            use_up(min(left[i] // n for i, n in use.items()), use)
     return runs
 
 
@@ -293,7 +369,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     whole = [(n, (k,)) for k, n in lengths if k == capacity]
     large = [(k, n) for k, n in lengths if capacity // 6 < k < capacity]
     small = [(k, n) for k, n in lengths if k <= capacity // 6]
-    return whole + pack_small(pack_large(large, capacity, groups), small, capacity)
+    plans = [whole + pack_small(pack_large(large, capacity, n, program), small, capacity) for n, program in ((groups, False), (min(groups, PROGRAM_GROUPS), True))]
+    return min(plans, key=lambda runs: sum(n for n, _ in runs))
 
 
 def places(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
