@@ -141,6 +141,34 @@ def test_random_texts_have_the_tokenizers_ids(tokenizer):  # noqa: F811
     assert [t for t, a, b in zip(texts, want, cache.encode([t.encode() for t in texts]), strict=True) if np.array(a.ids, "<u4").tobytes() != b] == []
 
 
+def test_configurations_keep_to_the_counts_and_the_bound():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 20):
+        sizes = sorted(rng.choice(np.arange(700, 4096), n, replace=False).tolist(), reverse=True)
+        counts = rng.integers(1, 3000, n).tolist()
+        made, bound = packing.configurations(sizes, counts, 4096)
+        used, sequences = Counter(), 0
+        for times, use in made:
+            assert times > 0 and sum(sizes[i] * k for i, k in use.items()) <= 4096
+            sequences += times
+            for i, k in use.items():
+                used[i] += times * k
+        assert all(used[i] <= counts[i] for i in range(n))
+        left = sum(counts[i] - used[i] for i in range(n))
+        assert bound <= sequences + left + 1e-6 and bound <= sum(counts)
+        assert bound * packing.UNIT >= 0 and left <= 6 * n
+
+
+def test_best_configuration_by_trying_all():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        sizes = np.array(sorted(rng.choice(np.arange(15, 60), 5, replace=False), reverse=True))
+        prices = rng.random(5)
+        price, made = packing.best_configuration(prices, sizes, 90)
+        every = [p for p in itertools.product(range(7), repeat=5) if np.dot(p, sizes) <= 90]
+        assert price == pytest.approx(max(np.dot(p, prices) for p in every)) and np.dot(made, sizes) <= 90 and np.dot(made, prices) == pytest.approx(price)
+
+
 # language model
 
 
