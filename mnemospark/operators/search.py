@@ -243,9 +243,12 @@ def merge_entities(rows: DataFrame, key: str) -> DataFrame:
     plain = rows.groupBy(key).agg(
         F.max_by("name", F.struct(F.size("observations"), "name")).alias("name"),
         F.sort_array(F.collect_set("name")).alias("aliases"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("observations")))).alias("observations"),
         F.mode("entity_type", True).alias("entity_type"),
     )
+    # each distinct note is gathered once, however many rows have it
+    notes = rows.select(key, F.explode("observations").alias("o")).groupBy(key).agg(F.sort_array(F.collect_set("o")).alias("observations"))
+    none = F.array().cast("array<string>")
     mean = rows.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
     vector = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    return plain.join(vector, key, "left")
+    made = plain.join(notes, key, "left").join(vector, key, "left").withColumn("observations", F.coalesce("observations", none))
+    return made.select(key, "name", "aliases", "observations", "entity_type", "embedding")
