@@ -257,13 +257,17 @@ def fit_lines(parts: list[np.ndarray], labels: np.ndarray, shared: list[np.ndarr
         unary = x @ emit.T
         held = unary.copy()
         held[:, 1] += np.where(known, -20.0, np.repeat(shift, runs.sizes))
-        _, content, moves = runs.posteriors(held, move)
-        _, free, free_moves = runs.posteriors(unary, move)
+        late = 3 * k > 2 * rounds
+        if late:
+            _, content, moves = runs.posteriors(held, move)
+            _, free, free_moves = runs.posteriors(unary, move)
+        else:  # without moves each line is alone
+            content, free = (1 / (1 + np.exp(np.clip(u[:, 0] - u[:, 1], -40, 40))) for u in (held, unary))
+            moves = free_moves = np.zeros((2, 2))
         part = share(content)
         shift = np.where(labels > 0, np.maximum(0, shift + 4 * (MOST - part)), np.minimum(0, shift + 4 * (LEAST - part)))
         gap = (content - free) @ x
-        late = 3 * k > 2 * rounds
-        grad = np.concatenate([-gap, gap, late * (moves - free_moves).ravel()]) / len(x) - ridge * flat
+        grad = np.concatenate([-gap, gap, (moves - free_moves).ravel()]) / len(x) - ridge * flat
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         flat = flat + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)
     return Chain(flat[: 2 * N_FEATURES].reshape(2, -1), flat[2 * N_FEATURES :].reshape(2, 2))
