@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_format, decontaminate, kneser_ney, license_scan, line_crf, line_runs, packing, simhash, weak_toxicity
+from . import boosted_quality, chat_format, decontaminate, filter_audit, kneser_ney, license_scan, line_crf, line_runs, packing, simhash, weak_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,49 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts
+), flags AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic
+  FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+  FROM words LEFT JOIN flags USING (doc_id)
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT '' AS o, 0 AS bits UNION ALL SELECT o || letter, bits + bit FROM orders JOIN letters ON bits & bit = 0
+), steps AS (
+  SELECT o AS filter_order, g.step::INT AS step, letters.bit,
+    (SELECT coalesce(sum(x.bit), 0) FROM letters x WHERE instr(substr(o, 1, g.step - 1), x.letter) > 0)::INT AS before
+  FROM orders JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) g ON length(o) = 5 JOIN letters ON letter = substr(o, g.step, 1)
+), told AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM told
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -137,9 +180,11 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
     "op3_line_runs": OP3_SQL,
     "op6_chat_format": OP6_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
