@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_quality, chat_format, decontaminate, filter_audit, hard_negatives, kneser_ney, license_scan, line_crf, line_runs, packing, simhash, weak_toxicity
+from . import boosted_quality, chat_format, decontaminate, filter_audit, hard_negatives, kneser_ney, license_scan, line_crf, line_runs, minhash_forest, packing, simhash, weak_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,6 +194,10 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.sc
 """
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -211,6 +215,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_forest": op13_minhash_forest,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
