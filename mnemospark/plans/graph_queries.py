@@ -223,6 +223,37 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", "row_id", F.round(score, 6).alias("score"))
 
 
+ENTITIES = """e AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind,
+    CASE WHEN p_partkey % 10 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(['brand: ' || lower(p_brand), 'size: ' || p_size % 10, 'price: ' || CAST(floor(p_retailprice / 400) AS BIGINT)]) END AS obs,
+    embedding::DOUBLE[] AS v FROM part LEFT JOIN embeddings ON vec_id = p_partkey)"""
+
+
+@query(
+    "entity_links",
+    f"""WITH {ENTITIES},
+c AS (SELECT *, min(id) OVER (PARTITION BY name, kind, obs, v) AS first FROM e),
+s AS (SELECT x.id AS a, y.id AS b, x.v IS NOT NULL AND y.v IS NOT NULL AS both_v, x.kind = y.kind AS same, len(x.obs) + len(y.obs) > 0 AS noted,
+  CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN list_cosine_similarity(x.v, y.v) ELSE 0 END AS cosine,
+  1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE AS called,
+  len(list_intersect(x.obs, y.obs)) / greatest(1, len(list_distinct(x.obs || y.obs)))::DOUBLE AS jaccard, x.first = y.first AS one
+  FROM c x JOIN c y ON x.first = x.id AND (y.first = y.id AND x.id < y.id OR y.first = x.id AND x.id <> y.id)),
+t AS (SELECT a, b, one, (0.4 * cosine + 0.25 * called + 0.15 * same::INT + 0.2 * jaccard) / (0.4 * both_v::INT + 0.25 + 0.15 * same::INT + 0.2 * noted::INT) AS score FROM s)
+SELECT CASE WHEN one THEN 'member' ELSE 'similar' END AS kind, a, b, round(score, 6) AS score FROM t WHERE score >= 0.7 - 1e-9""",
+)
+def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts with all as entities, by names, types, notes and the vectors of those that have one."""
+    from mnemospark.operators.entity_join import entity_links
+    from mnemospark.sources.tables import table
+
+    text = lambda label, value: F.concat(F.lit(label), value.cast("string"))
+    notes = F.array(text("brand: ", F.col("p_brand")), text("size: ", F.col("p_size") % 10), text("price: ", F.floor(F.col("p_retailprice") / 400)))
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.when(F.col("p_partkey") % 10 != 0, notes).alias("observations")
+    )
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return entity_links(part.join(vectors, "id", "left")).withColumn("score", F.round("score", 6))
+
+
 @query(
     "similar_names",
     """WITH c AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE length(p_name) > 0 GROUP BY p_name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vectors import cosine, resample
-from mnemospark.operators import retrieval, search
+from mnemospark.operators import pivots, retrieval, search
 from mnemospark.plans.registry import query
 from mnemospark.sources.tables import table
 
@@ -31,6 +31,18 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "knn_pivots",
+    f"WITH {KNN} SELECT query_id, vec_id, round(d, 6) AS distance, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM p) WHERE rn <= 20",
+)
+def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``knn_l2`` from cells around pivots, passing over stretches that the triangle inequality rules out."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found, _ = pivots.nearest(queries, rows, 20)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "cosine_topk",
     f"WITH {KNN} SELECT query_id, vec_id, round(c, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 10",
