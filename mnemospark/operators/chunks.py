@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from mnemospark.operators.context import importance
+from mnemospark.operators.openings import openings, ranged_totals
 
 
 @udtf(returnType="chunk int, start_line int, end_line int, text string")
@@ -77,7 +77,7 @@ def entity_chunks(files: DataFrame, text: str, entities: str, least: int = 100)
     """(…, name, text, hash) of the lines of each entity (array of struct name, start, end); short ones go."""
     rest = [c for c in files.columns if c not in (text, entities)]
     one = files.select(*rest, F.split(text, "\n").alias("_lines"), F.explode(entities).alias("e"))
-    body = F.array_join(F.slice("_lines", F.col("e.start"), F.col("e.end") - F.col("e.start") + 1), "\n")
+    body = F.array_join(F.slice("_lines", F.col("e.start"), F.greatest(F.col("e.end") - F.col("e.start") + 1, F.lit(0))), "\n")
     return one.select(*rest, F.col("e.name").alias("name"), body.alias("text"), F.sha2(body, 256).alias("hash")).where(F.length("text") >= least)
 
 
@@ -120,35 +120,22 @@ def balanced(rows: DataFrame, model: str, order: str, most: float = 0.8, to: flo
     if not heavy or len(share) < 2:
         return rows
     other = next(m for m in share[model] if m != heavy[0])
-    keep = int(to * total)
-    last = rows.where(F.col(model) == heavy[0]).orderBy(order).offset(keep).select(F.col(order).alias("_order"))
-    moved = rows.join(last, rows[order] == last["_order"], "left")
-    return moved.withColumn(model, F.when(F.col("_order").isNotNull(), F.lit(other)).otherwise(F.col(model))).drop("_order")
+    ranked = ranged_totals(rows, model, [order])
+    moved = (F.col(model) == heavy[0]) & (F.col("rank") > int(to * total))
+    return ranked.withColumn(model, F.when(moved, F.lit(other)).otherwise(F.col(model))).select(*rows.columns)
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, tokens: str, most_rows: int = 100, most_tokens: int = 20_000) -> DataFrame:
     """Add ``batch``: rows in order, a new batch where the next row would pass a limit.
 
-    The running sum starts anew with each batch, which no window can do, so tasks
-    walk each group's rows in order with two numbers of state.
+    The running sum starts anew with each batch; ``openings`` finds where, in groups of
+    any length. A row over the limit is a batch of its own; null tokens are none.
     """
-    ordered = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")).repartition("g").sortWithinPartitions("g", "o")
-
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, batch, n, total = object(), 0, 0, 0
-        for part in parts:
-            out = []
-            for g, t in zip(part["g"].tolist(), part["t"].tolist(), strict=True):
-                if g != who:
-                    who, batch, n, total = g, 0, 0, 0
-                elif n >= most_rows or total + t > most_tokens:
-                    batch, n, total = batch + 1, 0, 0
-                n, total = n + 1, total + t
-                out.append(batch)
-            yield pd.DataFrame({"g": part["g"], "o": part["o"], "batch": out})
-
-    kinds = dict(rows.dtypes)
-    return ordered.mapInPandas(walk, f"g {kinds[group]}, o {kinds[order]}, batch int").select(F.col("g").alias(group), F.col("o").alias(order), "batch")
+    ranked = ranged_totals(rows.select(group, order, F.col(tokens).alias("_tokens")), group, [order], F.col("_tokens"))
+    own = F.greatest(F.coalesce(F.col("_tokens").cast("long"), F.lit(0)), F.lit(0))
+    until = F.greatest(F.col("total") - own + most_tokens, F.col("total"))
+    made = openings(ranked, group, [order], F.col("total"), until, F.when(own > most_tokens, 1).otherwise(most_rows))
+    return made.select(group, order, F.col("opening").cast("int").alias("batch"))
 
 
 def ingest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.openings import NEVER, openings, ranged_totals
+
 
 def query_events(events: DataFrame, pos: str, ts: str, kind: str, types: list[str] | None = None, start=None, end=None, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Events of some types within inclusive bounds, in file order, as a page."""
@@ -66,25 +67,13 @@ def consistency(events: DataFrame) -> DataFrame:
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, pos: str, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """Whether each request is allowed: ``limit`` per window that opens at a key's first request after the last one.
+    """(pos, allowed): ``limit`` requests per window that opens at a key's first request after the last one.
 
-    The window's start depends on the one before, so a task walks each key's
-    rows in order, batch by batch, and keeps two numbers.
+    The window's start depends on the one before; ``openings`` finds it in keys of any length.
     """
-    ordered = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(pos).alias("p")).repartition("k").sortWithinPartitions("k", "t", "p")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, opened, used = object(), 0, 0
-        for batch in batches:
-            allowed = []
-            for k, t in zip(batch["k"].tolist(), batch["t"].tolist(), strict=True):
-                if k != who or t - opened > seconds * 1_000_000:
-                    who, opened, used = k, t, 0
-                used += 1
-                allowed.append(used <= limit)
-            yield pd.DataFrame({"pos": batch["p"], "allowed": allowed})
-
-    return ordered.mapInPandas(walk, "pos bigint, allowed boolean")
+    rows = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(pos).alias("pos"))
+    made = openings(ranged_totals(rows, "k", ["t", "pos"]), "k", ["pos"], F.col("t"), F.col("t") + seconds * 1_000_000, F.lit(NEVER // 2))
+    return made.select("pos", (F.col("rank") - F.col("opened") < limit).alias("allowed"))
 
 
 class Handlers:

@@ -132,13 +132,14 @@ def diversified(rows: DataFrame, query: str, k: int, text: str = "text", entity:
     return counted.withColumn(score, second).drop("_signed", "_about", "_made", "_n", "_any")
 
 
-def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits and their parents at 0.9; a parent that was hit itself keeps the parent's score."""
-    ids = hits.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct()
-    parents = chunks.join(ids, "id", "left_semi").withColumn("similarity", F.lit(0.9))
+def with_parents(hits: DataFrame, chunks: DataFrame, query: str | None = None) -> DataFrame:
+    """Hits and their parents at 0.9, for each ``query``; a parent that was hit itself keeps the parent's score."""
+    keys = ["id"] if query is None else [query, "id"]
+    ids = hits.where(F.col("parent_id").isNotNull()).select(*keys[:-1], F.col("parent_id").alias("id")).distinct()
+    parents = chunks.join(ids, "id").select(*keys, *[c for c in hits.columns if c not in keys]).withColumn("similarity", F.lit(0.9))
     both = hits.withColumn("_order", F.lit(0)).unionByName(parents.withColumn("_order", F.lit(1)))
-    rest = [c for c in hits.columns if c != "id"]
-    return both.groupBy("id").agg(F.max_by(F.struct(*rest), "_order").alias("r")).select("id", "r.*")
+    rest = [c for c in hits.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_order").alias("r")).select(*keys, "r.*")
 
 
 def reciprocal_rank_fusion(lists: DataFrame, key: str, k: int = 60, weight: Column | None = None, group: list[str] | None = None) -> DataFrame:
@@ -281,19 +282,19 @@ def ranked_patterns(files: DataFrame, path: str, terms: list[str], most: int = 5
     return scored.orderBy(path).limit(sample) if not terms or hits.isEmpty() else hits
 
 
-def retrieve_chunks(by_model: dict[str, DataFrame], chunks: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best chunks of a query over one nearest-neighbour list a model.
+def retrieve_chunks(by_model: dict[str, DataFrame], chunks: DataFrame, k: int, query: str) -> DataFrame:
+    """The ``k`` best chunks of each query over one nearest-neighbour list a model.
 
-    A list has id, similarity and parent_id. The lists are united, a chunk keeps its
-    best similarity, parents join at 0.9, and ties go by id.
+    A list has query, id, similarity and parent_id. The lists are united, a chunk keeps
+    its best similarity, parents join at 0.9, and ties go by id.
     """
     every = None
     for model, hits in by_model.items():
-        part = hits.select("id", "similarity", "parent_id", F.lit(model).alias("model"))
+        part = hits.select(query, "id", "similarity", "parent_id", F.lit(model).alias("model"))
         every = part if every is None else every.unionByName(part)
-    best = every.groupBy("id").agg(F.max_by(F.struct("similarity", "parent_id", "model"), F.struct("similarity", "model")).alias("r")).select("id", "r.*")
+    best = every.groupBy(query, "id").agg(F.max_by(F.struct("similarity", "parent_id", "model"), F.struct("similarity", "model")).alias("r")).select(query, "id", "r.*")
     with_models = chunks.withColumn("model", F.lit("parent")).select("id", "similarity", "parent_id", "model")
-    return with_parents(best, with_models).orderBy(F.col("similarity").desc(), "id").limit(k)
+    return top_per_query(with_parents(best, with_models, query), query, [F.col("similarity").desc(), F.col("id")], k)
 
 
 def citation_metrics(answers: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:

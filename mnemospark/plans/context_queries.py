@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.values import SEVERITY_RANK, looked_up
-from mnemospark.operators import context
+from mnemospark.operators import context, search
 from mnemospark.operators.events import latest
 from mnemospark.plans.registry import query
 from mnemospark.sources.tables import GRAPH_SQL, graph_nodes, table
@@ -49,11 +49,12 @@ def index_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "findings_by_severity",
     """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'low' ELSE 'medium' END AS severity FROM lineitem
-ORDER BY severity DESC, l_orderkey, l_linenumber, l_partkey LIMIT 300""",
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY severity DESC, l_linenumber, l_partkey) <= 3""",
 )
 def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of ``all_findings_by_severity``."""
-    return all_findings_by_severity(spark, sf_dir).limit(300)
+    """Of every order, as a review, the three findings that its list begins with."""
+    rows = all_findings_by_severity(spark, sf_dir)
+    return search.top_per_query(rows, "l_orderkey", [F.col("severity").desc(), F.col("l_linenumber"), F.col("l_partkey")], 3).drop("rank")
 
 
 @query(
@@ -70,11 +71,13 @@ def all_findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "findings_by_weight",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 2 END AS weight FROM lineitem ORDER BY weight DESC, l_orderkey, l_linenumber, l_partkey LIMIT 300""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 2 END AS weight FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY weight DESC, l_linenumber, l_partkey) <= 3""",
 )
 def findings_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of ``all_findings_by_weight``."""
-    return all_findings_by_weight(spark, sf_dir).limit(300)
+    """Of every order, as a review, the three findings of most weight."""
+    rows = all_findings_by_weight(spark, sf_dir)
+    return search.top_per_query(rows, "l_orderkey", [F.col("weight").desc(), F.col("l_linenumber"), F.col("l_partkey")], 3).drop("rank")
 
 
 @query(

@@ -10,6 +10,7 @@ from mnemospark.functions.vectors import resample
 from mnemospark.operators import chunks, context, graph, parsers, retrieval, review, search
 from mnemospark.plans import dsl, questions
 from mnemospark.plans.registry import query
+from mnemospark.session import materialize
 from mnemospark.sources.tables import GRAPH_SQL, graph_edges, graph_nodes, table
 from mnemospark.streaming import event_stream
 
@@ -78,7 +79,7 @@ SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY id""",
 )
 def bfs_from_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No node has this name, so the walk starts from the first that a search finds."""
-    return dsl.execute("traverse:urop:outgoing:2", graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)).select("id", "depth")
+    return dsl.execute("traverse:urop:outgoing:2", graph_nodes(spark, sf_dir), materialize(graph_edges(spark, sf_dir), "edges")).select("id", "depth")
 
 
 @query(
@@ -286,13 +287,13 @@ def long_context_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_chunks",
-    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, 'head' AS name, array_to_string(l[1:3], chr(10)) AS t FROM l UNION ALL SELECT doc_id, 'rest', array_to_string(l[4:1000000], chr(10)) FROM l)
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, 'head' AS name, array_to_string(l[1:3], chr(10)) AS t FROM l UNION ALL SELECT doc_id, 'rest', array_to_string(l[4:len(l)], chr(10)) FROM l)
 SELECT doc_id, name, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS hash FROM c WHERE length(t) >= 100""",
 )
 def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three lines of a text and the others, as entities; short ones go."""
-    entity = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end"))
-    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", 1, 3), entity("rest", 4, 1_000_000)).alias("entities"))
+    entity = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.lit(a).alias("start"), (F.lit(b) if isinstance(b, int) else b).alias("end"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", 1, 3), entity("rest", 4, F.size(F.split("text", "\n")))).alias("entities"))
     made = chunks.entity_chunks(files, "text", "entities")
     return made.select("doc_id", "name", F.length("text").cast("bigint").alias("n_chars"), "hash")
 
@@ -448,23 +449,23 @@ def latest_event_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunks_by_model",
-    """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, 0.5 * sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - v[i]::DOUBLE) * (embedding[i]::DOUBLE - v[i]::DOUBLE)))) AS x FROM embeddings, q),
-h AS (SELECT vec_id AS id, 1 - x AS s, vec_id // 3 AS par FROM d WHERE vec_id > 0 AND x < 1 QUALIFY row_number() OVER (PARTITION BY vec_id % 2 ORDER BY x, vec_id) <= 8),
-u AS (SELECT id, s FROM h UNION ALL SELECT vec_id, 0.9 FROM embeddings WHERE vec_id IN (SELECT par FROM h) AND vec_id NOT IN (SELECT id FROM h)),
-p AS (SELECT id, CASE WHEN id IN (SELECT par FROM h) THEN 0.9 ELSE s END AS s FROM u)
-SELECT id, round(s, 5) AS similarity FROM p ORDER BY s DESC, id LIMIT 10""",
+    """WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q, vec_id, 0.5 * sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - v[i]::DOUBLE) * (embedding[i]::DOUBLE - v[i]::DOUBLE)))) AS x FROM embeddings, q WHERE vec_id <> q),
+h AS (SELECT q, vec_id AS id, 1 - x AS s, vec_id // 3 AS par FROM d WHERE x < 1 QUALIFY row_number() OVER (PARTITION BY q, vec_id % 2 ORDER BY x, vec_id) <= 8),
+u AS (SELECT q, id, s, 0 AS parent FROM h UNION ALL SELECT DISTINCT q, par, 0.9, 1 FROM h WHERE par IN (SELECT vec_id FROM embeddings)),
+p AS (SELECT q, id, arg_max(s, parent) AS s FROM u GROUP BY q, id)
+SELECT q AS query_id, id, round(s, 5) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, id) <= 10""",
 )
 def chunks_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best chunks for one vector over a list for each of two models, with parents."""
+    """The ten best chunks for every hundredth vector over a list for each of two models, with parents."""
     rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * 0.5))  # nearer than 1
-    wanted = rows.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vector"))
+    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     lists = {}
     for model in (0, 1):
-        own = rows.where((F.col("vec_id") > 0) & (F.col("vec_id") % 2 == model)).select("vec_id", "embedding")
-        near = retrieval.knn(search.against_all(wanted, own, F.lit(True)), 8)
-        lists[f"m{model}"] = near.select(F.col("vec_id").alias("id"), "similarity", F.expr("vec_id div 3").alias("parent_id"))
+        own = rows.where(F.col("vec_id") % 2 == model).select("vec_id", "embedding")
+        near = retrieval.knn(search.against_all(wanted, own, F.col("query_id") != F.col("vec_id")), 8)
+        lists[f"m{model}"] = near.select("query_id", F.col("vec_id").alias("id"), "similarity", F.expr("vec_id div 3").alias("parent_id"))
     chunks_ = rows.select(F.col("vec_id").alias("id"), F.lit(0.0).alias("similarity"), F.expr("vec_id div 3").alias("parent_id"))
-    return retrieval.retrieve_chunks(lists, chunks_, 10).select("id", F.round("similarity", 5).alias("similarity"))
+    return retrieval.retrieve_chunks(lists, chunks_, 10, "query_id").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
 
 
 @query(
@@ -561,15 +562,15 @@ def technical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "entity_chunk_scores",
     r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, 'head' AS name, 1 AS start, 0.8 AS importance, array_to_string(l[1:3], chr(10)) AS t FROM l
-UNION ALL SELECT doc_id, 'rest', 4, 0.4, array_to_string(l[4:1000000], chr(10)) FROM l)
+UNION ALL SELECT doc_id, 'rest', 4, 0.4, array_to_string(l[4:len(l)], chr(10)) FROM l)
 SELECT doc_id, name, start, importance::DOUBLE AS importance, sha256(t) AS hash FROM c WHERE length(t) >= 100""",
 )
 def entity_chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first lines of a text as an exported, public, async class and the others as a function, with their importance."""
     entity = lambda name, kind, a, b, own: F.struct(
-        F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(a).alias("start"), F.lit(b).alias("end"), *[F.lit(own).alias(c) for c in ("exported", "public", "is_async")], F.lit(False).alias("documented")
+        F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(a).alias("start"), (F.lit(b) if isinstance(b, int) else b).alias("end"), *[F.lit(own).alias(c) for c in ("exported", "public", "is_async")], F.lit(False).alias("documented")
     )
-    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", "class", 1, 3, True), entity("rest", "function", 4, 1_000_000, False)).alias("entities"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(entity("head", "class", 1, 3, True), entity("rest", "function", 4, F.size(F.split("text", "\n")), False)).alias("entities"))
     return chunks.scored_entity_chunks(files, "text", "entities").select("doc_id", "name", "start", "importance", "hash")
 
 

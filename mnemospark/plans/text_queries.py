@@ -18,22 +18,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_counts",
-    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents WHERE lang = 'en'""",
+    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents""",
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_counts(_docs(spark, sf_dir).where("lang = 'en'"))
+    return _token_counts(_docs(spark, sf_dir))
 
 
 def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(strings.tokens("text")).cast("bigint").alias("n"))
 
 
-@query("token_counts_all_languages")
-def token_counts_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, in whatever language or none; SQL's lower case and blanks differ beyond ASCII."""
-    return _token_counts(_docs(spark, sf_dir))
-
-
 @query("char_overlap", "SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(p_name, '')), list_distinct(string_split(p_type, '')))) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS overlap FROM part")
 def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(strings.char_overlap("p_name", "p_type"), 6).alias("overlap"))
@@ -89,23 +83,17 @@ def dup_shingles_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "content_routing",
     r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(function|class|const|let|var|if|for|while|return|import|export)\b')) AS code,
-  len(regexp_extract_all(text, '(?i)\b(the|and|or|but|in|on|at|to|for|of|with|by)\b')) AS prose FROM documents WHERE lang = 'en')
+  len(regexp_extract_all(text, '(?i)\b(the|and|or|but|in|on|at|to|for|of|with|by)\b')) AS prose FROM documents)
 SELECT doc_id, CASE WHEN code > 2 AND NOT prose > 3 THEN 'code' ELSE 'documentation' END AS kind FROM c""",
 )
 def content_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _content_routing(_docs(spark, sf_dir).where("lang = 'en'"))
+    return _content_routing(_docs(spark, sf_dir))
 
 
 def _content_routing(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", chunks.content_type(F.col("text"), F.lit(False)).alias("kind"))
 
 
-@query("content_routing_all_languages")
-def content_routing_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, in whatever language or none; a comment's leading blanks are Unicode's, which SQL's patterns don't know."""
-    return _content_routing(_docs(spark, sf_dir))
-
-
 @query(
     "secret_redaction",
     r"""SELECT page_id, md5(regexp_replace(html, '(?:^|\s)([a-f0-9]{32,})', '[REDACTED_SECRET]', 'gi')) AS redacted FROM pages""",
@@ -178,9 +166,8 @@ def long_context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("embed_batches")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of documents in queues: a thousand ids of a source, so that no queue grows with the table."""
-    queue = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"))
-    rows = _docs(spark, sf_dir).select(queue.alias("queue"), "doc_id", values.token_estimate(F.col("text")).alias("tokens"))
+    """Greedy batches of the documents of each source, in whole queues."""
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("queue"), "doc_id", values.token_estimate(F.col("text")).alias("tokens"))
     return chunks.greedy_batches(rows, "queue", "doc_id", "tokens")
 
 

@@ -136,15 +136,15 @@ def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parent_documents",
-    """WITH h AS (SELECT doc_id AS id, n_chars / 100000.0 AS s, CASE WHEN lang = 'en' THEN doc_id // 2 END AS par FROM documents WHERE lang IN ('en', 'fr')),
+    """WITH h AS (SELECT doc_id AS id, n_chars / 100000.0 AS s, CASE WHEN lang = 'en' THEN doc_id // 2 END AS par FROM documents WHERE n_chars >= 500),
 x AS (SELECT id, s, 0 AS o FROM h UNION ALL SELECT doc_id, 0.9, 1 FROM documents WHERE doc_id IN (SELECT par FROM h))
 SELECT id, round(arg_max(s, o), 6) AS similarity FROM x GROUP BY id""",
 )
 def parent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("n_chars") / 100000.0).alias("similarity"), F.when(F.col("lang") == "en", F.expr("doc_id div 2")).alias("parent_id"), "lang"
+        F.col("doc_id").alias("id"), (F.col("n_chars") / 100000.0).alias("similarity"), F.when(F.col("lang") == "en", F.expr("doc_id div 2")).alias("parent_id")
     )
-    hits, chunks = chunks.where("lang IN ('en', 'fr')").drop("lang"), chunks.drop("lang")
+    hits = chunks.where("similarity >= 0.005")
     return retrieval.with_parents(hits, chunks.withColumn("similarity", F.lit(0.0))).select("id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -50,7 +50,7 @@ def all_docs(spark, tmp_path_factory):
     return place, rows
 
 
-@pytest.mark.parametrize("name, want", [("token_counts_all_languages", n_tokens), ("content_routing_all_languages", kind)])
+@pytest.mark.parametrize("name, want", [("token_counts", n_tokens), ("content_routing", kind)])
 def test_all_languages(spark, all_docs, name, want):
     place, rows = all_docs
     assert len({lang for *_, lang in rows}) > 4
