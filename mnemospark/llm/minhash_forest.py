@@ -353,7 +353,9 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, region: int = REGION, l
     sets = sets_of(docs, members)
     links = materialize(confirmed(members.select("group", "cid", "n", "set_key").join(sets, "set_key"), weight), "forest-links")
     rooted = classes.join(components(links).withColumnRenamed("u", "cid"), "cid", "left").select("set_key", F.coalesce("root", "cid").alias("root"), "first")
-    label = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    rooted = materialize(rooted, "forest-roots")
+    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "forest-names")  # stored, so that the join can split a large component
+    label = rooted.join(named, "root")
     told = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(label.select("set_key", "component_id"), "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return told.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
