@@ -44,6 +44,18 @@ def ranged_totals(rows: DataFrame, group: str, order: list[str], amount: Column
     return met.withColumns({"rank": F.col("rank") + F.col("_n_before"), "total": F.col("total") + F.col("_sum_before")}).drop("_amount", "_range", "_group", "_of", "_n_before", "_sum_before")
 
 
+def ranged_lag(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the ``value`` of the row before in each group, null for the first, by ranges of rows."""
+    dealt = materialize(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    lasts = dealt.groupBy(group, "_range").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(group).orderBy("_range"))  # a row a range
+    lasts = lasts.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), before.alias("_before"))
+    met = dealt.join(lasts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    own = Window.partitionBy(group, "_range").orderBy(*order)
+    lagged = F.when(F.row_number().over(own) == 1, F.col("_before")).otherwise(F.lag(value).over(own))
+    return met.withColumn(name, lagged).drop("_range", "_group", "_of", "_before")
+
+
 def next_past(rows: DataFrame) -> DataFrame:
     """(g, rank, past): for each row (g, rank, measure, until) the rank of the first row of its group whose measure is above ``until``; null if none is."""
     limits = rows.select("g", F.col("until").alias("measure"), F.lit(1).alias("kind"), "rank")

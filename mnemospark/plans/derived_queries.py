@@ -475,7 +475,7 @@ SELECT event_id, previous - t AS behind_us FROM (SELECT event_id, t, lag(t) OVER
 )
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose clocks are up to six hours slow: those behind the one before them in their type's log."""
-    events = event_stream.read_events(spark, sf_dir, 8)
+    events = event_stream.read_slices(spark, event_stream.sliced(table(spark, sf_dir, "events"), "event_id"))
     slow = events.withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("event_id") % 7) * 3_600_000_000))
     return event_stream.run_late(slow, "slow", "event_type")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.values import age_days, day_key
 from mnemospark.operators import events as ev
 from mnemospark.plans.registry import query
+from mnemospark.session import scratch_path
 from mnemospark.sources.tables import table
 from mnemospark.streaming import event_stream
 
@@ -117,9 +118,15 @@ def event_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.consistency(rows).groupBy("level", "problem").agg(F.count("*").alias("n"))
 
 
-@query("rate_limited_requests")
+#: When a user's windows of an hour open, by walking from each to the first request after it.
+LIMITED = """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS opened FROM events GROUP BY user_id
+  UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts > w.opened + INTERVAL 1 HOUR GROUP BY w.user_id, w.opened)
+SELECT event_id, row_number() OVER (PARTITION BY e.user_id, w.opened ORDER BY e.ts, event_id) <= 2 AS allowed FROM events e ASOF JOIN w ON e.user_id = w.user_id AND e.ts >= w.opened"""
+
+
+@query("rate_limited_requests", LIMITED.replace("event_id, row_number", "event_id AS pos, row_number"))
 def rate_limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests per user over two an hour; windows open at the first request, which SQL can't say."""
+    """Requests per user over two an hour; windows open at the first request after the last window."""
     return ev.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, 3600)
 
 
@@ -179,13 +186,45 @@ def running_total_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_late_events",
-    """SELECT event_id, date_diff('microsecond', ts, previous) AS behind_us FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS previous FROM events) WHERE ts < previous""",
+    """WITH s AS (SELECT event_id, user_id, epoch_us(ts) - (event_id % 5) * 43200000000 AS t FROM events)
+SELECT event_id, previous - t AS behind_us FROM (SELECT event_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM s) WHERE t < previous""",
 )
 def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream.run_once(event_stream.late_events(event_stream.read_events(spark, sf_dir), "event_type"), "late", "append")
+    """Events whose clocks are up to two days slow, as a log of eight files: those behind the one before in their user's log."""
+    log = event_stream.sliced(table(spark, sf_dir, "events"), "event_id")
+    slow = event_stream.read_slices(spark, log).withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("event_id") % 5) * 43_200_000_000))
+    return event_stream.run_late(slow, "late", "user_id")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", LIMITED)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate limit as a stateful stream; a test compares it with the batch form."""
-    return event_stream.run_once(event_stream.limited_requests(event_stream.read_events(spark, sf_dir), "user_id", 2, 3600), "limit", "append")
+    """The rate limit as a stream of eight files and a closing row, in keyed state with timers."""
+    log = event_stream.sliced(table(spark, sf_dir, "events"), "event_id", closing="40 DAYS")
+    return event_stream.run_once(event_stream.limited_requests(event_stream.read_slices(spark, log), "user_id", 2, 3600, "30 days"), "limit", "append")
+
+
+@query(
+    "dispatch_log",
+    """WITH e AS (SELECT event_type, value, event_id * 8 // (SELECT max(event_id) + 1 FROM events) AS batch FROM events)
+SELECT 'views' AS handler, 'ok' AS status, count(DISTINCT batch) AS batches, (SELECT count(*) FROM e WHERE event_type = 'view') AS n FROM e
+UNION ALL SELECT 'sales', 'ok', count(DISTINCT batch), (SELECT count(*) FROM e WHERE event_type = 'purchase' AND value >= 100) FROM e
+UNION ALL SELECT 'broken', 'error', count(DISTINCT batch), 0 FROM e""",
+)
+def dispatch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in eight micro-batches through three handlers, one of which always fails: batches by outcome, and rows of effect."""
+    log = event_stream.sliced(table(spark, sf_dir, "events"), "event_id")
+    hub = event_stream.Dispatch(spark, scratch_path(spark, "dispatch"))
+
+    def fail(rows: DataFrame) -> DataFrame:
+        raise ValueError("no such action")
+
+    hub.on("view", "views", lambda rows: rows.select("event_id"))
+    hub.on("purchase", "sales", lambda rows: rows.where("value >= 100").select("event_id"))
+    hub.on("click", "broken", fail)
+    hub.start(event_stream.read_slices(spark, log), scratch_path(spark, "checkpoint-dispatch")).awaitTermination()
+    told = hub.log().groupBy("handler", "status").agg(F.count("*").alias("batches"))
+    made = None
+    for name in ("views", "sales"):
+        one = hub.effects(name, "event_id bigint").agg(F.count("*").alias("n")).select(F.lit(name).alias("handler"), "n")
+        made = one if made is None else made.unionByName(one)
+    return told.join(F.broadcast(made), "handler", "left").select("handler", "status", "batches", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

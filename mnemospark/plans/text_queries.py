@@ -164,7 +164,15 @@ def long_context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("embed_batches")
+@query(
+    "embed_batches",
+    """WITH RECURSIVE d AS (SELECT source AS queue, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t, row_number() OVER w AS rn, sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) OVER w AS total
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+b AS (SELECT queue, 1::BIGINT AS rn, 0 AS batch FROM d WHERE rn = 1
+  UNION ALL SELECT b.queue, min(n.rn), b.batch + 1 FROM b JOIN d s ON s.queue = b.queue AND s.rn = b.rn JOIN d n ON n.queue = b.queue AND n.rn > b.rn AND (n.rn >= b.rn + 100 OR n.total > s.total - s.t + 20000)
+  GROUP BY b.queue, b.rn, b.batch)
+SELECT d.queue, doc_id, batch FROM d ASOF JOIN b ON d.queue = b.queue AND d.rn >= b.rn""",
+)
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy batches of the documents of each source, in whole queues."""
     rows = _docs(spark, sf_dir).select(F.col("source").alias("queue"), "doc_id", values.token_estimate(F.col("text")).alias("tokens"))
