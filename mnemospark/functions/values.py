@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemospark.functions.json_repair import repair_json  # noqa: F401
+
 
 def parsed(raw: Column, schema: str) -> tuple[Column, Column]:
     """(value, error flag) of a JSON text: broken text gives null and true."""
@@ -12,17 +14,6 @@ def parsed(raw: Column, schema: str) -> tuple[Column, Column]:
     return F.when(fine, F.from_json(raw, schema)), raw.isNotNull() & ~fine
 
 
-def repair_json(raw: Column) -> Column:
-    """Fences, HTML escapes, trailing commas, bare keys and control characters mended; valid JSON stays as it is."""
-    text = F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    text = F.regexp_replace(text, r",\s*([}\]])", "$1")
-    text = F.regexp_replace(text, r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
-    return F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise(text)
-
-
 def bracket_balance(text: Column, opening: str, closing: str) -> Column:
     """How many more opening than closing brackets."""
     count = lambda x: F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))

@@ -62,11 +62,12 @@ def next_past(rows: DataFrame) -> DataFrame:
     both = rows.select("g", "measure", F.lit(0).alias("kind"), "rank").unionByName(limits)
     order = ["measure", "kind", "rank"]
     dealt = materialize(both.repartitionByRange("g", *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    later = Window.partitionBy("g", "_range").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    own = F.first(F.when(F.col("kind") == 0, F.col("rank")), ignorenulls=True).over(later)
+    # from the end backwards: a frame that grows is summed up as it goes, one that shrinks is read anew for each row
+    later = Window.partitionBy("g", "_range").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.last(F.when(F.col("kind") == 0, F.col("rank")), ignorenulls=True).over(later)
     firsts = dealt.groupBy("g", "_range").agg(F.min(F.when(F.col("kind") == 0, F.col("rank"))).alias("_first"))
-    beyond = Window.partitionBy("g").orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # a row a range
-    firsts = firsts.select(F.col("g").alias("_g"), F.col("_range").alias("_of"), F.first("_first", ignorenulls=True).over(beyond).alias("_beyond"))
+    beyond = Window.partitionBy("g").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    firsts = firsts.select(F.col("g").alias("_g"), F.col("_range").alias("_of"), F.last("_first", ignorenulls=True).over(beyond).alias("_beyond"))
     found = dealt.withColumn("_own", own).where("kind = 1").join(firsts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_of")))
     return found.select("g", "rank", F.coalesce("_own", "_beyond").alias("past"))
 

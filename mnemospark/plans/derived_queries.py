@@ -298,6 +298,17 @@ def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "name", F.length("text").cast("bigint").alias("n_chars"), "hash")
 
 
+@query("repaired_texts", "SELECT doc_id, source, sha256(text) AS hash, false AS broken FROM documents")
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in JSON with a fence, bare keys, single quotes, raw line breaks and tabs, and its end missing."""
+    docs = table(spark, sf_dir, "documents")
+    plain = F.to_json(F.struct("text"))
+    body = F.replace(F.replace(F.expr("substr(t, 2, length(t) - 2)"), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    rows = docs.withColumn("t", plain).select("doc_id", F.concat(F.lit("```json\n{doc_id: "), F.col("doc_id").cast("string"), F.lit(", 'source': '"), "source", F.lit("', "), body, F.lit(",\n```")).alias("raw"))
+    value, broken = values.parsed(values.repair_json(F.col("raw")), "doc_id bigint, source string, text string")
+    return rows.select("doc_id", value.alias("v"), broken.alias("broken")).select("v.doc_id", "v.source", F.sha2("v.text", 256).alias("hash"), "broken")
+
+
 @query(
     "repaired_json",
     """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 6 = 4 THEN 'x, y: z' END AS note, event_id % 6 = 5 AS broken FROM events""",
