@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from mnemospark.operators.lexers import lexed_declarations, sql_statements
+
 
 @udtf(returnType="kind string, name string, start_line int, end_line int, parent string")
 class PythonEntities:
@@ -129,87 +129,12 @@ def _named(text: Column, kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
 
-# Words that begin a constraint, not a column.
-CONSTRAINTS = ("primary", "foreign", "unique", "check", "constraint", "key", "index")
-
-
 def sql_columns(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, table, pos, column, type) of the columns in CREATE TABLE statements."""
-    name = r'[`"\[]?([\w.]+)[`"\]]?'
-    whole = rf"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?{name}\s*\(((?:[^()]|\([^()]*\))*)\)"
-    made = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(whole), 0)).alias("statement"))
-    parts = F.split(F.regexp_extract("statement", whole, 2), r",(?![^(]*\))")
-    rows = made.select(key, F.regexp_extract("statement", whole, 1).alias("table"), F.posexplode(parts).alias("pos", "part"))
-    head = rf"^\s*{name}\s*(\w+(?:\s*\([^)]*\))?)?"
-    column = F.regexp_extract("part", head, 1)
-    return rows.where((column != "") & ~F.lower(column).isin(*CONSTRAINTS)).select(key, "table", "pos", column.alias("column"), F.regexp_extract("part", head, 2).alias("type"))
-
-
-#: Declarations by language: kind and pattern, whose first group is the name.
-DECLARATIONS = {
-    "script": (
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-        ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"),
-        ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"),
-        ("type_alias", r"^\s*(?:export\s+)?type\s+(\w+)\s*(?:<[^=]*>)?\s*="),
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
-        ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[\w<>\[\]| ]+)?=>"),
-        ("variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)"),
-        ("import", r"""^\s*import\b.*?from\s+['"]([^'"]+)['"]"""),
-    ),
-    "php": (
-        ("namespace", r"^\s*namespace\s+([\w\\]+)"),
-        ("class", r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)"),
-        ("interface", r"^\s*interface\s+(\w+)"),
-        ("trait", r"^\s*trait\s+(\w+)"),
-        ("import", r"^\s*(?:use|require|require_once|include)\s+['\"(]*([\w\\./]+)"),
-        ("function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)"),
-    ),
-}
-METHOD = r"^\s*(?:(?:public|private|protected|static|async|abstract|override|get|set)\s+)*([A-Za-z_$][\w$]*)\s*\([^;{]*\)\s*(?::\s*[^;{]+)?\{"
-NO_METHODS = frozenset(("if", "for", "while", "switch", "catch", "return", "function", "with"))
-HOLDERS = ("class", "interface", "trait")
-
-
-def declarations(text: str, language: str) -> list[tuple[str, str, str | None, int, int]]:
-    """(kind, name, holder, first line, last line) of a script's declarations, by patterns and the depth of braces.
-
-    A function within a class, interface or trait is a method; a block ends with the
-    brace that closes it, anything else on its line. Braces in texts and comments count.
-    """
-    found: list[list] = []
-    open_blocks: list[tuple[int, int]] = []  # (place in found, depth before it)
-    depth = 0
-    for number, line in enumerate(text.split("\n"), 1):
-        holder = next((found[i] for i, _ in reversed(open_blocks) if found[i][0] in HOLDERS), None)
-        kind, name = next(((k, m[1]) for k, p in DECLARATIONS[language] if (m := re.match(p, line))), (None, None))
-        if holder is not None and kind == "function":
-            kind = "method"
-        if kind is None and holder is not None and language == "script" and depth == open_blocks[-1][1] + 1 and (m := re.match(METHOD, line)) and m[1] not in NO_METHODS:
-            kind, name = "method", m[1]
-        opened, closed = line.count("{"), line.count("}")
-        if kind is not None:
-            found.append([kind, name, holder[1] if holder is not None else None, number, number])
-            if opened > closed:
-                open_blocks.append((len(found) - 1, depth))
-        depth = max(0, depth + opened - closed)
-        while open_blocks and depth <= open_blocks[-1][1]:
-            if found[open_blocks[-1][0]][3] == number and opened > closed:
-                break
-            found[open_blocks.pop()[0]][4] = number
-    for place, _ in open_blocks:
-        found[place][4] = text.count("\n") + 1
-    return [tuple(x) for x in found]
+    made = sql_statements(files, key, text).where("kind = 'create_table'")
+    return made.select(key, F.col("name").alias("table"), F.explode("columns").alias("c")).select(key, "table", "c.pos", F.col("c.name").alias("column"), "c.type")
 
 
 def script_declarations(files: DataFrame, key: str, text: str, language: str = "script") -> DataFrame:
     """(key, kind, name, holder, start_line, end_line) of each file's declarations; null texts have none."""
-    kind = dict(files.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *d) for k, t in zip(batch["k"], batch["t"], strict=True) if t for d in declarations(t, language)]
-            yield pd.DataFrame(rows, columns=["k", "kind", "name", "holder", "start_line", "end_line"])
-
-    made = files.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, kind string, name string, holder string, start_line int, end_line int")
-    return made.withColumnRenamed("k", key)
+    return lexed_declarations(files, key, text, language).select(key, "kind", "name", "holder", "start_line", "end_line")

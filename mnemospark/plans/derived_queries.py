@@ -601,6 +601,51 @@ def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.script_declarations(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script")
 
 
+@query(
+    "document_scripts",
+    """WITH d AS (SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS INT) AS n FROM documents)
+SELECT doc_id, 'variable' AS kind, 'text' AS name, NULL AS holder, 1 AS start_line, 1 AS end_line, '' AS parameters, '' AS calls FROM d
+UNION ALL SELECT doc_id, 'function', 'f' || doc_id, NULL, n + 3, 2 * n + 5, 'a:,b:string', 'call,new Note' FROM d
+UNION ALL SELECT doc_id, 'class', 'D' || doc_id, NULL, 2 * n + 6, 2 * n + 6, '', '' FROM d
+UNION ALL SELECT doc_id, 'method', 'm', 'D' || doc_id, 2 * n + 6, 2 * n + 6, 'x:number', 'this.go' FROM d
+UNION ALL SELECT doc_id, 'function', 'default', NULL, 2 * n + 6, 2 * n + 6, '', '' FROM d""",
+)
+def document_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of scripts that hold every document as a text, within a comment and within a template."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    swap = lambda c, *pairs: c if not pairs else swap(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    quoted = F.expr("substr(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    script = F.concat(
+        F.lit("const text = "), quoted, F.lit(";\n/*"), swap(F.col("text"), ("*/", "* /")), F.lit("*/\nexport function f"), F.col("doc_id").cast("string"), F.lit("(a, b: string): void {\n  call(`"),
+        swap(F.col("text"), ("\\", "\\\\"), ("`", "\\`"), ("${", "\\${")), F.lit("`, new Note(/[{`]/g));\n}\nclass D"), F.col("doc_id").cast("string"), F.lit(" { m(x: number) { return this.go('{', x); } } export default function() {}"),
+    )
+    found = parsers.lexed_declarations(docs.select("doc_id", script.alias("script")), "doc_id", "script")
+    return found.select(
+        "doc_id", "kind", "name", "holder", "start_line", "end_line", F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",").alias("parameters"), F.array_join("calls", ",").alias("calls")
+    )
+
+
+@query(
+    "document_statements",
+    """WITH d AS (SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS INT) AS n FROM documents)
+SELECT doc_id, 0 AS pos, 'create_table' AS kind, 'notes' || doc_id AS name, n + 2 AS line, 'id,body' AS columns, '' AS tables, 'id>u.k' AS refs FROM d
+UNION ALL SELECT doc_id, 1, 'insert', 'notes' || doc_id, n + 2, 'id,body', '', '' FROM d
+UNION ALL SELECT doc_id, 2, 'update', 'notes', 2 * n + 3, 'body,id', 'q', '' FROM d
+UNION ALL SELECT doc_id, 3, 'create_view', 'v', 3 * n + 3, '', 'a,b,c', '' FROM d""",
+)
+def document_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL statements of scripts that hold every document within a comment and as texts."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    text, own = F.replace("text", F.lit("'"), F.lit("''")), F.col("doc_id").cast("string")
+    script = F.concat(
+        F.lit("/*"), F.replace("text", F.lit("*/"), F.lit("* /")), F.lit("*/\nCREATE TABLE notes"), own, F.lit(" (id INT, body TEXT NOT NULL, FOREIGN KEY (id) REFERENCES u(k)); INSERT INTO notes"), own,
+        F.lit(" (id, body) VALUES (1, '"), text, F.lit("');\nUPDATE notes SET body = '"), text, F.lit("', id = (SELECT max(id) FROM q) WHERE id = 1; CREATE VIEW v AS SELECT * FROM a, b JOIN c ON a.x = b.x -- end; "),
+    )
+    found = parsers.sql_statements(docs.select("doc_id", script.alias("script")), "doc_id", "script")
+    refs = F.transform("refs", lambda r: F.concat(r["column"], F.lit(">"), r["table"], F.lit("."), r["target"]))
+    return found.select("doc_id", "pos", "kind", "name", "line", F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("columns"), F.array_join("tables", ",").alias("tables"), F.array_join(refs, ",").alias("refs"))
+
+
 @query(
     "php_declarations",
     r"""SELECT p_partkey, kind, name, holder, start_line, end_line FROM part, (VALUES ('namespace', 'App\Parts', NULL, 2, 2), ('import', 'Lib\Base', NULL, 3, 3), ('class', 'Part', NULL, 4, 10), ('method', 'run', 'Part', 5, 9)) v(kind, name, holder, start_line, end_line)
