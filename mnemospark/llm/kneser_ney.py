@@ -417,11 +417,9 @@ class Reader:
             stats[common] = self.hot_stats[np.searchsorted(self.hot, first[common])]
         shard = shard_of_pair(keys, self.hot, self.m.shards)
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for s in range(self.m.shards):
-            own = order[edges[s] : edges[s + 1]]
-            if not len(own):
-                continue
+        used, edges = np.unique(shard[order], return_index=True)  # of all shards those that these keys are in
+        for s, low, high in zip(used.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            own = order[low:high]
             stored = load(f"{self.m.base}/pairs-{s}.keys", "<u8")
             at, ok = self._find(stored, keys[own])
             count[own[ok]] = load_counts(f"{self.m.base}/pairs-{s}.counts", len(stored))[at[ok]]
