@@ -369,8 +369,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     whole = [(n, (k,)) for k, n in lengths if k == capacity]
     large = [(k, n) for k, n in lengths if capacity // 6 < k < capacity]
     small = [(k, n) for k, n in lengths if k <= capacity // 6]
-    plans = [whole + pack_small(pack_large(large, capacity, n, program), small, capacity) for n, program in ((groups, False), (min(groups, PROGRAM_GROUPS), True))]
-    return min(plans, key=lambda runs: sum(n for n, _ in runs))
+    least, best = -(-sum(k * n for k, n in lengths) // capacity), None
+    for n, program in ((groups, False), (min(groups, PROGRAM_GROUPS), True)):
+        runs = whole + pack_small(pack_large(large, capacity, n, program), small, capacity)
+        used = sum(count for count, _ in runs)
+        if best is None or used < best[0]:
+            best = used, runs
+        if used <= least:  # no plan has fewer
+            break
+    return best[1]
 
 
 def places(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
@@ -393,15 +400,16 @@ def numbered(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
 
     A length with many pieces is split into salts, numbered apart, and the salts'
     counts are added up. Neither a salt nor the list of salts passes the root of a
-    length's pieces by much.
+    length's pieces by much. Salts follow ``row_id``, a number that each stored piece
+    has of its own, so null or repeated ids and equal texts fall apart as well.
     """
     salts = histogram.select(F.col("length").alias("_length"), F.ceil(F.col("n") / F.greatest(F.lit(float(NUMBERED)), F.sqrt("n"))).alias("salts"))
     salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_length")).drop("_length")  # a row per length: the capacity bounds it
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     bases = sizes.select(F.col("length").alias("_length"), F.col("salt").alias("_salt"), before.alias("base"))
-    row = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    row = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row_id"))
     ranked = salted.withColumn("row", row)
     joined = ranked.join(bases, (F.col("length") == F.col("_length")) & (F.col("salt") == F.col("_salt")))
     return joined.select(*pieces.columns, (F.col("base") + F.col("row") - 1).alias("number"))
@@ -410,7 +418,7 @@ def numbered(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS, end_id: int = 1) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id).withColumn("row_id", F.monotonically_increasing_id()), "pieces")
     histogram = materialize(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in histogram.collect()}  # `capacity` rows at most
     rows = places(plan(counts, capacity, groups))
@@ -419,4 +427,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
     table = F.broadcast(table) if len(rows) <= 50 * capacity else table
     fits = (F.col("length") == F.col("_length")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
     placed = numbered(pieces, histogram).join(table, fits)
-    return placed.select(*pieces.columns, (F.col("sequence") + F.col("number") - F.col("low")).alias("sequence_id"), "offset")
+    return placed.select(*[c for c in pieces.columns if c != "row_id"], (F.col("sequence") + F.col("number") - F.col("low")).alias("sequence_id"), "offset")

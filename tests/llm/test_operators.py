@@ -219,12 +219,21 @@ def test_plan_is_close_to_the_bound():
     assert sum(high - low for _, low, high, _, _ in placed) == len(lengths)
 
 
-def test_numbering_splits_hot_lengths(spark, monkeypatch):
+@pytest.mark.parametrize("doc_id", ["id", "CAST(NULL AS BIGINT)", "7L"])
+def test_numbering_splits_hot_lengths(spark, monkeypatch, doc_id):
+    """Null and repeated ids too, with equal token ids."""
     monkeypatch.setattr(packing, "NUMBERED", 10)
-    pieces = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("ids_crc32"), F.when(F.col("id") < 90, 5).otherwise(6).cast("long").alias("length"))
+    pieces = spark.range(400).select(F.expr(doc_id).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("ids_crc32"), F.when(F.col("id") < 360, 5).otherwise(6).cast("long").alias("length"), F.col("id").alias("row_id"))
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n"))
     got = packing.numbered(pieces, histogram).toPandas()
-    assert sorted(got[got.length == 5].number) == list(range(90)) and sorted(got[got.length == 6].number) == list(range(10))
+    assert sorted(got[got.length == 5].number) == list(range(360)) and sorted(got[got.length == 6].number) == list(range(40))
+    assert got[got.length == 5].sort_values("number").row_id.tolist() != list(range(360))  # dealt to salts, not one row after another
+
+
+def test_many_null_ids_are_packed(spark, tokenizer):
+    docs = spark.createDataFrame([(None, f"text number {i % 3}") for i in range(60)], "doc_id bigint, text string")
+    rows = packing.pack(docs, tokenizer).collect()
+    assert len(rows) == 60 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 60
 
 
 def kneser_ney_by_hand(train, test):
