@@ -186,6 +186,27 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_search(graph_nodes(spark, sf_dir), "red widget").select("id", F.round("score", 6).alias("score"))
 
 
+MANY = r""", t AS (SELECT id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\s_\-.]', ' ', 'g'), '\s+', ' ', 'g')) AS nm,
+  trim(regexp_replace(regexp_replace(lower(concat_ws(' ', name, entity_type, array_to_string(obs, ' '))), '[^a-z0-9\s_\-.]', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM nodes),
+y AS (SELECT id, nm, list_distinct(list_filter(regexp_split_to_array(s, '[\s_\-.]+'), lambda z: z <> '')) AS toks, regexp_replace(s, '\s+', '', 'g') AS flat FROM t),
+q AS (SELECT id AS query_id, nm AS q, list_filter(regexp_split_to_array(nm, '[\s_\-.]+'), lambda z: z <> '') AS qt, regexp_replace(nm, '\s+', '', 'g') AS f FROM t WHERE id[1] IN ('c', 'p') AND CAST(id[3:] AS INT) % 100 = 0),
+w AS (SELECT *, CASE WHEN length(f) < 2 THEN [f] ELSE list_transform(range(1, length(f)), lambda i: substr(f, i, 2)) END AS g2, CASE WHEN length(f) < 3 THEN [f] ELSE list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)) END AS g3 FROM q),
+sc AS (SELECT query_id, id, 0.7 * (list_sum(list_transform(qt, lambda a: CASE WHEN list_contains(toks, a) THEN 1.0 ELSE 0.0 END + coalesce(list_sum(list_transform(list_filter(toks,
+  lambda o: (contains(o, a) OR contains(a, o)) AND 1 - levenshtein(o, a) / greatest(length(o), length(a))::DOUBLE > 0.5), lambda o: 0.8 * (1 - levenshtein(o, a) / greatest(length(o), length(a))::DOUBLE))), 0.0)))
+  + 0.3 * len(list_filter(g2, lambda g: contains(flat, g))) + 0.4 * len(list_filter(g3, lambda g: contains(flat, g)))) / (len(qt) + 0.3 * len(g2) + 0.4 * len(g3))
+  + 0.3 * CASE WHEN length(nm) = 0 THEN 0 ELSE 1 - levenshtein(q, nm) / greatest(length(q), length(nm))::DOUBLE END AS score FROM w CROSS JOIN y)
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM sc WHERE score >= 0.3
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5"""
+
+
+@query("fuzzy_search_many", G + MANY)
+def fuzzy_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best nodes for the name of every hundredth customer and part, from posting lists."""
+    nodes = graph_nodes(spark, sf_dir)
+    queries = nodes.where(F.col("id").rlike("^[cp]:") & (F.expr("CAST(substr(id, 3) AS INT)") % 100 == 0)).select(F.col("id").alias("query_id"), F.col("name").alias("text"))
+    return search.fuzzy_search_many(nodes, queries, 5).withColumn("score", F.round("score", 6))
+
+
 @query(
     "suggest_corrections",
     f"""{G}, v AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(concat_ws(' ', name, entity_type, array_to_string(obs, ' '))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import strings, values
 from mnemospark.operators import chunks, parsers, retrieval, review
 from mnemospark.plans import questions
-from mnemospark.plans.registry import query
+from mnemospark.plans.registry import ORACLE_SQL, query
 from mnemospark.sources.tables import table
 
 
@@ -24,6 +24,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts(_docs(spark, sf_dir))
 
 
+query("token_counts_all_languages", ORACLE_SQL["token_counts"])(token_counts)  # the name it had while token_counts read one language
+
+
 def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(strings.tokens("text")).cast("bigint").alias("n"))
 
@@ -90,6 +93,9 @@ def content_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _content_routing(_docs(spark, sf_dir))
 
 
+query("content_routing_all_languages", ORACLE_SQL["content_routing"])(content_routing)
+
+
 def _content_routing(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", chunks.content_type(F.col("text"), F.lit(False)).alias("kind"))
 

@@ -176,3 +176,26 @@ def test_entity_links_have_no_all_pairs_plan(spark):
     rows = spark.range(50).select("id", F.concat(F.lit("name "), F.col("id")).alias("name"), F.lit("k").alias("entity_type"), F.array(F.lit("o")).alias("observations"), F.array(F.lit(1.0)).alias("embedding"))
     plan = entity_join.entity_links(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+# posting lists
+
+
+@pytest.mark.parametrize(("k", "rare"), [(3, 1), (50, 2)])
+def test_posting_search_equals_the_scan(spark, k, rare):
+    from mnemospark.operators import search
+
+    rng = random.Random(9)
+    words = ["red", "reds", "widget", "widgets", "gear", "gearbox", "ox", "a", "b-c", "blue_bolt", "bolt"]
+    rows = [(f"n{i:03d}", " ".join(rng.choices(words, k=rng.randint(1, 3))), rng.choice(["part", "box"]), [rng.choice(words)] if i % 2 else None) for i in range(150)]
+    rows += [(f"m{i:03d}", "red widget", "part", None) for i in range(20)] + [("z", "", "part", []), ("y", None, "part", None)]
+    nodes = spark.createDataFrame(rows, "id string, name string, entity_type string, observations array<string>")
+    texts = ["red widget", "gear", "a", "boltt ox", "zzz", "", "Widgets!"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string")
+    got = defaultdict(list)
+    for r in search.fuzzy_search_many(nodes, queries, k, rare=rare).collect():
+        got[r["query_id"]].append((r["rank"], r["id"], round(r["score"], 9)))
+    for i, text in enumerate(texts):
+        found = [(r["id"], r["score"]) for r in search.fuzzy_search(nodes, text).collect()] if text else []
+        best = sorted(found, key=lambda f: (-round(f[1], 9), f[0]))[:k]
+        assert sorted(got[i]) == [(n, node, round(s, 9)) for n, (node, s) in enumerate(best, 1)], text
