@@ -323,17 +323,27 @@ def hybrid_similarity(va: Column, vb: Column, name_a: Column, name_b: Column, ki
     return total / weight
 
 
-def merge_entities(rows: DataFrame, key: str) -> DataFrame:
-    """One entity a key: the richest row's name, all aliases and observations, the usual type, the mean vector."""
-    plain = rows.groupBy(key).agg(
-        F.max_by("name", F.struct(F.size("observations"), "name")).alias("name"),
-        F.sort_array(F.collect_set("name")).alias("aliases"),
-        F.mode("entity_type", True).alias("entity_type"),
-    )
-    # each distinct note is gathered once, however many rows have it
-    notes = rows.select(key, F.explode("observations").alias("o")).groupBy(key).agg(F.sort_array(F.collect_set("o")).alias("observations"))
-    none = F.array().cast("array<string>")
+def merged_parts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, part, value): each alias and each observation of an entity once, a row each, however many a key has."""
+    names = rows.where(F.col("name").isNotNull()).select(key, F.lit("alias").alias("part"), F.col("name").alias("value"))
+    return names.unionByName(rows.select(key, F.lit("note").alias("part"), F.explode("observations").alias("value"))).distinct()
+
+
+def merge_entities(rows: DataFrame, key: str, arrays: bool = True) -> DataFrame:
+    """One entity a key: the richest row's name, all aliases and observations, the usual type, the mean vector.
+
+    Without ``arrays`` aliases and observations are counted, not gathered; ``merged_parts`` has them as rows.
+    """
+    plain = rows.groupBy(key).agg(F.max_by("name", F.struct(F.size("observations"), "name")).alias("name"), F.mode("entity_type", True).alias("entity_type"))
+    parts = merged_parts(rows, key)
+    if arrays:
+        own = lambda part: F.sort_array(F.collect_list(F.when(F.col("part") == part, F.col("value"))))
+        none = F.array().cast("array<string>")
+    else:
+        own = lambda part: F.count_if(F.col("part") == part)
+        none = F.lit(0).cast("long")
+    told = parts.groupBy(key).agg(own("alias").alias("aliases"), own("note").alias("observations"))
     mean = rows.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
     vector = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-    made = plain.join(notes, key, "left").join(vector, key, "left").withColumn("observations", F.coalesce("observations", none))
+    made = plain.join(told, key, "left").join(vector, key, "left").withColumns({c: F.coalesce(c, none) for c in ("aliases", "observations")})
     return made.select(key, "name", "aliases", "observations", "entity_type", "embedding")

@@ -419,8 +419,8 @@ def merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label", _text("v", "$vec_id").alias("name"), F.when(key % 3 == 0, F.array(even, F.lit("third"))).otherwise(F.array(even)).alias("observations"),
         F.when(key % 4 == 0, "rare").otherwise("usual").alias("entity_type"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
     )
-    made = search.merge_entities(rows, "label")
-    return made.select("label", "name", F.size("aliases").cast("bigint").alias("aliases"), F.size("observations").cast("bigint").alias("notes"), "entity_type", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+    made = search.merge_entities(rows, "label", arrays=False)
+    return made.select("label", "name", "aliases", F.col("observations").alias("notes"), "entity_type", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
 @query(
