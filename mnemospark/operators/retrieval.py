@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +60,21 @@ def _flag(test: Column, points: float) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.lit(points)).otherwise(F.lit(0.0))
 
 
+def _needs(pattern: str) -> list[str]:
+    """Texts of which a pattern can't do without: the words of its first choice, or its arrow."""
+    if "=>" in pattern:
+        return ["=>"]
+    found = re.search(r"\(\?:([\w|@]+)\)(?![?*])", pattern)
+    return found[1].split("|") if found else []
+
+
+def has_pattern(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text matches; the pattern is only tried on texts that hold one of the words it needs."""
+    found = low.rlike(pattern)
+    words = [low.contains(w.lower()) for w in _needs(pattern)]
+    return functools.reduce(lambda a, b: a | b, words) & found if words else found
+
+
 def relevance_boost(query: str, text: Column, entity: Column, path: Column, is_chunk: Column, low: Column | None = None) -> Column:
     """At most 0.6 for names, code patterns, path and size; patterns see lower-cased text.
 
@@ -69,9 +86,9 @@ def relevance_boost(query: str, text: Column, entity: Column, path: Column, is_c
     nearest = F.array_max(F.transform(terms, lambda t: char_overlap(t, name)))
     names = _flag(some(lambda t: t == name), 0.4) + _flag(some(lambda t: name.contains(t) | t.contains(name)), 0.25)
     names += F.when(F.coalesce(nearest, F.lit(0.0)) > 0.7, 0.2 * nearest).otherwise(0.0)
-    methods = sum((_flag(low.rlike(p), 0.15) for p in METHOD_PATTERNS), F.lit(0.0))
+    methods = sum((_flag(has_pattern(low, p), 0.15) for p in METHOD_PATTERNS), F.lit(0.0))
     methods = F.least(F.lit(0.3), methods * F.when(F.coalesce(some(lambda t: name.contains(t)), F.lit(False)), 1.5).otherwise(1.0))
-    content = F.least(F.lit(0.2), sum((_flag(low.rlike(p), 0.05) for p in CONTENT_PATTERNS), F.lit(0.0)))
+    content = F.least(F.lit(0.2), sum((_flag(has_pattern(low, p), 0.05) for p in CONTENT_PATTERNS), F.lit(0.0)))
     stem = F.lower(stem_of_file(path))
     parts = F.split(F.lower(path), "/")
     place = _flag(some(lambda t: stem.contains(t)), 0.15) + _flag(some(lambda t: F.exists(parts, lambda p: p.contains(t))), 0.08)
@@ -93,8 +110,9 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def reranked(query: str, similarity: Column, text: Column, entity: Column, is_chunk: Column) -> Column:
     """Similarity with boosts for name, shared words and kind, at most 1."""
     low = query.lower()
-    wanted = F.array_distinct(F.filter(F.split(F.lit(low), r"\s+"), lambda t: F.length(t) > 0))
-    shared = F.size(F.array_intersect(wanted, F.split(F.lower(text), r"\s+"))) / F.size(wanted) * 0.1
+    wanted, lowered = list(dict.fromkeys(re.split(r"[ \t\n\x0b\f\r]+", low.strip(" \t\n\x0b\f\r")))), F.lower(text)
+    stands = lambda w: lowered.contains(w) & lowered.rlike(r"(?:^|\s)" + "".join(rf"\x{{{ord(c):x}}}" for c in w) + r"(?:\s|\z)")
+    shared = sum((F.coalesce(stands(w), F.lit(False)).cast("int") for w in wanted), F.lit(0)) / F.lit(len(wanted)) * 0.1 if wanted != [""] else F.lit(None).cast("double")
     code = (0.2 if any(w in low for w in EXPLAIN_WORDS) else 0.05) + (0.08 if any(w in low for w in CODE_WORDS) else 0)
     overview = 0.08 if any(w in low for w in OVERVIEW_WORDS) else 0.0
     name = _flag(F.lit(low).contains(F.lower(entity)), 0.15)
@@ -208,6 +226,7 @@ def similar_sets(rows: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     several keys. Classes then join on the exact condition; none of it leaves out a pair.
     """
     classes = rows.select(key, "words").where(F.size("words") > 0).groupBy("words").agg(F.min(key).alias("id"))
+    classes = materialize(classes, "set-classes")  # read three times
     words = classes.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
