@@ -251,3 +251,15 @@ def test_same_rows_as_sql(spark, name):
 def test_op13(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert Counter(map(tuple, entry.queries()["op13_minhash_forest"](spark, SF).collect())) == forest_by_hand(docs)
+
+
+def test_op3_counts_rows_as_documents(spark, tmp_path):
+    """Rows that repeat an id are documents of their own, for the operator and for its SQL."""
+    rows = [(i // 3, f"shared line\n own {i % 4}\nline of {i}") for i in range(30)] + [(1, None), (None, "shared line"), (None, "shared line")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["op3_line_runs"])
+    names = [d[0] for d in want.description]
+    made = entry.queries()["op3_line_runs"](spark, f"file://{tmp_path}")
+    assert sorted(map(repr, map(tuple, made.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
