@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -12,30 +13,27 @@ from mnemospark.operators.context import importance
 from mnemospark.operators.openings import openings, ranged_totals
 
 
-@udtf(returnType="chunk int, start_line int, end_line int, text string")
-class LineWindows:
-    """Windows of whole lines: each carries back lines of the one before. The state is sequential."""
-
-    def eval(self, text: str, most: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
-        lines = (text or "").split("\n")
-        held: list[str] = []
-        start, size, n = 1, 0, 0
-        for number, line in enumerate(lines, 1):
-            if held and size + len(line) + 1 > most:
-                yield n, start, number - 1, "\n".join(held)
-                n += 1
-                back: list[str] = []
-                carried = 0
-                for old in reversed(held):
-                    if carried >= overlap or len(back) == len(held) - 1:
-                        break
-                    back.insert(0, old)
-                    carried += len(old) + 1
-                held, start, size = back, number - len(back), carried
-            held.append(line)
-            size += len(line) + 1
-        if held:
-            yield n, start, len(lines), "\n".join(held)
+def windows(text: str, most: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
+    """(chunk, first line, last line, text) of windows of whole lines: each carries back lines of the one before."""
+    lines = text.split("\n")
+    held: list[str] = []
+    start, size, n = 1, 0, 0
+    for number, line in enumerate(lines, 1):
+        if held and size + len(line) + 1 > most:
+            yield n, start, number - 1, "\n".join(held)
+            n += 1
+            back: list[str] = []
+            carried = 0
+            for old in reversed(held):
+                if carried >= overlap or len(back) == len(held) - 1:
+                    break
+                back.insert(0, old)
+                carried += len(old) + 1
+            held, start, size = back, number - len(back), carried
+        held.append(line)
+        size += len(line) + 1
+    if held:
+        yield n, start, len(lines), "\n".join(held)
 
 
 @udtf(returnType="part int, text string", useArrow=True)
@@ -53,10 +51,16 @@ class SentenceSplits:
 
 
 def line_windows(docs: DataFrame, key: str, text: str, most: int = 8000, overlap: int = 200) -> DataFrame:
-    spark = docs.sparkSession
-    spark.udtf.register("line_windows", LineWindows)
-    docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).createOrReplaceTempView("_chunk_input")
-    return spark.sql(f"SELECT _key AS {key}, w.* FROM _chunk_input, LATERAL line_windows(_text, {most}, {overlap}) w")
+    """(key, chunk, start_line, end_line, text) of each text's windows, a batch of texts at a time; null texts are empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *w) for k, t in zip(batch["k"], batch["t"], strict=True) for w in windows(t or "", most, overlap)]
+            yield pd.DataFrame(rows, columns=["k", "chunk", "start_line", "end_line", "text"])
+
+    kind = dict(docs.dtypes)[key]
+    made = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk int, start_line int, end_line int, text string")
+    return made.withColumnRenamed("k", key)
 
 
 def sentence_splits(docs: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
