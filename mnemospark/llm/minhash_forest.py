@@ -52,7 +52,7 @@ WIDTH, LEAST, OUT_OF = 2, 80, 100
 HASHES, TREES, DEPTH = 128, 20, 3
 REGION, BRANCHES, LEVELS = 1 << 13, 6, 3
 #: Shingles of a chunk of a group.
-WEIGHT = 1 << 17
+WEIGHT = 1 << 15
 #: Bits in which the sketches of a pair of similarity 0.8 differ at most: a tenth of 128 and five standard deviations.
 FAR = 30
 PART = 1 << 13
@@ -162,18 +162,20 @@ def like(sizes: np.ndarray, sketches: np.ndarray, i: int) -> np.ndarray:
 
 
 def forest_edges(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may link."""
+    """The components of the pairs that may link, each as links of its least id with the others."""
     rest, edges = np.arange(len(ids)), []
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        tree, queue, rest = [rest[0]], [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            own = np.concatenate([[x], rest])
-            near = like(sizes[own], sketches[own], 0)[1:]
+            near = like(sizes[np.append(rest, x)], sketches[np.append(rest, x)], -1)[:-1]
             if near.any():
-                edges += [(int(ids[x]), y) for y in ids[rest[near]].tolist()]
-                queue.extend(rest[near].tolist())
+                tree += rest[near].tolist()
+                queue += rest[near].tolist()
                 rest = rest[~near]
+        if len(tree) > 1:
+            own = ids[tree]
+            edges += [(int(own.min()), y) for y in own.tolist() if y != own.min()]
     return edges
 
 
@@ -264,36 +266,49 @@ class Sets:
         return others[OUT_OF * shared >= LEAST * (self.sizes[i] + self.sizes[others] - shared)]
 
 
-def links_within(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """From rows (keys, cid, part, probe, sketch, grams) sorted by keys: confirmed links that join different parts.
+def link(table: pa.Table) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """From rows (cid, part, probe, sketch, grams): the part of each row after all confirmed links, and links that join parts.
 
-    Every row of ``probe`` meets all rows of its key that are not yet in its part.
+    Every row of ``probe`` meets all rows that are not yet in its part; a part is named by the least of those it was made of.
     """
-    for table in runs(batches, keys):
-        ids, part = table.column("cid").to_numpy(), table.column("part").to_numpy().copy()
-        sketches = np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], axis=1)
-        sets, edges = Sets([np.frombuffer(g, np.int64) for g in table.column("grams").to_pylist()]), []
-        for i in np.flatnonzero(table.column("probe").to_numpy(zero_copy_only=False)).tolist():
-            others = np.flatnonzero((part != part[i]) & like(sets.sizes, sketches, i))
-            near = sets.linked(i, others) if len(others) else others
-            if len(near):
-                edges += [(int(ids[i]), x) for x in ids[near].tolist()]
-                part[np.isin(part, part[near])] = part[i]
-        if edges:
-            yield _edge_batch(edges)
+    ids, part = table.column("cid").to_numpy(), table.column("part").to_numpy().copy()
+    sketches = np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], axis=1)
+    sets, edges = Sets([np.frombuffer(g, np.int64) for g in table.column("grams").to_pylist()]), []
+    for i in np.flatnonzero(table.column("probe").to_numpy(zero_copy_only=False)).tolist():
+        others = np.flatnonzero((part != part[i]) & like(sets.sizes, sketches, i))
+        near = sets.linked(i, others) if len(others) else others
+        if len(near):
+            met, first = np.unique(part[near], return_index=True)  # one link to each part is enough
+            edges += [(int(ids[i]), x) for x in ids[near[first]].tolist()]
+            met = np.append(met, part[i])
+            part[np.isin(part, met)] = met.min()
+    return part, edges
 
 
-MEMBERS = ["cid", "part", "s0", "s1", "grams"]
+def _dealt(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return rows.select(*keys, "cid", "part", "probe", "s0", "s1", "grams").repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _linked(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    ordered = rows.select(*keys, *MEMBERS, "probe").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(lambda b: links_within(b, keys), "a bigint, b bigint")
+def _parts(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(cid, part) after the links among the rows of each key, which begin as parts of their own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            yield pa.RecordBatch.from_arrays([table.column("cid").combine_chunks(), pa.array(link(table)[0])], ["cid", "part"])
 
-def _parts(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members with the component of each class as ``part``."""
-    return members.drop("part").join(components(edges).withColumnRenamed("u", "cid"), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
+    own = rows.withColumns({"part": F.col("cid"), "probe": F.lit(True)})
+    return _dealt(own, keys).mapInArrow(run, "cid bigint, part bigint")
+
+
+def _edges(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Links (a, b) of the probes of each key with rows of other parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, keys):
+            if edges := link(table)[1]:
+                yield _edge_batch(edges)
+
+    return _dealt(rows, keys).mapInArrow(run, "a bigint, b bigint")
 
 
 def confirmed(members: DataFrame, weight: int = WEIGHT) -> DataFrame:
@@ -301,31 +316,32 @@ def confirmed(members: DataFrame, weight: int = WEIGHT) -> DataFrame:
 
     ``members`` has (group, cid, n, s0, s1, grams).
     """
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    among = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
     totals = members.groupBy("group").agg(F.ceil(F.sum("n") / weight).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
-    members = materialize(members.join(totals, "group").withColumn("chunk", chunk).withColumn("part", F.col("cid")), "forest-members")
-    found = materialize(_linked(members.withColumn("probe", F.lit(True)), ("group", "chunk")), "forest-links")
+    members = materialize(members.join(totals, "group").withColumn("chunk", among("chunks", 0)), "forest-members")
+    first = materialize(_parts(members, ("group", "chunk")), "forest-parts")
+    found = first.where("cid <> part").select(F.col("part").alias("a"), F.col("cid").alias("b"))
     large = members.where("chunks > 1")
     if large.isEmpty():
         return found
-    named = _parts(large, found)
-    first = named.groupBy("group", "chunk", "part").agg(F.min("cid").alias("cid"))
-    pool = F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("chunks") / 2))
-    heads = named.join(first.select("cid"), "cid", "left_semi").withColumn("pool", pool).withColumn("probe", F.lit(True))
-    found = materialize(found.unionByName(_linked(heads, ("group", "pool"))), "forest-links")
-    named = materialize(_parts(large, found), "forest-members")
+    heads = large.join(first.where("cid = part").select("cid"), "cid", "left_semi")
+    pools = heads.groupBy("group").agg(F.ceil(F.sum("n") / weight).alias("pools"))
+    second = materialize(_parts(heads.join(pools, "group").withColumn("pool", among("pools", 1)), ("group", "pool")), "forest-parts")
+    found = found.unionByName(second.where("cid <> part").select(F.col("part").alias("a"), F.col("cid").alias("b")))
+    named = large.join(first, "cid").join(second.select(F.col("cid").alias("part"), F.col("part").alias("now")), "part").drop("part").withColumnRenamed("now", "part")
+    named = materialize(named, "forest-members")
     sizes = named.groupBy("group", "part").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    main = sizes.groupBy("group").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("weight").alias("total"), F.max(F.struct("size", "part", "weight")).alias("top"))
-    outside = main.select("group", "main", F.ceil((F.col("total") - F.col("top.weight")) / weight).alias("blocks")).where("blocks > 0")
+    main = sizes.groupBy("group").agg(F.max(F.struct("size", "part", "weight")).alias("main"), F.sum("weight").alias("total"))
+    outside = main.select("group", F.col("main.part").alias("main"), F.ceil((F.col("total") - F.col("main.weight")) / weight).alias("blocks")).where("blocks > 0")
+    outside = materialize(outside, "forest-outside")
+    if outside.isEmpty():
+        return found
     joined = named.join(outside, "group")
-    block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks"))
-    away = joined.where(F.col("part") != F.col("main")).withColumn("block", block)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    at_home = joined.withColumn("block", every).withColumn("probe", F.lit(False))
-    visiting = away.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
-    columns = ["group", "chunk", "block", *MEMBERS, "probe"]
-    rest = at_home.select(*columns).unionByName(visiting.select(*columns))
-    return found.unionByName(_linked(rest, ("group", "chunk", "block")))
+    at_home = joined.withColumns({"block": upto("blocks"), "probe": F.lit(False)})
+    visiting = joined.where(F.col("part") != F.col("main")).withColumn("block", among("blocks", 2)).withColumns({"chunk": upto("chunks"), "probe": F.lit(True)})
+    columns = ["group", "chunk", "block", "cid", "part", "probe", "s0", "s1", "grams"]
+    return found.unionByName(_edges(at_home.select(*columns).unionByName(visiting.select(*columns)), ("group", "chunk", "block")))
 
 
 def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
