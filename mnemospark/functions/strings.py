@@ -103,9 +103,9 @@ def pascal_case(c: Column | str) -> Column:
 
 
 def strip_file_prefix(c: Column | str) -> Column:
-    """``path::Name`` to ``Name``."""
+    """``path::Name`` to ``Name``, and ``path::Class::member`` to ``Class::member``."""
     c = _col(c)
-    return F.when(c.contains("::"), F.substring_index(c, "::", -1)).otherwise(c)
+    return F.when(c.contains("::"), F.substring(c, F.length(F.substring_index(c, "::", 1)) + 3, F.length(c))).otherwise(c)
 
 
 def strip_citations(c: Column | str) -> Column:

@@ -78,8 +78,9 @@ def named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def resolve_names(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """(wanted, id, strategy): endpoints by name, the first strategy that finds exactly one node.
 
-    exact; without a file prefix; without a namespace; last member; member as a
-    suffix. Each strategy is an equi-join on a derived key.
+    exact; without a file prefix; namespaces spelt alike; last member; last member in
+    any case. Each strategy is an equi-join on a derived key. ``resolve_endpoints`` has
+    the longer list of strategies that a stored graph's links need.
     """
     member = lambda c: F.element_at(F.split(c, r"::|\.|\\\\"), -1)
     plain = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("::")))

@@ -165,7 +165,7 @@ def test_strings(spark):
     assert one(spark, strings.char_overlap(F.lit("aab"), F.lit("abz")), strings.tokens(F.lit("Hi, you!"))) == [pytest.approx(2 / 3), ["hi", "you"]]
     assert one(spark, strings.basename(F.lit("a/b.c.ts")), strings.extension(F.lit("a/b.c.TS")), strings.dirname(F.lit("a/b/c")), strings.stem_of_file(F.lit("a/b.ts"))) == ["b.c.ts", "ts", "a/b", "b"]
     assert one(spark, strings.same_tail(F.lit("X/src/a.ts"), F.lit("src\\a.ts")), strings.same_tail(F.lit("b.ts"), F.lit("src/a.ts"))) == [True, False]
-    assert one(spark, strings.pascal_case(F.lit("user_name-x")), strings.strip_file_prefix(F.lit("p::N")), strings.strip_citations(F.lit("a [cite_3]  b")), strings.shorten(F.lit("abcdef"), 3)) == ["UserNameX", "N", "a b", "abc..."]
+    assert one(spark, strings.pascal_case(F.lit("user_name-x")), strings.strip_file_prefix(F.lit("p::N")), strings.strip_file_prefix(F.lit("a.ts::C::m")), strings.strip_citations(F.lit("a [cite_3]  b")), strings.shorten(F.lit("abcdef"), 3)) == ["UserNameX", "N", "C::m", "a b", "abc..."]
     assert one(spark, strings.line_of_offset(F.lit("a\nb\nc"), F.lit(4)), strings.query_terms(F.lit("How do I-x parse()"))) == [3, ["how", "ix", "parse"]]
     secret = "k sk_" + "a" * 22 + " AKIA" + "B" * 16 + ' "token": "12345678"'
     assert one(spark, strings.redact(F.lit(secret)))[0].count("[REDACTED_SECRET]") == 3
