@@ -47,7 +47,7 @@ CAPACITY, GROUPS = 4096, 256
 PROGRAM_GROUPS, UNIT, GAP, ROUNDS = 64, 4, 5e-4, 400
 TOKEN_CACHE = 300_000
 #: Pieces of one length that are numbered together, or the root of their number if that is more.
-NUMBERED = 1_000
+NUMBERED = 200
 
 
 class TokenCache:
