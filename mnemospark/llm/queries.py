@@ -24,6 +24,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+OP1_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_grams AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS width, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS x
+  FROM item_words WHERE len(w) > 0
+), sizes AS (SELECT item_id, count(*) AS n_item FROM item_grams GROUP BY item_id
+), widths AS (SELECT DISTINCT width FROM item_grams
+), doc_grams AS (
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS x
+  FROM doc_words JOIN widths ON len(w) >= width
+)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
+FROM doc_grams JOIN item_grams USING (width, x) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9
+"""
+
+
 def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     forest = boosted_quality.train(docs, labels, "quality", allowed=_fold(3) != 1)
@@ -198,6 +218,26 @@ def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM words
+), sizes AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM sets
+), grams AS (SELECT doc_id, unnest(g) AS x FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * shared >= 80 * (m.n + n.n - shared)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS root FROM sizes UNION SELECT l.b, r.root FROM reached r JOIN both_ways l ON l.a = r.doc_id
+)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -219,8 +259,10 @@ QUERIES = {
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
+    "op1_decontaminate": OP1_SQL,
     "op3_line_runs": OP3_SQL,
     "op6_chat_format": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_minhash_forest": OP13_SQL,
 }

@@ -236,10 +236,10 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables"
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_hard_negatives"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op11_filter_audit", "op12_hard_negatives", "op13_minhash_forest"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     made, want = entry.queries()[name](spark, SF), con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in want.description]
