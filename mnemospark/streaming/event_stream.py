@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -146,11 +147,24 @@ def run_late(events: DataFrame, name: str, key: str = "user_id", checkpoint: str
         kept = seen.join(newest.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_anti").unionByName(newest)
         kept.write.mode("overwrite").parquet(f"{out}/state/{number}")
 
-    query = events.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"checkpoint-{name}")).trigger(availableNow=True).foreachBatch(save).start()
-    query.awaitTermination()
+    with state_partitions(spark):
+        query = events.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"checkpoint-{name}")).trigger(availableNow=True).foreachBatch(save).start()
+        query.awaitTermination()
     return spark.read.schema("event_id bigint, behind_us bigint, batch int").parquet(f"{out}/late").drop("batch")
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """As many partitions of state as the cluster has cores, or fewer if the session asks for fewer: each costs a store in every micro-batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), max(8, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and return the last state, from the shared folder."""
     spark = stream.sparkSession
@@ -159,11 +173,12 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"checkpoint-{name}"))
-        .trigger(availableNow=True).foreachBatch(save).start()
-    )
-    query.awaitTermination()
+    with state_partitions(spark):
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"checkpoint-{name}"))
+            .trigger(availableNow=True).foreachBatch(save).start()
+        )
+        query.awaitTermination()
     saved = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
     if mode == "complete":
         newest = saved.agg(F.max("batch")).first()[0]
