@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.vectors import cosine, resample
-from mnemospark.operators import pivots, retrieval, search
+from mnemospark.functions.vectors import resample
+from mnemospark.operators import blocks, pivots, retrieval
 from mnemospark.plans.registry import query
 from mnemospark.sources.tables import table
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector as a query against all others."""
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a query, and all rows."""
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return search.against_all(queries, rows, F.col("query_id") != F.col("vec_id"))
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), rows
 
 
 KNN = """p AS (SELECT q.vec_id AS query_id, r.vec_id, r.label, q.label AS q_label, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS d,
@@ -27,7 +26,7 @@ KNN = """p AS (SELECT q.vec_id AS query_id, r.vec_id, r.label, q.label AS q_labe
     f"WITH {KNN} SELECT query_id, vec_id, round(d, 6) AS distance, round(greatest(0, 1 - d), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM p) WHERE rn <= 20",
 )
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.knn(_pairs(spark, sf_dir), 20, drop_far=False)
+    best = retrieval.nearest_rows(*_asked(spark, sf_dir), 20, drop_far=False)
     return best.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -37,8 +36,7 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``knn_l2`` from cells around pivots, passing over stretches that the triangle inequality rules out."""
-    rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries, rows = _asked(spark, sf_dir)
     found, _ = pivots.nearest(queries, rows, 20)
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -48,8 +46,7 @@ def knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {KNN} SELECT query_id, vec_id, round(c, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 10",
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir).withColumn("score", cosine(F.col("embedding"), F.col("query_vector")))
-    return search.top_per_query(scored, "query_id", [F.round("score", 9).desc(), F.col("vec_id")], 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return blocks.best_rows(*_asked(spark, sf_dir), 10, distance=False).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -58,7 +55,9 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label is looked at after the nearest rows are chosen, as a filter never passes a limit."""
-    return retrieval.knn(_pairs(spark, sf_dir), 50, drop_far=False).where("label < 5").select("query_id", "vec_id")
+    queries, rows = _asked(spark, sf_dir)
+    rows = rows.withColumn("wanted_label", F.coalesce(F.col("label") < 5, F.lit(False)).cast("int"))
+    return retrieval.nearest_rows(queries, rows, 50, drop_far=False, also=("wanted_label",)).where("wanted_label = 1").select("query_id", "vec_id")
 
 
 LISTS = """lists AS (
@@ -130,8 +129,7 @@ def context_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {KNN} SELECT vec_id, round(max(c), 6) AS score, count(*) AS hits FROM p WHERE c > 0.2 GROUP BY vec_id",
 )
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir).withColumn("score", cosine(F.col("embedding"), F.col("query_vector"))).where("score > 0.2")
-    return scored.groupBy("vec_id").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("hits"))
+    return blocks.hits_above(*_asked(spark, sf_dir), 0.2).withColumn("score", F.round("score", 6))
 
 
 @query(
