@@ -473,7 +473,7 @@ def chunks_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = {}
     for model in (0, 1):
         own = rows.where(F.col("vec_id") % 2 == model).select("vec_id", "embedding")
-        near = retrieval.knn(search.against_all(wanted, own, F.col("query_id") != F.col("vec_id")), 8)
+        near = retrieval.nearest_rows(wanted, own, 8)
         lists[f"m{model}"] = near.select("query_id", F.col("vec_id").alias("id"), "similarity", F.expr("vec_id div 3").alias("parent_id"))
     chunks_ = rows.select(F.col("vec_id").alias("id"), F.lit(0.0).alias("similarity"), F.expr("vec_id div 3").alias("parent_id"))
     return retrieval.retrieve_chunks(lists, chunks_, 10, "query_id").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
