@@ -41,3 +41,35 @@ def test_hits_above_a_cosine(spark, vectors):
     got = {r["vec_id"]: (r["score"], r["hits"]) for r in blocks.hits_above(queries, vectors, 0.2).collect()}
     assert got.keys() == want.keys() and want
     assert all(math.isclose(got[k][0], want[k][0], abs_tol=1e-12) and got[k][1] == want[k][1] for k in want)
+
+
+NAMES = ["red bolt", "red bold", "hot gear", "", None, "hot gears", "a", "ab", "red bolt"]
+
+
+@pytest.mark.parametrize("block_rows", [2000, 3])
+def test_name_links_by_distinct_names(spark, block_rows):
+    rows = spark.createDataFrame([(i, NAMES[i % len(NAMES)]) for i in range(60)], "id bigint, name string")
+    queries = rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("name").alias("wanted"))
+    score = search.similarity("wanted", "name")
+    want = sorted(map(tuple, queries.join(rows, score >= 0.7).select("query_id", "id", score).collect()))
+    got = search.name_links(queries, rows, "wanted", "name", 0.7, block_rows)
+    assert sorted(map(tuple, got.select("query_id", "id", "score").collect())) == want and want
+    assert "levenshtein" not in got._jdf.queryExecution().toString()  # rows meet by equal names
+
+
+def test_best_of_classes_scores_classes_once(spark):
+    rows = spark.createDataFrame([(i, NAMES[i % len(NAMES)], i % 2 == 0) for i in range(60)], "id bigint, name string, dear boolean")
+    queries = rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("name").alias("wanted"))
+    points = lambda df: df.withColumn("score", F.coalesce(search.similarity("wanted", "name"), F.lit(0.0)) + F.col("dear").cast("int"))
+    pairs = points(queries.join(rows, F.col("query_id") != F.col("id")))
+    want = search.top_per_query(pairs, "query_id", [F.col("score").desc(), F.col("id")], 1).select("query_id", "id", "score")
+    sizes = []
+
+    def scored(wishes, classes):
+        made = points(wishes.crossJoin(classes))
+        sizes.append(made.count())
+        return made
+
+    got = search.best_of_classes(queries, rows, ["wanted"], ["name", "dear"], scored)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+    assert sizes == [8 * 16]
