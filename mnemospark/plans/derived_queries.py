@@ -10,7 +10,7 @@ from mnemospark.functions.vectors import resample
 from mnemospark.operators import chunks, context, graph, parsers, retrieval, review, search
 from mnemospark.plans import dsl, questions
 from mnemospark.plans.registry import query
-from mnemospark.session import materialize
+from mnemospark.session import dealt, materialize
 from mnemospark.sources.tables import GRAPH_SQL, graph_edges, graph_nodes, table
 from mnemospark.streaming import event_stream
 
@@ -135,16 +135,20 @@ def entity_resolution_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("class", "interface", "function", "method", "file", "asset", "none")])
     kind = lambda n: F.get(kinds, F.col(n).cast("int"))
     part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.array("p_name", "p_brand").alias("names"), (F.col("p_partkey") % 5).alias("have"), "p_size", "p_retailprice",
+        F.col("p_partkey").alias("id"), F.array("p_name", "p_brand").alias("names"), (F.col("p_partkey") % 5).alias("have"), (F.col("p_retailprice") > 1500).alias("dear"), (F.col("p_size") < 5).alias("small"),
         F.array(F.when(F.col("p_size") % 3 == 0, "three sizes").otherwise("other")).alias("notes"),
     )
     queries = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("wanted"), (F.col("p_partkey") % 7).alias("want"))
-    points = search.resolution_points(
-        F.col("names"), F.col("wanted"), kind("have"), kind("want"), F.col("notes"), F.array(F.lit("three"), F.lit("three"), F.lit("zzz")),
-        F.col("have") / 10.0, F.col("p_retailprice") > 1500, F.col("p_size") < 5,
-    )
-    pairs = search.against_all(queries, part, F.col("query_id") != F.col("id")).withColumn("score", F.round(points, 6)).where("score >= 50")
-    return search.top_per_query(pairs, "query_id", [F.col("score").desc(), F.col("id")], 1).select("query_id", "id", "score")
+    clues = F.array(F.lit("three"), F.lit("three"), F.lit("zzz"))
+
+    def scored(wishes: DataFrame, classes: DataFrame) -> DataFrame:
+        names, asked = materialize(classes.select("names").distinct(), "names"), wishes.select("wanted").distinct()
+        named = materialize(search.against_all(asked, dealt(names), F.lit(True)).withColumn("named", search.name_points(F.col("names"), F.col("wanted"))), "named")
+        met = classes.join(named.join(wishes, "wanted"), "names")
+        points = search.resolution_points(F.col("names"), F.col("wanted"), kind("have"), kind("want"), F.col("notes"), clues, F.col("have") / 10.0, F.col("dear"), F.col("small"), F.col("named"))
+        return met.withColumn("score", F.round(points, 6)).where("score >= 50")
+
+    return search.best_of_classes(queries, part, ["wanted", "want"], ["names", "have", "dear", "small", "notes"], scored)
 
 
 # reviews
