@@ -73,3 +73,27 @@ def test_best_of_classes_scores_classes_once(spark):
     got = search.best_of_classes(queries, rows, ["wanted"], ["name", "dear"], scored)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
     assert sizes == [8 * 16]
+
+
+def test_findings_look_at_a_text_once(spark):
+    from mnemospark.operators import review
+
+    texts = ["md5 (x)", "nothing", "let z = 1\nlet y = 2", None, ("x" * 60 + "\n") * 2]
+    files = spark.createDataFrame([(f"p{i}", texts[i % 5]) for i in range(100)], "path string, content string")
+    found = review.findings(files)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()  # the patterns ran before, on distinct texts
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["path"], []).append((r["rule"], r["line"]))
+    want = {0: [("CWE-326", 1)], 2: [("naming-convention", 1), ("naming-convention", 2)], 4: [("code-duplication", 1)]}
+    assert {k: sorted(v) for k, v in got.items()} == {f"p{i}": want[i % 5] for i in range(100) if i % 5 in want}
+
+
+@pytest.mark.parametrize("name", ["php_declarations", "script_declarations", "table_columns", "question_names"])
+def test_small_files_are_dealt_before_python(spark, name):
+    import __spark_entry__ as entry
+
+    made = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    python = max(plan.find(x) for x in ("MapInPandas", "ArrowEvalPython"))
+    assert 0 <= python < plan.find("REPARTITION_BY_NUM")  # below the Python step
