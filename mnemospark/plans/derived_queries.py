@@ -178,7 +178,8 @@ FAULTS = (
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each order line; its part says which rule it breaks."""
     snippets = F.array(*[F.lit(code) for _, code in FAULTS])
-    return table(spark, sf_dir, "lineitem").select(_text("$l_orderkey", "/", "$l_linenumber").alias("path"), F.get(snippets, (F.col("l_partkey") % len(FAULTS)).cast("int")).alias("content")).distinct()
+    files = table(spark, sf_dir, "lineitem").select(_text("$l_orderkey", "/", "$l_linenumber").alias("path"), (F.col("l_partkey") % len(FAULTS)).cast("int").alias("s")).distinct()
+    return files.select("path", F.get(snippets, F.col("s")).alias("content"))
 
 
 #: (snippet, rule, engine, severity) of all that the rules find in the snippets; tests compare it with the patterns.
@@ -374,7 +375,7 @@ def question_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that questions about parts mention, with kinds and confidences."""
     asked = F.concat(F.lit('Class "'), "p_name", F.lit('" as the first of many things that are asked here, then async file Load_'), F.col("p_partkey").cast("string"), F.lit(".py and in the end, much later on, the one that people call user_name"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(questions.named_entities(asked)).alias("e"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.explode(questions.named_entities(asked)).alias("e"))
     return rows.select("p_partkey", F.col("e.text").alias("name"), F.col("e.type").alias("kind"), F.round("e.confidence", 6).alias("confidence"))
 
 
@@ -540,7 +541,7 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = _text(
         "-- tables\nCREATE TABLE IF NOT EXISTS t", "$p_partkey", " (id INT PRIMARY KEY, `price` DECIMAL(10, 2) NOT NULL,\n  name VARCHAR(20), FOREIGN KEY (id) REFERENCES u(id, b), plain);\ncreate table x.u", "$p_partkey", " (a TEXT);\nSELECT 1",
     )
-    return parsers.sql_columns(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script")
+    return parsers.sql_columns(dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", script.alias("script")), "p_partkey", "script")
 
 
 @query(
@@ -602,7 +603,7 @@ def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "export function pick(a) {\n  return a;\n}\nconst one = (a) => a;\nlet size = "
     )
     script = _text(head, "$p_size", ";\nexport interface Shape {\n  id: number;\n}\ntype Id = string | number;\nenum E", "$p_partkey", " { A, B }")
-    return parsers.script_declarations(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script")
+    return parsers.script_declarations(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", script.alias("script")), "p_partkey", "script")
 
 
 @query(
@@ -658,4 +659,4 @@ UNION ALL SELECT p_partkey, 'function', 'f' || p_partkey, NULL, 11, 11 FROM part
 def php_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a PHP file."""
     script = _text("<?php\nnamespace App\\Parts;\nuse Lib\\Base;\nfinal class Part extends Base {\n  public static function run($a) {\n    if ($a) {\n      return 1;\n    }\n  }\n}\nfunction f", "$p_partkey", "() { return 2; }")
-    return parsers.script_declarations(table(spark, sf_dir, "part").select("p_partkey", script.alias("script")), "p_partkey", "script", "php")
+    return parsers.script_declarations(dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", script.alias("script")), "p_partkey", "script", "php")
