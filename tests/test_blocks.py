@@ -97,3 +97,32 @@ def test_small_files_are_dealt_before_python(spark, name):
     plan = made._jdf.queryExecution().executedPlan().toString()
     python = max(plan.find(x) for x in ("MapInPandas", "ArrowEvalPython"))
     assert 0 <= python < plan.find("REPARTITION_BY_NUM")  # below the Python step
+
+
+@pytest.mark.parametrize(("least", "frequent"), [(0.85, 200_000), (0.6, 3), (0.5, 0), (1.0, 5)])
+def test_similar_sets_by_all_pairs(spark, monkeypatch, least, frequent):
+    from mnemospark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "FREQUENT", frequent)
+    pick, words = random.Random(3), [f"w{i}" for i in range(60)]
+    sets = [set(pick.sample(words, pick.randint(1, 40))) for _ in range(40)]
+    sets += [(s - set(pick.sample(sorted(s), min(len(s) - 1, pick.randint(0, 3))))) | {pick.choice(words)} for s in sets for _ in range(3)] + [set()]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, words array<string>")
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    ids = sorted(i for s, i in first.items() if s)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9}
+    assert {(r["a"], r["b"]): r["similarity"] for r in retrieval.similar_sets(rows, "id", least).collect()} == pytest.approx(want)
+    assert bool(want) == (least < 1)
+
+
+def test_unlike_sets_of_a_common_word_are_told_apart_in_the_join(spark):
+    """Sets that share a few words never reach the comparison, which carries whole sets."""
+    from mnemospark.operators import retrieval
+
+    pick = random.Random(9)
+    rows = spark.createDataFrame([(i, sorted(f"w{j}" for j in pick.sample(range(200), 30))) for i in range(150)], "id bigint, words array<string>")
+    found = retrieval.similar_sets(rows, "id")
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 0
