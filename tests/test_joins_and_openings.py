@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,19 @@ def test_posting_search_equals_the_scan(spark, k, rare):
         found = [(r["id"], r["score"]) for r in search.fuzzy_search(nodes, text).collect()] if text else []
         best = sorted(found, key=lambda f: (-round(f[1], 9), f[0]))[:k]
         assert sorted(got[i]) == [(n, node, round(s, 9)) for n, (node, s) in enumerate(best, 1)], text
+
+
+def test_posting_search_takes_equal_queries_once_and_in_blocks(spark):
+    from mnemospark.operators import postings, search
+
+    rows = [(f"n{i:03d}", ["red bolt", "red bolts", "Blue gear"][i % 3], "part", None) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id string, name string, entity_type string, observations array<string>")
+    queries = spark.createDataFrame([(i, ["red bolt", "RED  bolt!", "gear", "bolts"][i % 4]) for i in range(40)], "query_id bigint, text string")
+    got = search.fuzzy_search_many(nodes, queries, 2, block_rows=2)
+    want = {t: sorted(((r["id"], round(r["score"], 9)) for r in search.fuzzy_search(nodes, t).collect()), key=lambda f: (-f[1], f[0]))[:2] for t in ("red bolt", "gear", "bolts")}
+    expected = {(q["query_id"], n, *f) for q in queries.collect() for n, f in enumerate(want[q["text"].lower().replace("  ", " ").strip("!")], 1)}
+    assert {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got.collect()} == expected
+    weights = pa.table({"wish": ["b", "a", "a"], "place": [1, 2, 1], "feature": ["x", "x", "y"], "w": [2.0, 0.5, 1.0], "read": [True, False, True], "least": [0.0, 1.2, 1.2]})
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "features": [["x", "z"], ["y", "x"], ["y"]]})
+    met = [r for b in postings.matches(iter([batch]), postings.Wishes(weights), None) for r in b.to_pylist()]
+    assert sorted((r["wish"], r["id"], r["raw"]) for r in met) == [("a", 2, 1.5), ("b", 1, 2.0), ("b", 2, 2.0)]
