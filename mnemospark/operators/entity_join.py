@@ -6,18 +6,19 @@ no observation weight unless one has some, the type's weight only where types ar
 equal. A mean of ``least`` or more has a part of ``least`` or more, and what remains
 when parts below it are left out still has that mean. So a pair is met by one of
 
-* vectors: a cosine of ``least`` or more, from cells around pivots (a vector visits
-  the cells that hold one near enough, by the triangle inequality),
+* vectors: a cosine of ``least`` or more; blocks of rows are broadcast and meet the
+  cells around pivots that hold one near enough, by the triangle inequality,
 * observations: a Jaccard similarity of ``least`` or more, by prefix filter over the
   distinct sets,
 * names: else the name and an equal type alone must reach the mean, which bounds the
   name from below; pairs of distinct names come from ``search.similar_names``. If
   both can't reach it without observations, the pair shares one, or neither has any.
 
-Each meeting place (a cell, a pair of sets, a pair of names and an observation) is cut
-into blocks of ``BLOCK`` rows on either side, and tasks compare block with block, as
-matrices: a pair leaves a task if it reaches ``least`` with a name taken as equal. The
-rest is scored exactly. No place is gathered whole, and nothing is left out.
+Each meeting place of the last two (a pair of sets, a pair of names and an observation)
+is cut into blocks of ``BLOCK`` rows on either side, and tasks compare block with block,
+as matrices, names included. A pair is told by the first way that meets it, at the
+least observation it shares, so that only links leave a task, and hardly any twice. No
+place is gathered whole, and nothing is left out.
 
 Entities that agree in all parts are one class, named by the smallest id. Edge cases:
 null names and types are empty; null or empty observations are none, equal ones count
@@ -38,7 +39,9 @@ from mnemospark.operators import pivots, retrieval, search
 from mnemospark.session import materialize
 
 COSINE, NAME, TYPE, NOTES = 0.4, 0.25, 0.15, 0.2
-BLOCK = 256
+BLOCK = 1024
+#: Rows of a broadcast block.
+SENT = 4096
 NEAR = 1e-6
 
 
@@ -52,7 +55,8 @@ def entity_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<string>")
     notes = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("observations", none), lambda o: o.isNotNull()), lambda o: F.lower(o))))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    own = rows.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), text("name"), text("entity_type"), notes.alias("notes"), F.col("embedding").cast("array<double>").alias("vector"))
+    vector = F.col("embedding") if dict(rows.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    own = rows.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), text("name"), text("entity_type"), notes.alias("notes"), vector.alias("vector"))
     parts = ["name", "entity_type", "notes", "vector"]
     classes = materialize(own.groupBy(*parts).agg(F.min("id").alias("a")).select(F.col("a").alias("id"), *parts), "entity-classes")
     same = F.lit(True)
@@ -68,20 +72,49 @@ def _dealt(home: DataFrame, visitors: DataFrame, block: int) -> DataFrame:
     sizes = materialize(count(home, "n_i").join(count(visitors, "n_j"), "place"), "place-sizes")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = home.join(sizes, "place").select("place", own("n_i").alias("i"), upto("n_j").alias("j"), F.lit(0).alias("side"), "id")
-    right = visitors.join(sizes, "place").select("place", upto("n_i").alias("i"), own("n_j").alias("j"), F.lit(1).alias("side"), "id")
+    kept = ("ordered", "mark", "id")
+    left = home.join(sizes, "place").select("place", own("n_i").alias("i"), upto("n_j").alias("j"), F.lit(0).alias("side"), *kept)
+    right = visitors.join(sizes, "place").select("place", upto("n_i").alias("i"), own("n_j").alias("j"), F.lit(1).alias("side"), *kept)
     return left.unionByName(right)
 
 
+def edit_distances(one: list[str], two: list[str]) -> np.ndarray:
+    """Levenshtein distances of texts, pair by pair, all pairs at once."""
+    points = lambda texts: [np.fromiter(map(ord, t), np.int32, len(t)) for t in texts]
+    n = len(one)
+    sides = []
+    for texts in (points(one), points(two)):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        codes = np.zeros((int(sizes.max(initial=0)), n), np.int32)
+        for i, t in enumerate(texts):
+            codes[: len(t), i] = t
+        sides.append((codes, sizes))
+    (a, la), (b, lb) = sides
+    row = np.repeat(np.arange(len(b) + 1, dtype=np.int32)[:, None], n, axis=1)
+    out = np.where(la == 0, lb, 0)
+    for i in range(len(a)):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        for j in range(len(b)):
+            new[j + 1] = np.minimum(np.minimum(new[j], row[j + 1]) + 1, row[j] + (a[i] != b[j]))
+        row = new
+        done = np.flatnonzero(la == i + 1)
+        out[done] = row[lb[done], done]
+    return out
+
+
 class Part:
     """One side of a block pair."""
 
     def __init__(self, rows: pa.Table) -> None:
+        column = lambda c: rows.column(c).combine_chunks()
         self.ids = rows.column("id").to_numpy()
         self.kinds = rows.column("kind").to_numpy()
-        self.sizes = np.asarray(rows.column("notes").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
-        self.notes = rows.column("notes").combine_chunks().flatten().to_numpy()
-        lists = rows.column("vector").combine_chunks()
+        self.sizes = np.asarray(column("notes").value_lengths().to_numpy(zero_copy_only=False))
+        self.notes = column("notes").flatten().to_numpy()
+        names = column("name").dictionary_encode()
+        self.texts, self.called = names.dictionary.to_pylist(), names.indices.to_numpy()
+        lists = column("vector")
         self.has = ~np.asarray(lists.is_null())
         self.width = np.where(self.has, np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), -1)
         self.vectors = pivots.as_matrix(lists)
@@ -92,23 +125,63 @@ class Part:
         return out
 
 
-def reaching(a: Part, b: Part, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose similarity reaches ``least`` if their names are equal."""
+def same_names(a: Part, b: Part, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of the names of rows ``x`` and ``y``, each pair of names once."""
+    pairs, of = np.unique(a.called[x].astype(np.int64) * len(b.texts) + b.called[y], return_inverse=True)
+    score = np.zeros(len(pairs))
+    for low in range(0, len(pairs), 1 << 14):
+        one, two = [a.texts[p] for p in pairs[low : low + (1 << 14)] // len(b.texts)], [b.texts[p] for p in pairs[low : low + (1 << 14)] % len(b.texts)]
+        la, lb = np.array([len(t) for t in one]), np.array([len(t) for t in two])
+        score[low : low + len(one)] = np.where((la > 0) & (lb > 0), 1 - edit_distances(one, two) / np.maximum(1, np.maximum(la, lb)), 0)
+    return score[of]
+
+
+def linked(a: Part, b: Part, least: float, route: str, ordered: bool, mark: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and scores of the pairs that are ``least`` alike and whose first way is ``route``.
+
+    ``ordered``: both sides hold both rows of a pair, so the smaller id must be in ``a``.
+    ``mark``: the observation that the place is for.
+    """
     values = np.unique(np.concatenate([a.notes, b.notes]))
-    shared = a.holds(values) @ b.holds(values).T
+    notes_a, notes_b = a.holds(values), b.holds(values)
+    shared = (notes_a @ notes_b.T).astype(np.float64)
     union = a.sizes[:, None] + b.sizes - shared
+    jaccard = shared / np.maximum(union, 1)
     va, vb = pivots.same_width(a.vectors, b.vectors)
     scale = np.sqrt((va * va).sum(axis=1))[:, None] * np.sqrt((vb * vb).sum(axis=1))
     cosine = np.where((scale > 0) & (a.width[:, None] == b.width), va @ vb.T / np.maximum(scale, 1e-300), 0)
     both = a.has[:, None] & b.has
     same = a.kinds[:, None] == b.kinds
-    total = COSINE * both * cosine + NAME + TYPE * same + NOTES * np.where(union > 0, shared / np.maximum(union, 1), 0)
+    rest = COSINE * both * cosine + TYPE * same + NOTES * jaccard
     weight = COSINE * both + NAME + TYPE * same + NOTES * (union > 0)
-    return np.nonzero(total >= (least - NEAR) * weight)
-
-
-def block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (place, i, j): the pairs a < b that reach ``least`` with equal names."""
+    enough = rest + NAME >= (least - NEAR) * weight
+    if ordered:
+        enough &= a.ids[:, None] < b.ids
+    if route == "vectors":
+        enough &= cosine >= least - NEAR
+    else:
+        enough &= cosine < least + NEAR
+        enough &= (jaccard >= least - NEAR) if route == "notes" else (jaccard < least + NEAR)
+    x, y = np.nonzero(enough)
+    if mark is not None and len(x):
+        own = [values[(notes_a[x[low : low + 4096]] * notes_b[y[low : low + 4096]]).argmax(axis=1)] == mark for low in range(0, len(x), 4096)]
+        x, y = x[np.concatenate(own)], y[np.concatenate(own)]
+    score = (rest[x, y] + NAME * same_names(a, b, x, y)) / weight[x, y]
+    kept = (score >= least - 1e-9) & (a.ids[x] != b.ids[y])
+    x, y = x[kept], y[kept]
+    return np.minimum(a.ids[x], b.ids[y]), np.maximum(a.ids[x], b.ids[y]), score[kept]
+
+
+LINK = "a bigint, b bigint, score double"
+
+
+def _links(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(found[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[low : low + (1 << 16)]) for c in found], ["a", "b", "score"])
+
+
+def block_links(batches: Iterator[pa.RecordBatch], least: float, route: str) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (place, i, j): the links of each block pair."""
     held: list[pa.RecordBatch] = []
     last = None
 
@@ -117,11 +190,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
         side = rows.column("side").to_numpy()
         if side.any() and not side.all():
             a, b = Part(rows.filter(pa.array(side == 0))), Part(rows.filter(pa.array(side == 1)))
-            x, y = reaching(a, b, least)
-            low, high = np.minimum(a.ids[x], b.ids[y]), np.maximum(a.ids[x], b.ids[y])
-            pairs = np.unique(np.stack([low, high])[:, low < high], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            yield from _links(linked(a, b, least, route, rows.column("ordered")[0].as_py(), rows.column("mark")[0].as_py()))
 
     for batch in batches:
         if not batch.num_rows:
@@ -143,27 +212,57 @@ def _place(*parts: Column | str) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def by_vectors(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame] | None:
-    """Home and visitors of each cell: a vector visits the cells that may hold one at a cosine of ``least``."""
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    unit = classes.where(F.col("vector").isNotNull()).withColumn("length", length).where("length > 0").select("id", F.transform("vector", lambda x: x / F.col("length")).alias("unit"))
+def near_vectors(features: DataFrame, least: float, sent_rows: int = SENT) -> DataFrame | None:
+    """Links of rows at a cosine of ``least`` or more: blocks of rows, a few cells or a share of one, are broadcast and meet the cells near them."""
+    spark = features.sparkSession
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = features.where(F.col("vector").isNotNull()).withColumn("length", length).where("length > 0")
+    unit = unit.select(F.struct(*features.columns).alias("row"), F.transform("vector", lambda x: x.cast("double") / F.col("length")).alias("unit"))
     points = pivots.fit_pivots(unit, "unit")
     if not len(points):
         return None
-    placed = materialize(pivots.assigned(unit, "id", "unit", points), "entity-cells")
-    reach = {r["cell"]: r["reach"] for r in placed.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}  # a row a cell
-    cells = np.array(sorted(reach))
-    far = np.array([reach[c] for c in cells]) + np.sqrt(2 - 2 * least) + 1e-6
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, cell = np.nonzero(pivots.distances(pivots.as_matrix(batch.column("vector")), points[cells]) <= far)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(cells[cell], pa.int32())], ["id", "cell"])
-
-    visits = placed.mapInArrow(run, "id bigint, cell int")
-    place = _place("vectors", F.col("cell")).alias("place")
-    return placed.select(F.col("key").alias("id"), place), visits.select("id", place)
+    placed = materialize(pivots.assigned(unit, "row", "unit", points), "entity-cells")
+    far = np.sqrt(2 - 2 * least + 4 * NEAR) + NEAR
+    blocks, group, size = [], [], 0
+    for r in sorted(placed.groupBy("cell").count().collect()):  # a row a cell
+        parts = -(-r["count"] // sent_rows)
+        if group and size + r["count"] > sent_rows:
+            blocks.append(F.col("cell").isin(group))
+            group, size = [], 0
+        if parts > 1:
+            blocks += [(F.col("cell") == r["cell"]) & (F.pmod(F.xxhash64("key.id"), F.lit(parts)) == i) for i in range(parts)]
+        else:
+            group, size = [*group, r["cell"]], size + r["count"]
+    blocks += [F.col("cell").isin(group)] if group else []
+
+    def met(block: Column) -> DataFrame:
+        own = placed.where(block).select("key.*", F.col("vector").alias("unit")).toArrow()
+        sent = spark.sparkContext.broadcast((own.drop_columns(["unit"]), pivots.distances(pivots.as_matrix(own.column("unit")), points)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, gap = sent.value
+            for batch in batches:
+                cells, reach = batch.column("cell").to_numpy(), batch.column("reach").to_numpy()
+                rows = pa.Table.from_struct_array(batch.column("key"))
+                cut = (np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist()
+                for low, high in zip([0, *cut], [*cut, len(cells)], strict=True):
+                    for start in range(low, high, pivots.STRETCH):
+                        stop = min(start + pivots.STRETCH, high)
+                        g = gap[:, cells[start]]
+                        asked = np.flatnonzero((g <= reach[start:stop].max() + far) & (g >= reach[start:stop].min() - far))
+                        if len(asked):
+                            yield from _links(linked(Part(own.take(pa.array(asked))), Part(rows.slice(start, stop - start)), least, "vectors", True, None))
+
+        return placed.mapInArrow(run, LINK)
+
+    out = None
+    for low in range(0, len(blocks), search.MOST_BLOCKS):
+        some = None
+        for block in blocks[low : low + search.MOST_BLOCKS]:
+            some = met(block) if some is None else some.unionByName(met(block))
+        some = materialize(some, "near-vectors")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def by_notes(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +272,7 @@ def by_notes(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     alike = retrieval.similar_sets(sets, "set", least).select(F.col("a").alias("s"), F.col("b").alias("t"))
     alike = materialize(alike.unionByName(sets.select(F.col("set").alias("s"), F.col("set").alias("t"))), "entity-set-pairs")
     own = materialize(classes.join(sets, classes["notes"] == sets["words"]).select("id", "set"), "entity-set")
-    side = lambda c: own.join(alike, own["set"] == alike[c]).select("id", _place("notes", F.col("s"), F.col("t")).alias("place"))
+    side = lambda c: own.join(alike, own["set"] == alike[c]).select("id", _place("notes", F.col("s"), F.col("t")).alias("place"), (F.col("s") == F.col("t")).alias("ordered"), F.lit(None).cast("long").alias("mark"))
     return side("s"), side("t")
 
 
@@ -182,11 +281,13 @@ def by_names(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     names = materialize(classes.groupBy("name").agg(F.min("id").alias("called")), "entity-names")
     alike = search.similar_names(names, "called", "name", least_name(least)).where("kind = 'similar'").select(F.col("a").alias("s"), F.col("b").alias("t"))
     alike = materialize(alike.unionByName(names.select(F.col("called").alias("s"), F.col("called").alias("t"))), "entity-name-pairs")
-    shared = F.lit("any")
+    shared = F.array(F.lit(None).cast("string"))  # in one place, whatever they share
     if NAME + TYPE < least * (NAME + TYPE + NOTES):
-        shared = F.explode(F.when(F.size("notes") > 0, F.transform("notes", lambda o: F.concat(F.lit("="), o))).otherwise(F.array(F.lit("none"))))
-    own = materialize(classes.join(names, "name").select("id", "called", shared.alias("shared")), "entity-name")
-    side = lambda c: own.join(alike, own["called"] == alike[c]).select("id", _place("names", F.col("s"), F.col("t"), F.col("shared")).alias("place"))
+        shared = F.when(F.size("notes") > 0, F.col("notes")).otherwise(shared)
+    own = classes.join(names, "name").select("id", "called", F.explode(shared).alias("shared"))
+    own = materialize(own.select("id", "called", F.when(F.col("shared").isNotNull(), F.xxhash64("shared")).alias("mark")), "entity-name")
+    place = _place("names", F.col("s"), F.col("t"), F.col("mark").isNull(), F.col("mark")).alias("place")
+    side = lambda c: own.join(alike, own["called"] == alike[c]).select("id", place, (F.col("s") == F.col("t")).alias("ordered"), "mark")
     return side("s"), side("t")
 
 
@@ -200,20 +301,17 @@ def entity_links(rows: DataFrame, least: float = 0.7, block: int = BLOCK) -> Dat
     if least_name(least) <= 0:
         raise ValueError("below this similarity names need not be alike, so no index of names helps")
     classes, members = entity_classes(rows)
-    found = None
-    for route in (by_vectors(classes, least), by_notes(classes, least), by_names(classes, least)):
-        if route is None:
-            continue
-        dealt = _dealt(materialize(route[0].distinct(), "place-home"), materialize(route[1].distinct(), "place-visitors"), block)
-        features = classes.select("id", F.xxhash64("entity_type").alias("kind"), F.transform("notes", lambda o: F.xxhash64(o)).alias("notes"), "vector")
+    features = materialize(classes.select("id", "name", F.xxhash64("entity_type").alias("kind"), F.transform("notes", lambda o: F.xxhash64(o)).alias("notes"), "vector"), "entity-features")
+    found = near_vectors(features, least)
+    for route, (home, visitors) in (("notes", by_notes(classes, least)), ("names", by_names(classes, least))):
+        dealt = _dealt(materialize(home.distinct(), "place-home"), materialize(visitors.distinct(), "place-visitors"), block)
         full = dealt.join(features, "id").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
-        pairs = full.mapInArrow(lambda b: block_pairs(b, least), "a bigint, b bigint")
-        found = pairs if found is None else found.unionByName(pairs)
-    pairs = materialize(found.distinct(), "entity-pairs")
-    named = lambda side: classes.select(*[F.col(c).alias(f"{c}_{side}") for c in classes.columns])
-    part = lambda c, x, y: (F.col(f"{c}_{x}"), F.col(f"{c}_{y}"))
-    alike = lambda x, y: search.hybrid_similarity(*part("vector", x, y), *part("name", x, y), *part("entity_type", x, y), *part("notes", x, y))
-    met = pairs.join(named("a"), F.col("a") == F.col("id_a")).join(named("b"), F.col("b") == F.col("id_b"))
-    similar = met.select(F.lit("similar").alias("kind"), "a", "b", alike("a", "b").alias("score"))
-    same = members.join(named("a"), F.col("a") == F.col("id_a")).select(F.lit("member").alias("kind"), "a", "b", alike("a", "a").alias("score"))
-    return same.unionByName(similar).where(F.col("score") >= least - 1e-9)
+        links = full.mapInArrow(lambda b, route=route: block_links(b, least, route), LINK)
+        found = links if found is None else found.unionByName(links)
+    # where a part is within a rounding error of ``least``, two ways may tell a pair
+    similar = found.groupBy("a", "b").agg(F.min("score").alias("score")).select(F.lit("similar").alias("kind"), "a", "b", "score")
+    vector = F.col("vector").cast("array<double>")
+    part = [c for p in (vector, "name", "entity_type", "notes") for c in (p, p)]
+    whole = classes.select(F.col("id").alias("a"), search.hybrid_similarity(*[F.col(p) if isinstance(p, str) else p for p in part]).alias("score")).where(F.col("score") >= least - 1e-9)
+    same = members.join(whole, "a").select(F.lit("member").alias("kind"), "a", "b", "score")
+    return same.unionByName(similar)

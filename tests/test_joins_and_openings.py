@@ -179,6 +179,27 @@ def test_entity_links_have_no_all_pairs_plan(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_entity_links_leave_tasks_scored_and_once(spark):
+    rng = np.random.default_rng(8)
+    words = ["", "a", "gamma", "gama", "ga\u00e9mma", "delta handlers"]
+    pairs = [(x, y) for x in words for y in words]
+    by_loop = {("gamma", "gama"): 1, ("gamma", "ga\u00e9mma"): 1, ("", "gamma"): 5, ("a", "gamma"): 4, ("gama", "delta handlers"): 12}
+    got = dict(zip(pairs, entity_join.edit_distances(*map(list, zip(*pairs, strict=True))).tolist(), strict=True))
+    assert all(got[p] == n == got[p[::-1]] for p, n in by_loop.items()) and all(got[w, w] == 0 for w in words)
+    centres = rng.normal(size=(3, 5))
+    rows = [(i, "name", 1, [7], (centres[i % 3] + rng.normal(size=5) * 0.4).tolist()) for i in range(90)] + [(90, "name", 1, [], None), (91, "name", 1, [], [0.0] * 5)]
+    table = spark.createDataFrame(rows, "id bigint, name string, kind bigint, notes array<bigint>, vector array<double>")
+    found = [(r["a"], r["b"]) for r in entity_join.near_vectors(table, 0.7, sent_rows=7).collect()]
+    v = np.array([r[4] for r in rows[:90]])
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    assert sorted(found) == [(a, b) for a in range(90) for b in range(a + 1, 90) if v[a] @ v[b] >= 0.7]
+    place = {"place": 1, "i": 0, "j": 0, "ordered": True, "kind": 1, "name": "n", "vector": None}
+    held = [place | {"side": side, "id": i, "mark": mark, "notes": [3, 5, 10 + i, 20 + i]} for mark in (3, 5) for side in (0, 1) for i in range(4)]
+    schema = pa.schema([("place", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("ordered", pa.bool_()), ("mark", pa.int64()), ("id", pa.int64()), ("name", pa.string()), ("kind", pa.int64()), ("notes", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64()))])
+    told = {mark: [r for b in entity_join.block_links(iter([pa.RecordBatch.from_pylist([h for h in held if h["mark"] == mark], schema)]), 0.7, "names") for r in b.to_pylist()] for mark in (3, 5)}
+    assert len(told[3]) == 6 and not told[5]  # two observations are shared, the place of the least one tells
+
+
 # posting lists
 
 
