@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,33 +146,57 @@ def metrics(found: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+# Lines of a diff that are not of a file.
+HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", re.A)
+META = re.compile(r"diff --git |index |--- |\+\+\+ |similarity |rename |new file|deleted file|\\")
+NAMES = re.compile(r"diff --git a/([^\n\r\x85\u2028\u2029]*) b/([^\n\r\x85\u2028\u2029]*)(?=[\r\x85\u2028\u2029]?\Z)")
+
+
+def parsed_diff(text: str) -> Iterator[tuple[str | None, int, str, int | None, str]]:
+    """(file, hunk, kind, number, line) of a unified diff's lines."""
+    file, hunk, old, new = None, 0, 0, 0
+    for line in text.split("\n"):
+        if header := HUNK.match(line):
+            hunk, old, new = hunk + 1, int(header[1]), int(header[2])
+        elif line.startswith("diff --git "):
+            names = NAMES.match(line)
+            file = names[2] if names else ""
+        elif hunk and not META.match(line):
+            kind = "added" if line.startswith("+") else "removed" if line.startswith("-") else "context"
+            yield file, hunk, kind, old if kind == "removed" else new, line[1:]
+            old, new = old + (kind != "added"), new + (kind != "removed")
+
+
 def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, file, hunk, kind, number, line) of the lines in unified diffs.
+    """(key, file, hunk, kind, number, line) of the lines in unified diffs, a diff a row.
 
-    Files and hunks are numbered by running sums over their header lines; line
-    numbers run within a hunk, added lines by the new file, removed by the old.
+    Files and hunks are told by their header lines; line numbers run within a hunk,
+    added lines by the new file, removed by the old. A diff is read in one pass where
+    it is, so no task holds more than a batch of them.
     """
-    order = Window.partitionBy(key).orderBy("pos")
-    line = F.col("line")
-    header = line.rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
-    marked = lines_of(diffs, key, text).withColumns(
-        {
-            "file_no": F.sum(line.startswith("diff --git ").cast("int")).over(order),
-            "hunk": F.sum(header.cast("int")).over(order),
-            "header": header,
-            "meta": line.rlike(r"^(diff --git |index |--- |\+\+\+ |similarity |rename |new file|deleted file|\\)"),
-        }
-    )
-    name = F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", 2)
-    per_file = Window.partitionBy(key, "file_no")
-    per_hunk = Window.partitionBy(key, "hunk")
-    start = lambda group: F.max(F.when(F.col("header"), F.regexp_extract("line", r"^@@ -(\d+)(?:,\d+)? \+(\d+)", group).cast("int"))).over(per_hunk)
-    rows = marked.withColumns({"file": F.max(F.when(line.startswith("diff --git "), name)).over(per_file), "old": start(1), "new": start(2)})
-    body = rows.where(~F.col("header") & ~F.col("meta") & (F.col("hunk") > 0)).withColumn("kind", F.when(line.startswith("+"), "added").when(line.startswith("-"), "removed").otherwise("context"))
-    running = per_hunk.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda skip: F.sum((F.col("kind") != skip).cast("int")).over(running) - 1
-    number = F.when(F.col("kind") == "removed", F.col("old") + count("added")).otherwise(F.col("new") + count("removed"))
-    return body.select(key, "file", "hunk", "kind", number.alias("number"), F.substring("line", 2, 2**30).alias("line"))
+    schema = f"`{key}` {dict(diffs.dtypes)[key]}, file string, hunk bigint, kind string, number int, line string"
+    names = [key, "file", "hunk", "kind", "number", "line"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = zip(*rows, strict=True)  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)  # noqa: B023
+
+            for i, one in enumerate(batch.column(1)):
+                for line in parsed_diff(one.as_py() or ""):
+                    rows.append(line)
+                    at.append(i)
+                    if len(rows) >= 16384:
+                        yield made()
+                        rows, at = [], []
+            if rows:
+                yield made()
+
+    return diffs.select(key, text).mapInArrow(run, schema)
 
 
 def risk_score(text: Column) -> Column:

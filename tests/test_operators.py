@@ -301,6 +301,26 @@ def test_diff(spark):
     assert {(r["file"], r["kind"], r["number"]) for r in rows} == {("x.ts", "context", 10), ("x.ts", "added", 11), ("x.ts", "added", 12), ("x.ts", "removed", 11), ("z.ts", "removed", 1)}
 
 
+def test_diff_reads_each_text_in_one_pass(spark):
+    text = "x\n@@ -1 +5 @@\n\ndiff --git a/q.ts b/q.ts\r\nBinary\n+++ b/q.ts\n@@ -7 +9 @@ f\n+a\n-b\n c\ndiff --git odd\n-d"
+    made = review.diff_lines(spark.createDataFrame([(1, text), (2, None), (3, "no diff")], "d int, t string"), "d", "t")
+    got = sorted(tuple(r) for r in made.select("hunk", "number", "kind", F.coalesce("file", F.lit("none")).alias("file"), "line", "d").collect())
+    assert got == [(1, 5, "context", "none", "", 1), (1, 6, "context", "q.ts", "inary", 1), (2, 7, "removed", "q.ts", "b", 1), (2, 9, "added", "q.ts", "a", 1), (2, 9, "removed", "", "d", 1), (2, 10, "context", "q.ts", "c", 1)]
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_any_size_are_dealt_to_tasks_of_bounded_rows(spark):
+    from mnemospark.session import by_size, wide_shuffles
+
+    rows = spark.range(10_000)
+    assert by_size(rows, "id", rows=500).rdd.getNumPartitions() == 20 and by_size(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with wide_shuffles(spark, 10_000, 500):
+        assert spark.conf.get(key) == "20"
+    assert spark.conf.get(key) == before
+
+
 def test_review_text(spark):
     text = "intro\n### [HIGH] Bad thing\nFile: `a.ts`\nLines: 12-15\n### [LOW] Other\nfile: b.ts\nline: 3\n"
     rows = review.review_findings(spark.createDataFrame([(1, text)], "r int, t string"), "r", "t").collect()
