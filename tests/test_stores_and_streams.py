@@ -184,6 +184,14 @@ def test_keyed_limit_equals_batch(spark, log):
     assert got == sorted(map(tuple, ev.rate_limit(rows, "event_type", "ts", "event_id", 2, 60).collect())) and len(got) == 400
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_a_bucket_keep_their_own_limits(spark, log, buckets):
+    rows, path = log
+    stream = event_stream.limited_requests(event_stream.read_slices(spark, path, SCHEMA), "event_type", 2, 60, "1 hour", buckets)
+    got = sorted(map(tuple, event_stream.run_once(stream, f"b{buckets}", "append").collect()))
+    assert got == sorted(map(tuple, ev.rate_limit(rows, "event_type", "ts", "event_id", 2, 60).collect()))
+
+
 def test_late_stream_goes_on_after_a_stop(spark, log, tmp_path):
     """Some files, a stop, then all: the same rows as without one."""
     rows, _ = log
