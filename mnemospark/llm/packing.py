@@ -35,6 +35,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,10 @@ CAPACITY, GROUPS = 4096, 256
 #: Sizes of the linear program, its unit of length, the gap to the bound that is good enough, and the most configurations it tries.
 PROGRAM_GROUPS, UNIT, GAP, ROUNDS = 64, 4, 5e-4, 400
 TOKEN_CACHE = 300_000
+#: Bytes of texts that are split together; a longer text is split alone.
+TOGETHER = 1 << 20
+#: Signs that are split from the letter or digit before them; those of special tokens are not, nor is the apostrophe of contractions.
+SIGNS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 #: Pieces of one length that are numbered together, or the root of their number if that is more.
 NUMBERED = 200
 
@@ -54,11 +59,12 @@ class TokenCache:
     """Ids of the blank-free parts of texts, as little-endian bytes.
 
     The tokenizer drops white space, normalises, and splits at the border of a
-    letter or digit and a full stop or comma, so parts can be encoded alone and
+    letter or digit and the ``SIGNS`` after it, so parts can be encoded alone and
     joined. What counts is the normalised letter: one that becomes a letter and a
     mark doesn't end at that border. New parts that are letters only when
-    normalised are encoded together as one text: each is one word to the
-    tokenizer, and its last token ends a word.
+    normalised, or signs only, are encoded together as one text: each is one word to
+    the tokenizer, and its last token ends a word. Those that the tokenizer takes as
+    they are, a-z and signs, go to its model without its normaliser.
 
     Two generations of at most ``TOKEN_CACHE`` parts are kept; a part that is in
     use moves to the younger one.
@@ -66,7 +72,7 @@ class TokenCache:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
@@ -75,6 +81,17 @@ class TokenCache:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.plain: set[str] = set()
+        special = "".join(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.signs = SIGNS.translate(None, special.encode())
+        self.model = None
+        if all(self._as_it_is(word) for word in (bytes(range(97, 123)).decode(), self.signs.decode())):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _as_it_is(self, word: str) -> bool:
+        """Whether normaliser and splitter leave a word one word, unchanged."""
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        return (not normal or normal.normalize_str(word) == word) and bool(split) and [w for w, _ in split.pre_tokenize_str(word)] == [word]
 
     def _plain(self, text: str) -> bool:
         """Whether the normaliser keeps all letters and digits of a text letters and digits."""
@@ -89,7 +106,7 @@ class TokenCache:
         return True
 
     def _cuts(self, stem: bytes) -> bool:
-        """Whether the tokenizer splits between this stem and a full stop or comma."""
+        """Whether the tokenizer splits between this stem and signs."""
         if not stem or stem[-1] < 128:
             return stem[-1:].isalnum()
         return self._plain(stem.decode()[-1])
@@ -100,13 +117,13 @@ class TokenCache:
         text = word.decode()
         return text.isalpha() and self._plain(text)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [code.ids for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], by=None) -> list[list[int]]:
+        return [code.ids for code in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
-        """Encode words of letters, 500 to a text."""
+    def _words(self, words: list[bytes], out: dict[bytes, bytes], by=None) -> None:
+        """Encode words of letters or of signs, 500 to a text."""
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups], by), strict=True):
             codes = np.array(ids, "<u4")
             cuts = (np.flatnonzero(self.ends[codes]) + 1) * 4
             if len(cuts) != len(group):  # this tokenizer doesn't mark ends
@@ -117,39 +134,63 @@ class TokenCache:
                 out[word] = flat[at:cut]
                 at = cut
 
-    def learn(self, parts: set[bytes]) -> None:
-        """Make all parts known to the younger generation."""
+    def learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts, all of which the younger generation then knows."""
         if len(self.young) > TOKEN_CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for part in parts:
-            if part in young:
-                continue
+        stems: dict[bytes, bytes] = {}
+        for part in [part for part, code in zip(parts, map(young.get, parts), strict=True) if code is None]:
             code = old.get(part)
-            if code is None:
-                missing.append(part)
-            else:
+            if code is not None:
                 young[part] = code
-        stems: dict[bytes, bytes] = {}
-        for part in missing:
-            stem = part.rstrip(b".,")
+                continue
+            stem = part.rstrip(self.signs)
             stems[part] = stem if stem != part and self._cuts(stem) else part
         need = {x for part, stem in stems.items() for x in (stem, part[len(stem) :]) if x and x not in young}
-        letters = [w for w in need if self._letters(w)]
+        plain, letters, rest = [], [], []
+        for x in need:
+            letter = self._letters(x)
+            if self.model and (x.isascii() and x.islower() if letter else not x.strip(self.signs)):
+                plain.append(x)
+            else:
+                (letters if letter else rest).append(x)
+        self._words(plain, young, self.model)
         self._words(letters, young)
-        rest = list(need.difference(letters))
         young.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self._encode([w.decode() for w in rest])), strict=True))
+        young[b""] = b""
         for part, stem in stems.items():
             if part != stem:
                 young[part] = young[stem] + young[part[len(stem) :]]
+        return list(map(young.__getitem__, parts))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. A-Z are lowered here, unless a text may hold a special token."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        for parts in split:
-            yield b"".join(map(self.young.__getitem__, parts))
+        """The ids of each text. A-Z are lowered here, unless a text may hold a special token.
+
+        Arrow splits the texts, tells distinct parts and joins their ids, so that Python sees a part once.
+        """
+        lowered = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary())
+        split = pc.ascii_split_whitespace(lowered.view(pa.large_string()))  # at [\x20\x09-\x0D]+, as bytes.split does
+        coded = split.values.dictionary_encode()
+        parts = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        codes = pa.array(self.learn(parts), pa.large_binary()).take(coded.indices)
+        lengths = pc.binary_length(codes).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[split.offsets.to_numpy()].tolist()
+        flat = memoryview(codes.buffers()[2] or b"")
+        for low, high in pairwise(ends):
+            yield flat[low:high].tobytes()
+
+
+def together(texts: list[bytes], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, or of one longer text."""
+    low, size = 0, 0
+    for at, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield low, at
+            low, size = at, 0
+        size += len(text)
+    if low < len(texts):
+        yield low, len(texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -167,8 +208,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         rows = []
         ids = batch.column("doc_id").to_pylist()
         texts = utf8(batch.column("text"))
-        for low in range(0, len(ids), 128):
-            for doc_id, code in zip(ids[low : low + 128], cache.encode(texts[low : low + 128]), strict=True):
+        for low, high in together(texts):
+            for doc_id, code in zip(ids[low:high], cache.encode(texts[low:high]), strict=True):
                 code += end
                 for piece, at in enumerate(range(0, len(code), 4 * capacity)):
                     part = code[at : at + 4 * capacity]

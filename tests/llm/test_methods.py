@@ -132,6 +132,44 @@ def test_letters_that_normalise_before_stops(tokenizer):  # noqa: F811
         assert not bad
 
 
+def test_signs_and_blanks_of_all_kinds_end_parts(tokenizer):  # noqa: F811
+    cache = packing.TokenCache(tokenizer)
+    letters = [c for c in map(chr, range(33, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.isalnum()]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"{c}&&&" for c in letters] + [f"{w}{a}{b}" for w in ("ab", "9", "é", "x's", "<|endoftext|>", "<|endoftext") for a in signs for b in ("", *signs)]
+    texts += [f"{c}aB!{c}{c}cD." for c in map(chr, range(0x3100))] + ["", " ", "\n \x0b"]
+    want = cache.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    bad = [t for low, high in packing.together([t.encode() for t in texts], 10_000)
+           for t, a, b in zip(texts[low:high], want[low:high], cache.encode([t.encode() for t in texts[low:high]]), strict=True) if np.array(a.ids, "<u4").tobytes() != b]
+    assert not bad
+
+
+def test_words_that_are_plain_spare_the_normaliser(tokenizer, monkeypatch):  # noqa: F811
+    cache = packing.TokenCache(tokenizer)
+    whole, sent = cache.tokenizer, []
+
+    class Counting:
+        normalizer = whole.normalizer
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    texts = ["Some words&&& and a-z, $$$ signs!?", "words### of (both) kinds... é é&&&"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(cache, "tokenizer", Counting())
+    assert list(cache.encode([t.encode() for t in texts])) == want
+    assert sorted(x for t in sent for x in t.split()) == ["(both", "a-z", "é"]
+
+
+def test_texts_are_taken_together_up_to_a_size():
+    sizes = [0, 5, 3, 20, 0, 0, 2, 9, 1]
+    ranges = list(packing.together([b"x" * n for n in sizes], 10))
+    assert [x for a, b in ranges for x in range(a, b)] == list(range(9))
+    assert all(sum(sizes[a:b]) <= 10 or sum(map(bool, sizes[a:b])) == 1 for a, b in ranges)
+    assert list(packing.together([])) == []
+
+
 def test_random_texts_have_the_tokenizers_ids(tokenizer):  # noqa: F811
     rng = np.random.default_rng(8)
     alphabet = list("abZ09 .,!'-\n\t|éÉßİΣςक़ढ़़́日本語한ﬁ²½’…") + ["<|endoftext|>", "n't", "'s"]
