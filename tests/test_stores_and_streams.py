@@ -156,6 +156,15 @@ def test_repairs_by_kind(spark):
         json.loads(got[-3])
 
 
+def test_repairs_come_by_hundreds(spark):
+    """An Arrow batch would hold ten thousand whole texts in each Python worker."""
+    rows = spark.range(3).select(repair_json(F.concat(F.lit("{a: "), F.col("id").cast("string"))).alias("t"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r[0] for r in rows.collect()] == ['{"a":0}', '{"a":1}', '{"a":2}']
+    assert json.loads(mended("{t: '" + 'é "x" \\q\n' * 3 + "',")) == {"t": 'é "x" \\q\n' * 3}
+
+
 # streams
 
 
