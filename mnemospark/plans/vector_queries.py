@@ -172,5 +172,5 @@ def boosted_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.once(rows, "low", F.lower("text"))
     args = (F.col("text"), F.col("lang"), F.concat_ws("/", "source", "lang"), F.lit(True), F.col("low"))
     rows = retrieval.once(rows, "boost", retrieval.relevance_boost(BOOST_QUERY, *args))
-    score = retrieval.reranked(BOOST_QUERY, F.least(F.lit(1.0), 0.3 + F.col("boost")), F.col("low"), F.col("lang"), F.lit(True))
+    score = retrieval.reranked(BOOST_QUERY, F.least(F.lit(1.0), 0.3 + F.col("boost")), F.col("text"), F.col("lang"), F.lit(True), F.col("low"))
     return rows.select("doc_id", F.round("boost", 6).alias("boost"), F.round(score, 6).alias("score"))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 import re
 import time
 
@@ -283,6 +284,25 @@ def test_boosts_by_loops(spark, docs):
         assert got[d][0] == pytest.approx(min(0.6, names + methods + content + place + size), abs=2e-6), d
 
 
+def test_patterns_are_tried_where_their_signs_and_words_are(spark):
+    families = (*retrieval.METHOD_PATTERNS, *retrieval.CONTENT_PATTERNS, *retrieval.SIGNATURE_PATTERNS)
+    rng = random.Random(4)
+    words = ["function", "def", "func", "class", "public", "new", "this.x", "self.run", "@.a", "if", "do", "async", "finally", "let", "import", "init", "get_it", "foo", "=>", "(", "(a)", "{", "=", ":", "."]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "low string")
+    got = rows.select([retrieval.has_pattern(F.col("low"), p).alias(f"p{i}") for i, p in enumerate(families)]).collect()
+    plain = rows.select([F.col("low").rlike(p).alias(f"p{i}") for i, p in enumerate(families)]).collect()
+    assert got == plain and all(any(r[i] for r in got) for i in range(len(retrieval.METHOD_PATTERNS)))
+    plan = rows.where(retrieval.has_pattern(F.col("low"), retrieval.METHOD_PATTERNS[0]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(low" in plan and ", ()" in plan and retrieval._needs(retrieval.METHOD_PATTERNS[0]) == ["def", "func", "fn"]
+
+
+@with_tables
+def test_boosted_rerank_lowers_a_text_once(spark):
+    plan = entry.queries()["boosted_rerank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and "lower(low" not in plan
+
+
 @with_tables
 def test_markdown_parts_by_loops(spark, docs):
     want = []
