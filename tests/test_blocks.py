@@ -126,3 +126,25 @@ def test_unlike_sets_of_a_common_word_are_told_apart_in_the_join(spark):
     found = retrieval.similar_sets(rows, "id")
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 0
+
+
+def _set_rows(spark):
+    pick = random.Random(11)
+    sets = [set(pick.sample([f"w{i}" for i in range(4000)], 300)) for _ in range(6)]
+    sets += [s - set(pick.sample(sorted(s), 20)) for s in sets[:3] for _ in range(12)] + [{"a\nb", "a\\nb", "", "c"}, {"a", "b", "\\nb", "", "c"}]
+    return sets, spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, words array<string>")
+
+
+@pytest.mark.parametrize(("words", "pairs", "dense"), [(4_000_000, 2_000_000, 1000), (900, 5, 1), (4_000_000, 3, 0)])
+def test_sets_meet_at_places_where_each_is_sent_once(spark, monkeypatch, words, pairs, dense):
+    """Sets went along with every pair, twice; disk grew with the pairs times their words."""
+    from mnemospark.operators import retrieval
+
+    for name, n in (("GROUP_WORDS", words), ("GROUP_PAIRS", pairs), ("DENSE", dense)):
+        monkeypatch.setattr(retrieval, name, n)
+    sets, rows = _set_rows(spark)
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.85 * len(a | b)}
+    found = retrieval.similar_sets(rows, "id")
+    assert {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == pytest.approx(want) and len(want) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "array_intersect" not in plan  # no row holds a pair's sets
