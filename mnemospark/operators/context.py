@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.strings import basename, shorten, similarity
-from mnemospark.operators.retrieval import similar_sets, word_set
+from mnemospark.operators.retrieval import packed, similar_classes, word_set
 from mnemospark.session import materialize
 
 
@@ -237,17 +237,17 @@ def context_flow(rows: DataFrame, recent: int = 10, keep: float = 0.8, old: int
 def greedy_dedup(rows: DataFrame, key: str, text: str, score: str, least: float = 0.85) -> DataFrame:
     """Keys that a greedy pass keeps: best score first, a row goes if it resembles a kept one.
 
-    Rows of equal word sets keep their best. Among the others a row is decided once
+    Rows of equal word sets keep their best; rows without words all stay. Among the others a row is decided once
     all better rows it resembles are: kept if none of those is, else dropped. Each
     round decides at least the best of every cluster, so rounds follow the longest
     chain of resemblance, not the number of rows.
     """
     order = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
-    worded = rows.select(key, score, word_set(F.col(text)).alias("words"))
-    best = worded.where(F.size("words") > 0).groupBy("words").agg(F.min_by(F.struct(key, score), order).alias("r")).select("words", "r.*")
-    best = materialize(best, "greedy")
+    worded = rows.select(key, score, packed(word_set(F.col(text))).alias("words"))
+    best = worded.where("words IS NOT NULL").groupBy("words").agg(F.min_by(F.struct(key, score), order).alias("r")).select("words", "r.*")
+    best = materialize(best, "greedy", compression="zstd")
     rank = best.select(F.col(key).alias("id"), order.alias("o"))
-    pairs = similar_sets(best.select(key, "words"), key, least).select("a", "b")
+    pairs = similar_classes(best.select(F.col(key).alias("id"), "words"), least).select("a", "b")
     both = pairs.join(rank.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(rank.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
     first = F.col("oa") < F.col("ob")
     links = materialize(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), "greedy")
@@ -259,7 +259,7 @@ def greedy_dedup(rows: DataFrame, key: str, text: str, score: str, least: float
         dropped = dropped.unionByName(gone)
         left = open_links.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti")
         open_links = materialize(left.join(gone.withColumnRenamed("id", "better"), "better", "left_anti"), "greedy")
-    plain = worded.where(F.size("words") == 0).select(key)
+    plain = worded.where("words IS NULL").select(key)
     return best.select(key).join(dropped.withColumnRenamed("id", key), key, "left_anti").unionByName(plain)
 
 

@@ -148,3 +148,23 @@ def test_sets_meet_at_places_where_each_is_sent_once(spark, monkeypatch, words,
     assert {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == pytest.approx(want) and len(want) > 100
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "array_intersect" not in plan  # no row holds a pair's sets
+
+
+def test_greedy_dedup_stores_and_shuffles_packed_sets_once(spark, monkeypatch):
+    """Whole sets were grouped and stored twice, as arrays, and went along with every pair; rows without a text were lost."""
+    from mnemospark.operators import context, retrieval
+
+    stored = []
+
+    def told(df, name, **options):
+        stored.append((name, [n for n, kind in df.dtypes if kind in ("array<string>", "string")]))
+        return materialize(df, name, **options)
+
+    from mnemospark.session import materialize
+
+    for module in (context, retrieval):
+        monkeypatch.setattr(module, "materialize", told)
+    rows = spark.createDataFrame([(0, None, 5), (1, "the same words", 3), (2, "words same the", 4), (3, "others entirely", 9), (4, "", 1)], "id int, t string, s int")
+    assert sorted(r["id"] for r in context.greedy_dedup(rows, "id", "t", "s").collect()) == [0, 2, 3, 4]
+    assert [texts for _, texts in stored if texts] == [["words"]]
+    assert not any(name == "set-classes" for name, _ in stored)
