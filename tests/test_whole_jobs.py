@@ -101,3 +101,18 @@ def test_similar_names_of_all_parts(spark):
     want = alike(names, 0.7)
     assert any(x % 100 and y % 100 for x, y in want)
     assert expanded([tuple(r) for r in entry.queries()["similar_names"](spark, SF).collect()]) == want
+
+
+def test_near_duplicates_tell_every_document_of_a_word_set(spark, tmp_path):
+    """Different texts of the same words, and copies, were one class of which only the first was told."""
+    import duckdb
+
+    many = [f"word{i}" for i in range(40)]
+    texts = [" ".join(many), " ".join(reversed(many)), " ".join(many).upper() + "!", " ".join(many[:-2]), " ".join([*many, "word0", "a"]), "red green", "green; red", "blue", "a b", "", None, "été noël", "noël été", " ".join(many)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    made = entry.queries()["near_dup_jaccard"](spark, str(tmp_path))
+    got = sorted((r["kind"], r["a"], r["b"], r["similarity"]) for r in made.collect())
+    assert got == [*(("member", 0, b, 1.0) for b in (1, 2, 4, 13)), ("member", 5, 6, 1.0), ("member", 11, 12, 1.0), ("similar", 0, 3, 0.95)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT kind, a, b, similarity FROM ({entry.oracle_sql()['near_dup_jaccard']})").fetchall()) == got
