@@ -28,6 +28,7 @@ have cosine 0; ids are distinct and not null (rows with a null id take no part).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from mnemospark.session import materialize
 COSINE, NAME, TYPE, NOTES = 0.4, 0.25, 0.15, 0.2
 BLOCK = 1024
 #: Rows of a broadcast block.
-SENT = 4096
+SENT = 16_384
 NEAR = 1e-6
 
 
@@ -117,7 +118,15 @@ class Part:
         lists = column("vector")
         self.has = ~np.asarray(lists.is_null())
         self.width = np.where(self.has, np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), -1)
-        self.vectors = pivots.as_matrix(lists)
+        self.lists = lists
+
+    @functools.cached_property
+    def vectors(self) -> np.ndarray:
+        return pivots.as_matrix(self.lists)
+
+    @functools.cached_property
+    def lengths(self) -> np.ndarray:
+        return np.sqrt((self.vectors * self.vectors).sum(axis=1))
 
     def holds(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.ids), len(values)), np.float32)
@@ -136,6 +145,35 @@ def same_names(a: Part, b: Part, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return score[of]
 
 
+@functools.lru_cache(1 << 16)
+def name_similarity(one: str, two: str) -> float:
+    """Similarity of two names, which many block pairs share."""
+    return 1 - int(edit_distances([one], [two])[0]) / max(len(one), len(two)) if one and two else 0.0
+
+
+def likely(a: Part, b: Part, shared: np.ndarray, least: float) -> np.ndarray:
+    """Pairs whose mean may reach ``least`` with a cosine below it, by the name of either side and what observations they share."""
+    called = name_similarity(a.texts[0], b.texts[0]) if len(a.texts) == len(b.texts) == 1 else 1.0
+    sizes = a.sizes.astype(np.float32)[:, None], b.sizes.astype(np.float32)
+    room = 1e-4 + NEAR * (sizes[0].max() + sizes[1].max())  # for rounding
+
+    def reach(kind: float) -> np.ndarray:
+        need = (least * (NAME + kind + NOTES) - kind - NAME * called) / NOTES - 8 * NEAR  # what their Jaccard similarity must reach
+        return shared * np.float32(1 + need) >= (np.float32(need) * sizes[0] - np.float32(room)) + np.float32(need) * sizes[1]
+
+    out = reach(TYPE)
+    return out & (reach(0) | (a.kinds[:, None] == b.kinds)) if out.any() else out  # other types need more
+
+
+def products(a: Part, b: Part, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``x`` and ``y``, pair by pair."""
+    va, vb = pivots.same_width(a.vectors, b.vectors)
+    out = np.zeros(len(x))
+    for low in range(0, len(x), 1 << 14):
+        out[low : low + (1 << 14)] = np.einsum("ij,ij->i", va[x[low : low + (1 << 14)]], vb[y[low : low + (1 << 14)]])
+    return out
+
+
 def linked(a: Part, b: Part, least: float, route: str, ordered: bool, mark: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and scores of the pairs that are ``least`` alike and whose first way is ``route``.
 
@@ -144,29 +182,41 @@ def linked(a: Part, b: Part, least: float, route: str, ordered: bool, mark: int
     """
     values = np.unique(np.concatenate([a.notes, b.notes]))
     notes_a, notes_b = a.holds(values), b.holds(values)
-    shared = (notes_a @ notes_b.T).astype(np.float64)
-    union = a.sizes[:, None] + b.sizes - shared
+    shared = notes_a @ notes_b.T
+    some = likely(a, b, shared, least) if mark is not None else None
+    if some is not None and np.count_nonzero(some) * 16 < some.size:  # pair by pair, as few are left
+        x, y = np.divmod(np.flatnonzero(some), len(b.ids))
+        dots = products(a, b, x, y)
+    else:
+        x, y = np.arange(len(a.ids))[:, None], np.arange(len(b.ids))[None, :]
+        va, vb = pivots.same_width(a.vectors, b.vectors)
+        dots = va @ vb.T
+    if not dots.size:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    shared = shared[x, y].astype(np.float64)
+    union = a.sizes[x] + b.sizes[y] - shared
     jaccard = shared / np.maximum(union, 1)
-    va, vb = pivots.same_width(a.vectors, b.vectors)
-    scale = np.sqrt((va * va).sum(axis=1))[:, None] * np.sqrt((vb * vb).sum(axis=1))
-    cosine = np.where((scale > 0) & (a.width[:, None] == b.width), va @ vb.T / np.maximum(scale, 1e-300), 0)
-    both = a.has[:, None] & b.has
-    same = a.kinds[:, None] == b.kinds
+    scale = a.lengths[x] * b.lengths[y]
+    cosine = np.where((scale > 0) & (a.width[x] == b.width[y]), dots / np.maximum(scale, 1e-300), 0)
+    both = a.has[x] & b.has[y]
+    same = a.kinds[x] == b.kinds[y]
     rest = COSINE * both * cosine + TYPE * same + NOTES * jaccard
     weight = COSINE * both + NAME + TYPE * same + NOTES * (union > 0)
     enough = rest + NAME >= (least - NEAR) * weight
     if ordered:
-        enough &= a.ids[:, None] < b.ids
+        enough &= a.ids[x] < b.ids[y]
     if route == "vectors":
         enough &= cosine >= least - NEAR
     else:
         enough &= cosine < least + NEAR
         enough &= (jaccard >= least - NEAR) if route == "notes" else (jaccard < least + NEAR)
-    x, y = np.nonzero(enough)
+    at = np.nonzero(enough)
+    rest, weight, x, y = rest[at], weight[at], np.broadcast_to(x, enough.shape)[at], np.broadcast_to(y, enough.shape)[at]
     if mark is not None and len(x):
         own = [values[(notes_a[x[low : low + 4096]] * notes_b[y[low : low + 4096]]).argmax(axis=1)] == mark for low in range(0, len(x), 4096)]
-        x, y = x[np.concatenate(own)], y[np.concatenate(own)]
-    score = (rest[x, y] + NAME * same_names(a, b, x, y)) / weight[x, y]
+        rest, weight, x, y = (some[np.concatenate(own)] for some in (rest, weight, x, y))
+    score = (rest + NAME * same_names(a, b, x, y)) / weight
     kept = (score >= least - 1e-9) & (a.ids[x] != b.ids[y])
     x, y = x[kept], y[kept]
     return np.minimum(a.ids[x], b.ids[y]), np.maximum(a.ids[x], b.ids[y]), score[kept]
@@ -212,6 +262,40 @@ def _place(*parts: Column | str) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two matrices of unit vectors whose cosine may be ``least`` or more: single floats, with room for their rounding."""
+    a, b = pivots.same_width(a, b)
+    room = NEAR + 2e-7 * (a.shape[1] + 8)
+    return np.divmod(np.flatnonzero(a @ b.T >= np.float32(least - room)), len(b))
+
+
+def cell_links(batches: Iterator[pa.RecordBatch], own: pa.Table, unit: np.ndarray, home: np.ndarray, gap: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Links of a broadcast block (rows, unit vectors, cells, distances to pivots) with placed rows sorted by cell.
+
+    All pairs only take a product; the few near ones are scored. Those of two cells are
+    told from the row of the lesser cell.
+    """
+    far = np.sqrt(2 - 2 * least + 4 * NEAR) + NEAR
+    own_ids = own.column("id").to_numpy()
+    for batch in batches:
+        cells, reach = batch.column("cell").to_numpy(), batch.column("reach").to_numpy()
+        rows, vectors = pa.Table.from_struct_array(batch.column("key")), pivots.as_matrix(batch.column("vector")).astype(np.float32)
+        ids = rows.column("id").to_numpy()
+        cut = (np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist()
+        for low, high in zip([0, *cut], [*cut, len(cells)], strict=True):
+            for start in range(low, high, pivots.STRETCH):
+                stop = min(start + pivots.STRETCH, high)
+                g = gap[:, cells[start]]
+                asked = np.flatnonzero((home <= cells[start]) & (g <= reach[start:stop].max() + far) & (g >= reach[start:stop].min() - far))
+                for some in np.split(asked, range(4096, len(asked), 4096)):
+                    x, y = near_pairs(unit[some], vectors[start:stop], least)
+                    within = home[some[x]] == cells[start]
+                    for ordered, told in ((True, within & (own_ids[some[x]] < ids[start + y])), (False, ~within)):
+                        if told.any():
+                            a, b = Part(own.take(pa.array(some[np.unique(x[told])]))), Part(rows.take(pa.array(start + np.unique(y[told]))))
+                            yield from _links(linked(a, b, least, "vectors", ordered, None))
+
+
 def near_vectors(features: DataFrame, least: float, sent_rows: int = SENT) -> DataFrame | None:
     """Links of rows at a cosine of ``least`` or more: blocks of rows, a few cells or a share of one, are broadcast and meet the cells near them."""
     spark = features.sparkSession
@@ -222,7 +306,6 @@ def near_vectors(features: DataFrame, least: float, sent_rows: int = SENT) -> Da
     if not len(points):
         return None
     placed = materialize(pivots.assigned(unit, "row", "unit", points), "entity-cells")
-    far = np.sqrt(2 - 2 * least + 4 * NEAR) + NEAR
     blocks, group, size = [], [], 0
     for r in sorted(placed.groupBy("cell").count().collect()):  # a row a cell
         parts = -(-r["count"] // sent_rows)
@@ -236,24 +319,10 @@ def near_vectors(features: DataFrame, least: float, sent_rows: int = SENT) -> Da
     blocks += [F.col("cell").isin(group)] if group else []
 
     def met(block: Column) -> DataFrame:
-        own = placed.where(block).select("key.*", F.col("vector").alias("unit")).toArrow()
-        sent = spark.sparkContext.broadcast((own.drop_columns(["unit"]), pivots.distances(pivots.as_matrix(own.column("unit")), points)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, gap = sent.value
-            for batch in batches:
-                cells, reach = batch.column("cell").to_numpy(), batch.column("reach").to_numpy()
-                rows = pa.Table.from_struct_array(batch.column("key"))
-                cut = (np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist()
-                for low, high in zip([0, *cut], [*cut, len(cells)], strict=True):
-                    for start in range(low, high, pivots.STRETCH):
-                        stop = min(start + pivots.STRETCH, high)
-                        g = gap[:, cells[start]]
-                        asked = np.flatnonzero((g <= reach[start:stop].max() + far) & (g >= reach[start:stop].min() - far))
-                        if len(asked):
-                            yield from _links(linked(Part(own.take(pa.array(asked))), Part(rows.slice(start, stop - start)), least, "vectors", True, None))
-
-        return placed.mapInArrow(run, LINK)
+        own = placed.where(block).select("key.*", "cell", F.col("vector").alias("unit")).toArrow()
+        unit = pivots.as_matrix(own.column("unit"))
+        sent = spark.sparkContext.broadcast((own.drop_columns(["unit", "cell"]), unit.astype(np.float32), own.column("cell").to_numpy(), pivots.distances(unit, points)))
+        return placed.mapInArrow(lambda batches: cell_links(batches, *sent.value, least), LINK)
 
     out = None
     for low in range(0, len(blocks), search.MOST_BLOCKS):

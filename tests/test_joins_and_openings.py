@@ -237,3 +237,45 @@ def test_posting_search_takes_equal_queries_once_and_in_blocks(spark):
     batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "features": [["x", "z"], ["y", "x"], ["y"]]})
     met = [r for b in postings.matches(iter([batch]), postings.Wishes(weights), None) for r in b.to_pylist()]
     assert sorted((r["wish"], r["id"], r["raw"]) for r in met) == [("a", 2, 1.5), ("b", 1, 2.0), ("b", 2, 2.0)]
+
+
+def test_far_vectors_take_a_product_only_and_cells_meet_once(monkeypatch):
+    """All pairs were scored in full, by vectors, names, types and notes, and in both directions."""
+    rng = np.random.default_rng(12)
+    units = rng.normal(size=(400, 64))
+    units[1::40], units[300] = units[::40], units[7]
+    units /= np.sqrt((units * units).sum(axis=1))[:, None]
+    points, sizes, plain = units[:2] * [[1.0], [-1.0]], [], entity_join.linked
+    gap = entity_join.pivots.distances(units, points)
+    cell = gap.argmin(axis=1)
+    order = np.lexsort((gap.min(axis=1), cell))
+    rows = pa.table({"id": np.arange(400), "kind": np.ones(400, np.int64), "name": ["n"] * 400, "notes": pa.array([[7]] * 400, pa.list_(pa.int64())), "vector": pa.array(units.tolist())}).take(order)
+    units, cell, gap = units[order], cell[order].astype(np.int32), gap[order]
+    batch = pa.RecordBatch.from_arrays([rows.to_struct_array().combine_chunks(), rows.column("vector").combine_chunks(), pa.array(cell), pa.array(gap.min(axis=1))], ["key", "vector", "cell", "reach"])
+    monkeypatch.setattr(entity_join, "linked", lambda a, b, *rest: sizes.append(len(a.ids) * len(b.ids)) or plain(a, b, *rest))
+    found = [(r["a"], r["b"]) for b in entity_join.cell_links(iter([batch]), rows, units.astype(np.float32), cell, gap, 0.7) for r in b.to_pylist()]
+    full = dict(zip(rows.column("id").to_pylist(), units, strict=True))
+    assert sorted(found) == [(a, b) for a in range(400) for b in range(a + 1, 400) if full[a] @ full[b] >= 0.7] and len(found) == 11
+    assert 11 <= sum(sizes) < 1000 and len(set(cell)) == 2
+
+
+@pytest.mark.parametrize("least", [0.7, 0.8])
+def test_pairs_of_unlike_names_are_passed_over_by_observations(monkeypatch, least):
+    """Every pair of a place of names was scored by vectors and types; what passes is told as by the loop."""
+    rng = np.random.default_rng(13)
+
+    def part(name, low):
+        notes = [[5, *sorted(rng.choice(np.arange(10, 16), int(rng.integers(0, 4)), replace=False).tolist())] for _ in range(60)]
+        vector = pa.array([rng.normal(size=3).tolist() if i % 2 else None for i in range(60)], pa.list_(pa.float64()))
+        return entity_join.Part(pa.table({"id": np.arange(low, low + 60), "kind": rng.integers(0, 3, 60), "name": [name] * 60, "notes": pa.array(notes, pa.list_(pa.int64())), "vector": vector}))
+
+    for name, most in (("red bolt", 3600), ("red bold", 3600), ("rod bald", 1800)):
+        a, b = part("red bolt", 0), part(name, 100)
+        with monkeypatch.context() as m:
+            m.setattr(entity_join, "likely", lambda a, b, shared, least: np.ones(shared.shape, bool))
+            want = entity_join.linked(a, b, least, "names", False, 5)
+        got = entity_join.linked(a, b, least, "names", False, 5)
+        assert sorted(zip(got[0].tolist(), got[1].tolist(), got[2].round(9).tolist(), strict=True)) == sorted(zip(want[0].tolist(), want[1].tolist(), want[2].round(9).tolist(), strict=True))
+        values = np.unique(np.concatenate([a.notes, b.notes]))
+        left = np.count_nonzero(entity_join.likely(a, b, a.holds(values) @ b.holds(values).T, least))
+        assert len(want[0]) <= left < most and (len(want[0]) or name == "rod bald")
